@@ -18,11 +18,6 @@ NO_PAREN = -1
 NO_END = 2147483647
 PREFILTER_LIMIT = 200
 
-FACT_COLUMNS = [
-    "sid", "dataset", "shape", "unreadable", "mentions", "ctes", "derived", "unnested", "refs",
-    "stars", "writes",
-]
-
 
 def fingerprint_log(log: DataFrame, dialect: str = "snowflake") -> DataFrame:
     """Add the shape id of every statement; store it to skip this step in later runs."""
@@ -152,7 +147,8 @@ def lexemes(shapes: DataFrame) -> DataFrame:
     run = W.partitionBy("sid").orderBy("pos")
     readable = F.when(F.col("unreadable").isNull(), F.col("tokens"))
     rows = shapes.repartition("sid").select(
-        "sid", "dataset", "shape", "unreadable", F.posexplode_outer(readable).alias("pos", "tok")
+        "sid", "dataset", "shape", "n_statements", "unreadable",
+        F.posexplode_outer(readable).alias("pos", "tok"),
     )
     plain = F.regexp_replace(
         F.translate(F.regexp_replace("tok", r"\s*\.\s*", "."), '"`', ""), r"\.\*$", ""
@@ -409,6 +405,7 @@ def statement_facts(shapes: DataFrame, columns: list[str] | None = None) -> Data
     return df.groupBy("sid").agg(
         F.first("dataset").alias("dataset"),
         F.first("shape").alias("shape"),
+        F.first("n_statements").alias("n_statements"),
         F.first("unreadable").alias("unreadable"),
         _collected(F.col("is_mention"), pos, F.col("name").alias("raw"), alias.alias("alias"),
                    F.col("barrier"), F.col("cte_body")).alias("mentions"),
