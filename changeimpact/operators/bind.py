@@ -27,6 +27,8 @@ PAYLOAD = [
 def prepare_changes(changes: DataFrame, use_subject: bool = True) -> DataFrame:
     """Add the compared column name and the subject's base table name."""
     dataset = F.col("dataset")
+    if "subject" in changes.columns:
+        return changes.withColumn("col", F.lower("column"))
     subject = F.when(
         F.contains(dataset, F.lit(",")), F.lower(text.subject_table(dataset))
     ).otherwise(text.base_name(dataset))
@@ -280,11 +282,10 @@ def collapse_verdicts(bound: DataFrame) -> DataFrame:
         .otherwise(verdict("soft", "SELECT"))
     )
     pieces = F.transform("bound", lambda o: o["piece_no"].cast("int"))
+    # inline() keeps later filters from being rewritten into copies of the rule chain.
     return df.select(
-        "change_id", "sid", "dataset", "shape", "n_statements", "column", ruled.alias("v"),
-        pieces.alias("piece_numbers"), "tables",
-    ).select(
-        "change_id", "sid", "dataset", "shape", "n_statements", "column", "v.*", "piece_numbers", "tables"
+        "change_id", "sid", "dataset", "shape", "n_statements", "column",
+        pieces.alias("piece_numbers"), "tables", F.inline(F.array(ruled)),
     )
 
 

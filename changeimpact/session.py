@@ -28,6 +28,25 @@ def local_session(cores: str = "8", app: str = "changeimpact") -> SparkSession:
     )
 
 
+def literal_rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    """A small table given in the program, as a VALUES relation whose size the planner knows."""
+    names = [field.split()[0] for field in schema.split(",")]
+    types = [field.split()[1] for field in schema.split(",")]
+    if not rows:
+        return spark.createDataFrame([], schema)
+
+    def written(value) -> str:
+        if value is None:
+            return "NULL"
+        if isinstance(value, str):
+            return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return str(value)
+
+    values = ", ".join("(" + ", ".join(written(v) for v in row) + ")" for row in rows)
+    casts = ", ".join(f"CAST({n} AS {t}) AS {n}" for n, t in zip(names, types))
+    return spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({', '.join(names)})")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and read it back.
 

@@ -3,6 +3,7 @@
 import pytest
 
 from changeimpact.operators import bind
+from changeimpact.session import literal_rows
 
 SCHEMA = {
     "depot.parcels": ["parcel_id", "route_code", "sender_id", "weight_kg"],
@@ -133,19 +134,22 @@ NO_REFERENCE = [
 
 
 def classify(spark, statements, schema=SCHEMA, subject="depot.parcels", **options):
-    changes = spark.createDataFrame(
-        [("c1", subject, "rename", "route_code", "lane_code")],
+    changes = literal_rows(
+        spark,
         "change_id string, dataset string, kind string, column string, new_column string",
+        [("c1", subject, "rename", "route_code", "lane_code")],
     )
-    log = spark.createDataFrame(
-        [(name, subject, sql) for name, sql in statements],
+    log = literal_rows(
+        spark,
         "query_id string, dataset string, sql string",
+        [(name, subject, sql) for name, sql in statements],
     )
     columns = None
     if schema is not None:
-        columns = spark.createDataFrame(
-            [(t, c) for t, cols in schema.items() for c in cols],
+        columns = literal_rows(
+            spark,
             "table_name string, column_name string",
+            [(t, c) for t, cols in schema.items() for c in cols],
         )
     found = bind.classify_log(changes, log, columns, ["route_code"], **options).collect()
     return {row["query_id"]: row for row in found}
