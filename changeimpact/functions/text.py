@@ -30,7 +30,7 @@ def unquoted_base_name(name: Column) -> Column:
 
 def collapse(text: Column) -> Column:
     """Runs of blanks to one space, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(text, WS, " "), "^ | $", "")
+    return F.regexp_replace(F.regexp_replace(text, WS, " "), r"^ | \z", "")
 
 
 def normalize_sql(sql: Column) -> Column:
@@ -38,11 +38,11 @@ def normalize_sql(sql: Column) -> Column:
 
 
 def strip_blanks(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{WS}|{WS}$", "")
+    return F.regexp_replace(text, rf"^{WS}|{WS}\z", "")
 
 
 def strip_end(text: Column) -> Column:
-    return F.regexp_replace(text, rf"{WS}$", "")
+    return F.regexp_replace(text, rf"{WS}\z", "")
 
 
 def snippet(sql: Column, limit: int = 200) -> Column:
@@ -183,7 +183,7 @@ def neutralize_markers(text: Column) -> Column:
 def strip_section(text: Column) -> Column:
     """Drop the managed block: first start marker to last end marker, else to the end."""
     closed = F.regexp_replace(text, f"(?s){SECTION_START}.*{SECTION_END}", "")
-    return strip_blanks(F.regexp_replace(closed, f"(?s){SECTION_START}.*$", ""))
+    return strip_blanks(F.regexp_replace(closed, rf"(?s){SECTION_START}.*\z", ""))
 
 
 def merge_section(existing: Column, section: Column) -> Column:

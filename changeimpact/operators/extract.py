@@ -382,12 +382,15 @@ def _collected(flag: Column, *fields: Column) -> Column:
     return F.array_sort(F.collect_list(F.when(flag, F.struct(*fields))))
 
 
-def statement_facts(shapes: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def statement_facts(
+    shapes: DataFrame, columns: list[str] | None = None, every_shape: bool = False
+) -> DataFrame:
     """One row per shape with its table mentions, CTEs, aliases, references and stars.
 
-    ``columns`` limits references and the shapes read to names that can matter.
+    ``columns`` limits references, and unless ``every_shape`` is set also the shapes
+    read, to names that can matter.
     """
-    read = read_tokens(shapes).where(may_matter(columns))
+    read = read_tokens(shapes).where(may_matter(None if every_shape else columns))
     df = annotated_tokens(read)
     wanted = F.lit(True)
     if columns is not None:
@@ -511,7 +514,7 @@ def _sources(sources: Column, name: Column) -> Column:
 def physical_tables(log: DataFrame, dialect: str = "snowflake") -> DataFrame:
     """Distinct base tables of each statement; an unreadable statement has none."""
     marked = fingerprint_log(log, dialect)
-    facts = expand_ctes(statement_facts(distinct_shapes(marked)))
+    facts = expand_ctes(statement_facts(distinct_shapes(marked), [], every_shape=True))
     tables = facts.select("sid", F.explode("tables").alias("table_name"))
     return marked.select("query_id", "sid").join(tables, "sid").select("query_id", "table_name")
 

@@ -62,9 +62,10 @@ def repair_decisions(
     columns: list[str] | None = None,
     dialect: str = "snowflake",
 ) -> DataFrame:
-    """Per (change, shape): patch or refuse, why, and which name pieces to replace."""
-    # Two passes read the verdicts, and the second pass is a whole classification.
-    verdicts = cut(verdicts)
+    """Per (change, shape): patch or refuse, why, and which name pieces to replace.
+
+    Pass stored verdicts: they are read twice, and the check is a classification of its own.
+    """
     rewritten = _rewritten_shapes(verdicts, changes, dialect)
     checked = rewritten.join(
         _reclassify(rewritten, changes, schema_columns, columns), ["change_id", "new_shape"], "left"

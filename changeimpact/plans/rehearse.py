@@ -23,6 +23,7 @@ class Rehearsal:
     adjudicator: adjudicate.Adjudicator | None = None
     dialect: str = "snowflake"
     use_subject: bool = True
+    facts: DataFrame | None = None
 
     @cached_property
     def statements(self) -> DataFrame:
@@ -34,11 +35,13 @@ class Rehearsal:
 
     @cached_property
     def verdicts(self) -> DataFrame:
-        return cut(
-            bind.classify_shapes(
+        if self.facts is not None:
+            ruled = bind.classify_facts(self.facts, self.changes, self.schema_columns, self.use_subject)
+        else:
+            ruled = bind.classify_shapes(
                 self.changes, self.shapes, self.schema_columns, self.columns, self.use_subject
             )
-        )
+        return cut(ruled)
 
     @cached_property
     def findings(self) -> DataFrame:
@@ -65,8 +68,10 @@ class Rehearsal:
 
     @cached_property
     def decisions(self) -> DataFrame:
-        return repair.repair_decisions(
-            self.verdicts, self.changes, self.schema_columns, self.columns, self.dialect
+        return cut(
+            repair.repair_decisions(
+                self.verdicts, self.changes, self.schema_columns, self.columns, self.dialect
+            )
         )
 
     @cached_property
@@ -117,7 +122,13 @@ def rehearse_from_catalog(
     valid = changes.join(rejected.select("change_id"), "change_id", "left_anti")
     kept = ranking.dedupe_statements(log, order)
     marked = extract.fingerprint_log(kept, dialect)
-    facts = extract.expand_ctes(extract.statement_facts(extract.distinct_shapes(marked), []))
+    names = changed_names(valid)
+    # Table names and verdicts both read the facts, so they are written once.
+    facts = cut(
+        extract.expand_ctes(
+            extract.statement_facts(extract.distinct_shapes(marked), names, every_shape=True)
+        )
+    )
     named = (
         facts.select("dataset", F.explode("tables").alias("table_name"))
         .distinct()
@@ -127,6 +138,6 @@ def rehearse_from_catalog(
     columns, unresolved = catalog.sibling_schemas(valid, named, datasets, schema_fields)
     dependents = catalog.downstream(valid, edges)
     run = Rehearsal(
-        valid, marked, columns, changed_names(valid), dependents, adjudicator, dialect=dialect
+        valid, marked, columns, names, dependents, adjudicator, dialect=dialect, facts=facts
     )
     return run, rejected, unresolved

@@ -39,7 +39,9 @@ def literal_rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFra
         if value is None:
             return "NULL"
         if isinstance(value, str):
-            return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+            # "$" is written as an escape, or SQL variable substitution would eat "${...}".
+            escaped = value.replace("\\", "\\\\").replace("'", "\\'").replace("$", "\\u0024")
+            return f"'{escaped}'"
         return str(value)
 
     values = ", ".join("(" + ", ".join(written(v) for v in row) + ")" for row in rows)
