@@ -224,22 +224,37 @@ def shape_tokens(shape: Column) -> Column:
     return F.regexp_extract_all(shape, F.lit(lexicon.SHAPE_TOKEN), F.lit(0))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body's lambdas use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def rename_pieces(sql: Column, piece_numbers: Column, new_name: Column, dialect: str) -> Column:
     """Replace the name pieces with the given 1-based numbers; keep every other byte."""
-    tokens = F.regexp_extract_all(sql, F.lit(lexicon.lossless_pattern(dialect)), F.lit(0))
     piece = F.lit(r'^[\p{L}_"`]')
-    indexed = F.filter(
-        F.transform(tokens, lambda t, i: F.when(F.rlike(t, piece), i)), lambda i: i.isNotNull()
-    )
-    hits = F.transform(piece_numbers, lambda n: F.get(indexed, n - 1))
+
+    def hits(tokens: Column) -> Column:
+        places = F.transform(tokens, lambda t, i: F.when(F.rlike(t, piece), i))
+        return let(
+            F.filter(places, lambda i: i.isNotNull()),
+            lambda named: F.transform(piece_numbers, lambda n: F.get(named, n - 1)),
+        )
 
     def renamed(token: Column) -> Column:
-        quote = F.when(F.rlike(token, F.lit('^["`]')), F.substring(token, 1, 1)).otherwise("")
+        first = F.substring(token, 1, 1)
+        quote = F.when(first.isin('"', "`"), first).otherwise("")
         return F.concat(quote, new_name, quote)
 
-    return F.array_join(
-        F.transform(
-            tokens, lambda t, i: F.when(F.array_contains(hits, i), renamed(t)).otherwise(t)
-        ),
-        "",
-    )
+    def edited(tokens: Column) -> Column:
+        return let(
+            hits(tokens),
+            lambda at: F.array_join(
+                F.transform(
+                    tokens, lambda t, i: F.when(F.array_contains(at, i), renamed(t)).otherwise(t)
+                ),
+                "",
+            ),
+        )
+
+    tokens = F.regexp_extract_all(sql, F.lit(lexicon.lossless_pattern(dialect)), F.lit(0))
+    return let(tokens, edited)

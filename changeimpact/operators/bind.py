@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from changeimpact.functions import lexicon, text
+from changeimpact.functions.text import let
 from changeimpact.operators import extract
-from changeimpact.operators.extract import let
 
 STAR_REASON = "SELECT * may hide column references; needs schema expand or human"
 FINDING_COLUMNS = [

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from changeimpact.functions import lexicon, text
+from changeimpact.functions.text import let
 
 NO_PAREN = -1
 NO_END = 2147483647
@@ -66,12 +67,13 @@ def _unreadable(tokens: Column, upper: Column) -> Column:
     lone_quote = F.exists(
         tokens, lambda t: (t == "'") | F.rlike(t, F.lit('^"[^"]*$|^`[^`]*$'))
     )
+    unbalanced = let(depth, lambda d: (d["now"] != 0) | (d["low"] < 0))
     no_start = ~F.coalesce(F.get(upper, F.lit(0)), F.lit("")).isin(lexicon.STATEMENT_STARTS)
     return (
         F.when(F.size(tokens) == 0, "empty statement")
         .when(template, "template markup")
         .when(lone_quote, "unterminated quote")
-        .when((depth["now"] != 0) | (depth["low"] < 0), "unbalanced parentheses")
+        .when(unbalanced, "unbalanced parentheses")
         .when(no_start, "no statement keyword at the start")
         .when(last.isin(lexicon.DANGLING), "statement breaks off")
         .when(F.rlike(joined, F.lit(rf" (?:{before}) (?:{after}) ")), "operand missing")
@@ -88,16 +90,17 @@ def _escaped(words: list[str]) -> list[str]:
 
 def read_tokens(shapes: DataFrame) -> DataFrame:
     """Add the token array of the first statement in the text, and why it is unreadable."""
-    tokens = text.shape_tokens(F.col("shape"))
-    stop = F.array_position("tokens", ";").cast("int")
-    return (
-        shapes.withColumn("tokens", tokens)
-        .withColumn(
-            "tokens",
-            F.when(stop > 0, F.slice("tokens", F.lit(1), stop - 1)).otherwise(F.col("tokens")),
-        )
-        .withColumn("unreadable", unreadable_reason(F.col("tokens")))
-    )
+
+    def first_statement(tokens: Column) -> Column:
+        stop = F.array_position(tokens, ";").cast("int")
+        return F.when(stop > 0, F.slice(tokens, F.lit(1), stop - 1)).otherwise(tokens)
+
+    def read(tokens: Column) -> Column:
+        return F.struct(tokens.alias("tokens"), unreadable_reason(tokens).alias("unreadable"))
+
+    tokens = let(text.shape_tokens(F.col("shape")), first_statement)
+    # inline() keeps later filters from being rewritten into a second copy of this work.
+    return shapes.select("*", F.inline(F.array(let(tokens, read))))
 
 
 def may_matter(columns: list[str] | None) -> Column:
@@ -143,10 +146,13 @@ def lexemes(shapes: DataFrame) -> DataFrame:
     """One row per token of each readable shape, in order, with its neighbours.
 
     An unreadable shape gives one row without a token, so it stays in the result.
+    The partition count is set, because the work here is large for its bytes and
+    adaptive coalescing goes by bytes.
     """
+    width = int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     run = W.partitionBy("sid").orderBy("pos")
     readable = F.when(F.col("unreadable").isNull(), F.col("tokens"))
-    rows = shapes.repartition("sid").select(
+    rows = shapes.repartition(width, "sid").select(
         "sid", "dataset", "shape", "n_statements", "unreadable",
         F.posexplode_outer(readable).alias("pos", "tok"),
     )
@@ -431,11 +437,6 @@ def statement_facts(
     )
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once, however often the body's lambdas use it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def expand_ctes(facts: DataFrame) -> DataFrame:
     """Replace CTE names by the base tables behind them, and build the alias map.
 

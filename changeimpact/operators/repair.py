@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from changeimpact.functions import text
+from changeimpact.functions.text import let
 from changeimpact.operators import bind, extract
-from changeimpact.operators.extract import let
 from changeimpact.session import cut
 
 DROP_REASON = "drop — no rewritten column name; refuse rather than invent a fix"
@@ -34,7 +34,7 @@ def _rewritten_shapes(verdicts: DataFrame, changes: DataFrame, dialect: str) ->
     ).join(renames, "change_id")
     edited = text.rename_pieces(F.col("shape"), F.col("piece_numbers"), F.col("new_column"), dialect)
     return editable.select(
-        "change_id", "sid", "severity", text.collapse(edited).alias("new_shape")
+        "change_id", "sid", "severity", F.explode(F.array(text.collapse(edited))).alias("new_shape")
     )
 
 
@@ -113,18 +113,24 @@ def build_repairs(
     ).join(decisions.drop("n_statements", "new_shape"), "sid")
     duplicate = F.coalesce("twice", F.lit(False))
     patched = (F.col("action") == "patch") & ~duplicate
-    edited = text.rename_pieces(F.col("sql"), F.col("piece_numbers"), F.col("new_column"), dialect)
-    df = rows.select(
+    sql, query_id = F.col("sql"), F.col("query_id")
+    edited = text.rename_pieces(sql, F.col("piece_numbers"), F.col("new_column"), dialect)
+    patch = let(
+        edited,
+        lambda new: F.struct(
+            new.alias("rewritten_sql"), unified_diff(sql, new, query_id).alias("unified_diff")
+        ),
+    )
+    # inline() keeps the edit from being copied into whatever reads its columns.
+    return rows.select(
         "change_id",
         "query_id",
         F.when(patched, "patch").otherwise("refuse").alias("action"),
         F.when(duplicate, DUPLICATE_REASON).otherwise(F.col("reason")).alias("reason"),
         F.when(duplicate, F.col("severity")).otherwise(F.col("repair_severity")).alias("severity"),
-        F.when(duplicate, text.snippet(F.col("sql"))).otherwise(F.col("sql")).alias("original_sql"),
-        F.when(patched, edited).alias("rewritten_sql"),
+        F.when(duplicate, text.snippet(sql)).otherwise(sql).alias("original_sql"),
+        F.inline(F.array(F.when(patched, patch))),
     )
-    diff = unified_diff(F.col("original_sql"), F.col("rewritten_sql"), F.col("query_id"))
-    return df.withColumn("unified_diff", F.when(F.col("action") == "patch", diff))
 
 
 def unified_diff(original: Column, rewritten: Column, query_id: Column, context: int = 3) -> Column:
