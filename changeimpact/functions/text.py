@@ -211,13 +211,19 @@ def statement_shape(sql: Column, dialect: str = "snowflake") -> Column:
     once per shape. Numbers stay when a quoted name has one that would be hit.
     """
     pattern, replacement = lexicon.mask_pattern(dialect)
-    masked = F.regexp_replace(sql, pattern, replacement)
-    quoted = F.regexp_extract_all(masked, F.lit(r'"[^"]*+"?+|`[^`]*+`?+'), F.lit(0))
-    protected = F.exists(quoted, lambda name: F.rlike(name, F.lit(lexicon.LOOSE_NUMBER)))
-    numbers = F.when(protected, masked).otherwise(
-        F.regexp_replace(masked, lexicon.LOOSE_NUMBER, "0")
-    )
-    return collapse(numbers)
+
+    def numbers_masked(masked: Column) -> Column:
+        quoted = F.regexp_extract_all(masked, F.lit(r'"[^"]*+"?+|`[^`]*+`?+'), F.lit(0))
+        protected = F.rlike(masked, F.lit('["`]')) & F.exists(
+            quoted, lambda name: F.rlike(name, F.lit(lexicon.LOOSE_NUMBER))
+        )
+        return F.when(protected, masked).otherwise(
+            F.regexp_replace(masked, lexicon.LOOSE_NUMBER, "0")
+        )
+
+    # The edges are blanks by now, so a plain trim ends the job.
+    shape = let(F.regexp_replace(sql, pattern, replacement), numbers_masked)
+    return F.btrim(F.regexp_replace(shape, WS, " "), F.lit(" "))
 
 
 def shape_tokens(shape: Column) -> Column:

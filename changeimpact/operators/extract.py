@@ -30,7 +30,9 @@ def fingerprint_log(log: DataFrame, dialect: str = "snowflake") -> DataFrame:
 
 
 def shape_id() -> Column:
-    return F.sha2(F.concat_ws("\x1f", F.coalesce("dataset", F.lit("")), "shape"), 256)
+    """128 bits of a SHA-256 of dataset and shape, as binary: short to sort and shuffle by."""
+    digest = F.sha2(F.concat_ws("\x1f", F.coalesce("dataset", F.lit("")), "shape"), 256)
+    return F.substring(F.unhex(digest), 1, 16)
 
 
 def distinct_shapes(fingerprinted: DataFrame) -> DataFrame:
@@ -115,7 +117,7 @@ def may_matter(columns: list[str] | None) -> Column:
 def _innermost(df: DataFrame, **flags: str) -> DataFrame:
     """For each ``out=flag``: the innermost flagged parenthesis around a token, itself included."""
     run = W.partitionBy("sid").orderBy("pos")
-    opens, closes = F.col("tok") == "(", F.col("tok") == ")"
+    opens, closes = F.col("up") == "(", F.col("up") == ")"
     df = df.withColumns(
         {
             f"_{out}": F.sum(
@@ -152,54 +154,61 @@ def lexemes(shapes: DataFrame) -> DataFrame:
     width = int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     run = W.partitionBy("sid").orderBy("pos")
     readable = F.when(F.col("unreadable").isNull(), F.col("tokens"))
+    head = F.struct("dataset", "shape", "n_statements", "unreadable")
     rows = shapes.repartition(width, "sid").select(
-        "sid", "dataset", "shape", "n_statements", "unreadable",
-        F.posexplode_outer(readable).alias("pos", "tok"),
+        "sid", head.alias("head"), F.posexplode_outer(readable).alias("pos", "tok")
     )
+    # The statement's own columns stay on its first row, so the windows move narrow rows.
+    rows = rows.withColumn("head", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("head")))
     plain = F.regexp_replace(
         F.translate(F.regexp_replace("tok", r"\s*\.\s*", "."), '"`', ""), r"\.\*$", ""
     )
     word = F.rlike("tok", F.lit(r'^[\p{L}_"`]'))
     star = F.rlike("tok", F.lit(r"\.\s*\*$"))
     parts = F.split(F.lower(plain), r"\.")
+    upper = F.upper("tok")
+    ident = word & ~upper.isin(lexicon.RESERVED) & ~star
     rows = rows.withColumns(
         {
-            "up": F.upper("tok"),
+            # Only words of the language and operators are compared later on.
+            "up": F.when(ident, "").when(star, ".*").otherwise(upper),
             "parts": F.when(word, parts),
             "star": star,
-            "ident": word & ~F.upper("tok").isin(lexicon.RESERVED) & ~star,
+            "ident": ident,
             "pieces": F.when(word, F.regexp_count("tok", F.lit(lexicon.PIECE))).otherwise(0),
         }
     )
     rows = rows.withColumns(
         {
-            "name": F.get("parts", F.size("parts") - 1),
-            "qual": F.get("parts", F.size("parts") - 2),
+            "name": F.when(F.col("ident"), F.get("parts", F.size("parts") - 1)),
+            "qual": F.when(F.col("ident"), F.get("parts", F.size("parts") - 2)),
         }
     )
-    ident_name = F.when(F.col("ident"), F.col("name"))
 
     def near(column: str, offset: int) -> Column:
         return F.coalesce(F.lag(column, offset).over(run), F.lit(""))
 
-    return rows.drop("parts").withColumns(
+    rows = rows.drop("parts", "tok").withColumns(
         {
             "piece_no": F.sum("pieces").over(run),
             "p1": near("up", 1),
             "p2": near("up", 2),
             "n1": near("up", -1),
             "n2": near("up", -2),
-            "n1_name": F.lead(ident_name, 1).over(run),
-            "n2_name": F.lead(ident_name, 2).over(run),
+            "_n1_name": F.lead("name", 1).over(run),
+            "_n2_name": F.lead("name", 2).over(run),
             "p1_ident": _yes(F.lag("ident", 1).over(run)),
         }
     )
+    # The alias a table mention would have here.
+    alias = F.when(F.col("n1") == "AS", F.col("_n2_name")).otherwise(F.col("_n1_name"))
+    return rows.withColumn("alias", alias).drop("_n1_name", "_n2_name", "pieces")
 
 
 def parentheses(tokens: DataFrame) -> DataFrame:
     """Enclosing parenthesis, enclosing query, and clause-like parentheses (windows, filters)."""
     pair = W.partitionBy("sid", "paren")
-    opens = F.col("tok") == "("
+    opens = F.col("up") == "("
     df = _innermost(tokens.withColumn("any", F.lit(True)), paren="any")
     starts_query = F.max(opens & F.col("n1").isin("SELECT", "WITH")).over(pair)
     df = df.withColumns(
@@ -207,7 +216,7 @@ def parentheses(tokens: DataFrame) -> DataFrame:
             "call": F.max(F.when(opens, F.col("p1"))).over(pair),
             "is_query": _yes(starts_query) & (F.col("paren") != NO_PAREN),
             "_ordered": F.max((F.col("up") == "ORDER") & (F.col("n1") == "BY")).over(pair),
-            "_after": F.max(F.when(F.col("tok") == ")", F.col("n1"))).over(pair),
+            "_after": F.max(F.when(F.col("up") == ")", F.col("n1"))).over(pair),
             "_within": F.max(opens & (F.col("p2") == "WITHIN")).over(pair),
         }
     )
@@ -261,12 +270,12 @@ def clauses(tokens: DataFrame) -> DataFrame:
 
     df = tokens.withColumn("sel", F.last(select, ignorenulls=True).over(run))
     df = df.withColumn("kw", F.when(own, _clause_keyword(F.col("sel").isNotNull())))
-    ends = select.isNotNull() | ((F.col("tok") == ")") & own)
+    ends = select.isNotNull() | ((F.col("up") == ")") & own)
     df = df.withColumns(
         {
             "raw_clause": F.last("kw", ignorenulls=True).over(run),
             "_from_at": latest(F.col("kw") == "FROM"),
-            "_comma_at": latest(own & (F.col("tok") == ",")),
+            "_comma_at": latest(own & (F.col("up") == ",")),
             "n_selects": F.count(select).over(whole),
             "sel_end": F.coalesce(
                 F.last(F.when(ends, pos), ignorenulls=True).over(back), F.lit(NO_END)
@@ -304,7 +313,7 @@ def roles(tokens: DataFrame) -> DataFrame:
     pair = W.partitionBy("sid", "paren")
     ident, p1, p2, n1 = (F.col(c) for c in ("ident", "p1", "p2", "n1"))
     own = F.col("paren") == F.col("query")
-    opens, closes = F.col("tok") == "(", F.col("tok") == ")"
+    opens, closes = F.col("up") == "(", F.col("up") == ")"
 
     def before(value: Column, offset: int = 1) -> Column:
         return F.lag(value, offset).over(run)
@@ -320,6 +329,12 @@ def roles(tokens: DataFrame) -> DataFrame:
             "_p2_query": _yes(before(closes & F.col("is_query"), 2)),
         }
     )
+    # From here on only names, parentheses and stars matter; of a statement's rows
+    # the first stays too, because it has the statement's own columns.
+    df = df.where(
+        ident | opens | closes | F.col("star") | (F.col("up") == "*")
+        | F.col("head").isNotNull() | (F.col("up") == "RECURSIVE")
+    )
     mentioned = (
         ((p1 == "FROM") & (F.col("p1_kw") == "FROM"))
         | p1.isin("JOIN", "UPDATE", "TABLE", "VIEW")
@@ -342,8 +357,8 @@ def roles(tokens: DataFrame) -> DataFrame:
     )
     df = df.withColumns(
         {
-            "_p_mention": before(F.col("is_mention")),
-            "_p_unnest": before(F.col("is_unnest_alias")),
+            "_p_mention": F.col("p1_ident") & before(F.col("is_mention")),
+            "_p_unnest": F.col("p1_ident") & before(F.col("is_unnest_alias")),
             "_cte_name": F.last(F.when(cte_name, F.col("name")), ignorenulls=True).over(run),
         }
     )
@@ -402,20 +417,15 @@ def statement_facts(
     if columns is not None:
         wanted = F.col("name").isin([c.lower() for c in columns])
     pos, own = F.col("pos"), F.col("paren") == F.col("query")
-    alias = F.coalesce(
-        F.when(F.col("n1") == "AS", F.col("n2_name")).otherwise(F.col("n1_name")), F.col("name")
-    )
+    alias = F.coalesce("alias", "name")
     star = (
-        (F.col("tok") == "*") & own & F.col("p1").isin("SELECT", "DISTINCT", "ALL", ",")
+        (F.col("up") == "*") & own & F.col("p1").isin("SELECT", "DISTINCT", "ALL", ",")
         & (F.col("raw_clause") == "SELECT")
     ) | (F.col("star") & (F.col("raw_clause") == "SELECT"))
     scope = [F.col("scope"), F.col("sel_end"), F.col("barrier")]
-    closes_cte = (F.col("tok") == ")") & F.col("is_cte_body")
+    closes_cte = (F.col("up") == ")") & F.col("is_cte_body")
     return df.groupBy("sid").agg(
-        F.first("dataset").alias("dataset"),
-        F.first("shape").alias("shape"),
-        F.first("n_statements").alias("n_statements"),
-        F.first("unreadable").alias("unreadable"),
+        F.first("head", ignorenulls=True).alias("head"),
         _collected(F.col("is_mention"), pos, F.col("name").alias("raw"), alias.alias("alias"),
                    F.col("barrier"), F.col("cte_body")).alias("mentions"),
         _collected(closes_cte, pos, F.col("paren").alias("body"), F.col("cte_name").alias("name"),
@@ -433,8 +443,7 @@ def statement_facts(
                    F.struct(F.col("list_of").alias("target"), F.col("name")))
         ).alias("writes"),
         F.max(F.col("up") == "RECURSIVE").alias("recursive"),
-        F.max(F.when(F.col("pos") == 0, F.col("up"))).alias("verb"),
-    )
+    ).select("head.*", "*").drop("head")
 
 
 def expand_ctes(facts: DataFrame) -> DataFrame:
