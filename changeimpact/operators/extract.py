@@ -323,12 +323,13 @@ def roles(tokens: DataFrame) -> DataFrame:
             "p1_kw": F.coalesce(before(F.col("kw")), F.lit("")),
             "_p_name": before(F.col("name")),
             "_p_clause": F.coalesce(before(F.col("raw_clause")), F.lit("")),
-            "_p_call": F.coalesce(before(F.when(closes, F.col("call"))), F.lit("")),
-            "_p2_call": F.coalesce(before(F.when(closes, F.col("call")), 2), F.lit("")),
-            "_p_query": _yes(before(closes & F.col("is_query"))),
-            "_p2_query": _yes(before(closes & F.col("is_query"), 2)),
+            "_last_call": F.last(F.when(closes, F.col("call")), ignorenulls=True).over(run),
+            "_last_query": F.last(F.when(closes, F.col("is_query")), ignorenulls=True).over(run),
         }
     )
+    # The parenthesis that closed just before this token, or before an AS in front of it.
+    closed = (p1 == ")") | ((p1 == "AS") & (p2 == ")"))
+    last_call = F.coalesce("_last_call", F.lit(""))
     # From here on only names, parentheses and stars matter; of a statement's rows
     # the first stays too, because it has the statement's own columns.
     df = df.where(
@@ -344,15 +345,13 @@ def roles(tokens: DataFrame) -> DataFrame:
         | ((p1 == "(") & p2.isin("FROM", "JOIN"))
     )
     listed = (p1 == "INTO") | ((p1 == "TABLE") & p2.isin("INTO", "OVERWRITE"))
-    aliasing = p1 == "AS"
     cte_name = ident & own & (F.col("raw_clause") == "WITH") & p1.isin("WITH", "RECURSIVE", ",")
     df = df.withColumns(
         {
             "is_cte_name": cte_name,
             "is_mention": ident & mentioned & ((n1 != "(") | listed),
-            "is_unnest_alias": ident
-            & ((F.col("_p_call") == "UNNEST") | (aliasing & (F.col("_p2_call") == "UNNEST"))),
-            "is_derived_alias": ident & (F.col("_p_query") | (aliasing & F.col("_p2_query"))),
+            "is_unnest_alias": ident & closed & (last_call == "UNNEST"),
+            "is_derived_alias": ident & closed & _yes(F.col("_last_query")),
         }
     )
     df = df.withColumns(
@@ -378,7 +377,7 @@ def roles(tokens: DataFrame) -> DataFrame:
         F.col("p1_ident")
         | p1.isin("''", "END", "]")
         | (F.rlike(p1, F.lit("^[0-9]")) & (p2 != "TOP"))
-        | ((p1 == ")") & ~F.col("_p_call").isin("ON", "TOP"))
+        | ((p1 == ")") & ~last_call.isin("ON", "TOP"))
     )
     in_list = (F.col("paren") != NO_PAREN) & (F.col("list_of").isNotNull() | F.col("unnest_list"))
     return df.withColumns(
@@ -395,8 +394,30 @@ def roles(tokens: DataFrame) -> DataFrame:
     )
 
 
-def annotated_tokens(shapes: DataFrame) -> DataFrame:
-    return roles(clauses(parentheses(lexemes(shapes))))
+# Words that open or bound a clause; names after NAMING may be tables, aliases or CTE names.
+STRUCTURE = """
+( ) , * .* SELECT WITH RECURSIVE FROM JOIN PIVOT UNPIVOT ON WHERE HAVING QUALIFY GROUP ORDER CLUSTER
+DISTRIBUTE SORT WINDOW USING SET INTO WHEN INSERT VALUES RETURNING LIMIT OFFSET FETCH CONNECT START
+""".split()
+NAMING = "FROM JOIN INTO UPDATE TABLE VIEW USING EXISTS WITH RECURSIVE AS , ( )".split()
+
+
+def structural(tokens: DataFrame, columns: list[str] | None) -> DataFrame:
+    """Drop tokens that neither shape the statement nor name anything that can matter.
+
+    Neighbours are columns by now, so what is dropped is still seen by its neighbours.
+    """
+    if columns is None:
+        wanted = F.lit(True)
+    else:
+        wanted = F.col("name").isin([c.lower() for c in columns]) | F.col("p1").isin(NAMING)
+    return tokens.where(
+        F.when(F.col("ident"), wanted).otherwise(F.col("up").isin(STRUCTURE)) | F.col("head").isNotNull()
+    )
+
+
+def annotated_tokens(shapes: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    return roles(clauses(parentheses(structural(lexemes(shapes), columns))))
 
 
 def _collected(flag: Column, *fields: Column) -> Column:
@@ -412,7 +433,7 @@ def statement_facts(
     read, to names that can matter.
     """
     read = read_tokens(shapes).where(may_matter(None if every_shape else columns))
-    df = annotated_tokens(read)
+    df = annotated_tokens(read, columns)
     wanted = F.lit(True)
     if columns is not None:
         wanted = F.col("name").isin([c.lower() for c in columns])

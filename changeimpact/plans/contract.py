@@ -45,7 +45,7 @@ _runs: dict[tuple, Rehearsal] = {}
 
 def rehearsal(spark: SparkSession, sf_dir: str) -> Rehearsal:
     """The event log's rehearsal. Its verdicts are written once per session and then
-    read by every report on it, as a job would that keeps a verdict table."""
+    read by every report on it, as a job would that keeps verdict and findings tables."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _runs:
         _runs[key] = fresh_rehearsal(spark, sf_dir)
@@ -283,7 +283,7 @@ def regex_tables(spark, sf_dir):
 @register("statement_with_text", BASE + "SELECT change_id, query_id, md5(sql) AS digest, false AS duplicate_id FROM f")
 def statement_with_text(spark, sf_dir):
     run = rehearsal(spark, sf_dir)
-    texts = bind.with_statement_text(run.findings, run.log)
+    texts = bind.with_statement_text(run.stored_findings, run.log)
     return texts.select("change_id", "query_id", F.md5("sql").alias("digest"), "duplicate_id")
 
 
@@ -299,7 +299,7 @@ def forecast_summary(spark, sf_dir):
 
 @register("severity_counts", BASE + f"SELECT change_id, {COUNT_COLUMNS} FROM cnt")
 def severity_counts(spark, sf_dir):
-    return findings.severity_counts(rehearsal(spark, sf_dir).findings)
+    return findings.severity_counts(rehearsal(spark, sf_dir).stored_findings)
 
 
 def _gate_sql(levels: list[str]) -> str:
@@ -325,7 +325,7 @@ def gate_hard_only(spark, sf_dir):
 
 @register("gate_triggered", BASE + "SELECT change_id, query_id, severity, evidence FROM f WHERE severity IN ('hard', 'unknown')")
 def gate_triggered(spark, sf_dir):
-    return findings.gate_triggered(rehearsal(spark, sf_dir).findings)
+    return findings.gate_triggered(rehearsal(spark, sf_dir).stored_findings)
 
 
 @register("worst_severity", BASE + "SELECT change_id, CASE min(tier) WHEN 0 THEN 'hard' WHEN 1 THEN 'soft' WHEN 2 THEN 'unknown' END AS worst_severity FROM f GROUP BY 1")
@@ -338,13 +338,13 @@ _RANK = "SELECT change_id, query_id, severity, row_number() OVER (PARTITION BY c
 
 @register("rank_findings", BASE + _RANK.format("tier, query_id"))
 def rank_findings(spark, sf_dir):
-    found = rehearsal(spark, sf_dir).findings
+    found = rehearsal(spark, sf_dir).stored_findings
     return ranking.with_position(found).select("change_id", "query_id", "severity", "position")
 
 
 @register("rank_by_exec_count", BASE + _RANK.format("tier, exec_count DESC NULLS LAST, query_id"))
 def rank_by_exec_count(spark, sf_dir):
-    found = rehearsal(spark, sf_dir).findings
+    found = rehearsal(spark, sf_dir).stored_findings
     return ranking.with_position(found, True).select("change_id", "query_id", "severity", "position")
 
 
@@ -392,14 +392,14 @@ SELECT change_id, label, CAST(row_number() OVER w AS INTEGER) AS example_no, que
 WINDOW w AS (PARTITION BY change_id, label ORDER BY query_id)
 QUALIFY row_number() OVER w <= CASE label WHEN 'cleared' THEN 5 WHEN 'unknown' THEN 8 ELSE 1 END""")
 def first_examples(spark, sf_dir):
-    return findings.first_examples(rehearsal(spark, sf_dir).findings)
+    return findings.first_examples(rehearsal(spark, sf_dir).stored_findings)
 
 
 @register("parse_failures", BASE + """
 SELECT change_id, query_id, CAST(row_number() OVER w AS INTEGER) AS example_no, unknown_reason AS reason FROM f WHERE evidence = 'PARSE'
 WINDOW w AS (PARTITION BY change_id ORDER BY query_id) QUALIFY row_number() OVER w <= 10""")
 def parse_failures(spark, sf_dir):
-    return findings.parse_failures(rehearsal(spark, sf_dir).findings)
+    return findings.parse_failures(rehearsal(spark, sf_dir).stored_findings)
 
 
 @register("defect_flags", BASE + """
@@ -414,7 +414,7 @@ SELECT change_id, query_id, flag FROM flags WINDOW w AS (PARTITION BY change_id
 def defect_flags(spark, sf_dir):
     run = rehearsal(spark, sf_dir)
     fewer = run.schema_columns.where(F.col("table_name") != "staff.rosters")
-    return findings.defect_flags(run.changes, run.log, run.findings, fewer)
+    return findings.defect_flags(run.changes, run.log, run.stored_findings, fewer)
 
 
 # --- quality against gold ------------------------------------------------------------------
@@ -422,7 +422,7 @@ def defect_flags(spark, sf_dir):
 
 def _gold(spark, sf_dir):
     run = rehearsal(spark, sf_dir)
-    return run, fx.gold_labels(spark, run.log), run.findings.where(F.col("change_id") == "c1")
+    return run, fx.gold_labels(spark, run.log), run.stored_findings.where(F.col("change_id") == "c1")
 
 
 def _cache(requests: DataFrame) -> DataFrame:
@@ -436,7 +436,7 @@ def _cache(requests: DataFrame) -> DataFrame:
 
 
 def _requests(run: Rehearsal) -> DataFrame:
-    return adjudicate.ruling_requests(run.findings, run.log, run.schema_columns)
+    return adjudicate.ruling_requests(run.stored_findings, run.log, run.schema_columns)
 
 
 def _rulings(run: Rehearsal) -> DataFrame:
@@ -566,7 +566,7 @@ FROM f WHERE severity = 'unknown' AND (change_id = 'c3' OR evidence NOT IN ('STA
 def heuristic_rulings(spark, sf_dir):
     fields = literal_rows(spark, "change_id string, field string",
                           [("c1", "Route_Code"), ("c2", "weight_kg"), ("c3", "crew_id")])
-    return adjudicate.heuristic_rulings(rehearsal(spark, sf_dir).findings, fields)
+    return adjudicate.heuristic_rulings(rehearsal(spark, sf_dir).stored_findings, fields)
 
 
 @register("adjudicated_findings", BASE + f"""
@@ -574,13 +574,13 @@ def heuristic_rulings(spark, sf_dir):
 SELECT change_id, query_id, CASE WHEN NOT up THEN severity WHEN evidence = 'SELECT' THEN 'soft' ELSE 'hard' END AS severity, evidence,
   CASE WHEN up THEN {_HEURISTIC} END AS agent_note, CASE WHEN NOT up THEN unknown_reason END AS unknown_reason, unknown_kind FROM a""")
 def adjudicated_findings(spark, sf_dir):
-    return adjudicate.adjudicate(rehearsal(spark, sf_dir).findings).select(
+    return adjudicate.adjudicate(rehearsal(spark, sf_dir).stored_findings).select(
         "change_id", "query_id", "severity", "evidence", "agent_note", "unknown_reason", "unknown_kind")
 
 
 @register("residue", BASE + "SELECT change_id, query_id, evidence FROM f WHERE unknown_kind = 'ambiguous_bare'")
 def residue(spark, sf_dir):
-    return adjudicate.residue(rehearsal(spark, sf_dir).findings).select("change_id", "query_id", "evidence")
+    return adjudicate.residue(rehearsal(spark, sf_dir).stored_findings).select("change_id", "query_id", "evidence")
 
 
 @register("cached_rulings", BASE + """
@@ -940,5 +940,5 @@ FROM asked a LEFT JOIN f ON a.query_id = f.query_id AND a.change_id = f.change_i
 def explain_findings(spark, sf_dir):
     run = rehearsal(spark, sf_dir)
     asked = run.log.select("query_id", F.lit("c1").alias("change_id"))
-    return report.explain_findings(asked, run.findings).drop("agent_note")
+    return report.explain_findings(asked, run.stored_findings).drop("agent_note")
 

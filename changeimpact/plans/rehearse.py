@@ -48,6 +48,11 @@ class Rehearsal:
         found = bind.findings_of(self.statements, self.verdicts)
         return found if self.adjudicator is None else adjudicate.adjudicate(found, self.adjudicator)
 
+    @cached_property
+    def stored_findings(self) -> DataFrame:
+        """The findings written once, for several reports to read."""
+        return cut(self.findings)
+
     @cached_property
     def counted(self) -> DataFrame:
         """What counts are taken from: shape verdicts, unless rulings changed single statements."""
@@ -83,7 +88,9 @@ class Rehearsal:
 
     def report(self, notify: DataFrame | None = None, **options) -> DataFrame:
         lines = None if notify is None else report.notify_lines(notify)
-        return report.report_lines(self.changes, self.summary, self.findings, notify=lines, **options)
+        return report.report_lines(
+            self.changes, self.summary, self.stored_findings, notify=lines, **options
+        )
 
 
 def changed_names(changes: DataFrame, limit: int = extract.PREFILTER_LIMIT) -> list[str] | None:
