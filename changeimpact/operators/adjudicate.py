@@ -10,21 +10,21 @@ from changeimpact.functions import lexicon, predicates, text
 from changeimpact.operators import bind
 
 Adjudicator = Callable[[DataFrame], DataFrame]
+NAME_LIKE = r"[^\s.,;()'\"`=<>]+"
 RULING = ["change_id", "query_id", "severity", "note"]
 
 
-def heuristic_rulings(findings: DataFrame, fields: DataFrame | None = None) -> DataFrame:
-    """Bind every UNKNOWN to the subject by its clause. Off by default: known to be net-negative.
+def with_heuristic(findings: DataFrame, fields: DataFrame | None = None) -> DataFrame:
+    """Add ``r(severity, note)``: bind every UNKNOWN to the subject by its clause, else null.
 
-    ``fields(change_id, field)`` are the subject's fields; without it the changed
-    column is taken to exist.
+    Off by default: known to be net-negative. ``fields(change_id, field)`` are the
+    subject's fields; without it the changed column is taken to exist.
     """
-    unknown = findings.where(F.col("severity") == "unknown")
     if fields is None:
-        unknown = unknown.withColumn("exists", F.lit(True))
+        asked = findings.withColumn("exists", F.lit(True))
     else:
         have = fields.select("change_id", F.lower("field").alias("field")).distinct()
-        unknown = unknown.withColumn("field", F.lower("column")).join(
+        asked = findings.withColumn("field", F.lower("column")).join(
             have.withColumn("exists", F.lit(True)), ["change_id", "field"], "left"
         )
     clauses = F.transform(F.split(F.upper("evidence"), ","), lambda c: F.btrim(c))
@@ -53,17 +53,24 @@ def heuristic_rulings(findings: DataFrame, fields: DataFrame | None = None) -> D
             F.struct(F.lit("soft").alias("severity"), soft.alias("note")),
         )
     )
-    return unknown.select("change_id", "query_id", ruled.alias("r")).where(F.col("r").isNotNull()).select(
-        "change_id", "query_id", "r.*"
-    )
+    return asked.withColumn("r", F.when(F.col("severity") == "unknown", ruled))
+
+
+def heuristic_rulings(findings: DataFrame, fields: DataFrame | None = None) -> DataFrame:
+    """The heuristic's rulings as a table."""
+    ruled = with_heuristic(findings, fields).where(F.col("r").isNotNull())
+    return ruled.select("change_id", "query_id", "r.*")
 
 
 def apply_rulings(findings: DataFrame, rulings: DataFrame) -> DataFrame:
+    """Findings with the rulings of a table applied; one ruling per (change, statement id)."""
+    ruling = rulings.groupBy("change_id", "query_id").agg(F.min(F.struct("severity", "note")).alias("r"))
+    return _ruled(findings.join(ruling, ["change_id", "query_id"], "left"))
+
+
+def _ruled(joined: DataFrame) -> DataFrame:
     """Only UNKNOWN findings change: HARD or SOFT upgrades, UNKNOWN only leaves its note."""
-    ruling = rulings.select(
-        "change_id", "query_id", F.col("severity").alias("ruled"), F.col("note").alias("ruled_note")
-    )
-    joined = findings.join(ruling, ["change_id", "query_id"], "left")
+    joined = joined.withColumns({"ruled": F.col("r.severity"), "ruled_note": F.col("r.note")})
     unknown = F.col("severity") == "unknown"
     upgraded = unknown & F.coalesce(F.col("ruled").isin("hard", "soft"), F.lit(False))
     noted = unknown & F.coalesce(F.col("ruled") == "unknown", F.lit(False))
@@ -88,15 +95,19 @@ def residue(findings: DataFrame) -> DataFrame:
 
 
 def ruling_requests(findings: DataFrame, log: DataFrame, schema_columns: DataFrame) -> DataFrame:
-    """Residue with at least two tables that carry the column and are named in the text, and its key."""
+    """Residue with at least two tables that carry the column and are named in the text, and its key.
+
+    Tables meet statements on their words and the column, both by equality, so a
+    column that every table has does not pair every statement with every table.
+    """
     per_table = schema_columns.groupBy("table_name").agg(F.collect_set("column_name").alias("columns"))
     carriers = per_table.select(
         "table_name", "columns", F.explode(F.array_distinct(F.transform("columns", F.lower))).alias("col")
     )
+    carriers = carriers.withColumn("word", text.base_name(F.col("table_name")))
     texts = bind.with_statement_text(residue(findings), log).withColumn("col", F.lower("column"))
-    named = texts.join(carriers, "col").where(
-        F.contains(F.lower("sql"), text.base_name(F.col("table_name")))
-    )
+    words = F.array_distinct(F.regexp_extract_all(F.lower("sql"), F.lit(NAME_LIKE), F.lit(0)))
+    named = texts.withColumn("word", F.explode(words)).join(carriers, ["col", "word"])
     table = F.struct(F.col("table_name").alias("table"), F.col("columns"))
     return (
         named.groupBy("change_id", "query_id", "column", "sql")
@@ -141,6 +152,8 @@ def cached_rulings(requests: DataFrame, changes: DataFrame, cache: DataFrame) ->
     return df.select("change_id", "query_id", ruled.alias("r")).select("change_id", "query_id", "r.*")
 
 
-def adjudicate(findings: DataFrame, adjudicator: Adjudicator = heuristic_rulings) -> DataFrame:
-    """Apply any function from findings to a rulings table."""
+def adjudicate(findings: DataFrame, adjudicator: Adjudicator | None = None) -> DataFrame:
+    """Apply any function from findings to a rulings table; by default the heuristic, row by row."""
+    if adjudicator is None:
+        return _ruled(with_heuristic(findings))
     return apply_rulings(findings, adjudicator(findings).select(*RULING))

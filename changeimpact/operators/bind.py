@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from changeimpact.functions import lexicon, text
 from changeimpact.functions.text import let
 from changeimpact.operators import extract
+from changeimpact.session import cut
 
 STAR_REASON = "SELECT * may hide column references; needs schema expand or human"
 FINDING_COLUMNS = [
     "change_id", "query_id", "sql_snippet", "severity", "column", "evidence", "exec_count",
     "agent_note", "unknown_reason", "unknown_kind",
 ]
+HOT_STATEMENTS = 1_000_000
 PAYLOAD = [
     "dataset", "shape", "n_statements", "column", "col", "subject", "unreadable", "mentions",
     "aliases", "tables", "derived", "unnested", "hits", "stars", "writes",
@@ -84,6 +86,8 @@ def attach_schemas(pairs: DataFrame, tables: DataFrame | None) -> DataFrame:
     ).select("change_id", "sid", "col", "table", payload.alias("payload"))
     keys = [c for c in ("change_id",) if c in tables.columns]
     has_column = F.array_contains("has", F.col("col"))
+    # A pair without candidates gets a key of its own, so such pairs do not share one task.
+    exploded = exploded.withColumn("table", F.coalesce("table", F.hex("sid")))
     return (
         exploded.join(tables, [*keys, "table"], "left")
         .groupBy("change_id", "sid")
@@ -321,10 +325,30 @@ def classify_shapes(
     return classify_facts(facts, changes, schema_columns, use_subject)
 
 
+def join_verdicts(rows: DataFrame, verdicts: DataFrame, hot: int = HOT_STATEMENTS) -> DataFrame:
+    """Join log rows (with ``sid`` and ``query_id``) to per-shape rows that carry ``n_statements``.
+
+    A shape with more than ``hot`` statements is spread over as many tasks as it
+    has times that many statements: its verdict is repeated, its rows are dealt out.
+    The list of such shapes is at most the log's size divided by ``hot``, so it
+    can be broadcast.
+    """
+    spread = F.ceil(F.col("n_statements") / hot).cast("int")
+    shares = verdicts.where(F.col("n_statements") > hot).select("sid", spread.alias("shares")).distinct()
+    dealt = rows.join(F.broadcast(shares), "sid", "left").withColumn(
+        "share", F.pmod(F.xxhash64("query_id"), F.coalesce("shares", F.lit(1))).cast("int")
+    ).drop("shares")
+    repeated = verdicts.withColumn("share", F.explode(F.sequence(F.lit(0), F.greatest(spread, F.lit(1)) - 1)))
+    return dealt.join(repeated.drop("n_statements"), ["sid", "share"]).drop("share")
+
+
 def findings_of(fingerprinted: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Statement-level findings: the verdict of its shape for every logged statement."""
+    """Statement-level findings: the verdict of its shape for every logged statement.
+
+    Pass stored verdicts: they are read twice.
+    """
     ruled = verdicts.select(
-        "sid", "change_id", "column", "severity", "evidence", "unknown_reason", "unknown_kind"
+        "sid", "change_id", "column", "severity", "evidence", "unknown_reason", "unknown_kind", "n_statements"
     )
     exec_count = F.col("exec_count") if "exec_count" in fingerprinted.columns else F.lit(None)
     rows = fingerprinted.select(
@@ -332,7 +356,7 @@ def findings_of(fingerprinted: DataFrame, verdicts: DataFrame) -> DataFrame:
         exec_count.cast("bigint").alias("exec_count"),
     )
     return (
-        rows.join(ruled, "sid")
+        join_verdicts(rows, ruled)
         .withColumn("agent_note", F.lit(None).cast("string"))
         .select(*FINDING_COLUMNS)
     )
@@ -351,12 +375,13 @@ def classify_log(
     verdicts = classify_shapes(
         changes, extract.distinct_shapes(marked), schema_columns, columns, use_subject
     )
-    return findings_of(marked, verdicts)
+    return findings_of(marked, cut(verdicts))
 
 
 def with_statement_text(findings: DataFrame, log: DataFrame) -> DataFrame:
     """Add the full text by id, the snippet where the log has none, and a duplicate-id flag."""
-    by_id = log.groupBy("query_id").agg(
+    asked = log.join(findings.select("query_id").distinct(), "query_id", "left_semi")
+    by_id = asked.groupBy("query_id").agg(
         F.min("sql").alias("sql"), F.count(F.lit(1)).alias("n_texts")
     )
     return (

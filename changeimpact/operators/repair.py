@@ -108,9 +108,10 @@ def build_repairs(
     ids = fingerprinted.groupBy("dataset", "query_id").agg(F.count(F.lit(1)).alias("n"))
     twice = ids.where(F.col("n") > 1).select("dataset", "query_id", F.lit(True).alias("twice"))
     # A duplicated id is refused by its finding, so its findings stay apart.
-    rows = fingerprinted.select("sid", "dataset", "query_id", "sql").join(
+    marked = fingerprinted.select("sid", "dataset", "query_id", "sql").join(
         twice, ["dataset", "query_id"], "left"
-    ).join(decisions.drop("n_statements", "new_shape"), "sid")
+    )
+    rows = bind.join_verdicts(marked, decisions.drop("new_shape"))
     duplicate = F.coalesce("twice", F.lit(False))
     patched = (F.col("action") == "patch") & ~duplicate
     sql, query_id = F.col("sql"), F.col("query_id")

@@ -20,7 +20,7 @@ class Rehearsal:
     schema_columns: DataFrame | None
     columns: list[str] | None = None
     dependents: DataFrame | None = None
-    adjudicator: adjudicate.Adjudicator | None = None
+    adjudicator: adjudicate.Adjudicator | None = None  # None: no rulings
     dialect: str = "snowflake"
     use_subject: bool = True
     facts: DataFrame | None = None

@@ -137,3 +137,21 @@ def test_duplicate_ids_are_flagged_with_text(spark, found):
     got = {r["query_id"]: r for r in bind.with_statement_text(found, log).collect()}
     assert got["q1"]["sql"] == "S1" and not got["q1"]["duplicate_id"]
     assert got["q2"]["duplicate_id"] and got["q4"]["sql"] == "SELECT q4"
+
+
+def test_hot_shapes_are_spread_and_stay_whole(spark):
+    rows = spark.range(1000).select(
+        F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 90).cast("string"))).alias("sid"),
+        F.concat(F.lit("q"), F.col("id").cast("string")).alias("query_id"))
+    verdicts = rows.groupBy("sid").agg(F.count("*").alias("n_statements")).withColumn("change_id", F.lit("c"))
+    verdicts = verdicts.unionByName(verdicts.withColumn("change_id", F.lit("d")))
+    got = bind.join_verdicts(rows, verdicts, hot=50)
+    assert got.count() == 2000 and got.distinct().count() == 2000
+    assert sorted(got.columns) == ["change_id", "query_id", "sid"]
+
+
+def test_rulings_do_not_multiply_repeated_ids(spark):
+    rows = literal_rows(spark, SCHEMA, [finding("a", "same", "unknown", e) for e in ("WHERE", "SELECT", "STAR")])
+    assert {(r["evidence"], r["severity"]) for r in adjudicate.adjudicate(rows).collect()} == {
+        ("WHERE", "hard"), ("SELECT", "soft"), ("STAR", "unknown")}
+    assert adjudicate.adjudicate(rows, adjudicate.heuristic_rulings).count() == 3
