@@ -24,14 +24,18 @@ def fingerprint_log(log: DataFrame, dialect: str = "snowflake") -> DataFrame:
     """Add the shape id of every statement; store it to skip this step in later runs."""
     if "sid" in log.columns:
         return log
-    return log.withColumn("shape", text.statement_shape(F.col("sql"), dialect)).withColumn(
-        "sid", shape_id()
-    )
+
+    def marked(shape: Column) -> Column:
+        return F.struct(shape.alias("shape"), shape_id(F.col("dataset"), shape).alias("sid"))
+
+    shape = text.statement_shape(F.col("sql"), dialect)
+    # inline() keeps null checks on the join key from repeating the masking.
+    return log.select("*", F.inline(F.array(let(shape, marked))))
 
 
-def shape_id() -> Column:
+def shape_id(dataset: Column, shape: Column) -> Column:
     """128 bits of a SHA-256 of dataset and shape, as binary: short to sort and shuffle by."""
-    digest = F.sha2(F.concat_ws("\x1f", F.coalesce("dataset", F.lit("")), "shape"), 256)
+    digest = F.sha2(F.concat_ws("\x1f", F.coalesce(dataset, F.lit("")), shape), 256)
     return F.substring(F.unhex(digest), 1, 16)
 
 
@@ -44,7 +48,7 @@ def distinct_shapes(fingerprinted: DataFrame) -> DataFrame:
     return (
         fingerprinted.groupBy("dataset", "shape")
         .agg(F.count(F.lit(1)).alias("n_statements"))
-        .withColumn("sid", shape_id())
+        .withColumn("sid", shape_id(F.col("dataset"), F.col("shape")))
     )
 
 

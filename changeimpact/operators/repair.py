@@ -47,7 +47,7 @@ def _reclassify(
     ).groupBy("dataset", "shape").agg(F.count(F.lit(1)).alias("n_statements"))
     own = bind.prepare_changes(changes).withColumn("dataset", F.col("change_id"))
     verdicts = bind.classify_shapes(
-        own, shapes.withColumn("sid", extract.shape_id()), schema_columns, names
+        own, shapes.withColumn("sid", extract.shape_id(F.col("dataset"), F.col("shape"))), schema_columns, names
     )
     return verdicts.select(
         "change_id", F.col("shape").alias("new_shape"),
