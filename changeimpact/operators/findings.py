@@ -22,9 +22,9 @@ def _count_if(df: DataFrame, condition: Column) -> Column:
     return F.coalesce(F.sum(F.when(condition, weight(df))), F.lit(0)).cast("bigint")
 
 
-def statement_totals(shapes: DataFrame) -> DataFrame:
-    """Statements logged per dataset."""
-    return shapes.groupBy("dataset").agg(F.sum("n_statements").alias("n_queries"))
+def statement_totals(log: DataFrame) -> DataFrame:
+    """Statements logged per dataset, from the log itself (one narrow column) or from shapes."""
+    return log.groupBy("dataset").agg(F.sum(weight(log)).alias("n_queries"))
 
 
 def severity_counts(found: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ class Rehearsal:
     @cached_property
     def summary(self) -> DataFrame:
         lineage = None if self.dependents is None else catalog.lineage_counts(self.dependents)
-        totals = findings.statement_totals(self.shapes)
+        totals = findings.statement_totals(self.log)
         return findings.forecast_summary(self.changes, totals, self.counted, lineage)
 
     def gate(self, fail_on: str = "hard,unknown") -> DataFrame:
