@@ -541,6 +541,14 @@ def adjudicator_lift(spark, sf_dir):
     return quality.adjudicator_lift(gold, binder, ruled)
 
 
+@register("bound_cases", _RULED + """
+SELECT r.run, r.query_id, r.predicted, c1.gold FROM runs r JOIN c1 ON r.query_id = c1.query_id
+WHERE run IN ('heuristic', 'cached') AND binder = 'unknown' AND r.predicted <> 'unknown'""")
+def bound_cases(spark, sf_dir):
+    gold, predictions, binder = _runs_of(spark, sf_dir)
+    return quality.bound_cases(gold, binder, predictions.where(F.col("run").isin("heuristic", "cached")))
+
+
 @register("quality_labels", """
 SELECT 'length' AS run, count(*) AS n_cases, round(count(*) FILTER ((quality = 1) = (n_chars >= 400)) / count(*), 6) AS accuracy
 FROM labels l JOIN documents d ON l.doc_id = d.doc_id""")
@@ -775,6 +783,11 @@ def notify_targets(spark, sf_dir):
     return _targets(spark, sf_dir).withColumn("owners", F.array_join("owners", ","))
 
 
+@register("owners_per_dataset", _TARGETS + "SELECT urn, array_to_string(owners, ',') AS owners FROM targets WHERE len(owners) > 0")
+def owners_per_dataset(spark, sf_dir):
+    return catalog.owners_of(nation_owners(spark, sf_dir)).withColumn("owners", F.array_join("owners", ","))
+
+
 @register("notify_lines", _TARGETS + """
 , o AS (SELECT *, len(owners) > 0 AS owned, max(CASE WHEN len(owners) > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY change_id) = 1 AS has_owner,
     CASE role WHEN 'subject' THEN 0 ELSE 1 END AS place FROM targets),
@@ -790,6 +803,15 @@ def notify_lines(spark, sf_dir):
     return report.notify_lines(_targets(spark, sf_dir))
 
 
+@register("schema_after_change", """
+SELECT DISTINCT 't' || CAST(s_nationkey AS VARCHAR) AS table_name, CASE WHEN s_suppkey % 4 = 1 THEN 'renamed' ELSE 'COL' || CAST(s_suppkey % 4 AS VARCHAR) END AS column_name FROM supplier""")
+def schema_after_change(spark, sf_dir):
+    schema = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("t"), F.col("s_nationkey").cast("string")).alias("table_name"),
+        F.concat(F.lit("COL"), (F.col("s_suppkey") % 4).cast("string")).alias("column_name")).distinct()
+    return repair.schema_after(schema, "col1", "renamed")
+
+
 @register("pull_log", """
 SELECT 'ds' || CAST(o_custkey % 1000 AS VARCHAR) AS dataset, CASE WHEN o_orderkey % 3 <> 0 THEN 'name' || CAST(o_orderkey AS VARCHAR)
   WHEN o_orderkey % 2 = 0 THEN 'urn' || CAST(o_orderkey AS VARCHAR) ELSE 'query' END AS query_id, o_orderpriority AS sql FROM orders WHERE o_orderstatus <> 'F'""")
@@ -932,6 +954,12 @@ def write_payload(spark, sf_dir):
     return report.write_payload(run.changes, run.summary, curated)
 
 
+@register("finding_projection", BASE + """
+SELECT change_id, query_id, severity, evidence, sql_snippet, unknown_reason, unknown_kind, severity = 'unaffected' AS cleared FROM f""")
+def finding_projection(spark, sf_dir):
+    return report.project_findings(rehearsal(spark, sf_dir).stored_findings).drop("agent_note")
+
+
 @register("explain_findings", BASE + """
 , asked AS (SELECT query_id, change_id FROM log CROSS JOIN (VALUES ('c1')) t(change_id))
 SELECT a.change_id, a.query_id, severity, evidence, sql_snippet, unknown_reason, unknown_kind, CASE WHEN severity IS NOT NULL THEN severity = 'unaffected' END AS cleared,
