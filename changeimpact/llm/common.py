@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +60,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@functools.cache
+def _shipped(application: str) -> str:
+    package = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="changeimpact-code-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    return str(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's code to the executors, once a session, for the functions that run in Arrow batches."""
+    spark.sparkContext.addPyFile(_shipped(spark.sparkContext.applicationId))
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns of these names, whatever their case: an operator's own columns replace them."""
     lower = {n.lower() for n in names}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeimpact.llm import decontaminate, quality_rules, sharding
+from changeimpact.llm import decontaminate, neardup, pii, quality_rules, sentencepiece_codec, sharding
 from changeimpact.llm.common import table
 
 
@@ -18,6 +18,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = neardup.near_duplicates(docs, shingle=2, percent=80)
+    return judged.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     measured = quality_rules.measures(docs).drop("text")
@@ -30,9 +36,34 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shuffled(docs).select("doc_id", *sharding.RESULT)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [
+        F.size(F.filter("base_spans", of)).cast("long").alias(f"n_{kind}")
+        for kind, of in ((k, (lambda i: lambda s: s.kind == i)(i)) for i, k in enumerate(pii.KINDS))
+    ]
+    base = F.sha2(pii.written(F.col("base_spans")), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, pii.written(F.concat("base_spans", "added_spans")).alias("spans"))
+
+
+def vocabulary() -> str:
+    """Place of the vocabulary file; it is not part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_codec.digests(sentencepiece_codec.encode(docs, vocabulary()))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_minhash": op2_minhash,
     "op6_quality_rules": op6_quality_rules,
     "op7_sharding": op7_sharding,
+    "op8_pii": op8_pii,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLES: dict[str, str] = {}
