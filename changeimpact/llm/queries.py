@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeimpact.llm import decontaminate, neardup, pii, quality_rules, sentencepiece_codec, sharding
+from changeimpact.llm import decontaminate, html_text, neardup, pii, quality_rules, sentencepiece_codec, sharding
 from changeimpact.llm.common import table
 
 
@@ -24,6 +24,11 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     measured = quality_rules.measures(docs).drop("text")
@@ -61,6 +66,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_minhash": op2_minhash,
+    "op3_html": op3_html,
     "op6_quality_rules": op6_quality_rules,
     "op7_sharding": op7_sharding,
     "op8_pii": op8_pii,
