@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeimpact.llm import decontaminate, html_text, neardup, pii, quality_rules, sentencepiece_codec, sharding
-from changeimpact.llm.common import table
+from changeimpact.llm import (
+    chat, decontaminate, html_text, neardup, pii, quality_rules, sentencepiece_codec, sharding, substrings, warc,
+)
+from changeimpact.llm.common import shared_folder, table
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +33,17 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    return warc.read(spark, path)
+
+
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     measured = quality_rules.measures(docs).drop("text")
@@ -51,6 +66,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, base, pii.written(F.concat("base_spans", "added_spans")).alias("spans"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.conversations(table(spark, sf_dir, "conversations"))
+
+
 def vocabulary() -> str:
     """Place of the vocabulary file; it is not part of this repository."""
     import public_tokenizers
@@ -67,9 +86,12 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_minhash": op2_minhash,
     "op3_html": op3_html,
+    "op4_warc": op4_warc,
+    "op5_substrings": op5_substrings,
     "op6_quality_rules": op6_quality_rules,
     "op7_sharding": op7_sharding,
     "op8_pii": op8_pii,
+    "op9_chat": op9_chat,
     "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLES: dict[str, str] = {}
