@@ -20,6 +20,22 @@ SOME SORT START STRAIGHT_JOIN TABLE TABLESAMPLE THEN TO TRUE TRUNCATE UNBOUNDED
 UNPIVOT UPDATE USING VALUES VIEW WHEN WHERE WINDOW WITH WITHIN XOR
 """.split()
 
+# Of these, words that name a column where they stand as an operand, as most dialects allow.
+MAY_NAME = """
+ANTI ASOF AT BEFORE CLUSTER COLUMN CONNECT CUBE CURRENT DESCRIBE DIV ESCAPE EXCLUDE EXPLAIN FETCH FILTER FOLLOWING GLOB
+GROUPING IF IGNORE INTERVAL ISNULL MATCHED MATERIALIZED MINUS NOTNULL NULLS OFFSET OVER OVERLAPS OVERWRITE PARTITION PIVOT
+PRECEDING RANGE RECURSIVE REGEXP RENAME REPLACE RESPECT RETURNING RLIKE ROLLUP ROWS SEMI SETS SIMILAR SOME SORT START
+TABLE TABLESAMPLE TO TRUNCATE UNBOUNDED UNNEST UNPIVOT VALUES VIEW WINDOW WITHIN XOR
+""".split()
+BEFORE_OPERAND = """
+SELECT DISTINCT , ( WHERE AND OR NOT ON BY HAVING QUALIFY WHEN THEN ELSE CASE SET LIKE ILIKE BETWEEN IN
+= <> != < > <= >= + - * / % ||
+""".split()
+AFTER_OPERAND = """
+, ) = <> != < > <= >= + - * / % || :: IS IN LIKE ILIKE BETWEEN NOT AND OR FROM AS ASC DESC THEN ELSE END WHEN GROUP ORDER HAVING
+QUALIFY LIMIT UNION EXCEPT INTERSECT
+""".split() + [""]
+
 # Words a statement may begin with; anything else is taken as unreadable.
 STATEMENT_STARTS = """
 ALTER ANALYZE BEGIN CALL COMMENT COMMIT COPY CREATE DECLARE DELETE DESC DESCRIBE DROP EXECUTE

@@ -131,26 +131,18 @@ def cache_key(sql: Column, column: Column, tables: Column) -> Column:
     return F.sha2(F.to_json(request), 256)
 
 
-def unknown_bucket(reason: Column, evidence: Column) -> Column:
-    """Coarse cause of an UNKNOWN; the first rule that fits wins."""
-    text = F.lower(F.coalesce(reason, F.lit("")))
-
-    def mentions(*phrases: str) -> Column:
-        found = F.lit(False)
-        for phrase in phrases:
-            found = found | F.contains(text, F.lit(phrase))
-        return found
-
-    return (
-        F.when(mentions("parse failed", "sqlglot"), "unparseable")
-        .when(mentions("select *") | evidence.isin("SELECT_STAR", "STAR"), "star")
-        .when(
-            mentions("couldn't resolve qualifier", "couldn't resolve table"),
-            "unresolvable_qualifier",
-        )
-        .when(mentions("ambiguous", "2 tables", "needs human", "unqualified"), "unresolvable")
-        .otherwise("other_unknown")
-    )
+#: Coarse cause of each kind of UNKNOWN.
+BUCKETS = {
+    "parse": "unparseable", "star": "star", "ambiguous_bare": "unresolvable", "unbound": "unresolvable",
+    "unresolvable_qualifier": "unresolvable_qualifier", "unresolved_table": "unresolvable_qualifier",
+    "unexplained": "unexplained",
+}
+
+
+def unknown_bucket(kind: Column) -> Column:
+    """Coarse cause of an UNKNOWN by its kind; kinds without a bucket are other_unknown."""
+    named = F.create_map(*[F.lit(x) for pair in BUCKETS.items() for x in pair])
+    return F.coalesce(F.element_at(named, F.coalesce(kind, F.lit(""))), F.lit("other_unknown"))
 
 
 def report_change_text(kind: Column, column: Column, new_column: Column) -> Column:

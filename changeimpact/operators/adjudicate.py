@@ -87,11 +87,7 @@ def _ruled(joined: DataFrame) -> DataFrame:
 
 def residue(findings: DataFrame) -> DataFrame:
     """UNKNOWN findings where a bare column fits several tables."""
-    return findings.where(
-        predicates.is_residue(
-            F.col("severity"), F.col("unknown_kind"), F.col("unknown_reason"), F.col("evidence")
-        )
-    )
+    return findings.where(predicates.is_residue(F.col("severity"), F.col("unknown_kind")))
 
 
 def ruling_requests(findings: DataFrame, log: DataFrame, schema_columns: DataFrame) -> DataFrame:
@@ -137,12 +133,12 @@ def cached_rulings(requests: DataFrame, changes: DataFrame, cache: DataFrame) ->
     def ruling(severity: str, words) -> Column:
         return F.struct(F.lit(severity).alias("severity"), words.alias("note"))
 
-    elsewhere = F.concat(F.lit("ruled elsewhere ("), "binds_to", F.lit("); leave UNKNOWN — "), note)
+    elsewhere = F.concat(F.lit("a ruling for "), "binds_to", F.lit(", not the subject: "), note)
     cleared = F.concat(
-        F.lit("ruled unaffected/"), F.coalesce("binds_to", F.lit("None")), F.lit("; leaving UNKNOWN — "), note
+        F.lit("a ruling of no effect, bound to "), F.coalesce("binds_to", F.lit("nothing")), F.lit(": "), note
     )
     ruled = (
-        F.when(F.col("found").isNull(), ruling("unknown", F.lit("ruling cache miss; leave UNKNOWN")))
+        F.when(F.col("found").isNull(), ruling("unknown", F.lit("no cached ruling")))
         .when(F.col("said").isin("hard", "soft") & strays, ruling("unknown", elsewhere))
         .when(F.col("said") == "hard", ruling("hard", note))
         .when(F.col("said") == "soft", ruling("soft", note))

@@ -14,7 +14,7 @@ from changeimpact.functions.text import let
 from changeimpact.operators import extract
 from changeimpact.session import cut
 
-STAR_REASON = "SELECT * may hide column references; needs schema expand or human"
+STAR_REASON = "a star over the subject may stand for the column"
 FINDING_COLUMNS = [
     "change_id", "query_id", "sql_snippet", "severity", "column", "evidence", "exec_count",
     "agent_note", "unknown_reason", "unknown_kind",
@@ -22,8 +22,10 @@ FINDING_COLUMNS = [
 HOT_STATEMENTS = 1_000_000
 PAYLOAD = [
     "dataset", "shape", "n_statements", "column", "col", "subject", "unreadable", "mentions",
-    "aliases", "tables", "derived", "unnested", "hits", "stars", "writes",
+    "aliases", "tables", "derived", "unnested", "hits", "strays", "stars", "writes", "text_sid",
 ]
+# What stands first rules a text of several statements.
+TIERS = ["unknown", "hard", "soft", "unaffected"]
 
 
 def prepare_changes(changes: DataFrame, use_subject: bool = True) -> DataFrame:
@@ -66,10 +68,10 @@ def pair_with_changes(facts: DataFrame, changes: DataFrame) -> DataFrame:
     wanted = changes.select("change_id", "dataset", "column", "col", "subject")
     paired = facts.join(wanted, "dataset").withColumn(
         "hits", F.filter("refs", lambda r: r["name"] == F.col("col"))
-    )
+    ).withColumn("strays", F.filter("strays", lambda r: r["name"] == F.col("col")))
     written = F.exists("writes", lambda w: w["name"] == F.col("col"))
     return paired.where(
-        (F.size("hits") > 0) | (F.size("stars") > 0) | written | F.col("unreadable").isNotNull()
+        (F.size("hits") > 0) | (F.size("strays") > 0) | (F.size("stars") > 0) | written | F.col("unreadable").isNotNull()
     )
 
 
@@ -141,12 +143,11 @@ def _decide(ref: Column, scope: Column, has_schema: bool) -> Column:
 
     def crowded(n: Column) -> Column:
         return F.concat(
-            F.lit("unqualified `"), F.col("column"), F.lit("` with "), n.cast("string"),
-            F.lit(" tables in scope; needs human/agent"),
+            tick, F.col("column"), F.lit("` without a qualifier fits "), n.cast("string"), F.lit(" tables in scope"),
         )
 
     def unresolved(name: Column) -> Column:
-        return F.concat(F.lit("couldn't resolve qualifier "), tick, name, tick, F.lit(" — not guessing"))
+        return F.concat(F.lit("qualifier "), tick, name, F.lit("` leads to no known table"))
 
     def without_subject(candidates: Column) -> Column:
         def stuck(name: Column) -> Column:
@@ -171,9 +172,7 @@ def _decide(ref: Column, scope: Column, has_schema: bool) -> Column:
         else:
             narrowed = F.array_intersect(candidates, F.col("carrying"))
             missing = F.array_sort(F.array_except(candidates, F.col("known")))
-        listed = F.concat(
-            F.lit("couldn't resolve table "), F.array_join(missing, ", "), F.lit(" — not guessing")
-        )
+        listed = F.concat(F.lit("no schema for "), F.array_join(missing, ", "))
         mine = F.array_contains(narrowed, subject)
         return (
             F.when(F.size(missing) > 0, _outcome(ref, "unknown", "unresolved_table", listed))
@@ -193,8 +192,8 @@ def _decide(ref: Column, scope: Column, has_schema: bool) -> Column:
             .otherwise(among_several(candidates))
         )
 
-    shadowed = F.concat(F.lit("alias "), tick, qual, tick, F.lit(" is reused across scopes — not guessing"))
-    unbound = F.concat(F.lit("unqualified `"), F.col("column"), F.lit("` could not be bound; needs human/agent"))
+    shadowed = F.concat(F.lit("alias "), tick, qual, F.lit("` names different tables in different scopes"))
+    unbound = F.concat(tick, F.col("column"), F.lit("` has no table in scope to belong to"))
     candidates = F.when(qual.isNull(), F.when(F.size(scope) > 0, scope)).otherwise(
         F.coalesce(_alias(qual)["tables"], F.array(qual))
     )
@@ -244,6 +243,7 @@ def collapse_verdicts(bound: DataFrame) -> DataFrame:
     df = bound.withColumns(
         {
             "bad": F.get(in_state("unknown"), F.lit(0)),
+            "stray": F.get("strays", F.lit(0)),
             "bound": in_state("bound"),
             "using": F.size(in_state("using")) > 0,
             "elsewhere": F.array_sort(
@@ -269,6 +269,7 @@ def collapse_verdicts(bound: DataFrame) -> DataFrame:
             of(kind).alias("unknown_kind"), of(reason).alias("unknown_reason"),
         )
 
+    stray_reason = F.concat(F.lit("`"), F.col("column"), F.lit("` stands where its use cannot be read"))
     parse_reason = F.concat(F.lit("parse failed: "), F.col("unreadable"))
     cleared = F.concat(F.lit(text.CLEARED_PREFIX), F.array_join("elsewhere", ","))
     ruled = (
@@ -277,6 +278,7 @@ def collapse_verdicts(bound: DataFrame) -> DataFrame:
             F.col("bad").isNotNull(),
             verdict("unknown", F.col("bad.clause"), F.col("bad.kind"), F.col("bad.reason")),
         )
+        .when(F.col("stray").isNotNull(), verdict("unknown", F.col("stray.clause"), "unexplained", stray_reason))
         .when(nothing & F.col("written"), verdict("hard", "INSERT"))
         .when(nothing & F.col("using"), verdict("hard", "JOIN"))
         .when(nothing & F.col("star"), verdict("unknown", "STAR", "star", STAR_REASON))
@@ -288,11 +290,30 @@ def collapse_verdicts(bound: DataFrame) -> DataFrame:
     pieces = F.transform("bound", lambda o: o["piece_no"].cast("int"))
     # inline() keeps later filters from being rewritten into copies of the rule chain.
     return df.select(
-        "change_id", "sid", "dataset", "shape", "n_statements", "column",
+        "change_id", "sid", "text_sid", "dataset", "shape", "n_statements", "column",
         pieces.alias("piece_numbers"), "tables", F.inline(F.array(ruled)),
     )
 
 
+def fold_statements(verdicts: DataFrame) -> DataFrame:
+    """One verdict per (change, text): an UNKNOWN statement rules its text, then a HARD one, then a SOFT one.
+
+    Bound names of all its statements are kept for a rewrite.
+    """
+    tier = F.array_position(F.array(*[F.lit(t) for t in TIERS]), F.col("severity"))
+    ruling = ["severity", "evidence", "unknown_kind", "unknown_reason"]
+    folded = verdicts.groupBy("change_id", "text_sid").agg(
+        F.min(F.struct(tier.alias("tier"), F.length("sid").alias("part"), F.col("sid").alias("own"), *ruling)).alias("_x"),
+        *[F.first(c).alias(c) for c in ("dataset", "shape", "n_statements", "column")],
+        F.sort_array(F.flatten(F.collect_list("piece_numbers"))).alias("piece_numbers"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("tables")))).alias("tables"),
+    )
+    return folded.select(
+        "change_id", F.col("text_sid").alias("sid"), "dataset", "shape", "n_statements", "column", "piece_numbers", "tables",
+        *[F.col(f"_x.{c}").alias(c) for c in ruling],
+    )
+
+
 def kept(severity: Column, evidence: Column) -> Column:
     """A finding is listed unless there is no reference at all; that case is only counted."""
     return (severity != "unaffected") | text.is_cleared(evidence)
@@ -309,7 +330,7 @@ def classify_facts(
     tables = None if schema_columns is None else schema_tables(schema_columns, changes)
     pairs = attach_schemas(pair_with_changes(facts, prepared), tables)
     verdicts = collapse_verdicts(bind_references(pairs, schema_columns is not None))
-    return verdicts.where(kept(F.col("severity"), F.col("evidence")))
+    return fold_statements(verdicts.where(kept(F.col("severity"), F.col("evidence"))))
 
 
 def classify_shapes(

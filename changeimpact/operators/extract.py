@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from changeimpact.functions import lexicon, text
 from changeimpact.functions.text import let
 
+WORD_START = r'^[\p{L}_"`]'
 NO_PAREN = -1
 NO_END = 2147483647
 PREFILTER_LIMIT = 200
@@ -94,19 +95,52 @@ def _escaped(words: list[str]) -> list[str]:
     return [w if w.isalpha() else "".join("\\" + c for c in w) for w in words]
 
 
+def _pieces(token: Column) -> Column:
+    """Number of the names that a dotted name or word holds."""
+    return F.when(F.rlike(token, F.lit(WORD_START)), F.regexp_count(token, F.lit(lexicon.PIECE))).otherwise(0)
+
+
+def _statements(tokens: Column) -> Column:
+    """The statements of a text, cut at its semicolons: (at, tokens, pieces before). Empty ones are
+    left out; a text of none but empty ones is one empty statement."""
+    marks = F.filter(F.transform(tokens, lambda t, i: F.when(t == ";", i)), lambda i: i.isNotNull())
+    bounds = F.concat(F.array(F.lit(-1)), marks, F.array(F.size(tokens)))
+
+    def cut_at(bounds: Column) -> Column:
+        def part(k: Column) -> Column:
+            start = F.get(bounds, k) + 1
+            before = F.aggregate(F.slice(tokens, F.lit(1), start), F.lit(0), lambda n, t: n + _pieces(t))
+            return F.struct(
+                k.cast("int").alias("at"), F.slice(tokens, start + 1, F.get(bounds, k + 1) - start).alias("tokens"),
+                before.alias("before"),
+            )
+
+        return F.transform(F.sequence(F.lit(0), F.size(bounds) - 2), part)
+
+    whole = F.array(F.struct(F.lit(0).alias("at"), tokens.alias("tokens"), F.lit(0).alias("before")))
+    filled = F.filter(let(bounds, cut_at), lambda p: F.size(p["tokens"]) > 0)
+    several = let(filled, lambda parts: F.when(F.size(parts) > 0, parts).otherwise(F.slice(whole, 1, 1)))
+    return F.when(F.array_contains(tokens, ";"), several).otherwise(whole)
+
+
 def read_tokens(shapes: DataFrame) -> DataFrame:
-    """Add the token array of the first statement in the text, and why it is unreadable."""
+    """One row per statement of each text, with its tokens and why it is unreadable.
 
-    def first_statement(tokens: Column) -> Column:
-        stop = F.array_position(tokens, ";").cast("int")
-        return F.when(stop > 0, F.slice(tokens, F.lit(1), stop - 1)).otherwise(tokens)
+    ``text_sid`` is the id of the text; the statements of a text have ids of their own in ``sid``.
+    """
 
-    def read(tokens: Column) -> Column:
-        return F.struct(tokens.alias("tokens"), unreadable_reason(tokens).alias("unreadable"))
+    def read(part: Column) -> Column:
+        return F.struct(
+            part["at"].alias("part"), part["before"].alias("pieces_before"), part["tokens"].alias("tokens"),
+            unreadable_reason(part["tokens"]).alias("unreadable"),
+        )
 
-    tokens = let(text.shape_tokens(F.col("shape")), first_statement)
+    parts = let(text.shape_tokens(F.col("shape")), lambda tokens: F.transform(_statements(tokens), read))
     # inline() keeps later filters from being rewritten into a second copy of this work.
-    return shapes.select("*", F.inline(F.array(let(tokens, read))))
+    own = F.when(F.col("part") == 0, F.col("sid")).otherwise(
+        F.concat("sid", F.unhex(F.lpad(F.hex("part"), 8, "0")))
+    )
+    return shapes.select("*", F.inline(parts)).withColumns({"text_sid": F.col("sid"), "sid": own})
 
 
 def may_matter(columns: list[str] | None) -> Column:
@@ -158,20 +192,27 @@ def lexemes(shapes: DataFrame) -> DataFrame:
     width = int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     run = W.partitionBy("sid").orderBy("pos")
     readable = F.when(F.col("unreadable").isNull(), F.col("tokens"))
-    head = F.struct("dataset", "shape", "n_statements", "unreadable")
+    head = F.struct("dataset", "shape", "n_statements", "unreadable", "text_sid")
     rows = shapes.repartition(width, "sid").select(
-        "sid", head.alias("head"), F.posexplode_outer(readable).alias("pos", "tok")
+        "sid", head.alias("head"), "pieces_before", F.posexplode_outer(readable).alias("pos", "tok")
     )
     # The statement's own columns stay on its first row, so the windows move narrow rows.
     rows = rows.withColumn("head", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("head")))
     plain = F.regexp_replace(
         F.translate(F.regexp_replace("tok", r"\s*\.\s*", "."), '"`', ""), r"\.\*$", ""
     )
-    word = F.rlike("tok", F.lit(r'^[\p{L}_"`]'))
+    word = F.rlike("tok", F.lit(WORD_START))
     star = F.rlike("tok", F.lit(r"\.\s*\*$"))
     parts = F.split(F.lower(plain), r"\.")
     upper = F.upper("tok")
-    ident = word & ~upper.isin(lexicon.RESERVED) & ~star
+    rows = rows.withColumns({"_before": F.lag(upper, 1).over(run), "_after": F.lead(upper, 1).over(run)})
+    # Some words of the language may name a column: where only an operand can stand, they do.
+    frame = (F.col("_before") == "(") & (F.col("_after") == "BETWEEN")
+    operand = (
+        upper.isin(lexicon.MAY_NAME) & F.col("_before").isin(lexicon.BEFORE_OPERAND)
+        & F.coalesce(F.col("_after"), F.lit("")).isin(lexicon.AFTER_OPERAND) & ~frame
+    )
+    ident = word & (~upper.isin(lexicon.RESERVED) | _yes(operand)) & ~star
     rows = rows.withColumns(
         {
             # Only words of the language and operators are compared later on.
@@ -179,9 +220,9 @@ def lexemes(shapes: DataFrame) -> DataFrame:
             "parts": F.when(word, parts),
             "star": star,
             "ident": ident,
-            "pieces": F.when(word, F.regexp_count("tok", F.lit(lexicon.PIECE))).otherwise(0),
+            "pieces": _pieces(F.col("tok")),
         }
-    )
+    ).drop("_before", "_after")
     rows = rows.withColumns(
         {
             "name": F.when(F.col("ident"), F.get("parts", F.size("parts") - 1)),
@@ -194,7 +235,7 @@ def lexemes(shapes: DataFrame) -> DataFrame:
 
     rows = rows.drop("parts", "tok").withColumns(
         {
-            "piece_no": F.sum("pieces").over(run),
+            "piece_no": F.sum("pieces").over(run) + F.col("pieces_before"),
             "p1": near("up", 1),
             "p2": near("up", 2),
             "n1": near("up", -1),
@@ -202,11 +243,13 @@ def lexemes(shapes: DataFrame) -> DataFrame:
             "_n1_name": F.lead("name", 1).over(run),
             "_n2_name": F.lead("name", 2).over(run),
             "p1_ident": _yes(F.lag("ident", 1).over(run)),
+            "n1_ident": _yes(F.lead("ident", 1).over(run)),
+            "p2_ident": _yes(F.lag("ident", 2).over(run)),
         }
     )
     # The alias a table mention would have here.
     alias = F.when(F.col("n1") == "AS", F.col("_n2_name")).otherwise(F.col("_n1_name"))
-    return rows.withColumn("alias", alias).drop("_n1_name", "_n2_name", "pieces")
+    return rows.withColumn("alias", alias).drop("_n1_name", "_n2_name", "pieces", "pieces_before")
 
 
 def parentheses(tokens: DataFrame) -> DataFrame:
@@ -384,7 +427,7 @@ def roles(tokens: DataFrame) -> DataFrame:
         | ((p1 == ")") & ~last_call.isin("ON", "TOP"))
     )
     in_list = (F.col("paren") != NO_PAREN) & (F.col("list_of").isNotNull() | F.col("unnest_list"))
-    return df.withColumns(
+    df = df.withColumns(
         {
             "in_list": in_list,
             "is_ref": ident
@@ -396,8 +439,22 @@ def roles(tokens: DataFrame) -> DataFrame:
             & ~p1.isin("AS", "::", ":", "@", "->"),
         }
     )
+    # A name after an operand is an alias where an alias may stand: at the end of an item of a select list
+    # or after a table. Elsewhere nothing explains it.
+    second = F.col("p2_ident") | p2.isin("''", "END", "]", ")") | F.rlike(p2, F.lit("^[0-9]"))
+    item_end = n1.isin(ITEM_ENDS) & ~F.col("n1_ident") & ~(F.col("p1_ident") & second)
+    after_table = F.col("raw_clause").isin("FROM", "JOIN", "INTO", "WITH") | F.col("raw_clause").isNull()
+    is_alias = F.when(F.col("raw_clause") == "SELECT", item_end).otherwise(after_table)
+    explained = (
+        F.col("is_ref") | F.col("is_mention") | F.col("is_cte_name") | in_list
+        | n1.isin("(", "=>") | p1.isin("AS", "::", ":", "@", "->")
+        | F.col("is_derived_alias") | F.col("is_unnest_alias") | _yes(is_alias)
+    )
+    return df.withColumn("is_stray", ident & ~explained)
 
 
+# What may follow an item of a select list; an empty text is the end of the statement.
+ITEM_ENDS = ["", ",", ")", "FROM", "INTO", "WHERE", "UNION", "EXCEPT", "INTERSECT", "MINUS", "LIMIT", "ORDER", "GROUP", "QUALIFY"]
 # Words that open or bound a clause; names after NAMING may be tables, aliases or CTE names.
 STRUCTURE = """
 ( ) , * .* SELECT WITH RECURSIVE FROM JOIN PIVOT UNPIVOT ON WHERE HAVING QUALIFY GROUP ORDER CLUSTER
@@ -462,6 +519,7 @@ def statement_facts(
         _collected(F.col("is_ref") & wanted, pos, F.col("name"), F.col("qual"), F.col("clause"),
                    *scope, F.col("piece_no"), _yes((F.col("call") == "USING") & F.col("sel").isNotNull()).alias("using"),
                    ).alias("refs"),
+        _collected(F.col("is_stray") & wanted, pos, F.col("name"), F.col("clause")).alias("strays"),
         _collected(star, pos, *scope).alias("stars"),
         F.collect_set(
             F.when(F.col("ident") & F.col("in_list") & F.col("list_of").isNotNull() & wanted,
@@ -550,16 +608,20 @@ def physical_tables(log: DataFrame, dialect: str = "snowflake") -> DataFrame:
     """Distinct base tables of each statement; an unreadable statement has none."""
     marked = fingerprint_log(log, dialect)
     facts = expand_ctes(statement_facts(distinct_shapes(marked), [], every_shape=True))
-    tables = facts.select("sid", F.explode("tables").alias("table_name"))
+    tables = facts.select(F.col("text_sid").alias("sid"), F.explode("tables").alias("table_name")).distinct()
     return marked.select("query_id", "sid").join(tables, "sid").select("query_id", "table_name")
 
 
 def regex_tables(log: DataFrame) -> DataFrame:
-    """Rough table mentions: whatever follows FROM or JOIN, one row per statement and name."""
-    pattern = r"(?i)(?:FROM|JOIN)\s+`?([a-zA-Z0-9_\-]+(?:\.[a-zA-Z0-9_\-]+){0,2})`?"
-    found = F.explode(F.regexp_extract_all("sql", F.lit(pattern), F.lit(1)))
+    """Rough table mentions without reading the statement: the name after each FROM or JOIN, if it is one.
+
+    Names are taken from the words of the raw text, comments and literals included; words that only open a
+    subquery or a table function are none.
+    """
+    name = r"`?([\w\-]+(?:\.[\w\-]+)*)`?"
+    found = F.explode(F.regexp_extract_all("sql", F.lit(rf"(?i)\b(?:FROM|JOIN)\s+{name}"), F.lit(1)))
     return (
         log.select("query_id", found.alias("mention"))
         .select("query_id", text.unquoted_base_name(F.col("mention")).alias("table_name"))
-        .where(~F.col("table_name").isin("select", "unnest", "x"))
+        .where(~F.upper("table_name").isin(lexicon.RESERVED))
     )

@@ -61,34 +61,35 @@ def forecast_summary(
     )
 
 
-def gate(changes: DataFrame, found: DataFrame, fail_on: str = "hard,unknown") -> DataFrame:
-    """Merge gate per change: 0 clean, 1 triggered, 2 unread statements that were not a threshold."""
+def gate(
+    changes: DataFrame, found: DataFrame, fail_on: str = "hard,unknown", totals: DataFrame | None = None
+) -> DataFrame:
+    """Merge gate per change: 0 clean, 1 triggered, 2 not known to be clean.
+
+    The last is a change with unread statements where UNKNOWN is no threshold and, given the ``totals`` of
+    ``statement_totals()``, a change that no logged statement meets.
+    """
     levels = predicates.parse_fail_on(fail_on)
-    df = changes.select("change_id").join(severity_counts(found), "change_id", "left").fillna(0, COUNTS)
+    df = changes.select("change_id", "dataset") if totals is not None else changes.select("change_id")
+    df = df.join(severity_counts(found), "change_id", "left").fillna(0, COUNTS)
+    empty = F.lit(False)
+    if totals is not None:
+        df = df.join(totals.select("dataset", "n_queries"), "dataset", "left")
+        empty = F.coalesce("n_queries", F.lit(0)) == 0
     triggered = sum((F.col(f"n_{level}") for level in levels), F.lit(0).cast("bigint"))
     unread = (F.col("n_unparseable") > 0) & F.lit("unknown" not in levels)
-    clean = F.col("n_triggered") == 0
-    n = F.col("n_unparseable").cast("string")
+    clear = F.col("n_triggered") == 0
+    told = F.concat(F.col("n_unparseable").cast("string"), F.lit(" statements could not be read and UNKNOWN is no threshold"))
     return df.withColumn("n_triggered", triggered).select(
         "change_id",
         F.lit(",".join(levels)).alias("fail_on"),
-        (clean & ~unread).alias("clean"),
+        (clear & ~unread & ~empty).alias("clean"),
         *COUNTS,
         "n_triggered",
-        F.when(~clean, 1).when(unread, 2).otherwise(0).cast("int").alias("exit_code"),
-        F.when(
-            unread & clean,
-            F.concat(n, F.lit(
-                " queries could not be parsed — refusing silent green. "
-                "Include unknown in fail_on (default) or fix the SQL."
-            )),
-        )
-        .when(
-            unread,
-            F.concat(n, F.lit(
-                " queries could not be parsed (not in fail_on; exit already non-zero on other findings)"
-            )),
-        )
+        F.when(~clear, 1).when(unread | empty, 2).otherwise(0).cast("int").alias("exit_code"),
+        F.when(empty, F.lit("no logged statement belongs to the changed dataset"))
+        .when(unread & clear, F.concat(told, F.lit("; not clean")))
+        .when(unread, told)
         .alias("note"),
     )
 
@@ -129,7 +130,7 @@ def verdict_distribution(summary: DataFrame) -> DataFrame:
 
 
 def unknown_breakdown(found: DataFrame) -> DataFrame:
-    bucket = text.unknown_bucket(F.col("unknown_reason"), F.col("evidence"))
+    bucket = text.unknown_bucket(F.col("unknown_kind"))
     unknown = found.where(F.col("severity") == "unknown").withColumn("bucket", bucket)
     return (
         unknown.groupBy("change_id", "bucket")

@@ -13,11 +13,11 @@ from changeimpact.functions.text import let
 from changeimpact.operators import bind, extract
 from changeimpact.session import cut
 
-DROP_REASON = "drop — no rewritten column name; refuse rather than invent a fix"
-STAR_REASON = "SELECT * over the subject — can't rewrite what isn't enumerated"
-DUPLICATE_REASON = "duplicate query_id — not guessing which SQL to patch"
-NO_NODES_REASON = "no subject-bound column nodes to rewrite"
-RESIDUAL_STAR_REASON = "cannot verify completeness (star may still reference the old column)"
+DROP_REASON = "a dropped column has no new name to write"
+STAR_REASON = "a star over the subject names no column to rewrite"
+DUPLICATE_REASON = "several statements share the query_id"
+NO_NODES_REASON = "the hit is in a written column list, which has no bound name to replace"
+RESIDUAL_STAR_REASON = "a star may still stand for the old column"
 
 
 def schema_after(schema_columns: DataFrame, old: str, new: str) -> DataFrame:
@@ -75,15 +75,14 @@ def repair_decisions(
     severity, evidence = F.col("severity"), F.col("evidence")
     left = F.coalesce(F.col("left_severity"), F.lit("unaffected"))
     guess = F.concat(
-        F.lit("ambiguous binding — I don't guess on your production SQL"),
-        F.when(F.coalesce("unknown_reason", F.lit("")) != "", F.concat(F.lit(" ("), "unknown_reason", F.lit(")"))).otherwise(""),
+        F.lit("uncertain binding"),
+        F.when(F.coalesce("unknown_reason", F.lit("")) != "", F.concat(F.lit(" — "), "unknown_reason")).otherwise(""),
     )
     elsewhere = F.concat(
-        F.lit("binds to "), F.coalesce(text.cleared_tables(evidence), F.lit("")),
-        F.lit(", not the subject — nothing to fix"),
+        F.lit("bound elsewhere — "), F.coalesce(text.cleared_tables(evidence), F.lit("")),
     )
     incomplete = F.concat(
-        F.lit("incomplete repair — residual reference remains ("), left, F.lit(": "), "left_evidence", F.lit(")")
+        F.lit("the rewritten statement still refers to the column — "), left, F.lit(" "), "left_evidence"
     )
     reason = (
         F.when(F.coalesce("new_column", F.lit("")) == "", DROP_REASON)

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from changeimpact.functions import predicates, text
+from changeimpact.functions import lexicon, predicates, text
 from changeimpact.operators import (
     adjudicate, bind, catalog, extract, findings, quality, ranking, repair, report,
 )
@@ -69,11 +69,11 @@ def _values(rows: list[tuple]) -> str:
 
 
 def _verdict_rows(no_subject: bool = False) -> list[tuple]:
-    rows = []
+    rows, kinds = [], {c[0]: c[2] for c in fx.CHANGES}
     for i, t in enumerate(fx.TEMPLATES):
         verdicts = dict(t.verdicts, **(fx.NO_SUBJECT.get(i, {}) if no_subject else {}))
         for change_id, verdict in verdicts.items():
-            rename = change_id != "c2"
+            rename = kinds[change_id] == "rename"
             rows.append((i, change_id, *verdict, t.rewritten if rename else None, t.refusal))
     return rows
 
@@ -273,9 +273,13 @@ def physical_tables(spark, sf_dir):
     return extract.physical_tables(fx.query_log(spark, sf_dir))
 
 
-@register("regex_tables", BASE + r"""
-, m AS (SELECT query_id, unnest(regexp_extract_all(sql, '(?i)(?:FROM|JOIN)\s+`?([a-zA-Z0-9_\-]+(?:\.[a-zA-Z0-9_\-]+){0,2})`?', 1)) AS name FROM log)
-SELECT query_id, lower(split_part(name, '.', -1)) AS table_name FROM m WHERE lower(split_part(name, '.', -1)) NOT IN ('select', 'unnest', 'x')""")
+_NOT_TABLES = "(" + ", ".join(f"'{w}'" for w in lexicon.RESERVED) + ")"
+_NAMED = r"regexp_extract_all(sql, '(?i)\b(?:FROM|JOIN)\s+`?([\w\-]+(?:\.[\w\-]+)*)`?', 1)"
+
+
+@register("regex_tables", BASE + f"""
+, m AS (SELECT query_id, unnest({_NAMED}) AS name FROM log)
+SELECT query_id, lower(split_part(name, '.', -1)) AS table_name FROM m WHERE upper(split_part(name, '.', -1)) NOT IN {_NOT_TABLES}""")
 def regex_tables(spark, sf_dir):
     return extract.regex_tables(fx.query_log(spark, sf_dir))
 
@@ -305,12 +309,11 @@ def severity_counts(spark, sf_dir):
 def _gate_sql(levels: list[str]) -> str:
     n = " + ".join(f"n_{level}" for level in levels)
     unread = "false" if "unknown" in levels else "n_unparseable > 0"
-    told = "CAST(n_unparseable AS VARCHAR) || ' queries could not be parsed"
+    told = "CAST(n_unparseable AS VARCHAR) || ' statements could not be read and UNKNOWN is no threshold"
     return BASE + f"""
 SELECT change_id, '{",".join(levels)}' AS fail_on, ({n}) = 0 AND NOT ({unread}) AS clean, {COUNT_COLUMNS}, {n} AS n_triggered,
   CAST(CASE WHEN ({n}) > 0 THEN 1 WHEN {unread} THEN 2 ELSE 0 END AS INTEGER) AS exit_code,
-  CASE WHEN ({unread}) AND ({n}) = 0 THEN {told} — refusing silent green. Include unknown in fail_on (default) or fix the SQL.'
-    WHEN {unread} THEN {told} (not in fail_on; exit already non-zero on other findings)' END AS note FROM cnt"""
+  CASE WHEN ({unread}) AND ({n}) = 0 THEN {told}; not clean' WHEN {unread} THEN {told}' END AS note FROM cnt"""
 
 
 @register("gate", _gate_sql(["hard", "unknown"]))
@@ -323,6 +326,22 @@ def gate_hard_only(spark, sf_dir):
     return rehearsal(spark, sf_dir).gate("hard")
 
 
+@register("gate_no_statements", """
+SELECT 'p' || CAST(p_partkey AS VARCHAR) AS change_id, p_partkey % 40 >= 30 AND false AS clean,
+  CAST(CASE WHEN p_partkey % 40 >= 30 THEN 2 ELSE 0 END AS INTEGER) AS exit_code FROM part WHERE p_partkey % 40 >= 30
+UNION ALL SELECT 'p' || CAST(p_partkey AS VARCHAR), true, 0 FROM part WHERE p_partkey % 40 < 30""")
+def gate_no_statements(spark, sf_dir):
+    """One change per part; the last of forty datasets have no statements, and no finding makes them clean."""
+    place = F.concat(F.lit("ds"), (F.col("p_partkey") % 40).cast("string"))
+    changes = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("change_id"), place.alias("dataset"))
+    log = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("ds"), (F.col("o_orderkey") % 30).cast("string")).alias("dataset"))
+    none = literal_rows(spark, "change_id string, severity string, evidence string, unknown_kind string", [])
+    gates = findings.gate(changes, none, totals=findings.statement_totals(log))
+    return gates.select("change_id", "clean", "exit_code")
+
+
 @register("gate_triggered", BASE + "SELECT change_id, query_id, severity, evidence FROM f WHERE severity IN ('hard', 'unknown')")
 def gate_triggered(spark, sf_dir):
     return findings.gate_triggered(rehearsal(spark, sf_dir).stored_findings)
@@ -358,7 +377,7 @@ def verdict_distribution(spark, sf_dir):
 
 @register("unknown_breakdown", BASE + """
 SELECT change_id, CASE unknown_kind WHEN 'parse' THEN 'unparseable' WHEN 'star' THEN 'star' WHEN 'ambiguous_bare' THEN 'unresolvable'
-  WHEN 'alias_shadowed' THEN 'other_unknown' ELSE 'unresolvable_qualifier' END AS bucket, count(*) AS n
+  WHEN 'alias_shadowed' THEN 'other_unknown' WHEN 'unexplained' THEN 'unexplained' ELSE 'unresolvable_qualifier' END AS bucket, count(*) AS n
 FROM f WHERE severity = 'unknown' GROUP BY 1, 2""")
 def unknown_breakdown(spark, sf_dir):
     return findings.unknown_breakdown(rehearsal(spark, sf_dir).verdicts)
@@ -371,20 +390,20 @@ def parse_rate(spark, sf_dir):
     return findings.parse_rate(rehearsal(spark, sf_dir).summary)
 
 
-@register("table_resolution_rate", BASE + r"""
-, m AS (SELECT DISTINCT lower(split_part(unnest(regexp_extract_all(sql, '(?i)(?:FROM|JOIN)\s+`?([a-zA-Z0-9_\-]+(?:\.[a-zA-Z0-9_\-]+){0,2})`?', 1)), '.', -1)) AS t FROM log),
+@register("table_resolution_rate", BASE + f"""
+, m AS (SELECT DISTINCT lower(split_part(unnest({_NAMED}), '.', -1)) AS t FROM log),
 k AS (SELECT DISTINCT split_part(table_name, '.', -1) AS t FROM known)
 SELECT count(k.t) AS n_with_schema, count(*) - count(k.t) AS n_without_schema, round(count(k.t) / count(*), 6) AS resolution_rate
-FROM m LEFT JOIN k ON m.t = k.t WHERE m.t NOT IN ('select', 'unnest', 'x')""")
+FROM m LEFT JOIN k ON m.t = k.t WHERE upper(m.t) NOT IN {_NOT_TABLES}""")
 def table_resolution_rate(spark, sf_dir):
     return findings.table_resolution_rate(fx.query_log(spark, sf_dir), fx.schema_columns(spark))
 
 
 @register("alias_clears", BASE + """
-SELECT change_id, count(*) AS n_cleared, count(*) FILTER (evidence = 'BOUND_ELSEWHERE:handoffs') AS n_bound_to_table
+SELECT change_id, count(*) AS n_cleared, count(*) FILTER (evidence = 'BOUND_ELSEWHERE:plates') AS n_bound_to_table
 FROM f WHERE severity = 'unaffected' GROUP BY 1""")
 def alias_clears(spark, sf_dir):
-    return findings.alias_clears(rehearsal(spark, sf_dir).verdicts, "handoffs")
+    return findings.alias_clears(rehearsal(spark, sf_dir).verdicts, "plates")
 
 
 @register("first_examples", BASE + """
@@ -405,15 +424,15 @@ def parse_failures(spark, sf_dir):
 @register("defect_flags", BASE + """
 , tied AS (SELECT c.change_id, query_id FROM log l JOIN changes c ON l.ds = c.dataset
   LEFT JOIN gold g ON g.tid = l.tid AND g.change_id = c.change_id
-  WHERE g.tid IS NULL AND regexp_matches(substr(sql, 1, 200), '(?i)' || CASE ds WHEN '""" + fx.PARCELS + """' THEN 'parcels' ELSE 'crews' END
-    || '.*' || col || '|' || col || '.*' || CASE ds WHEN '""" + fx.PARCELS + """' THEN 'parcels' ELSE 'crews' END)),
+  WHERE g.tid IS NULL AND regexp_matches(substr(sql, 1, 200), '(?i)' || CASE ds WHEN '""" + fx.EXPOSURES + """' THEN 'exposures' ELSE 'mounts' END
+    || '.*' || col || '|' || col || '.*' || CASE ds WHEN '""" + fx.EXPOSURES + """' THEN 'exposures' ELSE 'mounts' END)),
 flags AS (SELECT change_id, query_id, 'possible miss (unaffected but snippet ties column to subject): `' || query_id || '`' AS flag FROM tied
-  UNION ALL SELECT change_id, query_id, 'possible binder defect: CLEARED to non-loaded `rosters` in `' || query_id || '` (' || evidence || ')'
-  FROM f WHERE evidence = 'BOUND_ELSEWHERE:rosters')
+  UNION ALL SELECT change_id, query_id, 'possible binder defect: CLEARED to non-loaded `services` in `' || query_id || '` (' || evidence || ')'
+  FROM f WHERE evidence = 'BOUND_ELSEWHERE:services')
 SELECT change_id, query_id, flag FROM flags WINDOW w AS (PARTITION BY change_id ORDER BY query_id) QUALIFY row_number() OVER w <= 8""")
 def defect_flags(spark, sf_dir):
     run = rehearsal(spark, sf_dir)
-    fewer = run.schema_columns.where(F.col("table_name") != "staff.rosters")
+    fewer = run.schema_columns.where(F.col("table_name") != "dome.services")
     return findings.defect_flags(run.changes, run.log, run.stored_findings, fewer)
 
 
@@ -432,7 +451,7 @@ def _cache(requests: DataFrame) -> DataFrame:
     mine = F.col("part") == 0
     return keyed.select(
         "cache_key", F.when(mine, "hard").otherwise("soft").alias("severity"),
-        F.when(mine, "depot.Parcels").otherwise("depot.handoffs").alias("binds_to"), F.lit("seen").alias("note"))
+        F.when(mine, "night.Exposures").otherwise("night.plates").alias("binds_to"), F.lit("seen").alias("note"))
 
 
 def _requests(run: Rehearsal) -> DataFrame:
@@ -446,12 +465,12 @@ def _rulings(run: Rehearsal) -> DataFrame:
 
 def _runs_of(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     run, gold, found = _gold(spark, sf_dir)
-    log = run.log.where(F.col("dataset") == fx.PARCELS)
+    log = run.log.where(F.col("dataset") == fx.EXPOSURES)
     binder = quality.predicted_labels(gold, found, "binder")
     heuristic = quality.predicted_labels(gold, adjudicate.adjudicate(found), "heuristic")
     ruled = quality.predicted_labels(gold, adjudicate.apply_rulings(found, _rulings(run)), "cached")
     predictions = (
-        quality.everything_breaks(gold).unionByName(quality.substring_run(log, F.lit("route_code")))
+        quality.everything_breaks(gold).unionByName(quality.substring_run(log, F.lit("band")))
         .unionByName(binder).unionByName(heuristic).unionByName(ruled)
     )
     return gold, predictions, binder
@@ -459,10 +478,10 @@ def _runs_of(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 _RULED = BASE + f"""
 , c1 AS (SELECT l.query_id, l.stratum, l.gold, l.sql, l.event_id, g.unknown_kind, g.evidence, coalesce(g.severity, 'unaffected') AS binder
-  FROM log l LEFT JOIN gold g ON l.tid = g.tid AND g.change_id = 'c1' WHERE ds = '{fx.PARCELS}'),
+  FROM log l LEFT JOIN gold g ON l.tid = g.tid AND g.change_id = 'c1' WHERE ds = '{fx.EXPOSURES}'),
 part AS (SELECT sql, min(event_id) % 3 AS part FROM c1 WHERE unknown_kind = 'ambiguous_bare' GROUP BY 1),
 runs AS (SELECT 'everything' AS run, query_id, stratum, gold, 'hard' AS predicted FROM c1
-  UNION ALL SELECT 'substring', query_id, stratum, gold, CASE WHEN contains(lower(sql), 'route_code') THEN 'hard' ELSE 'unaffected' END FROM c1
+  UNION ALL SELECT 'substring', query_id, stratum, gold, CASE WHEN contains(lower(sql), 'band') THEN 'hard' ELSE 'unaffected' END FROM c1
   UNION ALL SELECT 'binder', query_id, stratum, gold, binder FROM c1
   UNION ALL SELECT 'heuristic', query_id, stratum, gold, CASE WHEN binder <> 'unknown' OR evidence IN ('STAR', 'PARSE') THEN binder
     WHEN evidence = 'SELECT' THEN 'soft' ELSE 'hard' END FROM c1
@@ -573,7 +592,7 @@ SELECT change_id, query_id, CASE WHEN change_id = 'c3' THEN 'unknown' WHEN evide
 FROM f WHERE severity = 'unknown' AND (change_id = 'c3' OR evidence NOT IN ('STAR', 'PARSE'))""")
 def heuristic_rulings(spark, sf_dir):
     fields = literal_rows(spark, "change_id string, field string",
-                          [("c1", "Route_Code"), ("c2", "weight_kg"), ("c3", "crew_id")])
+                          [("c1", "Band"), ("c2", "airmass"), ("c3", "mount_id")])
     return adjudicate.heuristic_rulings(rehearsal(spark, sf_dir).stored_findings, fields)
 
 
@@ -593,11 +612,11 @@ def residue(spark, sf_dir):
 
 @register("cached_rulings", BASE + """
 , part AS (SELECT change_id, sql, min(event_id) % 3 AS part FROM f WHERE unknown_kind = 'ambiguous_bare' GROUP BY 1, 2)
-SELECT f.change_id, query_id, CASE WHEN part = 0 AND f.change_id = 'c1' THEN 'hard' ELSE 'unknown' END AS severity,
-  CASE WHEN part = 2 THEN 'ruling cache miss; leave UNKNOWN' WHEN part = 1
-    THEN 'ruled elsewhere (depot.handoffs); leave UNKNOWN — seen (binds_to=depot.handoffs)'
-    WHEN f.change_id = 'c1' THEN 'seen (binds_to=depot.Parcels)'
-    ELSE 'ruled elsewhere (depot.Parcels); leave UNKNOWN — seen (binds_to=depot.Parcels)' END AS note
+SELECT f.change_id, query_id, CASE WHEN part = 0 AND f.change_id <> 'c3' THEN 'hard' ELSE 'unknown' END AS severity,
+  CASE WHEN part = 2 THEN 'no cached ruling' WHEN part = 1
+    THEN 'a ruling for night.plates, not the subject: seen (binds_to=night.plates)'
+    WHEN f.change_id <> 'c3' THEN 'seen (binds_to=night.Exposures)'
+    ELSE 'a ruling for night.Exposures, not the subject: seen (binds_to=night.Exposures)' END AS note
 FROM f JOIN part ON f.change_id = part.change_id AND f.sql = part.sql WHERE unknown_kind = 'ambiguous_bare'""")
 def cached_rulings(spark, sf_dir):
     return _rulings(rehearsal(spark, sf_dir))
@@ -605,15 +624,15 @@ def cached_rulings(spark, sf_dir):
 
 # --- repairs -------------------------------------------------------------------------------
 
-_REASON = """CASE WHEN new_column IS NULL THEN 'drop — no rewritten column name; refuse rather than invent a fix'
-  WHEN evidence = 'STAR' THEN 'SELECT * over the subject — can''t rewrite what isn''t enumerated'
-  WHEN severity = 'unknown' THEN 'ambiguous binding — I don''t guess on your production SQL (' || unknown_reason || ')'
-  WHEN severity = 'unaffected' THEN 'binds to ' || substr(evidence, 17) || ', not the subject — nothing to fix'
+_REASON = """CASE WHEN new_column IS NULL THEN 'a dropped column has no new name to write'
+  WHEN evidence = 'STAR' THEN 'a star over the subject names no column to rewrite'
+  WHEN severity = 'unknown' THEN 'uncertain binding — ' || unknown_reason
+  WHEN severity = 'unaffected' THEN 'bound elsewhere — ' || substr(evidence, 17)
   ELSE refusal END"""
-_DIFF = """CASE WHEN rewritten IS NOT NULL THEN '--- a/' || query_id || '.sql' || chr(10) || '+++ b/' || query_id || '.sql' || chr(10) || CASE
-  WHEN tid = 11 THEN '@@ -1,5 +1,5 @@' || chr(10) || ' SELECT' || chr(10) || '   parcel_id,' || chr(10)
-    || '-' || split_part(sql, chr(10), 3) || chr(10) || '+' || split_part(rewritten, chr(10), 3) || chr(10)
-    || ' ' || split_part(sql, chr(10), 4) || chr(10) || ' ' || split_part(sql, chr(10), 5) || chr(10)
+_LINE = "split_part({0}, chr(10), {1}) || chr(10)"
+_DIFF = f"""CASE WHEN rewritten IS NOT NULL THEN '--- a/' || query_id || '.sql' || chr(10) || '+++ b/' || query_id || '.sql' || chr(10) || CASE
+  WHEN tid = {fx.LINES} THEN '@@ -1,4 +1,4 @@' || chr(10) || ' ' || {_LINE.format('sql', 1)} || '-' || {_LINE.format('sql', 2)}
+    || '+' || {_LINE.format('rewritten', 2)} || ' ' || {_LINE.format('sql', 3)} || ' ' || {_LINE.format('sql', 4)}
   ELSE '@@ -1 +1 @@' || chr(10) || '-' || sql || chr(10) || '+' || rewritten || chr(10) END END"""
 
 
@@ -894,15 +913,15 @@ def tag_upsert(spark, sf_dir):
 
 
 def _catalog_run(spark, sf_dir):
-    """The event log rehearsed from catalog tables, with one dataset per schema table and two for crews."""
-    urn = "urn:li:dataset:(urn:li:dataPlatform:{0},wh.{1},PROD)"
+    """The event log rehearsed from catalog tables, with one dataset per schema table and two for plates."""
+    urn = "urn:li:dataset:(urn:li:dataPlatform:{0},obs.{1},PROD)"
     rows = [(urn.format("snowflake", t), f"rec.{c}") for t, cols in fx.SCHEMA.items() for c in cols.split()]
-    rows.append((urn.format("dbt", "x.handoffs"), "other"))
+    rows.append((urn.format("dbt", "x.plates"), "other"))
     fields = literal_rows(spark, "urn string, field_path string", rows)
     edges = literal_rows(spark, "upstream string, downstream string",
-                         [(fx.PARCELS, fx.PARCELS), (fx.PARCELS, "down:1"), (fx.PARCELS, "down:2"), (fx.CREWS, "down:1")])
+                         [(fx.EXPOSURES, fx.EXPOSURES), (fx.EXPOSURES, "down:1"), (fx.EXPOSURES, "down:2"), (fx.MOUNTS, "down:1")])
     changes = fx.changes(spark).unionByName(
-        literal_rows(spark, fx.CHANGES_SCHEMA, [("x1", fx.PARCELS, "modify", "route_code", None), ("x2", fx.CREWS, "rename", "nope", "n")]))
+        literal_rows(spark, fx.CHANGES_SCHEMA, [("x1", fx.EXPOSURES, "modify", "band", None), ("x2", fx.MOUNTS, "rename", "nope", "n")]))
     return rehearse_from_catalog(changes, fx.query_log(spark, sf_dir), fields.select("urn").distinct(), fields, edges)
 
 
@@ -947,10 +966,10 @@ b AS (SELECT *, '{_START}' || chr(10) || '## ' || title || chr(10) || chr(10) ||
   || 'Impact Analysis baseline: 0 downstream.' || chr(10) || '{_END}' AS block FROM s)
 SELECT change_id, dataset AS entity_urn, title, title || '. ' || told || '. Impact Analysis baseline: 0 downstream. Column: `' || col || '`.' AS assertion_description,
   'FAILURE' AS report_result, CAST(NULL AS VARCHAR) AS external_url, '{text.FORECAST_TAG}' AS tag,
-  CASE WHEN dataset = '{fx.PARCELS}' THEN 'Curated.' || chr(10) || chr(10) || block || chr(10) ELSE block END AS description_markdown FROM b""")
+  CASE WHEN dataset = '{fx.EXPOSURES}' THEN 'Curated.' || chr(10) || chr(10) || block || chr(10) ELSE block END AS description_markdown FROM b""")
 def write_payload(spark, sf_dir):
     run = rehearsal(spark, sf_dir)
-    curated = literal_rows(spark, "urn string, description string", [(fx.PARCELS, "Curated.")])
+    curated = literal_rows(spark, "urn string, description string", [(fx.EXPOSURES, "Curated.")])
     return report.write_payload(run.changes, run.summary, curated)
 
 

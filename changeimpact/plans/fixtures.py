@@ -6,35 +6,37 @@ its tenant the event's user, its literals the event's value and id.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from changeimpact.session import literal_rows
 
-PARCELS = "urn:li:dataset:(urn:li:dataPlatform:snowflake,wh.depot.parcels,PROD)"
-CREWS = "urn:li:dataset:(urn:li:dataPlatform:snowflake,wh.staff.crews,PROD)"
+EXPOSURES = "urn:li:dataset:(urn:li:dataPlatform:snowflake,obs.night.exposures,PROD)"
+MOUNTS = "urn:li:dataset:(urn:li:dataPlatform:snowflake,obs.dome.mounts,PROD)"
 
 CHANGES_SCHEMA = "change_id string, dataset string, kind string, column string, new_column string"
 CHANGES = [
-    ("c1", PARCELS, "rename", "route_code", "lane_code"),
-    ("c2", PARCELS, "drop", "weight_kg", None),
-    ("c3", CREWS, "rename", "shift_tag", "shift_label"),
+    ("c1", EXPOSURES, "rename", "band", "passband"),
+    ("c2", EXPOSURES, "drop", "airmass", None),
+    ("c3", MOUNTS, "rename", "drive_kind", "drive_type"),
 ]
 SCHEMA = {
-    "depot.parcels": "parcel_id route_code sender_id weight_kg booked_at dims legs",
-    "depot.handoffs": "handoff_id parcel_id route_code carrier",
-    "depot.senders": "sender_id sender_name region",
-    "depot.scales": "scale_id parcel_id weight_kg",
-    "depot.depots": "depot_id region",
-    "staff.crews": "crew_id shift_tag region",
-    "staff.rosters": "roster_id crew_id shift_tag",
+    "night.exposures": "exposure_id band airmass observer_id started optics frames seeing",
+    "night.plates": "plate_id exposure_id band scanner",
+    "night.observers": "observer_id full_name institute",
+    "night.meters": "meter_id exposure_id airmass",
+    "dome.mounts": "mount_id drive_kind institute",
+    "dome.services": "service_id mount_id drive_kind",
 }
 
 # Verdicts: (severity, evidence, unknown_kind, unknown_reason)
-STAR = ("unknown", "STAR", "star", "SELECT * may hide column references; needs schema expand or human")
+STAR = ("unknown", "STAR", "star", "a star over the subject may stand for the column")
 MARKUP = ("unknown", "PARSE", "parse", "parse failed: template markup")
 OPEN = ("unknown", "PARSE", "parse", "parse failed: unbalanced parentheses")
+QUOTE = ("unknown", "PARSE", "parse", "parse failed: unterminated quote")
+BROKEN_OFF = ("unknown", "PARSE", "parse", "parse failed: statement breaks off")
 
 
 def hard(clause: str):
@@ -49,182 +51,207 @@ def cleared(tables: str):
 
 
 def crowded(clause: str, column: str):
-    reason = f"unqualified `{column}` with 2 tables in scope; needs human/agent"
+    reason = f"`{column}` without a qualifier fits 2 tables in scope"
     return ("unknown", clause, "ambiguous_bare", reason)
 
 
 def stuck(clause: str, name: str):
-    reason = f"couldn't resolve qualifier `{name}` — not guessing"
+    reason = f"qualifier `{name}` leads to no known table"
     return ("unknown", clause, "unresolvable_qualifier", reason)
 
 
+def stray(clause: str, column: str):
+    return ("unknown", clause, "unexplained", f"`{column}` stands where its use cannot be read")
+
+
+def reused(clause: str, name: str):
+    return ("unknown", clause, "alias_shadowed", f"alias `{name}` names different tables in different scopes")
+
+
+def unlisted(clause: str, tables: str):
+    return ("unknown", clause, "unresolved_table", f"no schema for {tables}")
+
+
 @dataclass(frozen=True)
 class Template:
     dataset: str
     stratum: str
     sql: str
+    tables: str  # base tables it names; an unreadable one names none
     verdicts: dict = field(default_factory=dict)
     rewritten: str | None = None  # after the rename; None: refused
     gold: str | None = None  # label where the binder is known to miss
     refusal: str | None = None  # reason of a refused HARD or SOFT
+    alone: dict = field(default_factory=dict)  # verdicts that differ without subject table and schemas
 
 
-def _p(stratum, sql, verdicts=None, rewritten=None, **more):
-    return Template(PARCELS, stratum, sql, verdicts or {}, rewritten, **more)
+X, L, O, G = "tenant_{t}.exposures", "tenant_{t}.plates", "tenant_{t}.observers", "tenant_{t}.meters"
+M, V = "tenant_{t}.mounts", "tenant_{t}.services"
+NODES = "the hit is in a written column list, which has no bound name to replace"
+USED = NODES
+STAR_LEFT = "a star may still stand for the old column"
 
 
-def _c(stratum, sql, verdicts=None, rewritten=None, **more):
-    return Template(CREWS, stratum, sql, verdicts or {}, rewritten, **more)
+def _new(sql: str, times: int = 99) -> str:
+    """The statement with the bound names replaced, given where all mentions (or the first ones) are bound."""
+    return re.sub(r"(?<![\w'])(band|drive_kind)(?![\w'])", lambda m: {"band": "passband"}.get(m[0], "drive_type"), sql, count=times)
 
 
-P, H, S = "tenant_{t}.parcels", "tenant_{t}.handoffs", "tenant_{t}.senders"
-PH = f"{P} p JOIN {H} h ON p.parcel_id = h.parcel_id"
-PS = f"{P} p JOIN {S} s ON p.sender_id = s.sender_id"
-NODES = "no subject-bound column nodes to rewrite"
-STAR_LEFT = "cannot verify completeness (star may still reference the old column)"
+def _e(stratum, sql, tables, verdicts=None, rewritten=None, **more):
+    return Template(EXPOSURES, stratum, sql, tables, verdicts or {}, _new(sql) if rewritten == "all" else rewritten, **more)
 
-TEMPLATES = [
-    _p("unambiguous_hard", f"SELECT parcel_id FROM {P} WHERE route_code = 'R{{v}}' AND weight_kg > {{v}}",
-       {"c1": hard("WHERE"), "c2": hard("WHERE")},
-       f"SELECT parcel_id FROM {P} WHERE lane_code = 'R{{v}}' AND weight_kg > {{v}}"),
-    _p("unambiguous_hard", f"SELECT route_code, COUNT(*) AS n FROM {P} GROUP BY route_code",
-       {"c1": hard("GROUP")}, f"SELECT lane_code, COUNT(*) AS n FROM {P} GROUP BY lane_code"),
-    _p("unambiguous_hard",
-       f"SELECT p.parcel_id, h.carrier FROM {P} p JOIN {H} h ON p.route_code = h.route_code AND h.carrier = 'C{{v}}'",
-       {"c1": hard("JOIN")},
-       f"SELECT p.parcel_id, h.carrier FROM {P} p JOIN {H} h ON p.lane_code = h.route_code AND h.carrier = 'C{{v}}'"),
-    _p("unambiguous_hard", f"SELECT parcel_id, route_code FROM {P} ORDER BY route_code DESC, booked_at LIMIT {{v}}",
-       {"c1": hard("ORDER")}, f"SELECT parcel_id, lane_code FROM {P} ORDER BY lane_code DESC, booked_at LIMIT {{v}}"),
-    _p("unambiguous_hard",
-       f"SELECT sender_id FROM {P} GROUP BY sender_id HAVING COUNT(CASE WHEN route_code = 'R{{v}}' THEN 1 END) > 2",
-       {"c1": hard("HAVING")},
-       f"SELECT sender_id FROM {P} GROUP BY sender_id HAVING COUNT(CASE WHEN lane_code = 'R{{v}}' THEN 1 END) > 2"),
-    _p("unambiguous_hard",
-       f"SELECT parcel_id, ROW_NUMBER() OVER (PARTITION BY route_code ORDER BY booked_at DESC) AS rn FROM {P} QUALIFY rn = 1",
-       {"c1": hard("PARTITION")},
-       f"SELECT parcel_id, ROW_NUMBER() OVER (PARTITION BY lane_code ORDER BY booked_at DESC) AS rn FROM {P} QUALIFY rn = 1"),
-    _p("unambiguous_hard",
-       f"SELECT s.sender_id FROM {S} s WHERE EXISTS (SELECT 1 FROM {P} p WHERE p.sender_id = s.sender_id AND p.route_code = 'R{{v}}')",
-       {"c1": hard("WHERE")},
-       f"SELECT s.sender_id FROM {S} s WHERE EXISTS (SELECT 1 FROM {P} p WHERE p.sender_id = s.sender_id AND p.lane_code = 'R{{v}}')"),
-    _p("unambiguous_soft", f"SELECT parcel_id, route_code, booked_at FROM {P}", {"c1": SOFT},
-       f"SELECT parcel_id, lane_code, booked_at FROM {P}"),
-    _p("unambiguous_soft", f"SELECT route_code AS current_route, weight_kg FROM {P}", {"c1": SOFT, "c2": SOFT},
-       f"SELECT lane_code AS current_route, weight_kg FROM {P}"),
-    _p("unambiguous_soft", f"SELECT parcel_id, UPPER(route_code) AS route_uc FROM {P} WHERE booked_at > '2026-01-01'",
-       {"c1": SOFT}, f"SELECT parcel_id, UPPER(lane_code) AS route_uc FROM {P} WHERE booked_at > '2026-01-01'"),
-    _p("unambiguous_soft", f"SELECT p.parcel_id, p.route_code, s.region FROM {PS}", {"c1": SOFT},
-       f"SELECT p.parcel_id, p.lane_code, s.region FROM {PS}"),
-    _p("unambiguous_soft",
-       f"SELECT\n  parcel_id,\n  CASE WHEN route_code = 'R{{v}}' THEN 'near' ELSE 'far' END AS reach\nFROM {P}\nWHERE booked_at IS NOT NULL\n",
-       {"c1": SOFT},
-       f"SELECT\n  parcel_id,\n  CASE WHEN lane_code = 'R{{v}}' THEN 'near' ELSE 'far' END AS reach\nFROM {P}\nWHERE booked_at IS NOT NULL\n"),
-    _p("narrowable", f"SELECT p.parcel_id FROM {PS} WHERE route_code = 'R{{v}}'", {"c1": hard("WHERE")},
-       f"SELECT p.parcel_id FROM {PS} WHERE lane_code = 'R{{v}}'"),
-    _p("narrowable", f"SELECT route_code, s.region FROM {PS}", {"c1": SOFT}, f"SELECT lane_code, s.region FROM {PS}"),
-    _p("narrowable",
-       f"SELECT route_code, SUM(c.weight_kg) AS w FROM {PS} JOIN tenant_{{t}}.scales c ON p.parcel_id = c.parcel_id GROUP BY route_code",
-       {"c1": hard("GROUP"), "c2": cleared("scales")},
-       f"SELECT lane_code, SUM(c.weight_kg) AS w FROM {PS} JOIN tenant_{{t}}.scales c ON p.parcel_id = c.parcel_id GROUP BY lane_code"),
-    _p("truly_ambiguous", f"SELECT p.parcel_id FROM {PH} WHERE route_code = 'R{{v}}'", {"c1": crowded("WHERE", "route_code")}),
-    _p("truly_ambiguous", f"SELECT route_code, h.carrier FROM {PH}", {"c1": crowded("SELECT", "route_code")}),
-    _p("truly_ambiguous", f"SELECT p.parcel_id, h.handoff_id FROM {PH} ORDER BY route_code", {"c1": crowded("ORDER", "route_code")}),
-    _p("decoy", f"SELECT h.handoff_id FROM {H} h WHERE h.route_code = 'R{{v}}'", {"c1": cleared("handoffs")}),
-    _p("decoy", f"SELECT route_code, COUNT(*) AS n FROM {H} GROUP BY route_code", {"c1": cleared("handoffs")}),
-    _p("decoy", f"-- TODO: filter on route_code\nSELECT parcel_id FROM {P} WHERE booked_at > '2026-01-01'"),
-    _p("decoy", f"SELECT 'route_code' AS config_key, COUNT(*) AS n FROM {P}"),
-    _p("decoy", f"SELECT p.parcel_id, h.route_code FROM {PH} WHERE h.route_code = 'R{{v}}'", {"c1": cleared("handoffs")}),
-    _p("select_star", f"SELECT * FROM {P} WHERE booked_at >= '2026-01-01'", {"c1": STAR, "c2": STAR}),
-    _p("select_star", f"SELECT * FROM {H} WHERE carrier IS NULL"),
-    _p("select_star", f"SELECT p.*, s.region FROM {PS}", {"c1": STAR, "c2": STAR}),
-    _p("select_star", f"SELECT COUNT(*) AS n FROM {P} WHERE route_code = 'R{{v}}'", {"c1": hard("WHERE")},
-       f"SELECT COUNT(*) AS n FROM {P} WHERE lane_code = 'R{{v}}'"),
-    _p("cte_single_source", f"WITH base AS (SELECT parcel_id, route_code FROM {P}) SELECT parcel_id, route_code FROM base",
-       {"c1": SOFT}, f"WITH base AS (SELECT parcel_id, lane_code FROM {P}) SELECT parcel_id, lane_code FROM base"),
-    _p("cte_single_source",
-       f"WITH recent AS (SELECT parcel_id, route_code FROM {P} WHERE booked_at > '2026-01-01') SELECT route_code, COUNT(*) AS n FROM recent GROUP BY recent.route_code",
-       {"c1": hard("GROUP")},
-       f"WITH recent AS (SELECT parcel_id, lane_code FROM {P} WHERE booked_at > '2026-01-01') SELECT lane_code, COUNT(*) AS n FROM recent GROUP BY recent.lane_code"),
-    _p("cte_single_source", f"WITH o AS (SELECT * FROM {P}) SELECT parcel_id FROM o WHERE route_code = 'R{{v}}'",
-       {"c1": hard("WHERE"), "c2": STAR}, refusal=STAR_LEFT),
-    _p("cte_single_source", f"WITH h AS (SELECT * FROM {H}) SELECT h.handoff_id, h.route_code FROM h", {"c1": cleared("handoffs")}),
-    _p("unparseable", f"SELECT {{{{ cols }}}} FROM {P} WHERE route_code = 'R{{v}}'", {"c1": MARKUP, "c2": MARKUP}),
-    _p("unparseable", f"SELECT parcel_id FROM {P} WHERE route_code IN ('R{{v}}',", {"c1": OPEN, "c2": OPEN}),
-    _p("unparseable", f"SELECT parcel_id FROM {P} WHERE region = ${{region}}", {"c1": MARKUP, "c2": MARKUP}),
-    _p("subquery", f"SELECT s.sender_name FROM {S} s WHERE s.sender_id IN (SELECT sender_id FROM {P} WHERE route_code = 'R{{v}}')",
-       {"c1": hard("WHERE")},
-       f"SELECT s.sender_name FROM {S} s WHERE s.sender_id IN (SELECT sender_id FROM {P} WHERE lane_code = 'R{{v}}')"),
-    _p("subquery", f"SELECT d.depot_id FROM tenant_{{t}}.depots d WHERE d.region IN (SELECT route_code FROM {P})",
-       {"c1": SOFT}, f"SELECT d.depot_id FROM tenant_{{t}}.depots d WHERE d.region IN (SELECT lane_code FROM {P})", gold="hard"),
-    _p("subquery",
-       f"SELECT s.sender_id, (SELECT MAX(p.booked_at) FROM {P} p WHERE p.sender_id = s.sender_id AND p.route_code = 'R{{v}}') AS last_at FROM {S} s",
-       {"c1": hard("WHERE")},
-       f"SELECT s.sender_id, (SELECT MAX(p.booked_at) FROM {P} p WHERE p.sender_id = s.sender_id AND p.lane_code = 'R{{v}}') AS last_at FROM {S} s"),
-    _p("dml", f"UPDATE {P} SET route_code = 'R{{v}}' WHERE parcel_id = {{e}}", {"c1": hard("SET")},
-       f"UPDATE {P} SET lane_code = 'R{{v}}' WHERE parcel_id = {{e}}"),
-    _p("dml", f"INSERT INTO {P} (parcel_id, route_code) VALUES ({{e}}, 'R{{v}}')", {"c1": hard("INSERT")}, refusal=NODES),
-    _p("dml",
-       f"MERGE INTO {P} t USING {H} h ON t.parcel_id = h.parcel_id WHEN MATCHED THEN UPDATE SET route_code = h.route_code",
-       {"c1": hard("SET")},
-       f"MERGE INTO {P} t USING {H} h ON t.parcel_id = h.parcel_id WHEN MATCHED THEN UPDATE SET lane_code = h.route_code"),
-    _p("alias_reuse", f"SELECT s.route_code FROM {H} s WHERE s.parcel_id IN (SELECT s.parcel_id FROM {P} s)",
-       {"c1": ("unknown", "SELECT", "alias_shadowed", "alias `s` is reused across scopes — not guessing")}),
-    _p("derived", f"SELECT d.route_code FROM {P} p JOIN (SELECT route_code FROM {H}) d ON 1 = 1", {"c1": stuck("SELECT", "d")}),
-    _p("nested_path", f"SELECT parcel_id FROM {P} WHERE dims.route_code = 'R{{v}}'", {"c1": hard("WHERE")},
-       f"SELECT parcel_id FROM {P} WHERE dims.lane_code = 'R{{v}}'"),
-    _p("unnest", f"SELECT l.route_code FROM {P}, UNNEST(legs) AS l", {"c1": stuck("SELECT", "l")}),
-    _p("missing_schema",
-       f"SELECT p.parcel_id FROM {P} p JOIN tenant_{{t}}.ghost_scans g ON p.parcel_id = g.parcel_id WHERE route_code = 'R{{v}}'",
-       {"c1": ("unknown", "WHERE", "unresolved_table", "couldn't resolve table ghost_scans — not guessing")}),
-    _p("union", f"SELECT parcel_id FROM {P} WHERE route_code = 'R{{v}}' UNION ALL SELECT handoff_id FROM {H} WHERE route_code = 'R{{v}}'",
-       {"c1": hard("WHERE")},
-       f"SELECT parcel_id FROM {P} WHERE lane_code = 'R{{v}}' UNION ALL SELECT handoff_id FROM {H} WHERE route_code = 'R{{v}}'"),
-    _p("other_column", f"SELECT parcel_id FROM {P} WHERE weight_kg BETWEEN 1 AND {{v}} ORDER BY weight_kg", {"c2": hard("ORDER,WHERE")}),
-    _c("unambiguous_hard", "SELECT crew_id FROM tenant_{t}.crews WHERE shift_tag = 'S{v}'", {"c3": hard("WHERE")},
-       "SELECT crew_id FROM tenant_{t}.crews WHERE shift_label = 'S{v}'"),
-    _c("unambiguous_soft", "SELECT crew_id, shift_tag FROM tenant_{t}.crews", {"c3": SOFT},
-       "SELECT crew_id, shift_label FROM tenant_{t}.crews"),
-    _c("truly_ambiguous",
-       "SELECT c.crew_id FROM tenant_{t}.crews c JOIN tenant_{t}.rosters r ON c.crew_id = r.crew_id WHERE shift_tag = 'S{v}'",
-       {"c3": crowded("WHERE", "shift_tag")}),
-    _c("decoy", "SELECT r.roster_id FROM tenant_{t}.rosters r WHERE r.shift_tag = 'S{v}'", {"c3": cleared("rosters")}),
-    _c("select_star", "SELECT * FROM tenant_{t}.crews", {"c3": STAR}),
-    _c("other_column", "SELECT region FROM tenant_{t}.crews"),
-]
-N = len(TEMPLATES)
 
+def _m(stratum, sql, tables, verdicts=None, rewritten=None, **more):
+    return Template(MOUNTS, stratum, sql, tables, verdicts or {}, _new(sql) if rewritten == "all" else rewritten, **more)
 
-def crowded_by(n: int, clause: str):
-    return ("unknown", clause, "ambiguous_bare", f"unqualified `route_code` with {n} tables in scope; needs human/agent")
 
+def two(column: str, clause: str):
+    return crowded(clause, column)
 
+
+TEMPLATES = [
+    # uses that change results
+    _e("hard", f"SELECT observer_id, MIN(started) FROM {X} WHERE band IN ('B{{v}}', 'V') GROUP BY observer_id", "exposures",
+       {"c1": hard("WHERE")}, "all"),
+    _e("hard", f"SELECT COUNT(DISTINCT observer_id) AS people, band FROM {X} WHERE seeing < {{v}} GROUP BY 2, band", "exposures",
+       {"c1": hard("GROUP")}, "all"),
+    _e("hard", f"SELECT x.exposure_id FROM {X} AS x LEFT JOIN {L} AS pl ON x.band = pl.band AND pl.scanner = 'S{{v}}'", "exposures plates",
+       {"c1": hard("JOIN")},
+       f"SELECT x.exposure_id FROM {X} AS x LEFT JOIN {L} AS pl ON x.passband = pl.band AND pl.scanner = 'S{{v}}'"),
+    _e("hard", f"SELECT exposure_id FROM {X} ORDER BY LOWER(band), started LIMIT {{v}}", "exposures", {"c1": hard("ORDER")}, "all"),
+    _e("hard", f"SELECT observer_id FROM {X} GROUP BY observer_id HAVING AVG(airmass) < 2 AND COUNT(DISTINCT band) > {{v}}", "exposures",
+       {"c1": hard("HAVING"), "c2": hard("HAVING")}, "all"),
+    _e("hard", f"SELECT exposure_id, LAG(seeing) OVER (PARTITION BY observer_id, band ORDER BY started) AS prior FROM {X}", "exposures",
+       {"c1": hard("PARTITION")}, "all"),
+    _e("hard", f"SELECT exposure_id, RANK() OVER w AS place FROM {X} WINDOW w AS (PARTITION BY observer_id ORDER BY airmass DESC)",
+       "exposures", {"c2": hard("ORDER")}),
+    _e("hard", f"SELECT SUM(seeing) FILTER (WHERE band = 'R{{v}}') AS r_seeing FROM {X}", "exposures", {"c1": hard("WHERE")}, "all"),
+    _e("hard", f"SELECT observer_id, LISTAGG(exposure_id, ',') WITHIN GROUP (ORDER BY band) AS chain FROM {X} GROUP BY observer_id",
+       "exposures", {"c1": hard("ORDER")}, "all"),
+    _e("hard", f"SELECT exposure_id FROM {X} QUALIFY DENSE_RANK() OVER (ORDER BY started) <= {{v}} AND band <> 'U'", "exposures",
+       {"c1": hard("QUALIFY")}, "all"),
+    _e("hard", f"SELECT n.full_name FROM {O} n WHERE NOT EXISTS (SELECT NULL FROM {X} e WHERE e.observer_id = n.observer_id AND e.band = 'I{{v}}')",
+       "observers exposures", {"c1": hard("WHERE")}, "all"),
+    _e("hard", f"SELECT exposure_id FROM {X} WHERE COALESCE(band, 'none') LIKE 'N%' OR airmass IS NULL", "exposures",
+       {"c1": hard("WHERE"), "c2": hard("WHERE")}, "all"),
+    _e("hard", f"SELECT exposure_id FROM {X} WHERE airmass BETWEEN 1 AND {{v}} ORDER BY airmass", "exposures", {"c2": hard("ORDER,WHERE")}),
+    # uses in a select list only
+    _e("soft", f"SELECT DISTINCT band FROM {X}", "exposures", {"c1": SOFT}, "all"),
+    _e("soft", f"SELECT exposure_id, band || '-' || CAST(seeing AS VARCHAR) AS tag, airmass * 2 FROM {X} WHERE observer_id = {{v}}",
+       "exposures", {"c1": SOFT, "c2": SOFT}, "all"),
+    _e("soft", f"SELECT exposure_id,\n       IFF(band = 'H{{v}}', 1, 0) AS is_h\n  FROM {X}\n WHERE started IS NOT NULL\n", "exposures",
+       {"c1": SOFT}, "all"),
+    _e("soft", f"SELECT e.band, n.institute FROM {X} e, {O} n WHERE e.observer_id = n.observer_id", "exposures observers", {"c1": SOFT}, "all"),
+    _e("soft", f"SELECT MAX(e.airmass) AS worst FROM {X} e CROSS JOIN {O} n", "exposures observers", {"c2": SOFT}),
+    _e("soft", f'SELECT "band" FROM "tenant_{{t}}"."exposures" WHERE "airmass" > {{v}}', "exposures", {"c1": SOFT, "c2": hard("WHERE")},
+       "all"),
+    _e("soft", f"INSERT INTO tenant_{{t}}.archive SELECT exposure_id, band FROM {X} WHERE started < '2024-01-01'", "archive exposures",
+       {"c1": SOFT}, "all"),
+    # schemas decide
+    _e("narrowable", f"SELECT full_name FROM {X} JOIN {O} USING (observer_id) WHERE band = 'J{{v}}'", "exposures observers",
+       {"c1": hard("WHERE")}, "all", alone={"c1": two("band", "WHERE")}),
+    _e("narrowable", f"SELECT n.institute, COUNT(*) FROM {O} n JOIN {X} e ON e.observer_id = n.observer_id GROUP BY n.institute, band",
+       "exposures observers", {"c1": hard("GROUP")}, "all", alone={"c1": two("band", "GROUP")}),
+    _e("narrowable", f"SELECT airmass FROM {X} e JOIN {O} n ON n.observer_id = e.observer_id ORDER BY n.full_name", "exposures observers",
+       {"c2": SOFT}, alone={"c2": two("airmass", "SELECT")}),
+    _e("ambiguous", f"SELECT e.exposure_id FROM {X} e JOIN {L} pl ON pl.exposure_id = e.exposure_id WHERE band IS NOT NULL AND e.seeing > {{v}}",
+       "exposures plates", {"c1": two("band", "WHERE")}),
+    _e("ambiguous", f"SELECT CONCAT(band, '/', scanner) AS k FROM {X} NATURAL JOIN {L}", "exposures plates", {"c1": two("band", "SELECT")}),
+    _e("ambiguous", f"SELECT pl.plate_id FROM {L} pl, {X} e WHERE pl.exposure_id = e.exposure_id ORDER BY band, pl.plate_id",
+       "exposures plates", {"c1": two("band", "ORDER")}),
+    _e("ambiguous", f"SELECT AVG(airmass) FROM {X} e INNER JOIN {G} g ON g.exposure_id = e.exposure_id", "exposures meters",
+       {"c2": two("airmass", "SELECT")}),
+    # somebody else's column, or no column at all
+    _e("decoy", f"SELECT scanner, COUNT(*) FROM {L} WHERE band = 'K{{v}}' GROUP BY scanner", "plates", {"c1": cleared("plates")},
+       alone={"c1": hard("WHERE")}),
+    _e("decoy", f"SELECT e.exposure_id, pl.band FROM {X} e RIGHT JOIN {L} pl ON pl.exposure_id = e.exposure_id", "exposures plates",
+       {"c1": cleared("plates")}, alone={"c1": SOFT}),
+    _e("decoy", f"SELECT exposure_id /* band was here */ FROM {X} WHERE seeing > {{v}}", "exposures"),
+    _e("decoy", f"SELECT 'band' AS label, observer_id AS band_owner FROM {X} WHERE started < '2025-06-01'", "exposures"),
+    _e("decoy", f"SELECT MAX(started) band FROM {X}", "exposures"),
+    _e("decoy", f"SELECT g.airmass FROM {G} g WHERE g.airmass BETWEEN 1 AND {{v}}", "meters", {"c2": cleared("meters")},
+       alone={"c2": hard("WHERE")}),
+    _e("decoy", f"SELECT institute, COUNT(*) FROM {O} GROUP BY institute FETCH FIRST {{v}} ROWS ONLY", "observers"),
+    _e("decoy", f"SELECT exposure_id FROM {X}; SELECT band FROM {L}", "exposures plates", {"c1": cleared("plates")}, alone={"c1": SOFT}),
+    # stars
+    _e("star", f"SELECT * FROM {X} TABLESAMPLE (10)", "exposures", {"c1": STAR, "c2": STAR}),
+    _e("star", f"SELECT e.* FROM {X} e JOIN {O} n ON n.observer_id = e.observer_id WHERE n.institute = 'I{{v}}'", "exposures observers",
+       {"c1": STAR, "c2": STAR}),
+    _e("star", f"SELECT * FROM {O} WHERE full_name LIKE 'A%'", "observers", alone={"c1": STAR, "c2": STAR}),
+    _e("star", f"SELECT pl.* FROM {L} pl WHERE pl.scanner = 'S{{v}}'", "plates", alone={"c1": STAR, "c2": STAR}),
+    _e("star", f"SELECT COUNT(*) FROM {X} WHERE airmass > {{v}}", "exposures", {"c2": hard("WHERE")}),
+    # named subqueries
+    _e("cte", f"WITH good AS (SELECT exposure_id, band, observer_id FROM {X} WHERE seeing < 1), few AS (SELECT band FROM good WHERE observer_id = {{v}}) SELECT band FROM few",
+       "exposures", {"c1": SOFT}, "all"),
+    _e("cte", f"WITH RECURSIVE r AS (SELECT exposure_id, band FROM {X} WHERE exposure_id = {{v}} UNION ALL SELECT x.exposure_id, x.band FROM {X} x JOIN r ON r.exposure_id = x.exposure_id - 1) SELECT COUNT(*) FROM r",
+       "exposures", {"c1": SOFT}, "all"),
+    _e("cte", f"WITH pl AS (SELECT * FROM {L}) SELECT pl.band FROM pl WHERE pl.scanner IS NOT NULL", "plates", {"c1": cleared("plates")},
+       alone={"c1": SOFT, "c2": STAR}),
+    _e("cte", f"WITH e AS (SELECT * FROM {X}) SELECT observer_id FROM e GROUP BY observer_id, band", "exposures",
+       {"c1": hard("GROUP"), "c2": STAR}, refusal=STAR_LEFT),
+    # texts that cannot be read
+    _e("unreadable", f"SELECT {{{{ fields }}}} FROM {X}", "", {"c1": MARKUP, "c2": MARKUP}),
+    _e("unreadable", f"SELECT band FROM {X} WHERE (airmass > {{v}}", "", {"c1": OPEN, "c2": OPEN}),
+    _e("unreadable", f"SELECT exposure_id FROM {X} WHERE band =", "", {"c1": BROKEN_OFF, "c2": BROKEN_OFF}),
+    _e("unreadable", f"SELECT exposure_id FROM {X} WHERE band = 'B{{v}}", "", {"c1": QUOTE, "c2": QUOTE}),
+    _e("unexplained", f"SELECT exposure_id mag band FROM {X} WHERE seeing > {{v}}", "exposures", {"c1": stray("SELECT", "band")}),
+    _e("unexplained", f"SELECT exposure_id FROM {X} WHERE seeing 1 band > {{v}}", "exposures", {"c1": stray("WHERE", "band")}),
+    # subqueries
+    _e("subquery", f"SELECT full_name FROM {O} WHERE observer_id = ANY (SELECT observer_id FROM {X} WHERE band = 'Z{{v}}')",
+       "observers exposures", {"c1": hard("WHERE")}, "all"),
+    _e("subquery", f"SELECT scanner FROM {L} WHERE plate_id IN (SELECT band FROM {X})", "exposures plates", {"c1": SOFT}, "all", gold="hard"),
+    _e("subquery", f"SELECT n.full_name, (SELECT COUNT(*) FROM {X} e WHERE e.observer_id = n.observer_id AND e.airmass < {{v}}) AS good FROM {O} n",
+       "observers exposures", {"c2": hard("WHERE")}),
+    _e("subquery", f"SELECT t.band, t.k FROM (SELECT band, COUNT(*) AS k FROM {X} GROUP BY band) AS t WHERE t.k > {{v}}", "exposures",
+       {"c1": stuck("SELECT", "t")}, alone={"c1": hard("GROUP")}),
+    # writes
+    _e("write", f"UPDATE {X} SET airmass = airmass + 1, band = UPPER(band) WHERE exposure_id = {{e}}", "exposures",
+       {"c1": hard("SET"), "c2": hard("SET")}, "all"),
+    _e("write", f"INSERT INTO {X} (exposure_id, observer_id, band) SELECT exposure_id + 1, {{v}}, scanner FROM {L}", "exposures plates",
+       {"c1": hard("INSERT")}, refusal=NODES),
+    _e("write", f"DELETE FROM {X} WHERE band IS NULL OR airmass > {{v}}", "exposures", {"c1": hard("WHERE"), "c2": hard("WHERE")}, "all"),
+    _e("write", f"MERGE INTO {X} AS tgt USING {G} AS src ON tgt.exposure_id = src.exposure_id WHEN MATCHED AND src.airmass > {{v}} THEN UPDATE SET tgt.airmass = src.airmass",
+       "exposures meters", {"c2": hard("SET")}),
+    _e("write", f"CREATE TABLE tenant_{{t}}.copied AS SELECT band, COUNT(*) AS n FROM {X} GROUP BY ROLLUP (band)", "copied exposures",
+       {"c1": hard("GROUP")}, "all"),
+    _e("write", f"SET lim = {{v}}; SELECT exposure_id FROM {X} WHERE band = 'M'", "exposures", {"c1": hard("WHERE")}, "all"),
+    _e("write", f"BEGIN; UPDATE {X} SET seeing = 0 WHERE exposure_id = {{e}}; UPDATE {X} SET band = 'W' WHERE exposure_id = {{e}}; COMMIT",
+       "exposures", {"c1": hard("SET")}, "all"),
+    # names that lead elsewhere or nowhere
+    _e("alias", f"SELECT z.band FROM {L} z WHERE z.exposure_id IN (SELECT z.exposure_id FROM {X} z)", "exposures plates",
+       {"c1": reused("SELECT", "z")}),
+    _e("alias", f"SELECT q.band FROM {X} e JOIN (SELECT band, exposure_id FROM {L}) q ON q.exposure_id = e.exposure_id", "exposures plates",
+       {"c1": stuck("SELECT", "q")}, alone={"c1": SOFT}),
+    _e("path", f"SELECT exposure_id FROM {X} WHERE optics.band = 'B{{v}}' AND optics.lens.airmass > 1", "exposures",
+       {"c1": hard("WHERE"), "c2": hard("WHERE")}, "all"),
+    _e("path", f"SELECT fr.band FROM {X} e CROSS JOIN UNNEST(e.frames) AS fr", "exposures", {"c1": stuck("SELECT", "fr")}, alone={"c1": SOFT}),
+    _e("unlisted", f"SELECT e.exposure_id FROM {X} e JOIN tenant_{{t}}.lost_logs k ON k.exposure_id = e.exposure_id WHERE band = 'L{{v}}'",
+       "exposures lost_logs", {"c1": unlisted("WHERE", "lost_logs")}, alone={"c1": two("band", "WHERE")}),
+    _e("union", f"SELECT exposure_id FROM {X} WHERE airmass > 2 UNION SELECT exposure_id FROM {G} WHERE airmass > {{v}}", "exposures meters",
+       {"c2": hard("WHERE")}),
+    _e("using", f"SELECT COUNT(*) FROM {X} JOIN {L} USING (exposure_id, band)", "exposures plates", {"c1": hard("JOIN")}, refusal=USED),
+    # the second dataset
+    _m("hard", f"SELECT mount_id FROM {M} WHERE drive_kind NOT IN ('fork', 'D{{v}}')", "mounts", {"c3": hard("WHERE")}, "all"),
+    _m("soft", f"SELECT drive_kind AS kind, institute FROM {M}", "mounts", {"c3": SOFT}, "all"),
+    _m("ambiguous", f"SELECT m.institute FROM {M} m JOIN {V} s ON s.mount_id = m.mount_id GROUP BY m.institute, drive_kind", "mounts services",
+       {"c3": two("drive_kind", "GROUP")}),
+    _m("decoy", f"SELECT s.service_id FROM {V} s WHERE s.drive_kind = 'D{{v}}'", "services", {"c3": cleared("services")},
+       alone={"c3": hard("WHERE")}),
+    _m("star", f"SELECT m.*, 1 AS one FROM {M} m", "mounts", {"c3": STAR}),
+    _m("decoy", f"SELECT COUNT(*) FROM {M} WHERE institute = 'I{{v}}'", "mounts"),
+    _m("write", f"INSERT OVERWRITE TABLE {M} SELECT mount_id, drive_kind, institute FROM {V}", "mounts services", {"c3": cleared("services")},
+       alone={"c3": SOFT}),
+    _m("write", f"UPDATE {M} SET drive_kind = 'direct' WHERE mount_id = {{e}}", "mounts", {"c3": hard("SET")}, "all"),
+]
+N = len(TEMPLATES)
+# The template of several lines, whose diff has context.
+LINES = next(i for i, t in enumerate(TEMPLATES) if "\n" in t.sql)
 # Verdicts that differ when no subject table and no schemas are given.
-NO_SUBJECT = {
-    12: {"c1": crowded_by(2, "WHERE")},
-    13: {"c1": crowded_by(2, "SELECT")},
-    14: {"c1": crowded_by(3, "SELECT"), "c2": SOFT},
-    18: {"c1": hard("WHERE")},
-    19: {"c1": hard("GROUP")},
-    22: {"c1": hard("WHERE")},
-    24: {"c1": STAR, "c2": STAR},
-    30: {"c1": SOFT, "c2": STAR},
-    39: {"c1": crowded_by(2, "SET")},
-    41: {"c1": SOFT},
-    43: {"c1": SOFT},
-    44: {"c1": crowded_by(2, "WHERE")},
-    50: {"c3": hard("WHERE")},
-}
-# Base tables of each template, by hand; unreadable ones have none.
+NO_SUBJECT = {i: t.alone for i, t in enumerate(TEMPLATES) if t.alone}
+# Base tables of the templates.
 TABLES = {
-    "parcels": [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 20, 21, 22, 23, 25, 26, 27, 28,
-                29, 34, 35, 36, 37, 38, 39, 40, 41, 42, 43, 44, 45, 46],
-    "handoffs": [2, 15, 16, 17, 18, 19, 22, 24, 30, 39, 40, 41, 45],
-    "senders": [6, 10, 12, 13, 14, 25, 34, 36],
-    "scales": [14],
-    "depots": [35],
-    "ghost_scans": [44],
-    "crews": [47, 48, 49, 51, 52],
-    "rosters": [49, 50],
+    name: [i for i, t in enumerate(TEMPLATES) if name in t.tables.split()]
+    for name in sorted({name for t in TEMPLATES for name in t.tables.split()})
 }
 
 

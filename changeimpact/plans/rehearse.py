@@ -65,7 +65,7 @@ class Rehearsal:
         return findings.forecast_summary(self.changes, totals, self.counted, lineage)
 
     def gate(self, fail_on: str = "hard,unknown") -> DataFrame:
-        return findings.gate(self.changes, self.counted, fail_on)
+        return findings.gate(self.changes, self.counted, fail_on, findings.statement_totals(self.log))
 
     @cached_property
     def worst(self) -> DataFrame:

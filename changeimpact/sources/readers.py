@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from changeimpact.functions import predicates, text
@@ -13,8 +15,10 @@ GOLD_SCHEMA = "cases array<struct<id:string, case_id:string, stratum:string, gol
 TABLES_SCHEMA = "map<string,array<string>>"
 
 
-def read_sql_folder(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
-    """Every ``*.sql`` file of a folder is one statement, its id the file's stem."""
+def read_sql_folder(spark: SparkSession, path: str, dataset: str) -> DataFrame:
+    """Every ``*.sql`` file of a folder is one statement of ``dataset``, its id the file's stem."""
+    if not dataset:
+        raise ValueError("name the dataset whose changes the statements are to meet")
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.sql")
     log = files.select(
         F.regexp_replace("_metadata.file_name", r"\.sql$", "").alias("query_id"),
@@ -26,14 +30,16 @@ def read_sql_folder(spark: SparkSession, path: str, dataset: str | None = None)
     return log
 
 
-def read_sql_tree(spark: SparkSession, path: str, table: str, column: str) -> DataFrame:
+def read_sql_tree(
+    spark: SparkSession, path: str, table: str, column: str, skipped_folders: tuple[str, ...] = ("tests",)
+) -> DataFrame:
     """Statements below ``path`` that mention the table and the column, template markup stripped.
 
-    Files under ``tests/`` and ``mozfun`` are skipped; bad bytes become the replacement character.
+    Files under ``skipped_folders`` are left out; bad bytes become the replacement character.
     """
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.sql")
     rows = files.select(F.col("_metadata.file_path").alias("query_id"), F.col("value").alias("raw"))
-    skipped = F.rlike("query_id", F.lit("(^|/)(tests|mozfun)/"))
+    skipped = F.rlike("query_id", F.lit(rf"(^|/)({'|'.join(map(re.escape, skipped_folders))})/"))
     return (
         rows.where(~skipped)
         .select(

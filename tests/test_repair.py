@@ -54,8 +54,8 @@ def test_rewrite(repairs, name):
 def test_reasons(repairs):
     reason = {r["query_id"]: r["reason"] for r in repairs if r["change_id"] == "r"}
     assert reason["star_left"] == repair.RESIDUAL_STAR_REASON
-    assert reason["using"].startswith("incomplete repair — residual reference remains (hard: JOIN)")
-    assert reason["cleared"] == "binds to handoffs, not the subject — nothing to fix"
+    assert reason["using"].startswith("the rewritten statement still refers to the column")
+    assert reason["cleared"] == "bound elsewhere — handoffs"
     assert [r["reason"] for r in repairs if r["change_id"] == "r" and r["query_id"] == "twice"] == [repair.DUPLICATE_REASON] * 2
     drops = [r for r in repairs if r["change_id"] == "d" and r["query_id"] != "twice"]
     assert drops and all(r["reason"] == repair.DROP_REASON and r["severity"] is None for r in drops)

@@ -118,11 +118,7 @@ def test_cache_key_ignores_order_and_case_of_column(spark):
 
 
 def test_unknown_bucket(spark):
-    cases = [
-        ("parse failed: x", "PARSE", "unparseable"), ("SELECT * may hide", "STAR", "star"), (None, "STAR", "star"),
-        ("couldn't resolve table x — not guessing", "WHERE", "unresolvable_qualifier"),
-        ("unqualified `x` with 2 tables in scope", "WHERE", "unresolvable"), ("alias reused", "WHERE", "other_unknown"),
-        (None, "WHERE", "other_unknown"),
-    ]
-    df = spark.createDataFrame(cases, "r string, e string, want string")
-    assert df.where(text.unknown_bucket(F.col("r"), F.col("e")) != F.col("want")).count() == 0
+    cases = [("parse", "unparseable"), ("star", "star"), ("unresolved_table", "unresolvable_qualifier"), ("ambiguous_bare", "unresolvable"),
+             ("unexplained", "unexplained"), ("alias_shadowed", "other_unknown"), (None, "other_unknown")]
+    df = spark.createDataFrame(cases, "k string, want string")
+    assert df.where(text.unknown_bucket(F.col("k")) != F.col("want")).count() == 0
