@@ -8,11 +8,13 @@
    coordinates of each. Pairs seen once can't collide, so only the rarest shared ones are posted, with
    frequencies counted over all classes. Skip: long lists are those left out; what collides in a short
    list is compared on the whole signature instead of being merged from the long ones.
-4. In each list every class first meets the list's smallest class. Classes that agree almost fully are
-   taken as one for now, and only lists that still hold different ones yield further pairs, so a list
-   of thousands of copies gives a row for each copy and not for each pair.
-5. Retained pairs are confirmed on the full shingle sets of the texts. Should a pair that was taken as
-   one fail there, step 4 is repeated with confirmed links alone, so no pair goes unseen.
+4. In each list every class first meets one class of the list, drawn by a hash; what is retained is confirmed
+   on the full shingle sets of the texts, and linked classes get a common label. This is done three times, the
+   later times with a draw of each list's own and only between classes that bear different labels. So a list of
+   thousands of copies gives a row for each copy, and for the few not linked yet some more, instead of one
+   for each pair.
+5. Lists that still hold classes with different labels give all pairs of such classes, which are compared and
+   confirmed likewise: no pair that could join two groups goes unseen.
 6. Connected components of the links give each document its class.
 
 MinHash is a random test: a pair exactly at the similarity asked for is missed with a chance of about
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from changeimpact.llm.common import components, ship, stage
 
-COORDINATES, MATCH, SURE, SEED = 64, 38, 59, 7
+COORDINATES, MATCH, DRAWS, SEED = 64, 38, 3, 7
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -101,23 +103,53 @@ def posted(reps: DataFrame, coordinates: int, match: int) -> DataFrame:
     return mine.select("node", "n", F.inline(F.slice("own", F.lit(1), left))).select("k", "v", "node", "n")
 
 
-def led(posts: DataFrame, close) -> DataFrame:
-    """Pairs (a, b) of every class with the smallest one of each of its lists."""
-    lists = posts.groupBy("k", "v").agg(F.min(F.struct("node", "n")).alias("first"), F.count(F.lit(1)).alias("m"))
-    lists = lists.filter("m > 1").select("k", "v", F.col("first.node").alias("a"), F.col("first.n").alias("na"))
-    pairs = posts.join(lists, ["k", "v"]).filter((F.col("node") != F.col("a")) & close(F.col("na"), F.col("n")))
-    return pairs.select("a", F.col("node").alias("b")).distinct()
+def unlinked(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The postings, with their component as ``c``, of lists that hold more than one component."""
+    if labels is None:
+        own = posts.withColumn("c", F.col("node"))
+    else:
+        own = posts.join(labels, "node", "left").select("k", "v", "node", "n", F.coalesce("component", "node").alias("c"))
+    lists = own.groupBy("k", "v").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("k", "v")
+    return own.join(lists, ["k", "v"], "left_semi")
+
+
+def pairs_of(x: DataFrame, y: DataFrame, close) -> DataFrame:
+    """Distinct pairs (a < b) of rows that share a list, differ in component and are near in size."""
+    other = y.select("k", "v", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "c")])
+    met = x.join(other, ["k", "v"]).filter((F.col("c") != F.col("c2")) & close(F.col("n"), F.col("n2")))
+    return met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+
+
+def relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels after new links: every label next to a smaller one gives way to it, one step for each call.
+
+    Equal labels always mean linked classes; that linked ones may still differ costs comparisons, not links.
+    """
+    if labels is None:
+        labels = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node"))
+    else:
+        new = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
+        labels = labels.unionByName(new.withColumn("component", F.col("node")))
+    named = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    ends = links.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(named, "b")
+    lower = ends.filter("ca <> cb").groupBy(F.greatest("ca", "cb").alias("component")).agg(F.min(F.least("ca", "cb")).alias("lower"))
+    return stage(labels.join(lower, "component", "left").select("node", F.coalesce("lower", "component").alias("component")), "labels")
+
+
+def led(posts: DataFrame, labels: DataFrame | None, draw: int, close) -> DataFrame:
+    """Pairs of every class with one class of each of its lists."""
+    own = unlinked(posts, labels)
+    # The first draw is the same in lists of the same classes, the later ones differ from list to list.
+    drawn = F.xxhash64("node", F.lit(draw), F.when(F.lit(draw > 0), F.col("k")))
+    first = F.min(F.struct(drawn.alias("h"), "node", "n", "c"))
+    leaders = own.groupBy("k", "v").agg(first.alias("x")).select("k", "v", "x.node", "x.n", "x.c")
+    return pairs_of(leaders, own, close)
 
 
 def crossed(posts: DataFrame, labels: DataFrame, close) -> DataFrame:
-    """Pairs (a < b) that share a list and bear different labels."""
-    own = posts.join(labels, "node", "left").select("k", "v", "node", "n", F.coalesce("component", "node").alias("c"))
-    mixed_lists = own.groupBy("k", "v").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("k", "v")
-    own = stage(own.join(mixed_lists, ["k", "v"], "left_semi"), "lists")
-    x = own.select("k", "v", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    y = own.select("k", "v", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    pairs = x.join(y, ["k", "v"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close(F.col("na"), F.col("nb")))
-    return pairs.select("a", "b").distinct()
+    """All pairs of classes that share a list and are in different components."""
+    own = stage(unlinked(posts, labels), "lists")
+    return pairs_of(own, own, close)
 
 
 def agreements(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -134,7 +166,7 @@ def agreements(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "a long, b long, agree int")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, broadcast_bytes: int) -> DataFrame:
     """The pairs whose full shingle sets reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,12 +185,17 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
             yield out
 
     texts = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    asked = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "asked")
+    # Only the texts of these ids are moved. Their number is measured; a long list is joined, not broadcast.
+    short = asked.count() * 16 <= broadcast_bytes
+    texts = texts.join(F.broadcast(asked) if short else asked, "doc_id", "left_semi")
     met = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(
-    docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = COORDINATES, match: int = MATCH, sure: int = SURE
+    docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = COORDINATES, match: int = MATCH,
+    draws: int = DRAWS, broadcast_bytes: int = 16 << 20,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, set_hi, set_lo, component_id, kept."""
     ship(docs.sparkSession)
@@ -174,16 +211,15 @@ def near_duplicates(
     def close(x, y):
         return (100 * F.least(x, y) >= percent * F.greatest(x, y))
 
-    first = stage(agreements(led(posts, close), reps).filter(F.col("agree") >= match), "led")
-    same = components(first.filter(F.col("agree") >= sure))
-    rest = agreements(crossed(posts, same, close), reps).filter(F.col("agree") >= match)
-    links = stage(confirmed(first.select("a", "b").unionByName(rest.select("a", "b")).distinct(), docs, shingle, percent), "links")
-    if not first.filter(F.col("agree") >= sure).join(links, ["a", "b"], "left_anti").isEmpty():
-        true = components(links)
-        more = agreements(crossed(posts, true, close), reps).filter(F.col("agree") >= match).select("a", "b")
-        known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(links)
-        more = confirmed(more.join(known, ["a", "b"], "left_anti"), docs, shingle, percent)
-        links = links.unionByName(stage(more, "links"))
+    labels, links, seen = None, None, None
+    for draw in range(draws + 1):
+        pairs = led(posts, labels, draw, close) if draw < draws else crossed(posts, labels, close)
+        if seen is not None:
+            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+        near = stage(agreements(pairs, reps).filter(F.col("agree") >= match).select("a", "b"), "near")
+        new = stage(confirmed(near, docs, shingle, percent, broadcast_bytes), "links")
+        links, seen = (new, near) if links is None else (links.unionByName(new), seen.unionByName(near))
+        labels = relabelled(labels, new) if draw < draws else labels
     owned = prints.select("doc_id", "n", "hi", "lo").join(classes, ["hi", "lo"], "left")
     # One id on several classes links them.
     several = owned.filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
