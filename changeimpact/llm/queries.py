@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from changeimpact.llm import (
     chat, decontaminate, html_text, neardup, pii, quality_rules, sentencepiece_codec, sharding, substrings, warc,
 )
+from changeimpact.llm.check_sql import ORACLES  # noqa: F401  (read by the driver contract)
 from changeimpact.llm.common import shared_folder, table
 
 
@@ -94,4 +95,4 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_sentencepiece": op10_sentencepiece,
 }
-ORACLES: dict[str, str] = {}
+
