@@ -1,7 +1,9 @@
 """Prediction runs against gold labels.
 
-Predictions are (run, query_id, predicted); gold is (query_id, stratum, gold). All
-runs are scored by one aggregation. Lists of misses are rows, not arrays.
+Predictions are (run, query_id, predicted); gold is (query_id, stratum, gold). With a
+change_id in all of them a case is a statement under a change, and every figure is
+given per change. All runs are scored by one aggregation. Lists of misses are rows,
+not arrays.
 """
 
 from __future__ import annotations
@@ -11,36 +13,42 @@ from pyspark.sql import Column, DataFrame, functions as F
 from changeimpact.functions import predicates
 
 
+def _by(df: DataFrame, *columns: str) -> list[str]:
+    """The columns, after change_id where the cases have one."""
+    return [*(c for c in ("change_id",) if c in df.columns), *columns]
+
+
 def everything_breaks(gold: DataFrame, run: str = "everything") -> DataFrame:
-    return gold.select(F.lit(run).alias("run"), "query_id", F.lit("hard").alias("predicted"))
+    return gold.select(F.lit(run).alias("run"), *_by(gold, "query_id"), F.lit("hard").alias("predicted"))
 
 
 def substring_run(log: DataFrame, column: Column, run: str = "substring") -> DataFrame:
     return log.select(
-        F.lit(run).alias("run"), "query_id", predicates.substring_prediction(F.col("sql"), column).alias("predicted")
+        F.lit(run).alias("run"), *_by(log, "query_id"), predicates.substring_prediction(F.col("sql"), column).alias("predicted")
     )
 
 
 def predicted_labels(gold: DataFrame, findings: DataFrame, run: str) -> DataFrame:
     """Severity of each labelled statement; no finding means unaffected."""
-    found = findings.select("query_id", "severity")
-    return gold.select("query_id").join(found, "query_id", "left").select(
-        F.lit(run).alias("run"), "query_id", F.coalesce("severity", F.lit("unaffected")).alias("predicted")
+    case = _by(gold, "query_id")
+    found = findings.select(*case, "severity")
+    return gold.select(*case).join(found, case, "left").select(
+        F.lit(run).alias("run"), *case, F.coalesce("severity", F.lit("unaffected")).alias("predicted")
     )
 
 
 def scored(gold: DataFrame, predictions: DataFrame) -> DataFrame:
-    return predictions.join(gold, "query_id")
+    return predictions.join(gold, _by(gold, "query_id"))
 
 
 def confusion_matrix(cases: DataFrame) -> DataFrame:
     """Counts over all pairs of classes, zeros kept."""
-    counted = cases.groupBy("run", "gold", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    counted = cases.groupBy(*_by(cases, "run", "gold", "predicted")).agg(F.count(F.lit(1)).alias("n"))
     classes = F.array(*[F.lit(s) for s in predicates.SEVERITIES])
-    grid = cases.select("run").distinct().withColumn("gold", F.explode(classes)).withColumn(
+    grid = cases.select(*_by(cases, "run")).distinct().withColumn("gold", F.explode(classes)).withColumn(
         "predicted", F.explode(classes)
     )
-    return grid.join(counted, ["run", "gold", "predicted"], "left").fillna(0, ["n"])
+    return grid.join(counted, _by(cases, "run", "gold", "predicted"), "left").fillna(0, ["n"])
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
@@ -52,7 +60,7 @@ def class_metrics(cases: DataFrame) -> DataFrame:
     classes = F.array(*[F.lit(s) for s in predicates.SEVERITIES])
     rows = cases.withColumn("class", F.explode(classes))
     gold, predicted = F.col("gold") == F.col("class"), F.col("predicted") == F.col("class")
-    return rows.groupBy("run", "class").agg(
+    return rows.groupBy(*_by(cases, "run", "class")).agg(
         _ratio(F.count_if(gold & predicted), F.count_if(predicted)).alias("precision"),
         _ratio(F.count_if(gold & predicted), F.count_if(gold)).alias("recall"),
     )
@@ -63,7 +71,7 @@ def run_metrics(cases: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     gold, predicted, decoy = F.col("gold"), F.col("predicted"), F.col("stratum") == "decoy"
     hit = F.count_if((gold == "hard") & (predicted == "hard"))
-    return cases.groupBy("run").agg(
+    return cases.groupBy(*_by(cases, "run")).agg(
         n.alias("n_cases"),
         _ratio(F.count_if(gold == predicted), n).alias("accuracy"),
         _ratio(hit, F.count_if(predicted == "hard")).alias("hard_precision"),
@@ -74,20 +82,20 @@ def run_metrics(cases: DataFrame) -> DataFrame:
 
 
 def stratum_report(cases: DataFrame) -> DataFrame:
-    return cases.groupBy("run", "stratum").agg(
+    return cases.groupBy(*_by(cases, "run", "stratum")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("gold") == F.col("predicted")).alias("n_correct")
     )
 
 
 def misses(cases: DataFrame) -> DataFrame:
     told = F.concat("query_id", F.lit(":"), "gold", F.lit("->"), "predicted")
-    return cases.where(F.col("gold") != F.col("predicted")).select("run", "stratum", "query_id", told.alias("miss"))
+    return cases.where(F.col("gold") != F.col("predicted")).select(*_by(cases, "run", "stratum", "query_id"), told.alias("miss"))
 
 
 def agreement(cases: DataFrame) -> DataFrame:
     """Per case whether the prediction agrees with the label."""
     return cases.select(
-        "run", "query_id", "stratum", "gold", "predicted", (F.col("gold") == F.col("predicted")).alias("agree")
+        *_by(cases, "run", "query_id", "stratum", "gold", "predicted"), (F.col("gold") == F.col("predicted")).alias("agree")
     )
 
 
@@ -97,7 +105,7 @@ def adjudicator_lift(gold: DataFrame, base: DataFrame, ruled: DataFrame) -> Data
     was_unknown = F.col("before") == "unknown"
     bound = was_unknown & (F.col("after") != "unknown")
     n_bound, n_unknown = F.count_if(bound), F.count_if(was_unknown)
-    return df.groupBy("run").agg(
+    return df.groupBy(*_by(df, "run")).agg(
         n_unknown.alias("base_unknowns"),
         n_bound.alias("bound"),
         _ratio(n_bound, n_unknown).alias("bind_rate"),
@@ -109,13 +117,14 @@ def bound_cases(gold: DataFrame, base: DataFrame, ruled: DataFrame) -> DataFrame
     df = _before_after(gold, base, ruled).where(
         (F.col("before") == "unknown") & (F.col("after") != "unknown")
     )
-    return df.select("run", "query_id", F.col("after").alias("predicted"), "gold")
+    return df.select(*_by(df, "run", "query_id"), F.col("after").alias("predicted"), "gold")
 
 
 def _before_after(gold: DataFrame, base: DataFrame, ruled: DataFrame) -> DataFrame:
-    before = base.select("query_id", F.col("predicted").alias("before"))
-    after = ruled.select("run", "query_id", F.col("predicted").alias("after"))
-    return gold.join(before, "query_id").join(after, "query_id")
+    case = _by(gold, "query_id")
+    before = base.select(*case, F.col("predicted").alias("before"))
+    after = ruled.select("run", *case, F.col("predicted").alias("after"))
+    return gold.join(before, case).join(after, case)
 
 
 def metrics_text(metrics: DataFrame) -> DataFrame:
@@ -124,4 +133,4 @@ def metrics_text(metrics: DataFrame) -> DataFrame:
     cells = [F.coalesce(F.format_string("%.2f", F.col(n)), F.lit("n/a")) for n in names]
     shown = [F.when(F.col(n).isNull(), F.lit("n/a")).otherwise(c) for n, c in zip(names, cells)]
     line = F.concat(F.lit("| "), F.concat_ws(" | ", F.col("run"), *shown), F.lit(" |"))
-    return metrics.select("run", line.alias("line"))
+    return metrics.select(*_by(metrics, "run"), line.alias("line"))

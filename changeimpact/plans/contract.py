@@ -441,7 +441,7 @@ def defect_flags(spark, sf_dir):
 
 def _gold(spark, sf_dir):
     run = rehearsal(spark, sf_dir)
-    return run, fx.gold_labels(spark, run.log), run.stored_findings.where(F.col("change_id") == "c1")
+    return run, fx.gold_labels(spark, run.log), run.stored_findings
 
 
 def _cache(requests: DataFrame) -> DataFrame:
@@ -465,56 +465,57 @@ def _rulings(run: Rehearsal) -> DataFrame:
 
 def _runs_of(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     run, gold, found = _gold(spark, sf_dir)
-    log = run.log.where(F.col("dataset") == fx.EXPOSURES)
+    log = run.log.join(run.changes.select("change_id", "dataset", "column"), "dataset")
     binder = quality.predicted_labels(gold, found, "binder")
     heuristic = quality.predicted_labels(gold, adjudicate.adjudicate(found), "heuristic")
     ruled = quality.predicted_labels(gold, adjudicate.apply_rulings(found, _rulings(run)), "cached")
     predictions = (
-        quality.everything_breaks(gold).unionByName(quality.substring_run(log, F.lit("band")))
+        quality.everything_breaks(gold).unionByName(quality.substring_run(log, F.col("column")))
         .unionByName(binder).unionByName(heuristic).unionByName(ruled)
     )
     return gold, predictions, binder
 
 
-_RULED = BASE + f"""
-, c1 AS (SELECT l.query_id, l.stratum, l.gold, l.sql, l.event_id, g.unknown_kind, g.evidence, coalesce(g.severity, 'unaffected') AS binder
-  FROM log l LEFT JOIN gold g ON l.tid = g.tid AND g.change_id = 'c1' WHERE ds = '{fx.EXPOSURES}'),
-part AS (SELECT sql, min(event_id) % 3 AS part FROM c1 WHERE unknown_kind = 'ambiguous_bare' GROUP BY 1),
-runs AS (SELECT 'everything' AS run, query_id, stratum, gold, 'hard' AS predicted FROM c1
-  UNION ALL SELECT 'substring', query_id, stratum, gold, CASE WHEN contains(lower(sql), 'band') THEN 'hard' ELSE 'unaffected' END FROM c1
-  UNION ALL SELECT 'binder', query_id, stratum, gold, binder FROM c1
-  UNION ALL SELECT 'heuristic', query_id, stratum, gold, CASE WHEN binder <> 'unknown' OR evidence IN ('STAR', 'PARSE') THEN binder
+_RULED = BASE + """
+, c1 AS (SELECT c.change_id, l.query_id, l.stratum, CASE WHEN c.change_id = 'c1' THEN l.gold ELSE coalesce(g.severity, 'unaffected') END AS gold,
+  l.sql, l.event_id, c.col, g.unknown_kind, g.evidence, coalesce(g.severity, 'unaffected') AS binder
+  FROM log l JOIN changes c ON l.ds = c.dataset LEFT JOIN gold g ON l.tid = g.tid AND g.change_id = c.change_id),
+part AS (SELECT change_id, sql, min(event_id) % 3 AS part FROM c1 WHERE unknown_kind = 'ambiguous_bare' GROUP BY 1, 2),
+runs AS (SELECT 'everything' AS run, change_id, query_id, stratum, gold, 'hard' AS predicted FROM c1
+  UNION ALL SELECT 'substring', change_id, query_id, stratum, gold, CASE WHEN contains(lower(sql), col) THEN 'hard' ELSE 'unaffected' END FROM c1
+  UNION ALL SELECT 'binder', change_id, query_id, stratum, gold, binder FROM c1
+  UNION ALL SELECT 'heuristic', change_id, query_id, stratum, gold, CASE WHEN binder <> 'unknown' OR evidence IN ('STAR', 'PARSE') THEN binder
     WHEN evidence = 'SELECT' THEN 'soft' ELSE 'hard' END FROM c1
-  UNION ALL SELECT 'cached', query_id, stratum, gold, CASE WHEN part = 0 THEN 'hard' ELSE binder END
-    FROM c1 LEFT JOIN part ON c1.sql = part.sql AND unknown_kind = 'ambiguous_bare'),
+  UNION ALL SELECT 'cached', c1.change_id, query_id, stratum, gold, CASE WHEN part = 0 AND c1.change_id <> 'c3' THEN 'hard' ELSE binder END
+    FROM c1 LEFT JOIN part ON c1.change_id = part.change_id AND c1.sql = part.sql AND unknown_kind = 'ambiguous_bare'),
 cls(class) AS (VALUES ('hard'), ('soft'), ('unknown'), ('unaffected'))
 """
 
 
 @register("confusion_matrix", _RULED + """
-SELECT r.run, a.class AS gold, b.class AS predicted, count(x.query_id) AS n FROM (SELECT DISTINCT run FROM runs) r CROSS JOIN cls a CROSS JOIN cls b
-LEFT JOIN runs x ON x.run = r.run AND x.gold = a.class AND x.predicted = b.class GROUP BY 1, 2, 3""")
+SELECT r.change_id, r.run, a.class AS gold, b.class AS predicted, count(x.query_id) AS n FROM (SELECT DISTINCT change_id, run FROM runs) r CROSS JOIN cls a CROSS JOIN cls b
+LEFT JOIN runs x ON x.change_id = r.change_id AND x.run = r.run AND x.gold = a.class AND x.predicted = b.class GROUP BY 1, 2, 3, 4""")
 def confusion_matrix(spark, sf_dir):
     gold, predictions, _ = _runs_of(spark, sf_dir)
     return quality.confusion_matrix(quality.scored(gold, predictions))
 
 
 @register("class_metrics", _RULED + """
-SELECT run, class, round(count(*) FILTER (gold = class AND predicted = class) / nullif(count(*) FILTER (predicted = class), 0), 6) AS precision,
+SELECT change_id, run, class, round(count(*) FILTER (gold = class AND predicted = class) / nullif(count(*) FILTER (predicted = class), 0), 6) AS precision,
   round(count(*) FILTER (gold = class AND predicted = class) / nullif(count(*) FILTER (gold = class), 0), 6) AS recall
-FROM runs CROSS JOIN cls GROUP BY 1, 2""")
+FROM runs CROSS JOIN cls GROUP BY 1, 2, 3""")
 def class_metrics(spark, sf_dir):
     gold, predictions, _ = _runs_of(spark, sf_dir)
     return quality.class_metrics(quality.scored(gold, predictions))
 
 
 _METRICS = """
-SELECT run, count(*) AS n_cases, round(count(*) FILTER (gold = predicted) / count(*), 6) AS accuracy,
+SELECT change_id, run, count(*) AS n_cases, round(count(*) FILTER (gold = predicted) / count(*), 6) AS accuracy,
   round(count(*) FILTER (gold = 'hard' AND predicted = 'hard') / nullif(count(*) FILTER (predicted = 'hard'), 0), 6) AS hard_precision,
   round(count(*) FILTER (gold = 'hard' AND predicted = 'hard') / nullif(count(*) FILTER (gold = 'hard'), 0), 6) AS hard_recall,
   round(count(*) FILTER (predicted = 'unknown') / count(*), 6) AS unknown_rate,
   round(count(*) FILTER (stratum = 'decoy' AND predicted <> 'unaffected') / nullif(count(*) FILTER (stratum = 'decoy'), 0), 6) AS decoy_fp_rate
-FROM runs GROUP BY 1"""
+FROM runs GROUP BY 1, 2"""
 
 
 @register("baseline_runs", _RULED + _METRICS)
@@ -523,37 +524,40 @@ def baseline_runs(spark, sf_dir):
     return quality.run_metrics(quality.scored(gold, predictions))
 
 
+_SHOWN = ["accuracy", "hard_precision", "hard_recall", "unknown_rate", "decoy_fp_rate"]
+_CELLS = " || ' | ' || ".join(f"coalesce(CAST(CAST({name} AS DECIMAL(9, 6)) AS DECIMAL(9, 2))::VARCHAR, 'n/a')" for name in _SHOWN)
+
+
 @register("metrics_text", _RULED + f"""
-SELECT run, '| ' || run || ' | ' || printf('%.2f', accuracy) || ' | ' || printf('%.2f', hard_precision) || ' | ' || printf('%.2f', hard_recall)
-  || ' | ' || printf('%.2f', unknown_rate) || ' | ' || printf('%.2f', decoy_fp_rate) || ' |' AS line FROM ({_METRICS})""")
+SELECT change_id, run, '| ' || run || ' | ' || {_CELLS} || ' |' AS line FROM ({_METRICS})""")
 def metrics_text(spark, sf_dir):
     return quality.metrics_text(baseline_runs(spark, sf_dir))
 
 
-@register("stratum_report", _RULED + "SELECT run, stratum, count(*) AS n, count(*) FILTER (gold = predicted) AS n_correct FROM runs GROUP BY 1, 2")
+@register("stratum_report", _RULED + "SELECT change_id, run, stratum, count(*) AS n, count(*) FILTER (gold = predicted) AS n_correct FROM runs GROUP BY 1, 2, 3")
 def stratum_report(spark, sf_dir):
     gold, predictions, _ = _runs_of(spark, sf_dir)
     return quality.stratum_report(quality.scored(gold, predictions))
 
 
-@register("misses", _RULED + "SELECT run, stratum, query_id, query_id || ':' || gold || '->' || predicted AS miss FROM runs WHERE gold <> predicted")
+@register("misses", _RULED + "SELECT change_id, run, stratum, query_id, query_id || ':' || gold || '->' || predicted AS miss FROM runs WHERE gold <> predicted")
 def misses(spark, sf_dir):
     gold, predictions, _ = _runs_of(spark, sf_dir)
     return quality.misses(quality.scored(gold, predictions))
 
 
-@register("agreement", _RULED + "SELECT run, query_id, stratum, gold, predicted, gold = predicted AS agree FROM runs")
+@register("agreement", _RULED + "SELECT change_id, run, query_id, stratum, gold, predicted, gold = predicted AS agree FROM runs")
 def agreement(spark, sf_dir):
     gold, predictions, _ = _runs_of(spark, sf_dir)
     return quality.agreement(quality.scored(gold, predictions))
 
 
 @register("adjudicator_lift", _RULED + """
-, ba AS (SELECT r.run, c1.gold, c1.binder, r.predicted FROM runs r JOIN c1 ON r.query_id = c1.query_id WHERE run IN ('heuristic', 'cached'))
-SELECT run, count(*) FILTER (binder = 'unknown') AS base_unknowns, count(*) FILTER (binder = 'unknown' AND predicted <> 'unknown') AS bound,
+, ba AS (SELECT r.change_id, r.run, c1.gold, c1.binder, r.predicted FROM runs r JOIN c1 ON r.query_id = c1.query_id AND r.change_id = c1.change_id WHERE run IN ('heuristic', 'cached'))
+SELECT change_id, run, count(*) FILTER (binder = 'unknown') AS base_unknowns, count(*) FILTER (binder = 'unknown' AND predicted <> 'unknown') AS bound,
   round(count(*) FILTER (binder = 'unknown' AND predicted <> 'unknown') / nullif(count(*) FILTER (binder = 'unknown'), 0), 6) AS bind_rate,
   round(count(*) FILTER (binder = 'unknown' AND predicted <> 'unknown' AND predicted = gold)
-    / nullif(count(*) FILTER (binder = 'unknown' AND predicted <> 'unknown'), 0), 6) AS bind_accuracy FROM ba GROUP BY 1""")
+    / nullif(count(*) FILTER (binder = 'unknown' AND predicted <> 'unknown'), 0), 6) AS bind_accuracy FROM ba GROUP BY 1, 2""")
 def adjudicator_lift(spark, sf_dir):
     gold, predictions, binder = _runs_of(spark, sf_dir)
     ruled = predictions.where(F.col("run").isin("heuristic", "cached"))
@@ -561,7 +565,7 @@ def adjudicator_lift(spark, sf_dir):
 
 
 @register("bound_cases", _RULED + """
-SELECT r.run, r.query_id, r.predicted, c1.gold FROM runs r JOIN c1 ON r.query_id = c1.query_id
+SELECT r.change_id, r.run, r.query_id, r.predicted, c1.gold FROM runs r JOIN c1 ON r.query_id = c1.query_id AND r.change_id = c1.change_id
 WHERE run IN ('heuristic', 'cached') AND binder = 'unknown' AND r.predicted <> 'unknown'""")
 def bound_cases(spark, sf_dir):
     gold, predictions, binder = _runs_of(spark, sf_dir)
@@ -980,12 +984,12 @@ def finding_projection(spark, sf_dir):
 
 
 @register("explain_findings", BASE + """
-, asked AS (SELECT query_id, change_id FROM log CROSS JOIN (VALUES ('c1')) t(change_id))
+, asked AS (SELECT query_id, change_id FROM log JOIN changes ON ds = dataset)
 SELECT a.change_id, a.query_id, severity, evidence, sql_snippet, unknown_reason, unknown_kind, CASE WHEN severity IS NOT NULL THEN severity = 'unaffected' END AS cleared,
   CASE WHEN severity IS NULL THEN 'query_id not in latest rehearsal findings (may be NO_REFERENCE / no query evidence)' END AS note
 FROM asked a LEFT JOIN f ON a.query_id = f.query_id AND a.change_id = f.change_id""")
 def explain_findings(spark, sf_dir):
     run = rehearsal(spark, sf_dir)
-    asked = run.log.select("query_id", F.lit("c1").alias("change_id"))
+    asked = run.log.join(run.changes.select("change_id", "dataset"), "dataset").select("query_id", "change_id")
     return report.explain_findings(asked, run.stored_findings).drop("agent_note")
 

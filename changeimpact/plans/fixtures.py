@@ -296,13 +296,13 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def gold_labels(spark: SparkSession, log: DataFrame, change_id: str = "c1") -> DataFrame:
-    """Hand labels of one change for the statements of its dataset."""
-    dataset = next(c[1] for c in CHANGES if c[0] == change_id)
+def gold_labels(spark: SparkSession, log: DataFrame) -> DataFrame:
+    """Hand labels of the statements of each change's dataset."""
     rows = [
-        (i, t.stratum, t.gold or t.verdicts.get(change_id, ("unaffected",))[0])
+        (i, c[0], t.stratum, (t.gold if c[0] == "c1" else None) or t.verdicts.get(c[0], ("unaffected",))[0])
         for i, t in enumerate(TEMPLATES)
-        if t.dataset == dataset
+        for c in CHANGES
+        if t.dataset == c[1]
     ]
-    labels = literal_rows(spark, "tid int, stratum string, gold string", rows)
-    return log.select("query_id", "tid").join(F.broadcast(labels), "tid").select("query_id", "stratum", "gold")
+    labels = literal_rows(spark, "tid int, change_id string, stratum string, gold string", rows)
+    return log.select("query_id", "tid").join(F.broadcast(labels), "tid").select("change_id", "query_id", "stratum", "gold")
