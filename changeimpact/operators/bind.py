@@ -19,7 +19,6 @@ FINDING_COLUMNS = [
     "change_id", "query_id", "sql_snippet", "severity", "column", "evidence", "exec_count",
     "agent_note", "unknown_reason", "unknown_kind",
 ]
-HOT_STATEMENTS = 1_000_000
 PAYLOAD = [
     "dataset", "shape", "n_statements", "column", "col", "subject", "unreadable", "mentions",
     "aliases", "tables", "derived", "unnested", "hits", "strays", "stars", "writes", "text_sid",
@@ -346,21 +345,13 @@ def classify_shapes(
     return classify_facts(facts, changes, schema_columns, use_subject)
 
 
-def join_verdicts(rows: DataFrame, verdicts: DataFrame, hot: int = HOT_STATEMENTS) -> DataFrame:
-    """Join log rows (with ``sid`` and ``query_id``) to per-shape rows that carry ``n_statements``.
+def join_verdicts(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Join log rows (with ``sid``) to per-shape rows.
 
-    A shape with more than ``hot`` statements is spread over as many tasks as it
-    has times that many statements: its verdict is repeated, its rows are dealt out.
-    The list of such shapes is at most the log's size divided by ``hot``, so it
-    can be broadcast.
+    A shape may stand for a third of the log. Its one verdict is small, so adaptive execution splits the
+    log's side of that partition over tasks, or broadcasts the verdicts if they are measured to be few.
     """
-    spread = F.ceil(F.col("n_statements") / hot).cast("int")
-    shares = verdicts.where(F.col("n_statements") > hot).select("sid", spread.alias("shares")).distinct()
-    dealt = rows.join(F.broadcast(shares), "sid", "left").withColumn(
-        "share", F.pmod(F.xxhash64("query_id"), F.coalesce("shares", F.lit(1))).cast("int")
-    ).drop("shares")
-    repeated = verdicts.withColumn("share", F.explode(F.sequence(F.lit(0), F.greatest(spread, F.lit(1)) - 1)))
-    return dealt.join(repeated.drop("n_statements"), ["sid", "share"]).drop("share")
+    return rows.join(verdicts.drop("n_statements"), "sid")
 
 
 def findings_of(fingerprinted: DataFrame, verdicts: DataFrame) -> DataFrame:

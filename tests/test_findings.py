@@ -107,7 +107,7 @@ def test_rulings_change_only_unknowns(spark, found):
     assert got["q6"]["unknown_reason"] == "parse failed: x"
 
 
-def test_residue_prefers_kind_over_wording(spark):
+def test_residue_goes_by_kind(spark):
     rows = literal_rows(spark, SCHEMA, [
         finding("a", "kind", "unknown", kind="ambiguous_bare", reason="other words"),
         finding("a", "parse", "unknown", kind="parse", reason="2 tables in scope"),
@@ -115,7 +115,7 @@ def test_residue_prefers_kind_over_wording(spark):
         finding("a", "star", "unknown", "STAR", reason="tables in scope"),
         finding("a", "hard", "hard", kind="ambiguous_bare"),
     ])
-    assert {r["query_id"] for r in adjudicate.residue(rows).collect()} == {"kind", "worded"}
+    assert {r["query_id"] for r in adjudicate.residue(rows).collect()} == {"kind"}
 
 
 def test_metrics_against_brute_force(spark):
@@ -145,7 +145,7 @@ def test_hot_shapes_are_spread_and_stay_whole(spark):
         F.concat(F.lit("q"), F.col("id").cast("string")).alias("query_id"))
     verdicts = rows.groupBy("sid").agg(F.count("*").alias("n_statements")).withColumn("change_id", F.lit("c"))
     verdicts = verdicts.unionByName(verdicts.withColumn("change_id", F.lit("d")))
-    got = bind.join_verdicts(rows, verdicts, hot=50)
+    got = bind.join_verdicts(rows, verdicts)
     assert got.count() == 2000 and got.distinct().count() == 2000
     assert sorted(got.columns) == ["change_id", "query_id", "sid"]
 

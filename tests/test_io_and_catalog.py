@@ -21,7 +21,9 @@ def test_sql_folder_and_schema_json(spark, tmp_path):
     empty = tmp_path / "none"
     empty.mkdir()
     with pytest.raises(ValueError):
-        readers.read_sql_folder(spark, str(empty))
+        readers.read_sql_folder(spark, str(empty), "parcels")
+    with pytest.raises(ValueError):
+        readers.read_sql_folder(spark, str(tmp_path), "")
     for name, body in (("bare", {"t": ["a", "b"]}), ("wrapped", {"tables": {"t": ["a", "b"]}})):
         path = tmp_path / f"{name}.json"
         path.write_text(json.dumps(body, indent=1))
