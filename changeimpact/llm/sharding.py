@@ -4,7 +4,8 @@ Pass 1 scatters rows over buckets by a seeded hash of the row; the number of buc
 measured bytes, so a bucket fits in a task's memory. Pass 2 puts each bucket in a fixed order, shuffles
 it (the SQL function ``shuffle`` is a Fisher-Yates shuffle with a given seed) and writes it. A row's place
 in the whole order is its place in the bucket plus the rows of the buckets before it; dealt round over
-the shards, counts differ by one at most and slots have no gaps.
+the shards, counts differ by one at most and slots have no gaps. The running sum is over one row per bucket
+(some six million at 100 TB), never over rows.
 
 The shuffled buckets are written before anything reads them, so a lost executor cannot mix two orders.
 Equal texts, even a third of all rows, are scattered by their ids; rows that are equal in all columns are
