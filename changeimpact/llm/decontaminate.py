@@ -3,7 +3,7 @@
 The distinct benchmark windows form a hash set. Its size is measured; within ``broadcast_bytes`` it is
 broadcast, and the texts are scanned where they lie: every word starts one row (position, word array),
 the hash of its window probes the set, and a hit counts only if the words themselves are equal. Beyond
-that size the same join is left to Spark, which shuffles it by hash. Only hits leave the scan.
+that size hashes are shuffled and joined, and a text's candidates are checked on its words. Only hits leave the scan.
 
 Defined results: null and word-free texts have no words and no hits; null item texts have no windows; a
 null item_id counts as one item written as an empty string; repeated rows get equal results; input columns
@@ -67,13 +67,17 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_byte
     else:
         each = F.array(*[window_hash(F.col("ws"), F.col("i"), n) for n in lengths])
         probe = starts.select("key", "ws", "i", F.explode(each).alias("hash"))
-    found = F.broadcast(windows) if size <= broadcast_bytes else windows
-    same = F.array_join(F.slice(F.col("ws"), F.col("i") + 1, F.col("length")), " ") == F.col("phrase")
-    return (
-        probe.join(found, (probe["hash"] == found["hash"]) & same)
-        .select("key", F.col("i").alias("start"), (F.col("i") + F.col("length")).alias("end"), "items")
-        .distinct()
-    )
+    equal = F.array_join(F.slice(F.col("ws"), F.col("i") + 1, F.col("length")), " ") == F.col("phrase")
+    if size <= broadcast_bytes:
+        small = F.broadcast(windows)
+        met = probe.join(small, (probe["hash"] == small["hash"]) & equal)
+    else:
+        # Too large a set to broadcast: hashes alone are shuffled, and a text's candidates meet its words once.
+        near = probe.select("key", "i", "hash").join(windows, "hash").groupBy("key").agg(
+            F.collect_list(F.struct("i", "length", "phrase", "items")).alias("near")
+        )
+        met = split.dropDuplicates(["key"]).join(near, "key").select("key", "ws", F.inline("near")).filter(equal)
+    return met.select("key", F.col("i").alias("start"), (F.col("i") + F.col("length")).alias("end"), "items").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20, **options) -> DataFrame:
@@ -97,19 +101,22 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("its")))).alias("items"),
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"),
     )
-    kept = without(docs, *RESULT).withColumn("__key", row_key(F.col("doc_id"), F.col("text")))
-    count = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    kept = without(docs, *RESULT).withColumns(
+        {
+            "__key": row_key(F.col("doc_id"), F.col("text")),
+            "n_words": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
+        }
+    )
     joined = kept.join(per_key.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
     none = F.array().cast("array<string>")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return joined.withColumns(
         {
-            "n_words": count,
             "n_hit": n_hit,
             "items": F.coalesce("items", none),
             "n_items": F.coalesce(F.size("items"), F.lit(0)).cast("long"),
             "spans": F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")),
-            "contaminated": (n_hit > 0) & (n_hit * share >= count),
+            "contaminated": (n_hit > 0) & (n_hit * share >= F.col("n_words")),
         }
     )
 
