@@ -14,9 +14,8 @@ Level 2. Where an anchor has several contexts, the smallest document of each sta
 extended to 26 words, to the right and to the left. Level 3. Repeated extensions give the passages of 50 words
 around them, which are compared by hash with the smallest document that has them.
 
-Equality is that of 64-bit hashes of word sequences. Texts are not shuffled while the rows to apply are
-below ``broadcast_bytes``, which is measured; beyond, they are joined by id. The words of a document, never
-those of a group, are together in one task.
+Equality is that of 64-bit hashes of word sequences. Texts are shuffled by id twice: to meet the anchors to extend,
+and the words to remove. The words of a document, never those of a group, are together in one task.
 
 Defined results: null texts have no words; a null doc_id is larger than any other; rows that repeat a doc_id
 are one document and don't repeat each other; shorter texts lose nothing; input columns named like a result
@@ -30,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changeimpact.llm.common import ship, stage, without
@@ -131,13 +130,7 @@ def extended(found: DataFrame, length: int, start: int) -> DataFrame:
     return found.mapInArrow(run, "d long, t long, p int, lo int, right long, left long, passages array<long>")
 
 
-def beside(docs: DataFrame, rows: DataFrame, how: str, broadcast_bytes: int, cells: Column) -> DataFrame:
-    """``docs`` joined with per-document ``rows`` on (d, t): broadcast if what they hold is measured to be small."""
-    size = rows.agg(F.sum(8 * cells + 64).alias("bytes")).first().bytes or 0
-    return docs.join(F.broadcast(rows) if size <= broadcast_bytes else rows, ["d", "t"], how)
-
-
-def repeats(docs: DataFrame, length: int, start: int, broadcast_bytes: int) -> DataFrame:
+def repeats(docs: DataFrame, length: int, start: int) -> DataFrame:
     """Passages to remove from ``docs(d, t, text)``: (d, t, lo, hi) as words, end exclusive."""
     found = stage(anchors(docs, length, start), "anchors")
     groups = found.groupBy("gram").agg(
@@ -152,10 +145,7 @@ def repeats(docs: DataFrame, length: int, start: int, broadcast_bytes: int) -> D
     stand = known.filter("d = first AND several").groupBy("d", "t").agg(
         F.flatten(F.collect_set(F.array("p", "lo", "hi"))).alias("at")
     )
-    wider = stage(
-        extended(beside(docs, stage(stand, "stand"), "inner", broadcast_bytes, F.size("at")).select("d", "t", "text", "at"), length, start),
-        "extended",
-    )
+    wider = stage(extended(docs.join(stand, ["d", "t"]).select("d", "t", "text", "at"), length, start), "extended")
     sides = wider.select(
         "d", "t", "p", F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("right").alias("h")), F.struct(F.lit(1).alias("side"), F.col("left").alias("h"))))
     ).filter("h IS NOT NULL")
@@ -177,17 +167,17 @@ def repeats(docs: DataFrame, length: int, start: int, broadcast_bytes: int) -> D
     return same.unionByName(mixed)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, start: int = START, broadcast_bytes: int = 24 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, start: int = START) -> DataFrame:
     """``docs`` with n_words, n_removed, removed (word ranges from, to, ... ) and kept (words left, one space between)."""
     if not start < length <= 4 * start:
         raise ValueError("three levels reach at most four times the first length")
     ship(docs.sparkSession)
     ids = {"d": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "t": F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8"))}
     narrow = docs.select(*[c.alias(n) for n, c in ids.items()], "text").filter("text IS NOT NULL")
-    gone = repeats(narrow, length, start, broadcast_bytes)
+    gone = repeats(narrow, length, start)
     gone = gone.groupBy("d", "t").agg(F.flatten(F.sort_array(F.collect_set(F.array("lo", "hi")))).alias("removed"))
     base = without(docs, *RESULT, "d", "t") if {"d", "t"} & {c.lower() for c in docs.columns} else without(docs, *RESULT)
-    met = beside(base.withColumns(ids), stage(gone, "removed"), "left", broadcast_bytes, F.size("removed")).drop("d", "t")
+    met = base.withColumns(ids).join(gone, ["d", "t"], "left").drop("d", "t")
     return applied(met)
 
 
