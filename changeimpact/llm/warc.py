@@ -10,8 +10,8 @@ as many rounds as the logarithm of the records of a file. Candidates not reached
 Of records with equal payloads of ``least`` bytes or more, that with the largest page_id is a response, the
 others are revisits without payload; reading takes their length and digest from the record they refer to.
 
-Hot payloads (a third of all pages) are combined before the shuffle; the join back moves digests and page ids
-of repeated payloads only. Defined results: a null page is an empty payload; rows that repeat a page_id give a
+Hot payloads (a third of all pages) are combined before the shuffle. The digests of repeated payloads are counted: a
+list within ``broadcast_bytes`` is broadcast and payloads stay where they are, a longer one is joined. Defined results: a null page is an empty payload; rows that repeat a page_id give a
 record each; of equal payloads all rows with the largest page_id are responses; a null page_id is smaller
 than any other and revisits the largest one; line ends in a url are written as %0D and %0A.
 """
@@ -30,7 +30,7 @@ PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"  #
 LEAST, DATE = 1000, "2000-01-01T00:00:00Z"
 
 
-def records(pages: DataFrame, least: int = LEAST, date: str = DATE) -> DataFrame:
+def records(pages: DataFrame, least: int = LEAST, date: str = DATE, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """(page_id, record): the text of every page's record, without the two line ends that close it."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     sized = pages.select(
@@ -40,6 +40,9 @@ def records(pages: DataFrame, least: int = LEAST, date: str = DATE) -> DataFrame
     groups = sized.filter(F.col("bytes") >= least).groupBy("digest").agg(
         F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")
     ).filter("n > 1").drop("n")
+    groups = stage(groups, "repeated")
+    if groups.count() * 100 <= broadcast_bytes:
+        groups = F.broadcast(groups)
     return sized.join(groups, "digest", "left").select("page_id", record_text(date).alias("record"))
 
 
