@@ -33,12 +33,15 @@ BLOCK = frozenset(
     "h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+SECTIONS = frozenset({"thead", "tbody", "tfoot"})
 #: What an opening tag ends if it is still open, up to the listed borders.
 ENDS = {
-    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}),
-    "option": ({"option"}, {"select"}),
+    "li": ({"li"}, BLOCK - {"li", "p", "div", "address"}), "dt": ({"dt", "dd"}, BLOCK - {"dt", "dd", "p", "div", "address"}),
+    "dd": ({"dt", "dd"}, BLOCK - {"dt", "dd", "p", "div", "address"}),
+    "tr": ({"tr", "td", "th", "caption"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}),
+    **{x: (SECTIONS | {"tr", "td", "th", "caption"}, {"table"}) for x in SECTIONS}, "option": ({"option"}, {"select"}), "body": ({"head"}, set()),
 }
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
 # Elements, roles and names that no article text stands in.
 DROPPED = frozenset("nav footer aside form button select menu dialog script style title textarea noscript iframe template svg canvas object head xmp noembed noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
@@ -57,10 +60,10 @@ LEVELS, SHORT = (1.0, 0.5, 0.25, 0.125, 0.0625), 25
 
 
 class Node:
-    __slots__ = ("tag", "up", "children", "chars", "linked", "points", "bonus")
+    __slots__ = ("tag", "up", "children", "chars", "linked", "points", "bonus", "dropped")
 
-    def __init__(self, tag: str, up: Node | None, bonus: float = 0.0):
-        self.tag, self.up, self.bonus = tag, up, bonus
+    def __init__(self, tag: str, up: Node | None, bonus: float = 0.0, dropped: bool = False):
+        self.tag, self.up, self.bonus, self.dropped = tag, up, bonus, dropped
         self.children: list[Node | str] = []
         self.chars = self.linked = 0
         self.points = 0.0
@@ -85,16 +88,22 @@ def no_article(tag: str, at: dict[str, str], inside: bool) -> bool:
 
 
 def tree(page: str) -> Node:
-    """The page's elements without the subtrees that are no article."""
+    """The page's elements without the subtrees that are no article.
+
+    Elements of such a subtree are on the stack like others, so optional end tags and close tags of open ancestors
+    end it; they hang on no parent.
+    """
     root = here = Node("html", None)
     at, end = 0, len(page)
-    skip: list[str] = []  # open elements of a dropped subtree
     stack = [root]
     while at < end:
         found = TAG.search(page, at)
         cut = found.start() if found else end
-        if cut > at and not skip:
-            here.children.append(page[at:cut])
+        if cut > at:
+            if here.tag == "head" and not page[at:cut].isspace():
+                here = left(stack)
+            if not here.dropped:
+                here.children.append(page[at:cut])
         if not found:
             break
         at = found.end()
@@ -103,51 +112,66 @@ def tree(page: str) -> Node:
             continue
         if not found[1]:  # an opening tag
             source = found[3] or ""
+            if here.tag == "head" and tag not in IN_HEAD:
+                here = left(stack)
             raw = tag in RAW
             if raw:
                 close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = close.end() if close else end
                 continue
-            if skip:
-                if tag in VOID or (source.endswith("/") and tag not in BLOCK):
-                    continue
-                skip.append(tag)
-                continue
             if tag in BLOCK:
-                ended(stack, {"p"}, {"table", "button"})
+                ended(stack, {"p"}, {"table", "button", "object", "foreignobject"})
             if tag in ENDS:
                 ended(stack, *ENDS[tag])
+            if tag in HEADING and stack[-1].tag in HEADING:
+                stack.pop()
             here = stack[-1]
-            if tag in VOID:
-                here.children.append(Node(tag, here))
-                continue
-            given = attributes(source) if source.strip("/ \n\t\r") else {}
-            if no_article(tag, given, any(n.tag in ("article", "main") for n in stack)):
-                skip = [tag]
+            closed = source.endswith("/")
+            if tag in VOID or (closed and (tag == "svg" or (here.dropped and tag not in BLOCK))):
+                if tag in VOID and not here.dropped:
+                    here.children.append(Node(tag, here))
                 continue
+            given = attributes(source) if not here.dropped and source.strip("/ \n\t\r") else {}
+            dropped = here.dropped or no_article(tag, given, any(n.tag in ("article", "main") for n in stack))
             main = tag in ("article", "main") or given.get("role") == "main" or given.get("itemprop") == "articleBody"
-            here = Node(tag, here, 25.0 if main else 0.0)
-            stack[-1].children.append(here)
+            here = Node(tag, here, 25.0 if main else 0.0, dropped)
+            if not dropped:
+                stack[-1].children.append(here)
             stack.append(here)
-        elif skip:
-            if tag in skip:
-                del skip[len(skip) - 1 - skip[::-1].index(tag) :]
         else:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            close_tag(stack, tag)
             here = stack[-1]
     return root
 
 
+def left(stack: list[Node]) -> Node:
+    stack.pop()
+    return stack[-1]
+
+
 def ended(stack: list[Node], tags: set[str], borders: set[str]) -> None:
+    """Ends the outermost open element of ``tags`` inside the nearest border."""
+    first = 0
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag in tags:
-            del stack[i:]
-            return
-        if stack[i].tag in borders:
+            first = i
+        elif stack[i].tag in borders:
+            break
+    if first:
+        del stack[first:]
+
+
+def close_tag(stack: list[Node], tag: str) -> None:
+    """Ends the nearest open element of the tag, with all inside it. An inline one doesn't end a dropped block inside it."""
+    over = False
+    for i in range(len(stack) - 1, 0, -1):
+        if stack[i].tag == tag or (tag in HEADING and stack[i].tag in HEADING):
+            if over and not stack[i].dropped:
+                del stack[i]
+            else:
+                del stack[i:]
             return
+        over = over or (tag not in BLOCK and stack[i].dropped and stack[i].tag in BLOCK | DROPPED)
 
 
 def plain(text: str) -> str:

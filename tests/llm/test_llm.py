@@ -241,6 +241,21 @@ def test_main_text(spark):
         assert r["text"] == "\n".join(p for p in parts if p) and r["n_chars"] == len(r["text"])
 
 
+def test_dropped_elements_end_like_others():
+    words = "Words of the article, and more of them."
+    pages = [
+        f"<body><div><p class=notice>We use cookies<p>{words}</div>", f"<body><ul><li class=share>Share<li>{words}</ul>",
+        f"<body><ul><li class=share>Share</ul><p>{words}", f"<table><tr><td class=sidebar>Side<td>{words}</table>",
+        f"<table><tr class=ad><td>Buy<tr><td>{words}</table>", f"<table><tbody class=ad><tr><td>Buy<tbody><tr><td>{words}</table>",
+        f"<table><tr><td class=ad>Buy</table><p>{words}", f"<article><div><div class=ad>Buy</div></article><p>{words}",
+        f"<div><div class=ad>Buy</div></div><p>{words}", f"<div><section class=ad>Buy</div><p>{words}", f"<article><aside>Side</article><p>{words}",
+        f"<head><title>T</title><body><p>{words}", f"<head><meta charset=x><p>{words}", f"<head>\n{words}", f"<p>{words}<svg class=x /></p>",
+        f"<dl><dt class=ad>Buy<dd>{words}</dl>", f"<h3 class=related>Related</h2><p>{words}", f"<span><nav>Menu</span>Menu</nav><p>{words}",
+        f"<ul><li>{words}<aside><li>Side</li></aside></ul>", f"<nav><ul><li>a<li>b</ul><p>c<p>d</nav><p>{words}",
+    ]
+    assert [html_text.main_text(p) for p in pages] == [words] * len(pages)
+
+
 def test_conversations(spark):
     rows = [
         (1, 0, "user", "Hello there my good friend.\n\nHow is the weather in town today?"),
