@@ -3,9 +3,10 @@
 A page becomes a tree of elements. Subtrees that are no article by their element, role, name or visibility
 (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) fall away first. Each
 paragraph then gives points for its length and its commas to its parent, fewer to each further ancestor; a
-container's points are discounted by the share of its text that stands in links. The best container is
-kept, widened to the article or main element around it, with those siblings that score well or read like
-its paragraphs.
+container's points are discounted by the share of its text that stands in links. Where the best container is in
+an article or main element, that one is kept with those siblings that score well. Elsewhere every container of
+paragraphs that isn't mostly links is kept whole, and around these all headings and blocks but link-heavy ones
+that score low.
 
 Pages are rows of Arrow batches: no shuffle, memory bounded by a batch. Work is linear in the page: points
 rise a fixed number of levels. Defined results: null, empty and text-free pages give ''; broken markup is
@@ -60,13 +61,13 @@ LEVELS, SHORT = (1.0, 0.5, 0.25, 0.125, 0.0625), 25
 
 
 class Node:
-    __slots__ = ("tag", "up", "children", "chars", "linked", "points", "bonus", "dropped")
+    __slots__ = ("tag", "up", "children", "chars", "linked", "links_more", "points", "direct", "bonus", "dropped")
 
     def __init__(self, tag: str, up: Node | None, bonus: float = 0.0, dropped: bool = False):
         self.tag, self.up, self.bonus, self.dropped = tag, up, bonus, dropped
         self.children: list[Node | str] = []
-        self.chars = self.linked = 0
-        self.points = 0.0
+        self.chars = self.linked = self.links_more = 0
+        self.points = self.direct = 0.0
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -192,7 +193,7 @@ def weigh(root: Node) -> list[Node]:
     """Sizes of all nodes, and the points that paragraphs pass up."""
     order = walk(root)
     for node in reversed(order):
-        own = commas = 0
+        own = commas = links = 0
         for c in node.children:
             if isinstance(c, str):
                 own += len(c.strip())
@@ -202,13 +203,17 @@ def weigh(root: Node) -> list[Node]:
                 node.linked += c.linked
                 if c.tag not in BLOCK:
                     own += c.chars - c.linked
+                    links += c.linked
         node.chars += sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        node.links_more = links - own  # of the text outside inner blocks
         if node.tag == "a":
             node.linked = node.chars
         if node.tag in BLOCK and node.tag not in HEADING and own > 0:
             points = 1.0 + commas + min(own / 100.0, 3.0) if own >= SHORT else 0.5
             # A paragraph's parent is its container; text right in a container counts for that one.
             first = node.up if node.tag in ("p", "pre", "blockquote", "li", "dd", "td") and node.up else node
+            if own >= SHORT:
+                first.direct += points
             for share in LEVELS:
                 if first is None:
                     break
@@ -222,26 +227,19 @@ def score(node: Node) -> float:
     return (node.points + (node.bonus if node.points else 0.0)) * (1.0 - density)
 
 
-def kept_nodes(root: Node) -> list[Node]:
-    """The best container and those of its siblings that belong to it, in page order."""
+def kept_nodes(root: Node) -> tuple[list[Node], set[Node], float]:
+    """What is kept, in page order; the containers that are kept whole; and the points that link-heavy blocks around them need."""
     order = weigh(root)
     best = max((n for n in order if n.tag in BLOCK or n is root), key=score, default=root)
     around = best
     while around is not None and around.tag not in ("article", "main"):
         around = around.up
-    best = around or best
-    if best.up is None:
-        return [best]
-    bar = max(10.0, 0.2 * score(best))
-    out = []
-    for c in best.up.children:
-        if c is best:
-            out.append(c)
-        elif isinstance(c, Node) and c.chars:
-            density = c.linked / c.chars
-            if score(c) >= bar or (c.tag == "p" and best.tag not in ("article", "main") and c.chars > 80 and density < 0.25):
-                out.append(c)
-    return out
+    bar = max(10.0, 0.2 * score(around or best))
+    if around is None:
+        whole = {n for n in order if n.direct and 2 * n.linked < n.chars} | {best}
+        return [root], whole if best.direct else {root}, bar
+    out = [c for c in around.up.children if isinstance(c, Node) and (c is around or (c.chars and score(c) >= bar))]
+    return out, set(out), bar
 
 
 def link_list(node: Node) -> bool:
@@ -250,7 +248,7 @@ def link_list(node: Node) -> bool:
     ) > 2
 
 
-def blocks(nodes: list[Node]) -> list[str]:
+def blocks(nodes: list[Node], whole: set[Node], bar: float) -> list[str]:
     out: list[str] = []
     run: list[str] = []
 
@@ -261,23 +259,29 @@ def blocks(nodes: list[Node]) -> list[str]:
             out.append(text)
 
     for top in nodes:
-        todo: list[tuple[Node | str | None, bool]] = [(top, False)]
+        # Each with whether only its headings count, whether it is in a container kept whole, and whether its own text is left out.
+        todo: list[tuple[Node | str | None, bool, bool, bool]] = [(top, False, False, False)]
         while todo:
-            item, heading_only = todo.pop()
+            item, heading_only, inside, heavy = todo.pop()
             if item is None:
                 flush()
             elif isinstance(item, str):
-                if not heading_only:
+                if not (heading_only or heavy):
                     run.append(item)
             elif item.tag == "br":
                 run.append(" ")
             elif item is top or not link_list(item):
                 block = item.tag in BLOCK
                 only = (heading_only or item.tag == "header") and item.tag not in HEADING
+                inside = inside or item in whole
+                if inside or item.tag in HEADING:
+                    heavy = False
+                elif block:
+                    heavy = item.links_more > 0 and score(item) < bar
                 if block:
                     flush()
-                    todo.append((None, False))
-                todo.extend((c, only) for c in reversed(item.children))
+                    todo.append((None, False, False, False))
+                todo.extend((c, only, inside, heavy) for c in reversed(item.children))
         flush()
     return out
 
@@ -285,7 +289,7 @@ def blocks(nodes: list[Node]) -> list[str]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    return "\n".join(blocks(kept_nodes(tree(page))))
+    return "\n".join(blocks(*kept_nodes(tree(page))))
 
 
 def extract(pages: DataFrame) -> DataFrame:

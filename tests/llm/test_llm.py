@@ -256,6 +256,19 @@ def test_dropped_elements_end_like_others():
     assert [html_text.main_text(p) for p in pages] == [words] * len(pages)
 
 
+def test_pages_without_an_article_element_keep_all_their_text():
+    long = ", ".join(["words of a long paragraph"] * 40)
+    links = "".join(f"<li><a href=x>page {i}</a>" for i in range(9))
+    pages = {
+        "<h1>Title</h1><div><p>Some words, long enough to be read.</p></div>": "Title\nSome words, long enough to be read.",
+        f"<div><p>{long}</div><div><h2>Second</h2><p>Some words, long enough, to be read.</div><p>The end.": f"{long}\nSecond\nSome words, long enough, to be read.\nThe end.",
+        f"<div><p>{long}</div><ul><li>one<li>two</ul><blockquote>Said.</blockquote>": f"{long}\none\ntwo\nSaid.",
+        f"<div><ul>{links}</ul></div><h1><a href=x>Title</a></h1><div><p>{long}</div><div>More: <a href=x>another page of it</a></div>": f"Title\n{long}",
+        f"<div><a href=x>a link</a> <a href=x>and one</a><p>Short.</div><div><p>{long}</div>": f"Short.\n{long}",
+    }
+    assert [html_text.main_text(f"<body>{p}</body>") for p in pages] == list(pages.values())
+
+
 def test_conversations(spark):
     rows = [
         (1, 0, "user", "Hello there my good friend.\n\nHow is the weather in town today?"),
