@@ -4,7 +4,8 @@ A page becomes a tree of elements. Subtrees that are no article by their element
 (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) fall away first. Each
 paragraph then gives points for its length and its commas to its parent, fewer to each further ancestor; a
 container's points are discounted by the share of its text that stands in links. Where the best container is in
-an article or main element, that one is kept with those siblings that score well. Elsewhere every container of
+an article or main element, that one is kept with those siblings that score well, lists of links
+inside it too unless they are marked as a menu. Elsewhere every container of
 paragraphs that isn't mostly links is kept whole, and around these all headings and blocks but link-heavy ones
 that score low.
 
@@ -242,12 +243,6 @@ def kept_nodes(root: Node) -> tuple[list[Node], set[Node], float]:
     return out, set(out), bar
 
 
-def link_list(node: Node) -> bool:
-    return node.tag in ("ul", "ol", "div", "section", "table") and node.chars > 0 and node.linked > 0.75 * node.chars and sum(
-        1 for n in walk(node) if n.tag == "a"
-    ) > 2
-
-
 def blocks(nodes: list[Node], whole: set[Node], bar: float) -> list[str]:
     out: list[str] = []
     run: list[str] = []
@@ -270,7 +265,7 @@ def blocks(nodes: list[Node], whole: set[Node], bar: float) -> list[str]:
                     run.append(item)
             elif item.tag == "br":
                 run.append(" ")
-            elif item is top or not link_list(item):
+            else:
                 block = item.tag in BLOCK
                 only = (heading_only or item.tag == "header") and item.tag not in HEADING
                 inside = inside or item in whole

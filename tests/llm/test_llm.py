@@ -265,10 +265,24 @@ def test_pages_without_an_article_element_keep_all_their_text():
         f"<div><p>{long}</div><ul><li>one<li>two</ul><blockquote>Said.</blockquote>": f"{long}\none\ntwo\nSaid.",
         f"<div><ul>{links}</ul></div><h1><a href=x>Title</a></h1><div><p>{long}</div><div>More: <a href=x>another page of it</a></div>": f"Title\n{long}",
         f"<div><a href=x>a link</a> <a href=x>and one</a><p>Short.</div><div><p>{long}</div>": f"Short.\n{long}",
+        f"<div>About<ul>{links}</ul></div><div><p>{long}</div>": f"About\n{long}",
     }
     assert [html_text.main_text(f"<body>{p}</body>") for p in pages] == list(pages.values())
 
 
+def test_linked_lists_of_an_article_are_kept():
+    links = "".join(f"<li><a href=x>page {i}</a>" for i in range(4))
+    table = "<table>" + "".join(f"<tr><td><a href=x>name {i}</a>" for i in range(4)) + "</table>"
+    text, names = "Some words, long enough to be read.", "\n".join(f"name {i}" for i in range(4))
+    listed = "\n".join(f"page {i}" for i in range(4))
+    pages = {
+        f"<article><p>{text}<ol>{links}</ol></article>": f"{text}\n{listed}", f"<main><p>{text}<section>{table}</section></main>": f"{text}\n{names}",
+        f"<div><p>{text}<ul>{links}</ul></div>": f"{text}\n{listed}",
+        f"<article><p>{text}<ul class=menu>{links}</ul><div role=navigation>{table}</div></article>": text,
+    }
+    assert [html_text.main_text(p) for p in pages] == list(pages.values())
+
+
 def test_conversations(spark):
     rows = [
         (1, 0, "user", "Hello there my good friend.\n\nHow is the weather in town today?"),
