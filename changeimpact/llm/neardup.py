@@ -221,9 +221,13 @@ def near_duplicates(
         links, seen = (new, near) if links is None else (links.unionByName(new), seen.unionByName(near))
         labels = relabelled(labels, new) if draw < draws else labels
     owned = prints.select("doc_id", "n", "hi", "lo").join(classes, ["hi", "lo"], "left")
-    # One id on several classes links them.
-    several = owned.filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
-    several = several.join(reps.select(F.col("node").alias("a")), "a", "left_semi")
+    # One id on several classes links each of them to the smallest; its texts without shingles go with them.
+    ids = owned.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.min("node").alias("a"), F.max("node").alias("most"), F.max(F.col("node").isNull()).alias("blank")
+    )
+    repeated = stage(ids.filter("a <> most OR (a IS NOT NULL AND blank)").select("doc_id", "a"), "repeated")
+    several = owned.join(repeated, "doc_id").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+    owned = owned.join(repeated, "doc_id", "left").withColumn("node", F.coalesce("node", "a")).drop("a")
     labels = components(links.unionByName(several))
     whole = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     out = owned.join(labels, "node", "left").select(

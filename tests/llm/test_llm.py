@@ -91,6 +91,16 @@ def test_near_duplicates(frame, docs):
     assert neardup.keep_one(frame.limit(0)).count() == 0
 
 
+def test_an_id_on_several_texts_links_their_groups(spark):
+    a, b, c = ("alpha one two three four", "beta five six seven eight", "gamma nine ten eleven twelve")
+    rows = [(3, a), (5, b), (10, a), (10, b), (11, b), (11, c), (12, c), (4, c), (13, c), (13, " "), (20, "x y z"), (20, None), (21, None), (None, a), (None, "x y z")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = neardup.near_duplicates(table).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    same(got, brute.near_duplicates(rows, 5))
+    assert {r["component_id"] for r in got if r["doc_id"] == 10} == {3}
+    assert sorted(r["doc_id"] for r in neardup.keep_one(table).filter("doc_id IS NOT NULL").collect()) == [3, 20, 21]
+
+
 def test_a_large_group_of_near_copies_gives_no_pairs(spark, draw, monkeypatch):
     base = [f"w{i}" for i in range(100)]
     rows = []
