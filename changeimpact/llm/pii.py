@@ -1,10 +1,11 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction of identifiers they miss.
 
-The fixed patterns give the seed entities. Every seed and every other identifier-like token is a mention
-with the words around it; the words form lexical patterns ("write to _", "call _ now"). Patterns and
+The fixed patterns give the seed entities. Every seed and every other identifier-like token or run of digit
+groups ("(555) 123-4567") is a mention with the words around it; the words form lexical patterns ("write to _",
+"call _ now", and of one word "email: _", "_ mobile"). Patterns and
 values form a graph, which is scored in rounds: a pattern is as sure of a kind as the share of its distinct
 values that are known to be of that kind, given enough of them; an unknown value is as sure as its
-patterns together, 1 - prod(1 - sureness). Values above the bar become known for the next round. Mentions
+patterns together, 1 - prod(1 - sureness), those of one word and the longer ones each by themselves. Values above the bar become known for the next round. Mentions
 of values learned so are added as spans; spans of the fixed patterns stay as they are.
 
 Only SQL functions are used. One pass over the texts gives spans and mentions; all later work is on mentions.
@@ -37,6 +38,14 @@ PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 IP_VALID = rf"^{PART}(?:\.{PART}){{3}}$"
 #: Identifier-like: eight or more characters of which one is a digit or an @.
 TOKEN = r"(?<![^\s\"'(<\[,;:=])(?=[A-Za-z._%+/\-]*[0-9@])[A-Za-z0-9][A-Za-z0-9@._%+/\-]{6,}[A-Za-z0-9]"
+#: Groups of digits with spaces, parentheses, hyphens, dots or slashes between, 7 to 34 digits in at most 12 groups, or the
+#: groups of an account number that starts with a country's letters. Longer runs of groups are tables, not identifiers.
+GROUPED = (
+    r"(?<![^\s\"'(<\[,;:=])(?<![0-9][\x20().\-/]{1,3})(?:"
+    r"(?=(?:[\x20().\-/+]{0,4}[0-9]){7})(?:\+?\([0-9]{1,12}\)|\+?[0-9]{1,12}+)(?:[\x20().\-/]{1,3}[0-9]{1,12}+){1,11}+"
+    r"|[A-Z]{2}[0-9]{2}(?:\x20[A-Z]{4})?(?:\x20(?=[A-Z]{0,3}[0-9])[A-Z0-9]{1,4}+){2,8}+"
+    r")(?![A-Za-z0-9@_%+]|[\x20().\-/]{1,3}[0-9]|[.\-/][A-Za-z])"
+)
 CONTEXT_CHARS = 60
 RESULT = ("base_spans", "added_spans")
 SPAN = "array<struct<kind:int,start:int,end:int>>"
@@ -109,11 +118,17 @@ def mentions(docs: DataFrame) -> DataFrame:
         return lambda h: mention(text, F.lit(kind), h)
 
     spans = F.concat(*[F.transform(f"__{k}", span(i)) for i, k in enumerate(KINDS)])
-    df = df.withColumns({"base_spans": spans.cast(SPAN), "__tokens": located(text, TOKEN)})
-    free = F.filter("__tokens", lambda t: ~F.exists("base_spans", lambda b: (b.start < t.e) & (t.s < b.end)))
+    df = df.withColumns({"base_spans": spans.cast(SPAN), "__tokens": located(text, TOKEN), "__groups": located(text, GROUPED)})
+
+    def apart(hits: str):
+        return F.filter(hits, lambda t: ~F.exists("base_spans", lambda b: (b.start < t.e) & (t.s < b.end)))
+
+    df = df.withColumns({"__tokens": apart("__tokens"), "__groups": apart("__groups")})
+    alone = F.filter("__tokens", lambda t: ~F.exists("__groups", lambda g: (g.s < t.e) & (t.s < g.e)))
+    free = F.concat("__groups", alone)
     places = [F.transform(f"__{k}", seen(i)) for i, k in enumerate(KINDS)]
     df = df.withColumn("__mentions", F.concat(*places, F.transform(free, seen(-1))))
-    return df.drop("__tokens", *[f"__{k}" for k in KINDS])
+    return df.drop("__tokens", "__groups", *[f"__{k}" for k in KINDS])
 
 
 def learned(found: DataFrame, rounds: int, support: int, sure_pattern: float, sure_value: float) -> DataFrame:
@@ -121,10 +136,15 @@ def learned(found: DataFrame, rounds: int, support: int, sure_pattern: float, su
     edges = found.select(
         "value", "kind",
         F.explode(
-            F.array(F.concat(F.lit("l "), "left"), F.concat(F.lit("b "), "near", F.lit(" _ "), "right"))
+            F.array(
+                F.concat(F.lit("l "), "left"), F.concat(F.lit("b "), "near", F.lit(" _ "), "right"),
+                F.concat(F.lit("n "), "near"), F.concat(F.lit("r "), "right"),
+            )
         ).alias("pattern"),
-        (F.length("left") > 0).alias("whole"), (F.length("right") > 0).alias("followed"),
-    ).filter("(pattern LIKE 'l %' AND whole) OR (pattern LIKE 'b %' AND followed)")
+        (F.length("left") > 0).alias("whole"), (F.length("near") > 0).alias("led"), (F.length("right") > 0).alias("followed"),
+    ).filter(
+        "(pattern LIKE 'l %' AND whole) OR (pattern LIKE 'n %' AND led) OR ((pattern LIKE 'b %' OR pattern LIKE 'r %') AND followed)"
+    )
     graph = stage(edges.groupBy("pattern", "value").agg(F.max("kind").alias("seed")), "graph")
     known = graph.filter("seed >= 0").select("value", F.col("seed").alias("kind")).distinct()
     for _ in range(rounds):
@@ -139,7 +159,9 @@ def learned(found: DataFrame, rounds: int, support: int, sure_pattern: float, su
         )
         unseen = graph.join(known.select("value"), "value", "left_anti").join(sure, "pattern")
         score = 1 - F.exp(F.sum(F.log1p(-F.col("sure"))))
-        fresh = unseen.groupBy("value", "kind").agg(score.alias("score")).filter(F.col("score") >= sure_value)
+        # A longer pattern holds a one-word one: they are not two witnesses.
+        short = F.substring("pattern", 1, 1).isin("n", "r").alias("short")
+        fresh = unseen.groupBy("value", "kind", short).agg(score.alias("score")).filter(F.col("score") >= sure_value)
         best = fresh.groupBy("value").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
         best = stage(best, "learned")
         if best.isEmpty():

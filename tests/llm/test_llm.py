@@ -193,6 +193,26 @@ def test_personal_data_learned_from_context(spark, draw):
     assert texts[2001]["text"] == rows[306][1] and len(texts) == len(rows)
 
 
+def test_personal_data_learned_from_one_word_and_in_groups(spark, draw):
+    rows = [(i, f"aa{i} bb{i} email: user{i}@mail{i}.org cc{i} dd{i}") for i in range(40)]
+    rows += [(100 + i, f"aa{i} bb{i} call +1 743 555 {3000 + i} cc{i} dd{i}") for i in range(40)]
+    rows += [(200 + i, f"aa{i} +49 30 12345{100 + i} mobile cc{i}") for i in range(40)]
+    odd = [
+        ("zz yy email: john-at-mail7com cc", "email:13:29"), ("zz yy call 555 123 4567 cc", "phone:11:23"), ("zz yy call (555) 123-4567.", "phone:11:25"),
+        ("zz (555 765 4321) mobile", "phone:4:16"), ("zz yy call DE89 3704 0044 0532 0130 00 cc", "phone:11:38"), ("zz yy count 555 123 4568 cc", ""),
+        ("zz yy 1.2.3.4 12345678 mobile", "phone:14:22"),
+    ]
+    rows += [(1000 + i, t) for i, (t, _) in enumerate(odd)]
+    rows += [(2000, "call " + "123 4567 " * 20_000), (2001, "call 1234-5678-abcdef")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.personal_data(table).select("doc_id", pii.written(F.col("added_spans")).alias("s")).collect()
+    got = {r["doc_id"]: r["s"] for r in found}
+    assert [got[1000 + i] for i in range(len(odd))] == [s for _, s in odd]
+    assert got[2000] == "" and got[2001] == "phone:5:21" and not any(got[i] for i in range(40))
+    texts = {r["doc_id"]: r["text"] for r in pii.redact(table).collect()}
+    assert texts[1002] == "zz yy call <phone>."
+
+
 def test_sentencepiece_equals_the_library(spark, frame, docs, draw):
     import sentencepiece
 
