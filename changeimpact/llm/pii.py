@@ -5,7 +5,8 @@ groups ("(555) 123-4567") is a mention with the words around it; the words form
 "call _ now", and of one word "email: _", "_ mobile"). Patterns and
 values form a graph, which is scored in rounds: a pattern is as sure of a kind as the share of its distinct
 values that are known to be of that kind, given enough of them; an unknown value is as sure as its
-patterns together, 1 - prod(1 - sureness), those of one word and the longer ones each by themselves. Values above the bar become known for the next round. Mentions
+patterns together, 1 - prod(1 - sureness), those of one word and the longer ones each by themselves. Values above the bar become known for the next round, until a round learns nothing; ``rounds`` only bounds
+that loudly. Mentions
 of values learned so are added as spans; spans of the fixed patterns stay as they are.
 
 Only SQL functions are used. One pass over the texts gives spans and mentions; all later work is on mentions.
@@ -167,12 +168,14 @@ def learned(found: DataFrame, rounds: int, support: int, sure_pattern: float, su
         if best.isEmpty():
             break
         known = stage(known.unionByName(best), "known")
+    else:
+        raise RuntimeError("values were still being learned in the last round; raise rounds")
     seeds = graph.filter("seed >= 0").select("value").distinct()
     return known.join(seeds, "value", "left_anti")
 
 
 def personal_data(
-    docs: DataFrame, rounds: int = 3, support: int = 5, sure_pattern: float = 0.8, sure_value: float = 0.9
+    docs: DataFrame, rounds: int = 100, support: int = 5, sure_pattern: float = 0.8, sure_value: float = 0.9
 ) -> DataFrame:
     """doc_id, row key, base_spans and added_spans (arrays of kind index, start, end) of every row of ``docs``."""
     keyed = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("__row"))

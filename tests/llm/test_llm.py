@@ -213,6 +213,18 @@ def test_personal_data_learned_from_one_word_and_in_groups(spark, draw):
     assert texts[1002] == "zz yy call <phone>."
 
 
+def test_personal_data_is_learned_along_a_long_chain(spark):
+    rows = []
+    for k, c in enumerate("abcde"):  # each cue is trusted once the value of the one before is known
+        seen = [f"u{c}{i}@mail.org" for i in range(4)] + [f"value-0{k}-x" if k else "uz@mail.org", f"value-0{k + 1}-x"]
+        rows += [(10 * k + i, f"foo cue{c} {v} bar{c}") for i, v in enumerate(seen)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.personal_data(table).filter("size(added_spans) > 0").collect()
+    assert sorted(r["doc_id"] for r in found) == sorted(d for d, t in rows if "value-" in t)
+    with pytest.raises(RuntimeError):
+        pii.personal_data(table, rounds=2)
+
+
 def test_sentencepiece_equals_the_library(spark, frame, docs, draw):
     import sentencepiece
 
