@@ -1,7 +1,8 @@
 """Conversations from messages that quote each other.
 
 Lines that start with > are quoted, each further > one level deeper. Runs of lines of one level are
-passages; their normalised text is hashed, whole and by paragraphs and lines of four words or more. The
+passages; their normalised text is hashed, whole and by paragraphs, lines and sentences of four words or more, shorter
+lines by the run they stand in. The
 messages' own passages are hashed alike, and the hashes are joined: the original of a passage is the first
 message that says it, in the same conversation and before the reply if there is one, elsewhere otherwise.
 The parent of a message is the original that most words of its shallowest linked level come from. Following
@@ -33,6 +34,7 @@ from changeimpact.llm.common import ship, stage
 QUOTE = re.compile(r"^(?:[ \t]{0,3}>)+[ \t]?")
 #: Lines that announce a quotation, in the languages of the tables.
 ANNOUNCE = re.compile(r"^(?:on|am|le|el)\b.*(?:wrote|schrieb|écrit|escribió)\s*:\s*$", re.I)
+SENTENCE = re.compile(r"(?<=[.!?…])[\"')\]]*\s+|(?<=[。！？])")
 LEAST_WORDS = 4
 
 
@@ -41,10 +43,19 @@ def normal(text: str) -> str:
 
 
 def pieces(lines: list[str]) -> dict[int, int]:
-    """Hashes of a passage, its paragraphs and lines, with their numbers of words."""
+    """Hashes of a passage, its paragraphs, lines, sentences and runs of short lines, with their numbers of words."""
     out: dict[int, int] = {}
     whole = "\n".join(lines)
-    for part, least in ((whole, 1), *((p, LEAST_WORDS) for p in re.split(r"\n\s*\n", whole)), *((x, LEAST_WORDS) for x in lines)):
+    paragraphs = re.split(r"\n\s*\n", whole)
+    sentences = [x for p in paragraphs for x in SENTENCE.split(p)]
+    runs: list[str] = [""]
+    for line in lines:
+        n = len(normal(line).split())
+        if 0 < n < LEAST_WORDS:
+            runs[-1] += f"{line}\n"
+        elif runs[-1]:
+            runs.append("")
+    for part, least in ((whole, 1), *((x, LEAST_WORDS) for x in (*paragraphs, *lines, *sentences, *runs))):
         plain = normal(part)
         count = plain.count(" ") + 1 if plain else 0
         if count >= least:
@@ -106,9 +117,13 @@ def linked(spoken: DataFrame) -> DataFrame:
     wanted = quotes.select("hash").distinct()
     said = named.select("conv_id", "turn", F.explode("says").alias("hash")).join(wanted, "hash", "left_semi")
     here = said.groupBy("conv_id", "hash").agg(F.min("turn").alias("turn_here"))
-    first = here.groupBy("hash").agg(F.min("conv_id").alias("conv_there"))
-    there = here.join(first, "hash").filter("conv_id = conv_there").select("hash", "conv_there", F.col("turn_here").alias("turn_there"))
-    met = quotes.join(here, ["conv_id", "hash"], "left").join(there, "hash", "left")
+    # The two smallest conversations: one of them is not that of the quotation.
+    first = here.groupBy("hash").agg(F.min(F.struct("conv_id", "turn_here")).alias("one"))
+    later = here.join(first, "hash").filter("conv_id > one.conv_id")
+    second = later.groupBy("hash").agg(F.min(F.struct("conv_id", "turn_here")).alias("two"))
+    met = quotes.join(here, ["conv_id", "hash"], "left").join(first, "hash", "left").join(second, "hash", "left")
+    other = F.when(F.col("one.conv_id") == F.col("conv_id"), F.col("two")).otherwise(F.col("one"))
+    met = met.withColumns({"conv_there": other["conv_id"], "turn_there": other["turn_here"]})
     inside = F.col("turn_here") < F.col("turn")
     outside = ~F.coalesce(inside, F.lit(False)) & (F.col("conv_there") != F.col("conv_id"))
     return met.select(

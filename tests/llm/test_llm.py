@@ -347,6 +347,17 @@ def test_conversations(spark):
     assert chat.conversations(table.limit(0)).count() == 0
 
 
+def test_quotations_of_parts_and_from_the_second_conversation(spark):
+    rows = [
+        (1, 0, "u", "> The same words are said here\nhm"), (1, 1, "u", "The same words are said here"), (2, 5, "u", "The same words are said here"),
+        (3, 0, "u", "Hello to you. How is the weather in town? I would like to know."), (3, 1, "u", "> How is the weather in town?\nfine"),
+        (4, 0, "u", "This is a longer line here\nyes\nI do so\nThat is another longer line"), (4, 1, "u", "> yes\n> I do so\nwell"),
+    ]
+    got = chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {(r["conv_id"], r["turn"]): (r["parent_conv"], r["parent_turn"]) for r in got.collect() if r["parent_conv"] is not None}
+    assert got == {(1, 0): (2, 5), (3, 1): (3, 0), (4, 1): (4, 0)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
