@@ -83,6 +83,20 @@ SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND bad.doc_id IS NULL AS kept FROM m LEFT JOIN bad ON bad.doc_id = m.doc_id"""
 
 
+OP11 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+u AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+  AND list_bool_and(list_transform(e, lambda x: coalesce(isfinite(x), false))) AND list_bool_or(list_transform(e, lambda x: x <> 0))),
+p AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.label = y.label AND len(x.e) = len(y.e) AND x.vec_id <> y.vec_id
+  WHERE list_dot_product(x.e, y.e) / sqrt(list_dot_product(x.e, x.e) * list_dot_product(y.e, y.e)) >= 0.93),
+n AS (SELECT a, count(*) AS n_links FROM p GROUP BY 1),
+r(node, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.node WHERE r.root < p.b),
+c AS (SELECT node, min(root) AS component_id FROM r GROUP BY 1)
+SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN c ON c.node = v.vec_id LEFT JOIN n ON n.a = v.vec_id"""
+
+
 ORACLES = {
     "op1_decontaminate": OP1, "op2_minhash": OP2, "op4_warc": OP4, "op5_substrings": OP5, "op6_quality_rules": _op6(),
+    "op11_embeddings": OP11,
 }

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changeimpact.llm import (
-    chat, decontaminate, html_text, neardup, pii, quality_rules, sentencepiece_codec, sharding, substrings, warc,
+    alignment, chat, decontaminate, embedding_join, html_text, neardup, pii, quality_rules, sentencepiece_codec, sharding,
+    substrings, warc, whitening,
 )
 from changeimpact.llm.check_sql import ORACLES  # noqa: F401  (read by the driver contract)
 from changeimpact.llm.common import shared_folder, table
@@ -71,11 +72,11 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversations(table(spark, sf_dir, "conversations"))
 
 
-def vocabulary() -> str:
-    """Place of the vocabulary file; it is not part of this repository."""
+def vocabulary(name: str = "piece_bpe_32k.model") -> str:
+    """Place of a vocabulary file; it is not part of this repository."""
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +84,21 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(sentencepiece_codec.encode(docs, vocabulary()))
 
 
+def op11_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return embedding_join.near_duplicates(vectors, at_least=0.93).select("vec_id", "n_links", "component_id", "kept")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned, _ = alignment.align(docs, vocabulary("byte_bpe_50k.json"), vocabulary(), digest=True)
+    return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=32)
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_minhash": op2_minhash,
@@ -94,5 +110,8 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_chat": op9_chat,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_embeddings": op11_embeddings,
+    "op12_alignment": op12_alignment,
+    "op13_whitening": op13_whitening,
 }
 
