@@ -78,7 +78,7 @@ def gathered(rows: DataFrame, part: Callable[[np.ndarray], np.ndarray], shape: t
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["place", "value"])
 
     out = np.zeros(shape, np.int64 if kind == "long" else np.float64)
-    for row in rows.select("x").mapInArrow(run, schema).groupBy("place").agg(F.sum("value").alias("value")).toLocalIterator():
+    for row in rows.select("x").mapInArrow(run, schema).groupBy("place").agg(F.sum("value").alias("value")).collect():
         out.flat[row["place"]] = row["value"]
     return out
 
