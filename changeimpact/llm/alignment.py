@@ -26,8 +26,10 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -70,10 +72,8 @@ class Sides:
             piece = self.b.id_to_piece(i)
             self.raw_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
         self.bytes_a, self.bytes_b = (np.fromiter(map(len, raw), np.int64, len(raw)) for raw in (self.raw_a, self.raw_b))
-        self.text_a, self.text_b = (
-            [np.array([f"{i}{after}" for i in range(len(raw))], object) for after in ends]
-            for raw, ends in ((self.raw_a, ",|"), (self.raw_b, ",;"))
-        )
+        # Every id inside a group and as its last of a side.
+        self.written = [f"{i}{after}" for raw, ends in ((self.raw_a, ",|"), (self.raw_b, ",;")) for i in range(len(raw)) for after in ends]
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of both sides, none for a text that one of them does not give back byte for byte."""
@@ -115,7 +115,7 @@ class Aligned:
     def __init__(self, own: Sides, texts: list[str]):
         ids = own.encode(texts)
         self.n_a, self.n_b = (np.fromiter((len(x[i]) for x in ids), np.int64, len(ids)) for i in (0, 1))
-        a, b = (np.fromiter((t for x in ids for t in x[i]), np.int64, int(n.sum())) for i, n in ((0, self.n_a), (1, self.n_b)))
+        a, b = (np.fromiter(chain.from_iterable(x[i] for x in ids), np.int64, int(n.sum())) for i, n in ((0, self.n_a), (1, self.n_b)))
         ends_a, ends_b = np.cumsum(own.bytes_a[a]), np.cumsum(own.bytes_b[b])
         doc_a, doc_b = np.repeat(np.arange(len(ids)), self.n_a), np.repeat(np.arange(len(ids)), self.n_b)
         group_a, group_b = terminals(ends_a, ends_b)
@@ -125,19 +125,22 @@ class Aligned:
         # Each stretch between neighbouring ends of either side is the overlap of one A and one B token.
         cuts = np.union1d(ends_a, ends_b)
         at = np.searchsorted(ends_a, cuts)
-        pairs = a[at] * B_IDS + b[np.searchsorted(ends_b, cuts)]
         docs = doc_a[at]
         self.n_links = np.bincount(docs, minlength=len(ids))
-        self.pairs, place = np.unique(pairs, return_inverse=True)
-        # (document, pair) with how often, in the order of documents
-        mine, self.times = np.unique(docs * max(len(self.pairs), 1) + place, return_counts=True)
-        self.doc, self.place = np.divmod(mine, max(len(self.pairs), 1))
-        written = np.empty(len(a) + len(b), object)
-        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
-        written[: len(a)] = np.where(last_a, own.text_a[1][a], own.text_a[0][a])
-        written[len(a) :] = np.where(last_b, own.text_b[1][b], own.text_b[0][b])
-        written, until = written[order].tolist(), np.cumsum(self.n_a + self.n_b)
-        self.groups = ["".join(written[i:j])[:-1] for i, j in zip([0, *until.tolist()], until.tolist())]
+        place, self.pairs = pd.factorize(a[at] * B_IDS + b[np.searchsorted(ends_b, cuts)])
+        # (document, pair) with how often; documents stay in order
+        width = max(len(self.pairs), 1)
+        place, mine = pd.factorize(docs * width + place)
+        self.times = np.bincount(place, minlength=len(mine))
+        self.doc, self.place = np.divmod(mine, width)
+        # Groups in order, the A tokens of a group before its B tokens.
+        written = np.empty(len(a) + len(b), np.int64)
+        until_a, until_b = np.flatnonzero(last_a) + 1, np.append(0, np.flatnonzero(last_b) + 1)
+        written[np.arange(len(a)) + until_b[group_a]] = 2 * a + last_a
+        written[np.arange(len(b)) + until_a[group_b]] = 2 * (b + len(own.raw_a)) + last_b
+        words = list(map(own.written.__getitem__, written.tolist()))
+        until = np.cumsum(self.n_a + self.n_b).tolist()
+        self.groups = ["".join(words[i:j])[:-1] for i, j in zip([0, *until], until)]
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
