@@ -7,6 +7,15 @@ HARD_CLAUSES = [
     "WHERE", "JOIN", "GROUP", "ORDER", "HAVING", "PARTITION", "QUALIFY", "SET", "UPDATE",
 ]
 
+# Also hard: the statement changes the column itself.
+CHANGING_CLAUSES = ["ALTER"]
+
+# Functions that fold the rows of a group, so GROUP BY ALL does not group by their arguments.
+AGGREGATES = """
+ANY_VALUE APPROX_COUNT_DISTINCT ARRAY_AGG AVG BOOL_AND BOOL_OR COUNT COUNTIF COUNT_IF FIRST LAST LISTAGG MAX MAX_BY MEDIAN MIN MIN_BY
+STDDEV STRING_AGG SUM VARIANCE
+""".split()
+
 # Words that are never a column, a table or an alias.
 RESERVED = """
 ALL ALTER AND ANTI ANY AS ASC ASOF AT BEFORE BETWEEN BY CASE CLUSTER COLLATE COLUMN CONNECT
@@ -65,6 +74,16 @@ SHAPE_TOKEN = (
 )
 # Start of a number that is not the tail of a word.
 LOOSE_NUMBER = rf"(?<![\p{{L}}\p{{N}}_$.]){NUMBER}"
+# What may follow a number that names an item of the select list by its place.
+AFTER_PLACE = ["", ",", ")", "ASC", "DESC", "NULLS", "HAVING", "ORDER", "LIMIT", "OFFSET", "FETCH", "QUALIFY", "WINDOW", "UNION", "EXCEPT", "INTERSECT"]
+HAS_PLACES = r"(?i)\bBY\b.*?(?:\bBY|,) ?[0-9]|\bBY [0-9]"
+# Such a number after BY, in text whose blanks are single. It stays in the shape where no parenthesis stands between; elsewhere
+# it is masked like others, and what it names counts as not readable.
+_PLACE = (
+    rf"(?<=BY |,|, )(?=[0-9]{{1,3}} ?(?:[,)]|\z|(?:{'|'.join(w for w in AFTER_PLACE if w.isalpha())})\b))"
+    r"(?<=\bBY [^()';]{0,300})"
+)
+MASKED_NUMBER = rf"(?i)(?<![\p{{L}}\p{{N}}_$.])(?=[0-9])(?!{_PLACE}){NUMBER}"
 
 DIALECTS = {
     # dialect: (backslash escapes inside literals, extra line-comment openers, dollar-quoted text)

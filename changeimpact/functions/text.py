@@ -135,7 +135,7 @@ def cache_key(sql: Column, column: Column, tables: Column) -> Column:
 BUCKETS = {
     "parse": "unparseable", "star": "star", "ambiguous_bare": "unresolvable", "unbound": "unresolvable",
     "unresolvable_qualifier": "unresolvable_qualifier", "unresolved_table": "unresolvable_qualifier",
-    "unexplained": "unexplained",
+    "unexplained": "unexplained", "place": "place",
 }
 
 
@@ -200,7 +200,8 @@ def statement_shape(sql: Column, dialect: str = "snowflake") -> Column:
     """The statement with literals, numbers and comments masked.
 
     Statements that differ only there have the same verdict, so extraction runs
-    once per shape. Numbers stay when a quoted name has one that would be hit.
+    once per shape. Numbers stay when a quoted name has one that would be hit, and
+    where they name an item of the select list (``GROUP BY 2``).
     """
     pattern, replacement = lexicon.mask_pattern(dialect)
 
@@ -210,12 +211,12 @@ def statement_shape(sql: Column, dialect: str = "snowflake") -> Column:
             quoted, lambda name: F.rlike(name, F.lit(lexicon.LOOSE_NUMBER))
         )
         return F.when(protected, masked).otherwise(
-            F.regexp_replace(masked, lexicon.LOOSE_NUMBER, "0")
+            F.regexp_replace(masked, lexicon.MASKED_NUMBER, "0")
         )
 
     # The edges are blanks by now, so a plain trim ends the job.
-    shape = let(F.regexp_replace(sql, pattern, replacement), numbers_masked)
-    return F.btrim(F.regexp_replace(shape, WS, " "), F.lit(" "))
+    single = F.btrim(F.regexp_replace(F.regexp_replace(sql, pattern, replacement), WS, " "), F.lit(" "))
+    return let(single, numbers_masked)
 
 
 def shape_tokens(shape: Column) -> Column:

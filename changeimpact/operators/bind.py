@@ -21,8 +21,9 @@ FINDING_COLUMNS = [
 ]
 PAYLOAD = [
     "dataset", "shape", "n_statements", "column", "col", "subject", "unreadable", "mentions",
-    "aliases", "tables", "derived", "unnested", "hits", "strays", "stars", "writes", "text_sid",
+    "aliases", "tables", "derived", "unnested", "hits", "strays", "stars", "writes", "places", "naturals", "text_sid",
 ]
+REF_FIELDS = ["pos", "name", "qual", "clause", "scope", "sel_end", "barrier", "piece_no", "using", "item", "folded"]
 # What stands first rules a text of several statements.
 TIERS = ["unknown", "hard", "soft", "unaffected"]
 
@@ -65,15 +66,47 @@ def schema_tables(schema_columns: DataFrame, changes: DataFrame) -> DataFrame:
 def pair_with_changes(facts: DataFrame, changes: DataFrame) -> DataFrame:
     """(change, shape) pairs that can yield a finding, with the matching references."""
     wanted = changes.select("change_id", "dataset", "column", "col", "subject")
-    paired = facts.join(wanted, "dataset").withColumn(
-        "hits", F.filter("refs", lambda r: r["name"] == F.col("col"))
-    ).withColumn("strays", F.filter("strays", lambda r: r["name"] == F.col("col")))
+
+    def named(r: Column) -> Column:
+        return (r["name"] == F.col("col")) | F.coalesce(F.array_contains(r["path"], F.col("col")), F.lit(False))
+
+    qualifiers = F.concat(F.transform("aliases", lambda a: a["key"]), "derived", "unnested")
+    paired = facts.join(wanted, "dataset").withColumns({"hits": F.filter("refs", named), "strays": F.filter("strays", named)})
+    on_paths = F.exists("hits", lambda r: r["path"].isNotNull())
+    resolved = let(qualifiers, lambda keys: F.transform("hits", lambda r: _along_path(r, keys)))
+    plain = F.transform("hits", lambda r: F.struct(*[r[f].alias(f) for f in REF_FIELDS]))
+    paired = paired.withColumn("hits", F.when(on_paths, F.filter(resolved, lambda r: r.isNotNull())).otherwise(plain))
     written = F.exists("writes", lambda w: w["name"] == F.col("col"))
     return paired.where(
-        (F.size("hits") > 0) | (F.size("strays") > 0) | (F.size("stars") > 0) | written | F.col("unreadable").isNotNull()
+        (F.size("hits") > 0) | (F.size("strays") > 0) | (F.size("stars") > 0) | (F.size("naturals") > 0)
+        | written | F.col("unreadable").isNotNull()
     )
 
 
+def _along_path(ref: Column, qualifiers: Column) -> Column:
+    """A reference to the changed column, at the first part of a dotted name that can be that column; null if none can.
+
+    What stands before the column are table parts, what follows are fields. A part that is a table or alias of the
+    statement is the column only behind another one. A last part of the column's name counts as before.
+    """
+    path, col = ref["path"], F.col("col")
+
+    def may_be(i: Column) -> Column:
+        part, owner = F.get(path, i), F.get(path, i - 1)
+        behind = F.coalesce(F.array_contains(qualifiers, owner), F.lit(False))
+        return (part == col) & (behind | ~F.array_contains(qualifiers, part))
+
+    def at(places: Column) -> Column:
+        i = F.get(places, F.lit(0))
+        moved = {"name": col, "qual": F.get(path, i - 1), "piece_no": ref["piece_no"] - (F.size(path) - 1 - i)}
+        fields = F.struct(*[(moved.get(f, ref[f])).alias(f) for f in REF_FIELDS])
+        own = F.struct(*[ref[f].alias(f) for f in REF_FIELDS])
+        return F.when(i.isNotNull(), fields).when(ref["name"] == col, own)
+
+    inner = F.when(F.size(path) > 1, F.filter(F.sequence(F.lit(0), F.size(path) - 2), may_be)).otherwise(F.array().cast("array<int>"))
+    return let(inner, at)
+
+
 def attach_schemas(pairs: DataFrame, tables: DataFrame | None) -> DataFrame:
     """Add ``known`` (candidate tables with a schema) and ``carrying`` (those with the column)."""
     if tables is None:
@@ -123,7 +156,29 @@ def _alias(name: Column) -> Column:
     return F.get(F.filter("aliases", lambda a: a["key"] == name), F.lit(0))
 
 
-def _outcome(ref: Column, state: str, kind=None, reason=None, elsewhere=None) -> Column:
+def _by_place(ref: Column) -> Column:
+    """Clauses that name the item of the select list in which the reference stands by its place."""
+    same = F.filter("places", lambda p: p["scope"].isNull() | (p["scope"] == ref["scope"]))
+    meant = F.filter(
+        same,
+        lambda p: (p["item"] == ref["item"])
+        | ((p["item"] == extract.ALL_ITEMS) & ~((p["clause"] == "GROUP") & ref["folded"])),
+    )
+    none = F.array().cast("array<string>")
+    return F.when((F.size("places") > 0) & (ref["clause"] == "SELECT"), F.transform(meant, lambda p: p["clause"])).otherwise(none)
+
+
+def _place_unread(ref: Column) -> Column:
+    """Whether a place cannot be told: its number is masked, or a star stands before the item."""
+    unread = F.exists(
+        "places",
+        lambda p: (p["scope"].isNull() | (p["scope"] == ref["scope"])) & (p["item"] != extract.ALL_ITEMS)
+        & ((p["item"] == extract.UNREAD_ITEM) | (ref["item"] == 0)),
+    )
+    return (F.size("places") > 0) & (ref["clause"] == "SELECT") & F.coalesce(unread, F.lit(False))
+
+
+def _outcome(ref: Column, state: str, kind=None, reason=None, elsewhere=None, also=None) -> Column:
     return F.struct(
         F.lit(state).alias("state"),
         F.lit(kind).cast("string").alias("kind"),
@@ -131,14 +186,16 @@ def _outcome(ref: Column, state: str, kind=None, reason=None, elsewhere=None) ->
         ref["clause"].alias("clause"),
         ref["piece_no"].alias("piece_no"),
         (F.array() if elsewhere is None else elsewhere).cast("array<string>").alias("elsewhere"),
+        (F.array() if also is None else also).cast("array<string>").alias("also"),
     )
 
 
 def _decide(ref: Column, scope: Column, has_schema: bool) -> Column:
     """What one reference is bound to; see the verdict rules in the README."""
     qual, subject = ref["qual"], F.col("subject")
-    bound = _outcome(ref, "bound")
     tick = F.lit("`")
+    unread = F.concat(F.lit("a place in GROUP BY or ORDER BY may name `"), F.col("column"), F.lit("`"))
+    bound = F.when(_place_unread(ref), _outcome(ref, "unknown", "place", unread)).otherwise(_outcome(ref, "bound", also=_by_place(ref)))
 
     def crowded(n: Column) -> Column:
         return F.concat(
@@ -213,11 +270,52 @@ def _decide(ref: Column, scope: Column, has_schema: bool) -> Column:
     )
 
 
+def _natural(join: Column) -> Column:
+    """What a NATURAL JOIN does with the column: it joins on every column that both of its sides have."""
+    subject = F.col("subject")
+    inside = F.filter(
+        "mentions",
+        lambda m: (m["barrier"] == join["barrier"]) & (m["pos"] > join["scope"]) & (m["pos"] < join["sel_end"]),
+    )
+
+    def of(sides: Column) -> Column:
+        left, right = sides["left"], sides["right"]
+        both = F.array_union(left, right)
+
+        def has(side: Column) -> Column:
+            return F.exists(side, lambda t: F.coalesce(t == subject, F.lit(False)) | F.array_contains("carrying", t))
+
+        def may(side: Column) -> Column:
+            return has(side) | F.exists(side, lambda t: ~F.array_contains("known", t)) | (F.size(side) == 0)
+
+        missing = F.array_sort(F.filter(both, lambda t: ~F.array_contains("known", t) & F.coalesce(t != subject, F.lit(True))))
+        reason = F.concat(F.lit("no schema for "), F.array_join(missing, ", "))
+        met = F.struct(F.lit("JOIN").alias("clause"), join["piece_no"].alias("piece_no"))
+        concerned = subject.isNull() | F.array_contains(both, subject) | (F.size(left) == 0) | (F.size(right) == 0)
+        return (
+            F.when(concerned & has(left) & has(right), _outcome(met, "using"))
+            .when(concerned & may(left) & may(right), _outcome(met, "unknown", "unresolved_table", reason))
+            .otherwise(_outcome(met, "dropped"))
+        )
+
+    def sides(own: Column) -> Column:
+        before = F.filter(own, lambda m: m["pos"] < join["pos"])
+        after = F.slice(F.filter(own, lambda m: m["pos"] > join["pos"]), 1, 1)
+        return F.struct(
+            F.array_distinct(F.flatten(F.transform(before, lambda m: m["tables"]))).alias("left"),
+            F.array_distinct(F.flatten(F.transform(after, lambda m: m["tables"]))).alias("right"),
+        )
+
+    return let(let(inside, sides), of)
+
+
 def bind_references(pairs: DataFrame, has_schema: bool) -> DataFrame:
     outcomes = F.transform(
         "hits", lambda r: let(_scope_or_statement(r), lambda scope: _decide(r, scope, has_schema))
     )
-    return pairs.withColumn("outcomes", outcomes)
+    implied = F.transform("naturals", _natural)
+    in_order = F.array_sort(F.concat(outcomes, implied), lambda a, b: (a["piece_no"] - b["piece_no"]).cast("int"))
+    return pairs.withColumn("outcomes", F.when(F.size("naturals") > 0, in_order).otherwise(outcomes))
 
 
 def collapse_verdicts(bound: DataFrame) -> DataFrame:
@@ -252,10 +350,10 @@ def collapse_verdicts(bound: DataFrame) -> DataFrame:
             "written": written,
         }
     )
-    clauses = F.transform("bound", lambda o: o["clause"])
+    clauses = F.flatten(F.transform("bound", lambda o: F.concat(F.array(o["clause"]), o["also"])))
     clauses = F.when(F.col("using"), F.concat(clauses, F.array(F.lit("JOIN")))).otherwise(clauses)
     hard = F.array_sort(
-        F.array_distinct(F.filter(clauses, lambda c: c.isin(lexicon.HARD_CLAUSES)))
+        F.array_distinct(F.filter(clauses, lambda c: c.isin(lexicon.HARD_CLAUSES + lexicon.CHANGING_CLAUSES)))
     )
     nothing = F.size("bound") == 0
 

@@ -19,6 +19,7 @@ WORD_START = r'^[\p{L}_"`]'
 NO_PAREN = -1
 NO_END = 2147483647
 PREFILTER_LIMIT = 200
+ALL_ITEMS, UNREAD_ITEM = -1, 0  # places of GROUP BY ALL, and of a number that was masked
 
 
 def fingerprint_log(log: DataFrame, dialect: str = "snowflake") -> DataFrame:
@@ -70,6 +71,7 @@ def _unreadable(tokens: Column, upper: Column) -> Column:
     before = "|".join(_escaped(lexicon.NEEDS_OPERAND))
     after = "|".join(_escaped(lexicon.NO_OPERAND))
     last = F.get(upper, F.size(upper) - 1)
+    dynamic = F.rlike(joined, F.lit(r" EXECUTE (?:IMMEDIATE|\(|'') ?"))
     template = F.exists(tokens, lambda t: t.isin("{{", "{%", "${", "#{"))
     lone_quote = F.exists(
         tokens, lambda t: (t == "'") | F.rlike(t, F.lit('^"[^"]*$|^`[^`]*$'))
@@ -81,6 +83,7 @@ def _unreadable(tokens: Column, upper: Column) -> Column:
         .when(template, "template markup")
         .when(lone_quote, "unterminated quote")
         .when(unbalanced, "unbalanced parentheses")
+        .when(dynamic, "statement built at run time")
         .when(no_start, "no statement keyword at the start")
         .when(last.isin(lexicon.DANGLING), "statement breaks off")
         .when(F.rlike(joined, F.lit(rf" (?:{before}) (?:{after}) ")), "operand missing")
@@ -149,7 +152,8 @@ def may_matter(columns: list[str] | None) -> Column:
         return F.lit(True)
     names = [F.contains(F.lower("shape"), F.lit(c.lower())) for c in columns]
     named = reduce(lambda a, b: a | b, names, F.lit(False))
-    return named | F.contains("shape", F.lit("*")) | F.col("unreadable").isNotNull()
+    implied = F.contains("shape", F.lit("*")) | F.rlike("shape", F.lit(r"(?i)\bnatural\b"))
+    return named | implied | F.col("unreadable").isNotNull()
 
 
 def _innermost(df: DataFrame, **flags: str) -> DataFrame:
@@ -182,7 +186,7 @@ def _yes(flag: Column) -> Column:
     return F.coalesce(flag, F.lit(False))
 
 
-def lexemes(shapes: DataFrame) -> DataFrame:
+def lexemes(shapes: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per token of each readable shape, in order, with its neighbours.
 
     An unreadable shape gives one row without a token, so it stays in the result.
@@ -193,8 +197,9 @@ def lexemes(shapes: DataFrame) -> DataFrame:
     run = W.partitionBy("sid").orderBy("pos")
     readable = F.when(F.col("unreadable").isNull(), F.col("tokens"))
     head = F.struct("dataset", "shape", "n_statements", "unreadable", "text_sid")
+    places = F.rlike("shape", F.lit(lexicon.HAS_PLACES))
     rows = shapes.repartition(width, "sid").select(
-        "sid", head.alias("head"), "pieces_before", F.posexplode_outer(readable).alias("pos", "tok")
+        "sid", head.alias("head"), "pieces_before", places.alias("places"), F.posexplode_outer(readable).alias("pos", "tok")
     )
     # The statement's own columns stay on its first row, so the windows move narrow rows.
     rows = rows.withColumn("head", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("head")))
@@ -216,17 +221,24 @@ def lexemes(shapes: DataFrame) -> DataFrame:
     rows = rows.withColumns(
         {
             # Only words of the language and operators are compared later on.
-            "up": F.when(ident, "").when(star, ".*").otherwise(upper),
+            "up": F.when(ident & ~_yes(upper.isin(lexicon.AGGREGATES) & (F.col("_after") == "(")), "")
+            .when(star, ".*").otherwise(upper),
             "parts": F.when(word, parts),
             "star": star,
             "ident": ident,
             "pieces": _pieces(F.col("tok")),
+            # A number that may name an item of the select list by its place.
+            "place": F.when(
+                F.col("places") & F.rlike("tok", F.lit("^[0-9]+$")) & F.col("_before").isin("BY", ",")
+                & F.coalesce(F.col("_after"), F.lit("")).isin(lexicon.AFTER_PLACE), F.col("tok")
+            ).try_cast("int"),
         }
-    ).drop("_before", "_after")
+    ).drop("_before", "_after", "places")
     rows = rows.withColumns(
         {
             "name": F.when(F.col("ident"), F.get("parts", F.size("parts") - 1)),
             "qual": F.when(F.col("ident"), F.get("parts", F.size("parts") - 2)),
+            "path": F.when(F.col("ident") & _has_field(F.col("parts"), columns), F.col("parts")),
         }
     )
 
@@ -252,6 +264,15 @@ def lexemes(shapes: DataFrame) -> DataFrame:
     return rows.withColumn("alias", alias).drop("_n1_name", "_n2_name", "pieces", "pieces_before")
 
 
+def _has_field(parts: Column, columns: list[str] | None) -> Column:
+    """Whether a dotted name may have a column of interest before its last part."""
+    if columns is None:
+        return F.size(parts) > 1
+    owners = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    wanted = F.array(*[F.lit(c.lower()) for c in columns]).cast("array<string>")
+    return F.when(F.size(parts) > 1, F.arrays_overlap(owners, wanted)).otherwise(False)
+
+
 def parentheses(tokens: DataFrame) -> DataFrame:
     """Enclosing parenthesis, enclosing query, and clause-like parentheses (windows, filters)."""
     pair = W.partitionBy("sid", "paren")
@@ -265,12 +286,14 @@ def parentheses(tokens: DataFrame) -> DataFrame:
             "_ordered": F.max((F.col("up") == "ORDER") & (F.col("n1") == "BY")).over(pair),
             "_after": F.max(F.when(F.col("up") == ")", F.col("n1"))).over(pair),
             "_within": F.max(opens & (F.col("p2") == "WITHIN")).over(pair),
+            "_one_of": F.max(opens & (F.col("p1") == "ON") & (F.col("p2") == "DISTINCT")).over(pair),
         }
     )
     area = (
         F.when((F.col("paren") == NO_PAREN) | F.col("is_query"), None)
         .when(F.col("call") == "OVER", "OVER")
         .when(F.col("call") == "FILTER", "WHERE")
+        .when(F.col("_one_of"), "GROUP")  # DISTINCT ON keeps one row of each group
         .when(F.col("_within") | (F.col("_ordered") & (F.col("call") != "AS")), "ORDER")
         .when(F.col("_ordered"), "OVER")
         .when(F.col("_after").isin("OVER", "IGNORE", "RESPECT"), "PARTITION")
@@ -287,7 +310,7 @@ def _clause_keyword(in_select: Column) -> Column:
         .when(up == "SELECT", "SELECT")
         .when((up == "FROM") & (p1 != "DISTINCT"), "FROM")
         .when(up.isin("JOIN", "PIVOT", "UNPIVOT"), "JOIN")
-        .when(up == "ON", F.when(in_select, "JOIN").otherwise("OTHER"))
+        .when((up == "ON") & (p1 != "DISTINCT"), F.when(in_select, "JOIN").otherwise("OTHER"))
         .when(up.isin("WHERE", "HAVING", "QUALIFY"), up)
         .when((up == "GROUP") & n1.isin("BY", "ALL"), "GROUP")
         .when((up == "ORDER") & n1.isin("BY", "SIBLINGS"), "ORDER")
@@ -296,6 +319,7 @@ def _clause_keyword(in_select: Column) -> Column:
         .when(up.isin("USING", "INTO") & ~in_select, "INTO")
         .when((up == "SET") & ~in_select, "SET")
         .when((up == "WHEN") & ((n1 == "MATCHED") | ((n1 == "NOT") & (n2 == "MATCHED"))), "OTHER")
+        .when((up == "ALTER") & (n1 == "TABLE") & ~in_select, "ALTER")
         .when((up == "INSERT") & (n1 == "("), "OTHER")
         .when(up.isin("VALUES", "RETURNING") & ~in_select, "OTHER")
         .when(up.isin("LIMIT", "OFFSET", "FETCH", "CONNECT", "START") & in_select, "SELECT")
@@ -318,9 +342,16 @@ def clauses(tokens: DataFrame) -> DataFrame:
     df = tokens.withColumn("sel", F.last(select, ignorenulls=True).over(run))
     df = df.withColumn("kw", F.when(own, _clause_keyword(F.col("sel").isNotNull())))
     ends = select.isNotNull() | ((F.col("up") == ")") & own)
+    df = df.withColumn("raw_clause", F.last("kw", ignorenulls=True).over(run))
+    in_items = F.col("raw_clause") == "SELECT"
+    item = W.partitionBy("sid", "query", "sel").orderBy("pos")
     df = df.withColumns(
         {
-            "raw_clause": F.last("kw", ignorenulls=True).over(run),
+            # Place of an item in its select list; none where a star stands before it.
+            "item": F.when(
+                F.count(F.when(in_items & own & (F.col("star") | ((up == "*") & F.col("p1").isin("SELECT", "DISTINCT", "ALL", ","))), 1)).over(item) == 0,
+                F.count(F.when(in_items & own & (up == ","), 1)).over(item).cast("int") + 1,
+            ),
             "_from_at": latest(F.col("kw") == "FROM"),
             "_comma_at": latest(own & (F.col("up") == ",")),
             "n_selects": F.count(select).over(whole),
@@ -381,7 +412,8 @@ def roles(tokens: DataFrame) -> DataFrame:
     # the first stays too, because it has the statement's own columns.
     df = df.where(
         ident | opens | closes | F.col("star") | (F.col("up") == "*")
-        | F.col("head").isNotNull() | (F.col("up") == "RECURSIVE")
+        | F.col("head").isNotNull() | F.col("up").isin("RECURSIVE", "NATURAL") | F.col("place").isNotNull()
+        | ((F.col("up") == "ALL") & (p1 == "BY"))
     )
     mentioned = (
         ((p1 == "FROM") & (F.col("p1_kw") == "FROM"))
@@ -459,6 +491,7 @@ ITEM_ENDS = ["", ",", ")", "FROM", "INTO", "WHERE", "UNION", "EXCEPT", "INTERSEC
 STRUCTURE = """
 ( ) , * .* SELECT WITH RECURSIVE FROM JOIN PIVOT UNPIVOT ON WHERE HAVING QUALIFY GROUP ORDER CLUSTER
 DISTRIBUTE SORT WINDOW USING SET INTO WHEN INSERT VALUES RETURNING LIMIT OFFSET FETCH CONNECT START
+NATURAL ALTER ALL
 """.split()
 NAMING = "FROM JOIN INTO UPDATE TABLE VIEW USING EXISTS WITH RECURSIVE AS , ( )".split()
 
@@ -471,14 +504,13 @@ def structural(tokens: DataFrame, columns: list[str] | None) -> DataFrame:
     if columns is None:
         wanted = F.lit(True)
     else:
-        wanted = F.col("name").isin([c.lower() for c in columns]) | F.col("p1").isin(NAMING)
-    return tokens.where(
-        F.when(F.col("ident"), wanted).otherwise(F.col("up").isin(STRUCTURE)) | F.col("head").isNotNull()
-    )
+        wanted = F.col("name").isin([c.lower() for c in columns]) | F.col("path").isNotNull() | F.col("p1").isin(NAMING)
+    shaping = F.col("up").isin(STRUCTURE) | F.col("place").isNotNull()
+    return tokens.where(F.when(F.col("ident"), wanted).otherwise(shaping) | F.col("head").isNotNull())
 
 
 def annotated_tokens(shapes: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    return roles(clauses(parentheses(structural(lexemes(shapes), columns))))
+    return roles(clauses(parentheses(structural(lexemes(shapes, columns), columns))))
 
 
 def _collected(flag: Column, *fields: Column) -> Column:
@@ -497,7 +529,7 @@ def statement_facts(
     df = annotated_tokens(read, columns)
     wanted = F.lit(True)
     if columns is not None:
-        wanted = F.col("name").isin([c.lower() for c in columns])
+        wanted = F.col("name").isin([c.lower() for c in columns]) | F.col("path").isNotNull()
     pos, own = F.col("pos"), F.col("paren") == F.col("query")
     alias = F.coalesce("alias", "name")
     star = (
@@ -506,6 +538,7 @@ def statement_facts(
     ) | (F.col("star") & (F.col("raw_clause") == "SELECT"))
     scope = [F.col("scope"), F.col("sel_end"), F.col("barrier")]
     closes_cte = (F.col("up") == ")") & F.col("is_cte_body")
+    placed = F.col("place").isNotNull() | ((F.col("up") == "ALL") & (F.col("p1") == "BY"))
     return df.groupBy("sid").agg(
         F.first("head", ignorenulls=True).alias("head"),
         _collected(F.col("is_mention"), pos, F.col("name").alias("raw"), alias.alias("alias"),
@@ -518,8 +551,13 @@ def statement_facts(
         ).alias("unnested"),
         _collected(F.col("is_ref") & wanted, pos, F.col("name"), F.col("qual"), F.col("clause"),
                    *scope, F.col("piece_no"), _yes((F.col("call") == "USING") & F.col("sel").isNotNull()).alias("using"),
+                   F.col("path"), F.when((F.col("clause") == "SELECT") & (F.col("raw_clause") == "SELECT"), F.coalesce("item", F.lit(0))).alias("item"),
+                   _yes(F.col("call").isin(lexicon.AGGREGATES)).alias("folded"),
                    ).alias("refs"),
-        _collected(F.col("is_stray") & wanted, pos, F.col("name"), F.col("clause")).alias("strays"),
+        _collected(placed & own & F.col("clause").isin("GROUP", "ORDER"), pos, F.col("clause"), F.col("scope"), F.col("barrier"),
+                   F.coalesce("place", F.lit(ALL_ITEMS)).alias("item")).alias("places"),
+        _collected(F.col("up") == "NATURAL", pos, F.col("piece_no"), *scope).alias("naturals"),
+        _collected(F.col("is_stray") & wanted, pos, F.col("name"), F.col("clause"), F.col("path")).alias("strays"),
         _collected(star, pos, *scope).alias("stars"),
         F.collect_set(
             F.when(F.col("ident") & F.col("in_list") & F.col("list_of").isNotNull() & wanted,

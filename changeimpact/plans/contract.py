@@ -377,7 +377,7 @@ def verdict_distribution(spark, sf_dir):
 
 @register("unknown_breakdown", BASE + """
 SELECT change_id, CASE unknown_kind WHEN 'parse' THEN 'unparseable' WHEN 'star' THEN 'star' WHEN 'ambiguous_bare' THEN 'unresolvable'
-  WHEN 'alias_shadowed' THEN 'other_unknown' WHEN 'unexplained' THEN 'unexplained' ELSE 'unresolvable_qualifier' END AS bucket, count(*) AS n
+  WHEN 'alias_shadowed' THEN 'other_unknown' WHEN 'unexplained' THEN 'unexplained' WHEN 'place' THEN 'place' ELSE 'unresolvable_qualifier' END AS bucket, count(*) AS n
 FROM f WHERE severity = 'unknown' GROUP BY 1, 2""")
 def unknown_breakdown(spark, sf_dir):
     return findings.unknown_breakdown(rehearsal(spark, sf_dir).verdicts)

@@ -156,7 +156,8 @@ TEMPLATES = [
        {"c2": SOFT}, alone={"c2": two("airmass", "SELECT")}),
     _e("ambiguous", f"SELECT e.exposure_id FROM {X} e JOIN {L} pl ON pl.exposure_id = e.exposure_id WHERE band IS NOT NULL AND e.seeing > {{v}}",
        "exposures plates", {"c1": two("band", "WHERE")}),
-    _e("ambiguous", f"SELECT CONCAT(band, '/', scanner) AS k FROM {X} NATURAL JOIN {L}", "exposures plates", {"c1": two("band", "SELECT")}),
+    _e("ambiguous", f"SELECT CONCAT(band, '/', scanner) AS k FROM {X} NATURAL JOIN {L}", "exposures plates", {"c1": two("band", "SELECT")},
+       alone={"c1": two("band", "SELECT"), "c2": unlisted("JOIN", "exposures, plates")}),
     _e("ambiguous", f"SELECT pl.plate_id FROM {L} pl, {X} e WHERE pl.exposure_id = e.exposure_id ORDER BY band, pl.plate_id",
        "exposures plates", {"c1": two("band", "ORDER")}),
     _e("ambiguous", f"SELECT AVG(airmass) FROM {X} e INNER JOIN {G} g ON g.exposure_id = e.exposure_id", "exposures meters",
@@ -230,6 +231,23 @@ TEMPLATES = [
     _e("union", f"SELECT exposure_id FROM {X} WHERE airmass > 2 UNION SELECT exposure_id FROM {G} WHERE airmass > {{v}}", "exposures meters",
        {"c2": hard("WHERE")}),
     _e("using", f"SELECT COUNT(*) FROM {X} JOIN {L} USING (exposure_id, band)", "exposures plates", {"c1": hard("JOIN")}, refusal=USED),
+    _e("place", f"SELECT observer_id, band, COUNT(*) FROM {X} WHERE seeing < {{v}} GROUP BY 1, 2 ORDER BY 3 DESC", "exposures",
+       {"c1": hard("GROUP")}, "all"),
+    _e("place", f"SELECT airmass, exposure_id FROM {X} WHERE observer_id = {{v}} ORDER BY started, 1", "exposures", {"c2": hard("ORDER")}),
+    _e("place", f"SELECT band, MAX(airmass) AS worst FROM {X} GROUP BY ALL", "exposures", {"c1": hard("GROUP"), "c2": SOFT}, "all"),
+    _e("place", f"SELECT exposure_id, band FROM {X} ORDER BY ROUND(seeing, 1), 2", "exposures",
+       {"c1": ("unknown", "SELECT", "place", "a place in GROUP BY or ORDER BY may name `band`")}),
+    _e("field", f"SELECT e.band.code FROM {X} e WHERE obs.tenant_{{t}}.exposures.band.width > {{v}}", "exposures", {"c1": hard("WHERE")}, "all"),
+    _e("field", f'SELECT pl."band"."code" FROM {X} e JOIN {L} pl ON pl.exposure_id = e.exposure_id', "exposures plates",
+       {"c1": cleared("plates")}, alone={"c1": SOFT}),
+    _e("natural", f"SELECT exposure_id FROM {X} NATURAL JOIN {L} WHERE seeing > {{v}}", "exposures plates",
+       {"c1": hard("JOIN")}, refusal=USED, alone={"c1": unlisted("JOIN", "exposures, plates"), "c2": unlisted("JOIN", "exposures, plates")}),
+    _e("natural", f"SELECT exposure_id FROM {X} NATURAL LEFT JOIN tenant_{{t}}.lost_logs", "exposures lost_logs",
+       {c: unlisted("JOIN", "lost_logs") for c in ("c1", "c2")},
+       alone={c: unlisted("JOIN", "exposures, lost_logs") for c in ("c1", "c2")}),
+    _e("dynamic", "EXECUTE IMMEDIATE 'SELECT band FROM exposures WHERE observer_id = {v}'", "",
+       {c: ("unknown", "PARSE", "parse", "parse failed: statement built at run time") for c in ("c1", "c2")}),
+    _e("write", f"ALTER TABLE {X} DROP COLUMN airmass", "exposures", {"c2": hard("ALTER")}),
     # the second dataset
     _m("hard", f"SELECT mount_id FROM {M} WHERE drive_kind NOT IN ('fork', 'D{{v}}')", "mounts", {"c3": hard("WHERE")}, "all"),
     _m("soft", f"SELECT drive_kind AS kind, institute FROM {M}", "mounts", {"c3": SOFT}, "all"),

@@ -16,7 +16,35 @@ SCHEMA = {
 CASES = [
     ("where", "SELECT parcel_id FROM depot.parcels WHERE route_code = 'N7'", "hard", "WHERE", None),
     ("select", "SELECT route_code, parcel_id FROM parcels", "soft", "SELECT", None),
-    ("lower", "select P.Route_Code from PARCELS P order by 1", "soft", "SELECT", None),
+    ("lower", "select P.Route_Code from PARCELS P order by 1", "hard", "ORDER", None),
+    # places of the select list
+    ("place_group", "SELECT parcel_id, route_code, COUNT(*) FROM parcels GROUP BY 1, 2", "hard", "GROUP", None),
+    ("place_order", "SELECT weight_kg,UPPER(route_code) FROM parcels WHERE weight_kg > 3 ORDER BY 1 DESC,2", "hard", "ORDER", None),
+    ("place_other", "SELECT route_code, parcel_id FROM parcels ORDER BY 2 LIMIT 1, 1", "soft", "SELECT", None),
+    ("place_all", "SELECT route_code, SUM(weight_kg) FROM parcels GROUP BY ALL", "hard", "GROUP", None),
+    ("place_all_folded", "SELECT sender_id, MIN(route_code) FROM parcels GROUP BY ALL", "soft", "SELECT", None),
+    ("place_union", "SELECT parcel_id, route_code FROM parcels UNION SELECT sender_id, sender_name FROM senders ORDER BY 2", "hard", "ORDER", None),
+    ("place_inner", "SELECT x.r FROM (SELECT route_code AS r, parcel_id FROM parcels ORDER BY 2) x ORDER BY 1", "soft", "SELECT", None),
+    ("place_masked", "SELECT parcel_id, route_code FROM parcels ORDER BY COALESCE(weight_kg, 1), 2", "unknown", "SELECT", "place"),
+    ("place_after_star", "SELECT s.*, route_code FROM senders s JOIN parcels p ON p.sender_id = s.sender_id ORDER BY 4", "unknown", "SELECT", "place"),
+    ("place_in_list", "SELECT route_code FROM parcels WHERE weight_kg IN (1, 2) GROUP BY route_code, weight_kg", "hard", "GROUP", None),
+    ("distinct_on", "SELECT DISTINCT ON (route_code) parcel_id FROM parcels", "hard", "GROUP", None),
+    ("alter_drop", "ALTER TABLE parcels DROP COLUMN route_code", "hard", "ALTER", None),
+    # fields of the column, longer names of tables
+    ("field", "SELECT parcels.route_code.zone FROM parcels", "soft", "SELECT", None),
+    ("field_where", "SELECT 1 FROM depot.parcels p WHERE p.route_code.zone.no = 3", "hard", "WHERE", None),
+    ("field_bare", "SELECT 1 FROM parcels WHERE route_code.zone = 'a'", "hard", "WHERE", None),
+    ("field_quoted", 'SELECT 1 FROM parcels WHERE "parcels"."route_code"."zone" = 3', "hard", "WHERE", None),
+    ("field_three_parts", "SELECT 1 FROM parcels WHERE main.depot.parcels.route_code.zone = 3", "hard", "WHERE", None),
+    ("field_elsewhere", "SELECT h.route_code.zone FROM parcels p JOIN handoffs h ON h.parcel_id = p.parcel_id", "unaffected",
+     "BOUND_ELSEWHERE:handoffs", None),
+    ("field_unplaced", "SELECT q.route_code.zone FROM handoffs", "unknown", "SELECT", "unresolvable_qualifier"),
+    # columns that the schemas imply
+    ("natural", "SELECT parcel_id FROM parcels NATURAL JOIN handoffs", "hard", "JOIN", None),
+    ("natural_left", "SELECT parcel_id FROM parcels NATURAL LEFT JOIN handoffs WHERE weight_kg > 1", "hard", "JOIN", None),
+    ("natural_no_schema", "SELECT parcel_id FROM parcels NATURAL JOIN lost", "unknown", "JOIN", "unresolved_table"),
+    # text that is no statement yet
+    ("dynamic", "EXECUTE IMMEDIATE 'SELECT route_code FROM parcels'", "unknown", "PARSE", "parse"),
     ("group", "SELECT route_code, COUNT(*) FROM parcels GROUP BY route_code", "hard", "GROUP", None),
     ("order", "SELECT route_code FROM parcels ORDER BY route_code DESC", "hard", "ORDER", None),
     ("having", "SELECT 1 FROM parcels GROUP BY sender_id HAVING MAX(route_code) > 'a'", "hard", "HAVING", None),
@@ -105,6 +133,9 @@ NO_REFERENCE = [
     "SELECT my_route_code, route_code_2 FROM parcels",
     "INSERT INTO handoffs (route_code) VALUES ('x')",
     "SELECT parcel_id FROM parcels; SELECT sender_id FROM senders",
+    "SELECT route_code.zone FROM parcels p JOIN route_code ON route_code.id = p.parcel_id",
+    "SELECT parcel_id FROM parcels NATURAL JOIN senders",
+    "SELECT 1 FROM senders NATURAL JOIN handoffs",
 ]
 # A column named like a word of the language, dropped: statement and evidence.
 LIKE_WORDS = [

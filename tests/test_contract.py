@@ -9,6 +9,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 
 import check  # noqa: E402
 
+from changeimpact.plans import contract as library  # noqa: E402
+
 SF_DIR = "/root/testdata/sf0.001"
 NAMES = [
     "normalize_text", "dedupe_keep_first", "managed_section_merge", "strip_templates", "mention_filters",
@@ -31,5 +33,5 @@ def test_query_equals_check_sql(spark, con, name):
     assert same, told
 
 
-def test_every_query_has_check_sql():
-    assert set(check.contract.queries()) == set(check.contract.oracle_sql())
+def test_every_query_of_the_library_has_check_sql():
+    assert set(library.QUERIES) == set(library.ORACLES)
