@@ -6,8 +6,11 @@ import functools
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +84,37 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[F.col(f"`{c}`") for c in df.columns if c.lower() in lower])
 
 
+def grouped(df: DataFrame, keys: list[str], judge: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """``judge`` of each group of rows with equal keys, for many groups: those of a task lie one after the other in its batches.
+
+    A group is held whole by its task, so callers bound it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(batch.schema.get_field_index(k)).dictionary_encode().indices.to_numpy() for k in keys]
+            ends = np.zeros(batch.num_rows, bool)
+            for own in columns:
+                ends[1:] |= own[1:] != own[:-1]
+            starts = [0, *np.flatnonzero(ends).tolist()]
+            for start, stop in zip(starts, [*starts[1:], batch.num_rows]):
+                part = batch.slice(start, stop - start)
+                first = tuple(part.column(part.schema.get_field_index(k))[0].as_py() for k in keys)
+                if held and first != last:
+                    yield judge(pa.Table.from_batches(held))
+                    held = []
+                held.append(part)
+                last = first
+        if held:
+            yield judge(pa.Table.from_batches(held))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` as (node, component): the smallest node that is reachable.
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changeimpact.llm.common import components, ship, stage
+from changeimpact.llm.common import components, grouped, ship, stage
 
 BLOCK, AXES, SEED = 16, 2, 11
 #: Bytes of the vectors of a chunk: a task holds two chunks, given and rotated.
@@ -205,30 +205,7 @@ def tiled(tiles: DataFrame, block: int, distance2: float, at_least: float) -> Da
             names=["key", "links", "node", "root"],
         )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:
-            ends = np.zeros(batch.num_rows, bool)
-            for n in names:
-                own = batch.column(batch.schema.get_field_index(n)).dictionary_encode().indices.to_numpy()
-                ends[1:] |= own[1:] != own[:-1]
-            starts = [0, *np.flatnonzero(ends).tolist()]
-            for start, stop in zip(starts, [*starts[1:], batch.num_rows]):
-                part = batch.slice(start, stop - start)
-                if not part.num_rows:
-                    continue
-                first = tuple(part.column(part.schema.get_field_index(n))[0].as_py() for n in names)
-                if held and first != last:
-                    yield judged(pa.Table.from_batches(held))
-                    held = []
-                held.append(part)
-                last = first
-        if held:
-            yield judged(pa.Table.from_batches(held))
-
-    dealt = tiles.repartition(*names).sortWithinPartitions(*names)
-    return dealt.mapInArrow(run, "key binary, links long, node long, root long")
+    return grouped(tiles, names, judged, "key binary, links long, node long, root long")
 
 
 def near_duplicates(vectors: DataFrame, at_least: float, block: int = BLOCK, tile_bytes: int = TILE_BYTES) -> DataFrame:

@@ -13,8 +13,10 @@
    later times with a draw of each list's own and only between classes that bear different labels. So a list of
    thousands of copies gives a row for each copy, and for the few not linked yet some more, instead of one
    for each pair.
-5. Lists that still hold classes with different labels give all pairs of such classes, which are compared and
-   confirmed likewise: no pair that could join two groups goes unseen.
+5. Lists that still hold classes with different labels are cut into chunks by a hash; each pair of chunks is a tile of
+   bounded size. In a tile signatures are compared side by side, each pair in the first list only that both post, so
+   no pair that could join two groups goes unseen and none is a row: a class comes out with its partners in the tile.
+   Shingle sets are sent once a tile, and pairs of classes that the tile has joined already are left out.
 6. Connected components of the links give each document its class.
 
 MinHash is a random test: a pair exactly at the similarity asked for is missed with a chance of about
@@ -34,9 +36,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from changeimpact.llm.common import components, ship, stage
+from changeimpact.llm.common import components, grouped, ship, stage
 
 COORDINATES, MATCH, DRAWS, SEED = 64, 38, 3, 7
+#: Classes and shingles of a chunk of a list; a task holds two chunks.
+CHUNK, CHUNK_SHINGLES = 256, 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -146,10 +150,51 @@ def led(posts: DataFrame, labels: DataFrame | None, draw: int, close) -> DataFra
     return pairs_of(leaders, own, close)
 
 
-def crossed(posts: DataFrame, labels: DataFrame, close) -> DataFrame:
-    """All pairs of classes that share a list and are in different components."""
+def adjacent(posts: DataFrame, labels: DataFrame, reps: DataFrame, match: int, percent: int) -> DataFrame:
+    """(tile, a, partners): classes of one list in different components that agree often enough and are near in size."""
     own = stage(unlinked(posts, labels), "lists")
-    return pairs_of(own, own, close)
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int")
+    lists = stage(own.groupBy("k", "v").agg(size.alias("chunks"), F.count(F.lit(1)).alias("rows")), "list_sizes")
+    few = max(1, (lists.agg(F.sum("rows")).first()[0] or 0) // CHUNK)
+    bits = posts.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("bits"))
+    # Short lists share tiles; what they cost is to be sent the sets of both.
+    tile = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("k", "v"), F.lit(few))).otherwise(F.xxhash64("k", "v", "x", "y"))
+    chunked = own.join(lists, ["k", "v"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    full = chunked.join(reps.select("node", "sig"), "node").join(bits, "node")
+    tiles = full.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns(
+        {"x": F.least("chunk", "partner"), "y": F.greatest("chunk", "partner")}
+    ).select("k", "v", "x", "y", tile.alias("tile"), "chunk", "node", "n", "c", "sig", "bits")
+
+    def met(rows: pa.Table) -> pa.RecordBatch:
+        get = lambda name: rows.column(name).to_numpy()
+        k, apart = get("k")[0], get("x")[0] != get("y")[0]
+        node, n, c, chunk = get("node"), get("n").astype(np.int64), get("c"), get("chunk")
+        sig = rows.column("sig").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        posted_in = (get("bits")[:, None] >> np.arange(sig.shape[1], dtype=np.int64)) & 1 == 1
+        starts, partners = [0], []
+        for i in range(len(node)):
+            j = np.arange(i + 1, len(node))
+            j = j[(c[j] != c[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])) & (~apart | (chunk[j] != chunk[i]))]
+            same = sig[j] == sig[i]
+            first = (same & posted_in[j] & posted_in[i]).argmax(axis=1) if len(j) else j
+            partners.append(node[j[(same.sum(axis=1) >= match) & (first == k)]])
+            starts.append(starts[-1] + len(partners[-1]))
+        kept = np.flatnonzero(np.diff(starts))
+        lists = pa.ListArray.from_arrays(pa.array(np.array(starts, np.int32)), pa.array(np.concatenate([*partners, np.empty(0, np.int64)])))
+        return pa.RecordBatch.from_arrays(
+            [rows.column("tile").combine_chunks().take(pa.array(kept)), pa.array(node[kept]), lists.take(pa.array(kept))],
+            names=["tile", "a", "partners"],
+        )
+
+    return grouped(tiles, ["k", "v", "x", "y"], met, "tile long, a long, partners array<long>")
+
+
+def dealt(near: DataFrame) -> DataFrame:
+    """(tile, a, partners) of pairs (a, b), about ``CHUNK`` pairs in a tile; a class with many partners is in several."""
+    few = max(1, near.count() // CHUNK)
+    many = near.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("parts"))
+    tile = F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))), F.lit(few))
+    return near.join(many, "a").groupBy(tile.alias("tile"), "a").agg(F.collect_list("b").alias("partners"))
 
 
 def agreements(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -166,36 +211,87 @@ def agreements(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "a long, b long, agree int")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, broadcast_bytes: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the similarity."""
+def joined(sets: list[np.ndarray], labels: np.ndarray, pairs: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of sets that reach the similarity, without those that labels and earlier pairs have joined already."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    group = {c: i for i, c in enumerate(dict.fromkeys(labels.tolist()))}
+    root = list(range(len(group)))
+    of = [group[c] for c in labels.tolist()]
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    both = None
+    each = int((sizes[pairs[:, 0]] + sizes[pairs[:, 1]]).sum()) if len(pairs) else 0
+    if len(pairs) > 8 * len(sets):
+        words, place = np.unique(np.concatenate(sets), return_inverse=True)
+        if len(sets) ** 2 * len(words) < 1000 * each:  # many pairs over few shingles: one product for all
+            both, owner = np.zeros((len(sets), len(sets))), np.repeat(np.arange(len(sets)), sizes)
+            for start in range(0, len(words), 8192):
+                inside = (place >= start) & (place < start + 8192)
+                has = np.zeros((len(sets), 8192), np.float32)
+                has[owner[inside], place[inside] - start] = 1
+                both += has @ has.T
+            both = both.astype(np.int64)
+    out = []
+    for n, (i, j) in enumerate(pairs.tolist()):
+        x, y = top(of[i]), top(of[j])
+        if x != y:
+            met = both[i, j] if both is not None else len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if met and 100 * met >= percent * (sizes[i] + sizes[j] - met):
+                root[max(x, y)] = min(x, y)
+                out.append(n)
+    return np.array(out, np.int64)
+
+
+def confirmed(tiles: DataFrame, docs: DataFrame, labels: DataFrame | None, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) among the partners of ``tiles(tile, a, partners)``: enough of them to join all that full shingle sets link.
+
+    A set is computed once and sent once to each tile that asks for it.
+    """
+    asked = stage(
+        tiles.select("tile", F.explode(F.array_union(F.array("a"), "partners")).alias("node")).distinct(), "asked"
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, np.ndarray] | None = None
         for batch in batches:
-            keep = []
-            ids, first, second = batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())
-            for i in range(batch.num_rows):
-                text = first[i].as_py()
-                if last is None or last[0] != (ids[i], text):
-                    last = ((ids[i], text), shingle_set(text, shingle))
-                x, y = last[1], shingle_set(second[i].as_py(), shingle)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
-            out = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-            yield out
-
-    texts = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    asked = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "asked")
-    # Only the texts of these ids are moved. Their number is measured; a long list is joined, not broadcast.
-    short = asked.count() * 16 <= broadcast_bytes
-    texts = texts.join(F.broadcast(asked) if short else asked, "doc_id", "left_semi")
-    met = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
-    return met.mapInArrow(run, "a long, b long").distinct()
+            texts = batch.column(1).cast(pa.binary())
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                sets = [shingle_set(texts[start + i].as_py(), shingle).tobytes() for i in range(part.num_rows)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "found"])
+
+    texts = docs.select(F.col("doc_id").alias("node"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    wanted = texts.join(asked.select("node").distinct(), "node", "left_semi")
+    sets = wanted.mapInArrow(run, "node long, found binary").distinct()
+    named = asked.withColumn("c", F.col("node")) if labels is None else (
+        asked.join(labels, "node", "left").select("tile", "node", F.coalesce("component", "node").alias("c"))
+    )
+    filled = named.join(sets, "node").select(F.col("tile").alias("of"), "node", "c", "found")
+
+    def judged(left: pa.Table, right: pa.Table) -> pa.Table:
+        nodes, labels_of = left.column("node").to_numpy(), left.column("c").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in left.column("found").to_pylist()]
+        places: dict[int, list[int]] = {}
+        for i, node in enumerate(nodes.tolist()):  # an id that repeats has several sets
+            places.setdefault(node, []).append(i)
+        pairs = [
+            (i, j) for a, others in zip(right.column("a").to_pylist(), right.column("partners").to_pylist())
+            for i in places.get(a, ()) for b in others for j in places.get(b, ())
+        ]
+        pairs = np.array(pairs, np.int64).reshape(-1, 2)
+        kept = pairs[joined(sets, labels_of, pairs, percent)] if len(pairs) else pairs
+        return pa.table({"a": pa.array(nodes[kept[:, 0]]), "b": pa.array(nodes[kept[:, 1]])})
+
+    links = filled.groupBy("of").cogroup(tiles.groupBy("tile")).applyInArrow(judged, "a long, b long")
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def near_duplicates(
     docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = COORDINATES, match: int = MATCH,
-    draws: int = DRAWS, broadcast_bytes: int = 16 << 20,
+    draws: int = DRAWS,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, set_hi, set_lo, component_id, kept."""
     ship(docs.sparkSession)
@@ -213,12 +309,17 @@ def near_duplicates(
 
     labels, links, seen = None, None, None
     for draw in range(draws + 1):
-        pairs = led(posts, labels, draw, close) if draw < draws else crossed(posts, labels, close)
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        near = stage(agreements(pairs, reps).filter(F.col("agree") >= match).select("a", "b"), "near")
-        new = stage(confirmed(near, docs, shingle, percent, broadcast_bytes), "links")
-        links, seen = (new, near) if links is None else (links.unionByName(new), seen.unionByName(near))
+        if draw == draws:
+            tiles = stage(adjacent(posts, labels, reps, match, percent), "tiles")
+        else:
+            pairs = led(posts, labels, draw, close)
+            if seen is not None:
+                pairs = pairs.join(seen, ["a", "b"], "left_anti")
+            near = stage(agreements(pairs, reps).filter(F.col("agree") >= match).select("a", "b"), "near")
+            seen = near if seen is None else seen.unionByName(near)
+            tiles = stage(dealt(near), "tiles")
+        new = stage(confirmed(tiles, docs, labels, shingle, percent), "links")
+        links = new if links is None else links.unionByName(new)
         labels = relabelled(labels, new) if draw < draws else labels
     owned = prints.select("doc_id", "n", "hi", "lo").join(classes, ["hi", "lo"], "left")
     # One id on several classes links each of them to the smallest; its texts without shingles go with them.
