@@ -56,8 +56,7 @@ FROM d LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id"""
 
 def _op6() -> str:
     cuts = ", ".join(f"('{r}', {i}, {c})" for r, cs in q.CUTOFFS.items() for i, c in enumerate(cs))
-    rules = len(q.CUTOFFS)
-    p = q.RISK / rules
+    p = q.RISK
     term = f"exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p}) + (n - j) * ln(1 - {p}))"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
@@ -73,12 +72,13 @@ v AS (SELECT doc_id, lang, unnest(['symbols', 'marks', 'repeats', 'same_lines',
   n_repeat_words / greatest(n_words, 1), n_dup_lines / greatest(len(ls), 1), caps / greatest(word_chars, 1)]) AS x FROM m),
 cuts(rule, step, cutoff) AS (VALUES {cuts}),
 good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1 HAVING min(quality) = 1),
-k AS (SELECT lang, v.rule, step, cutoff, count(*) AS n, count(*) FILTER (x > cutoff) AS k FROM v JOIN good ON good.doc_id = v.doc_id JOIN cuts ON cuts.rule = v.rule GROUP BY ALL),
-z AS (SELECT lang, rule, step, cutoff, CASE WHEN k >= n * {p} THEN 1 ELSE (SELECT sum({term}) FROM (SELECT unnest(range(0, k + 1)) AS j)) END
-  <= {q.DELTA} / ((SELECT count(DISTINCT lang) FROM k) * {rules}) AS ok FROM k),
-s AS (SELECT *, bool_and(ok) OVER (PARTITION BY lang, rule ORDER BY step) AS sure FROM z),
-c AS (SELECT lang, rule, min(cutoff) AS cutoff FROM s WHERE sure GROUP BY 1, 2),
-bad AS (SELECT DISTINCT doc_id FROM v JOIN c ON v.lang = c.lang AND v.rule = c.rule WHERE x > cutoff)
+k AS (SELECT lang, step, count(DISTINCT v.doc_id) AS n, count(DISTINCT v.doc_id) FILTER (x > cutoff) AS k
+  FROM v JOIN good ON good.doc_id = v.doc_id JOIN cuts ON cuts.rule = v.rule GROUP BY 1, 2),
+z AS (SELECT lang, step, CASE WHEN k >= n * {p} THEN 1 ELSE (SELECT sum({term}) FROM (SELECT unnest(range(0, k + 1)) AS j)) END
+  <= {q.DELTA} / (SELECT count(DISTINCT lang) FROM k) AS ok FROM k),
+s AS (SELECT *, bool_and(ok) OVER (PARTITION BY lang ORDER BY step) AS sure FROM z),
+c AS (SELECT lang, max(step) AS step FROM s WHERE sure GROUP BY 1),
+bad AS (SELECT DISTINCT doc_id FROM v JOIN c ON v.lang = c.lang JOIN cuts ON cuts.rule = v.rule AND cuts.step = c.step WHERE x > cutoff)
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND bad.doc_id IS NULL AS kept FROM m LEFT JOIN bad ON bad.doc_id = m.doc_id"""
 

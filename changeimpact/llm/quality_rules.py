@@ -1,12 +1,14 @@
 """Quality rules whose cutoffs are chosen on labelled documents under a bound on false rejections.
 
 A rule is a measure of a text (symbols per word, share of repeated words, ...) with a fixed list of
-cutoffs from lenient to strict. In each stratum (language) the labelled good documents are the holdout:
-they neither define the measures nor the lists. A cutoff is certified if the exact binomial (Clopper-
-Pearson) upper bound on its false-rejection rate is at most ``risk / rules``. Cutoffs are tested in their
-fixed order and testing stops at the first one that fails, which needs no further correction; the level
-is divided by strata times rules (Bonferroni). So with probability ``1 - delta``, in no stratum more than
-``risk`` of good documents are rejected. A stratum with too few labels rejects nothing by the method.
+cutoffs; step i of all lists together is one joint rule, which rejects a text above any of its cutoffs. Steps
+go from lenient to strict. In each stratum (language) the labelled good documents are the holdout: they neither
+define the measures nor the lists. A step is certified if the exact binomial (Clopper-Pearson) upper bound on
+its false-rejection rate is at most ``risk``. Steps are tested in their fixed order and testing stops at the
+first one that fails, which needs no further correction; the level is divided by the strata (Bonferroni). So
+with probability ``1 - delta``, in no stratum more than ``risk`` of good documents are rejected, whatever the
+number of rules. A stratum with too few labels (with four strata, fewer than 217 without a rejection) rejects
+nothing by the method.
 
 Only SQL functions are used. Measures are rows of their own text: no shuffle. They are stored once, the
 labels meet the narrow measures, and the certified cutoffs are one row per stratum.
@@ -23,14 +25,15 @@ from pyspark.sql import functions as F
 
 from changeimpact.llm.common import SPACE, split_words, stage, without
 
-#: Cutoffs of each rule from lenient to strict; a text above the cutoff is rejected.
+#: Cutoffs of each rule, one for each step from lenient to strict; a text above the cutoff is rejected.
 CUTOFFS = {
     "symbols": [3.0, 2.0, 1.0, 0.5, 0.3, 0.2, 0.1, 0.05, 0.02],
-    "marks": [3.0, 2.0, 1.5, 1.0, 0.5, 0.3, 0.2, 0.1],
+    "marks": [3.0, 2.0, 1.5, 1.0, 0.8, 0.5, 0.3, 0.2, 0.1],
     "repeats": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1],
-    "same_lines": [0.9, 0.7, 0.5, 0.4, 0.3, 0.2, 0.1],
-    "capitals": [0.9, 0.7, 0.5, 0.4, 0.3, 0.2, 0.1],
+    "same_lines": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1],
+    "capitals": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1],
 }
+STEPS = len(CUTOFFS["symbols"])
 RISK, DELTA = 0.02, 0.05
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RESULT = (*BASE, "base_failed", "failed_rules", "kept")
@@ -115,8 +118,13 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.exp(top) * total)
 
 
+def above(step: int) -> dict[str, Column]:
+    """Of each rule, whether a text's measure is above the cutoff of a step."""
+    return {r: F.col(f"m_{r}") > cuts[step] for r, cuts in CUTOFFS.items()}
+
+
 def calibrate(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """Certified cutoffs: (stratum, rule, cutoff, n_good, n_rejected, tail), the strictest of each stratum and rule."""
+    """Certified steps: (stratum, step, n_good, n_rejected, tail), the strictest of each stratum."""
     good = (
         labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL")
         .groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1").select("doc_id")
@@ -124,34 +132,36 @@ def calibrate(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta:
     held = measured.select(
         "doc_id", F.coalesce("lang", F.lit("")).alias("stratum"), *[f"m_{r}" for r in CUTOFFS]
     ).join(good, "doc_id", "left_semi")
-    # One narrow pass: per stratum, how many good documents each cutoff of each rule would reject.
+    # One narrow pass: per stratum, how many good documents each step would reject.
+    any_of = lambda step: F.array_contains(F.array(*above(step).values()), True)
     counts = held.groupBy("stratum").agg(
-        F.count(F.lit(1)).alias("n_good"),
-        *[F.count_if(F.col(f"m_{r}") > c).alias(f"k_{r}_{i}") for r, cuts in CUTOFFS.items() for i, c in enumerate(cuts)],
+        F.count(F.lit(1)).alias("n_good"), *[F.count_if(any_of(i)).alias(f"k_{i}") for i in range(STEPS)]
     )
-    each = [
-        F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"), F.col(f"k_{r}_{i}").alias("n_rejected"))
-        for r, cuts in CUTOFFS.items() for i, c in enumerate(cuts)
-    ]
-    tests = counts.select("stratum", "n_good", F.count(F.lit(1)).over(Window.partitionBy()).alias("strata"), F.inline(F.array(*each)))
-    tests = tests.withColumn("tail", binomial_tail(F.col("n_good"), F.col("n_rejected"), risk / len(CUTOFFS)))
-    passed = (F.col("tail") <= delta / (F.col("strata") * len(CUTOFFS))).cast("int")
-    order = Window.partitionBy("stratum", "rule").orderBy("step")
+    each = [F.struct(F.lit(i).alias("step"), F.col(f"k_{i}").alias("n_rejected")) for i in range(STEPS)]
+    # One row per stratum is counted; in one select with inline() it would be one per step.
+    counts = counts.withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy()))
+    tests = counts.select("stratum", "n_good", "strata", F.inline(F.array(*each)))
+    tests = tests.withColumn("tail", binomial_tail(F.col("n_good"), F.col("n_rejected"), risk))
+    passed = (F.col("tail") <= delta / F.col("strata")).cast("int")
+    order = Window.partitionBy("stratum").orderBy("step")
     certified = tests.withColumn("passed", F.min(passed).over(order)).filter("passed = 1")
-    last = F.max_by(F.struct("cutoff", "n_good", "n_rejected", "tail"), "step")
-    return certified.groupBy("stratum", "rule").agg(last.alias("x")).select("stratum", "rule", "x.*")
+    last = F.max(F.struct("step", "n_good", "n_rejected", "tail"))
+    return certified.groupBy("stratum").agg(last.alias("x")).select("stratum", "x.*")
 
 
-def judge(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """Adds failed_rules and kept: base rules passed and no measure above its stratum's certified cutoff."""
-    wide = cutoffs.groupBy(F.col("stratum").alias("__stratum")).agg(
-        *[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"__c_{r}") for r in CUTOFFS]
-    )
-    df = measured.withColumn("__stratum", F.coalesce("lang", F.lit(""))).join(wide, "__stratum", "left")
-    failed = F.array_compact(F.array(*[F.when(F.col(f"m_{r}") > F.col(f"__c_{r}"), F.lit(r)) for r in CUTOFFS]))
+def judge(measured: DataFrame, certified: DataFrame) -> DataFrame:
+    """Adds failed_rules and kept: base rules passed and no measure above the cutoffs of its stratum's certified step."""
+    steps = certified.select(F.col("stratum").alias("__stratum"), F.col("step").alias("__step"))
+    df = measured.withColumn("__stratum", F.coalesce("lang", F.lit(""))).join(steps, "__stratum", "left")
+
+    def over(rule: str) -> Column:
+        cuts = F.array(*[F.lit(c) for c in CUTOFFS[rule]])
+        return F.col(f"m_{rule}") > F.get(cuts, F.col("__step"))
+
+    failed = F.array_compact(F.array(*[F.when(over(r), F.lit(r)) for r in CUTOFFS]))
     df = df.withColumn("failed_rules", failed)
     df = df.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
-    return df.drop("__stratum", *[f"__c_{r}" for r in CUTOFFS])
+    return df.drop("__stratum", "__step")
 
 
 def quality_of(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:

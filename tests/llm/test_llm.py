@@ -375,3 +375,13 @@ def test_pipeline(spark):
     for doc, text in left:
         if not brute.base_spans(text):
             assert got[doc]["ids"] == library.encode(text)
+
+
+def test_steps_are_certified_by_the_number_of_strata(spark):
+    """217 good labels without a rejection are enough with four strata: 0.98^217 <= 0.05 / 4; 216 are not."""
+    rows = [(i, " ".join(f"w{j}" for j in range(60)), lang) for lang, start, n in (("a", 0, 217), ("b", 300, 216), ("c", 600, 5), (None, 700, 5))
+            for i in range(start, start + n)]
+    frame = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in rows], "doc_id long, quality int, toxic int")
+    certified = quality_rules.calibrate(quality_rules.measures(frame), labels).collect()
+    assert [(r["stratum"], r["step"], r["n_good"], r["n_rejected"]) for r in certified] == [("a", quality_rules.STEPS - 1, 217, 0)]
