@@ -151,7 +151,10 @@ def led(posts: DataFrame, labels: DataFrame | None, draw: int, close) -> DataFra
 
 
 def adjacent(posts: DataFrame, labels: DataFrame, reps: DataFrame, match: int, percent: int) -> DataFrame:
-    """(tile, a, partners): classes of one list in different components that agree often enough and are near in size."""
+    """(tile, a, partners): classes of one list in different components that agree often enough and are near in size.
+
+    Every class that a tile asks for has a row of its own too, without partners.
+    """
     own = stage(unlinked(posts, labels), "lists")
     size = F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int")
     lists = stage(own.groupBy("k", "v").agg(size.alias("chunks"), F.count(F.lit(1)).alias("rows")), "list_sizes")
@@ -180,9 +183,12 @@ def adjacent(posts: DataFrame, labels: DataFrame, reps: DataFrame, match: int, p
             partners.append(node[j[(same.sum(axis=1) >= match) & (first == k)]])
             starts.append(starts[-1] + len(partners[-1]))
         kept = np.flatnonzero(np.diff(starts))
+        asked = np.unique(np.concatenate([node[kept], *partners]))
         lists = pa.ListArray.from_arrays(pa.array(np.array(starts, np.int32)), pa.array(np.concatenate([*partners, np.empty(0, np.int64)])))
+        tile = pa.array(np.full(len(kept) + len(asked), get("tile")[0]))
         return pa.RecordBatch.from_arrays(
-            [rows.column("tile").combine_chunks().take(pa.array(kept)), pa.array(node[kept]), lists.take(pa.array(kept))],
+            [tile, pa.concat_arrays([pa.array(node[kept]), pa.array(asked)]),
+             pa.concat_arrays([lists.take(pa.array(kept)), pa.nulls(len(asked), lists.type)])],
             names=["tile", "a", "partners"],
         )
 
@@ -194,7 +200,10 @@ def dealt(near: DataFrame) -> DataFrame:
     few = max(1, near.count() // CHUNK)
     many = near.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("parts"))
     tile = F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))), F.lit(few))
-    return near.join(many, "a").groupBy(tile.alias("tile"), "a").agg(F.collect_list("b").alias("partners"))
+    placed = stage(near.join(many, "a").select(tile.alias("tile"), "a", "b"), "placed")
+    asked = placed.select("tile", "a").unionByName(placed.select("tile", F.col("b").alias("a"))).distinct()
+    listed = placed.groupBy("tile", "a").agg(F.collect_list("b").alias("partners"))
+    return listed.unionByName(asked.withColumn("partners", F.lit(None).cast("array<long>")))
 
 
 def agreements(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -251,9 +260,8 @@ def confirmed(tiles: DataFrame, docs: DataFrame, labels: DataFrame | None, shing
 
     A set is computed once and sent once to each tile that asks for it.
     """
-    asked = stage(
-        tiles.select("tile", F.explode(F.array_union(F.array("a"), "partners")).alias("node")).distinct(), "asked"
-    )
+    asked = stage(tiles.filter("partners IS NULL").select("tile", F.col("a").alias("node")).distinct(), "asked")
+    tiles = tiles.filter("partners IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
