@@ -1,23 +1,26 @@
 """Main text of web pages by tree scoring.
 
-A page becomes a tree of elements. Subtrees that are no article by their element, role, name or visibility
-(menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) fall away first. Each
-paragraph then gives points for its length and its commas to its parent, fewer to each further ancestor; a
-container's points are discounted by the share of its text that stands in links. Where the best container is in
-an article or main element, that one is kept with those siblings that score well, lists of links
-inside it too unless they are marked as a menu. Elsewhere every container of
-paragraphs that isn't mostly links is kept whole, and around these all headings and blocks but link-heavy ones
-that score low.
-
-Pages are rows of Arrow batches: no shuffle, memory bounded by a batch. Work is linear in the page: points
-rise a fixed number of levels. Defined results: null, empty and text-free pages give ''; broken markup is
-read as far as it goes; repeated rows get equal results; input columns named like a result column are replaced.
+A page becomes a tree of elements. Subtrees that are no article by their element, role or visibility (menus, footers,
+dialogs, scripts, styles) fall away first. A name (class or id) marks a subtree only if all its words are such as
+``cookie-notice`` or ``share-buttons`` (not ``has-sidebar``, ``share-price``, ``related-work``); a marked subtree, or a form, falls away
+unless it holds an article or main element or nearly all text of the page. Each paragraph then gives points for its length and
+its commas to its parent, fewer to each further ancestor; a container's points are discounted by the share of its text that
+stands in links. Where the best container is in an article element, that one is kept with the titles and paragraphs beside it,
+what else is in its main element, and those siblings that score well; lists of links inside it too unless they are marked as a
+menu. Elsewhere every container of paragraphs that isn't mostly links is kept whole, and around these all headings and blocks
+but link-heavy ones that score low.
+
+Pages are rows of Arrow batches: no shuffle, memory bounded by a batch. Work is linear in the page: points rise a fixed number
+of levels, and open elements are found by their name. Defined results: null, empty and text-free pages give ''; broken markup
+is read as far as it goes; repeated rows get equal results; input columns named like a result column are replaced.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,27 +48,36 @@ ENDS = {
 }
 IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
 # Elements, roles and names that no article text stands in.
-DROPPED = frozenset("nav footer aside form button select menu dialog script style title textarea noscript iframe template svg canvas object head xmp noembed noframes".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
+DROPPED = frozenset("nav footer aside select menu dialog script style title textarea noscript iframe template svg canvas object head xmp noembed noframes".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promoted banner cookie cookies consent "
     "gdpr notice notices notification alert newsletter subscribe subscription signup popup modal overlay sidebar sidebars menu menus nav navbar "
     "navigation breadcrumb breadcrumbs footer masthead toolbar pagination pager share sharing social related recommended recommendations teaser "
     "comment comments commentlist reply replies disqus respond widget widgets login skip".split()
 )
+# Words that say nothing beside such a name: a name of these and at least one of NAMES is a mark.
+PLAIN = frozenset(
+    "site page top bottom left right main global primary secondary inner outer box block wrap wrapper container area section bar panel list "
+    "item items link links button buttons group row col header head body text content form inline fixed sticky small large js fb post".split()
+)
+# A button counts as text only in a sentence.
+SENTENCE = frozenset("p li dd td".split())
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
 )
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
-SPLIT_NAME = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+SPLIT_NAME = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 LEVELS, SHORT = (1.0, 0.5, 0.25, 0.125, 0.0625), 25
+#: Characters outside marked subtrees beyond which a large marked one (reader comments, say) is no article.
+ENOUGH = 200
 
 
 class Node:
-    __slots__ = ("tag", "up", "children", "chars", "linked", "links_more", "points", "direct", "bonus", "dropped")
+    __slots__ = ("tag", "up", "children", "chars", "linked", "links_more", "points", "direct", "bonus", "dropped", "marked", "over")
 
-    def __init__(self, tag: str, up: Node | None, bonus: float = 0.0, dropped: bool = False):
-        self.tag, self.up, self.bonus, self.dropped = tag, up, bonus, dropped
+    def __init__(self, tag: str, up: Node | None, bonus: float = 0.0, dropped: bool = False, marked: bool = False):
+        self.tag, self.up, self.bonus, self.dropped, self.marked, self.over = tag, up, bonus, dropped, marked, False
         self.children: list[Node | str] = []
         self.chars = self.linked = self.links_more = 0
         self.points = self.direct = 0.0
@@ -83,97 +95,164 @@ def no_article(tag: str, at: dict[str, str], inside: bool) -> bool:
         return False
     if "hidden" in at or at.get("aria-hidden") == "true" or at.get("role", "").lower() in ROLES:
         return True
-    if "display:none" in at.get("style", "").replace(" ", "").lower():
+    return "display:none" in at.get("style", "").replace(" ", "").lower()
+
+
+def is_mark(name: str) -> bool:
+    words = {w.lower() for w in SPLIT_NAME.split(name) if w}
+    return bool(words & NAMES) and words <= NAMES | PLAIN
+
+
+def marked(tag: str, at: dict[str, str]) -> bool:
+    """Whether a subtree's element or names say that it is probably no article."""
+    if tag in ("form", "button"):
         return True
-    names = {x.lower() for x in SPLIT_NAME.split(f"{at.get('class', '')} {at.get('id', '')}")}
-    return tag not in ("html", "body", "article", "main") and bool(names & NAMES)
+    if tag in ("html", "body", "article", "main"):
+        return False
+    return at.get("role", "").lower() == "form" or any(map(is_mark, [*at.get("class", "").split(), *at.get("id", "").split()]))
+
+
+class Open:
+    """The open elements, outermost first, with the places of each name among them."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.dropped_blocks: list[int] = []
+        self.articles = 0
+
+    @property
+    def here(self) -> Node:
+        return self.stack[-1]
+
+    def push(self, node: Node) -> None:
+        at = len(self.stack)
+        self.places[node.tag].append(at)
+        if node.dropped and node.tag in BLOCK | DROPPED:
+            self.dropped_blocks.append(at)
+        self.articles += node.tag in ("article", "main")
+        self.stack.append(node)
+
+    def forget(self, node: Node) -> None:
+        self.places[node.tag].pop()
+        self.articles -= node.tag in ("article", "main")
+
+    def cut(self, first: int) -> None:
+        """Ends the element at a place and all inside it, and those outside it that are over already."""
+        while len(self.stack) > max(first, 1) or (len(self.stack) > 1 and self.here.over):
+            node = self.stack.pop()
+            if not node.over:
+                self.forget(node)
+            if self.dropped_blocks and self.dropped_blocks[-1] == len(self.stack):
+                self.dropped_blocks.pop()
+
+    def end(self, tags: set[str], borders: set[str]) -> None:
+        """Ends the outermost open element of ``tags`` inside the nearest border."""
+        own = [self.places[t] for t in tags if self.places.get(t)]
+        if own:
+            border = max((self.places[t][-1] for t in borders if self.places.get(t)), default=0)
+            # A border that is one of the tags is searched like them.
+            inside = [p[i] for p in own if (i := bisect_right(p, border)) < len(p)]
+            if inside:
+                self.cut(min(inside))
+
+    def close(self, tag: str) -> None:
+        """Ends the nearest open element of the tag, with all inside it. An inline one doesn't end a dropped block inside it."""
+        names = HEADING if tag in HEADING else (tag,)
+        at = max((self.places[t][-1] for t in names if self.places.get(t)), default=0)
+        if at:
+            inner = bool(self.dropped_blocks) and self.dropped_blocks[-1] > at
+            if inner and tag not in BLOCK and not self.stack[at].dropped:
+                self.forget(self.stack[at])
+                self.stack[at].over = True
+            else:
+                self.cut(at)
 
 
 def tree(page: str) -> Node:
     """The page's elements without the subtrees that are no article.
 
-    Elements of such a subtree are on the stack like others, so optional end tags and close tags of open ancestors
+    Elements of such a subtree are open like others, so optional end tags and close tags of open ancestors
     end it; they hang on no parent.
     """
-    root = here = Node("html", None)
+    root = Node("html", None)
     at, end = 0, len(page)
-    stack = [root]
+    opened = Open(root)
     while at < end:
         found = TAG.search(page, at)
         cut = found.start() if found else end
         if cut > at:
-            if here.tag == "head" and not page[at:cut].isspace():
-                here = left(stack)
-            if not here.dropped:
-                here.children.append(page[at:cut])
+            if opened.here.tag == "head" and not page[at:cut].isspace():
+                opened.cut(len(opened.stack) - 1)
+            if not opened.here.dropped:
+                opened.here.children.append(page[at:cut])
         if not found:
             break
         at = found.end()
         tag = (found[2] or "").lower()
         if not tag:
             continue
-        if not found[1]:  # an opening tag
-            source = found[3] or ""
-            if here.tag == "head" and tag not in IN_HEAD:
-                here = left(stack)
-            raw = tag in RAW
-            if raw:
-                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = close.end() if close else end
-                continue
-            if tag in BLOCK:
-                ended(stack, {"p"}, {"table", "button", "object", "foreignobject"})
-            if tag in ENDS:
-                ended(stack, *ENDS[tag])
-            if tag in HEADING and stack[-1].tag in HEADING:
-                stack.pop()
-            here = stack[-1]
-            closed = source.endswith("/")
-            if tag in VOID or (closed and (tag == "svg" or (here.dropped and tag not in BLOCK))):
-                if tag in VOID and not here.dropped:
-                    here.children.append(Node(tag, here))
-                continue
-            given = attributes(source) if not here.dropped and source.strip("/ \n\t\r") else {}
-            dropped = here.dropped or no_article(tag, given, any(n.tag in ("article", "main") for n in stack))
-            main = tag in ("article", "main") or given.get("role") == "main" or given.get("itemprop") == "articleBody"
-            here = Node(tag, here, 25.0 if main else 0.0, dropped)
-            if not dropped:
-                stack[-1].children.append(here)
-            stack.append(here)
-        else:
-            close_tag(stack, tag)
-            here = stack[-1]
-    return root
-
-
-def left(stack: list[Node]) -> Node:
-    stack.pop()
-    return stack[-1]
-
-
-def ended(stack: list[Node], tags: set[str], borders: set[str]) -> None:
-    """Ends the outermost open element of ``tags`` inside the nearest border."""
-    first = 0
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in tags:
-            first = i
-        elif stack[i].tag in borders:
-            break
-    if first:
-        del stack[first:]
-
-
-def close_tag(stack: list[Node], tag: str) -> None:
-    """Ends the nearest open element of the tag, with all inside it. An inline one doesn't end a dropped block inside it."""
-    over = False
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag == tag or (tag in HEADING and stack[i].tag in HEADING):
-            if over and not stack[i].dropped:
-                del stack[i]
+        if found[1]:
+            opened.close(tag)
+            continue
+        source = found[3] or ""
+        if opened.here.tag == "head" and tag not in IN_HEAD:
+            opened.cut(len(opened.stack) - 1)
+        if tag in RAW:
+            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
+            at = close.end() if close else end
+            continue
+        if tag in BLOCK:
+            opened.end({"p"}, {"table", "button", "object", "foreignobject"})
+        if tag in ENDS:
+            opened.end(*ENDS[tag])
+        if tag in HEADING and opened.here.tag in HEADING:
+            opened.cut(len(opened.stack) - 1)
+        here = opened.here
+        closed = source.endswith("/")
+        if tag in VOID or (closed and (tag == "svg" or (here.dropped and tag not in BLOCK))):
+            if tag in VOID and not here.dropped:
+                here.children.append(Node(tag, here))
+            continue
+        given = attributes(source) if not here.dropped and source.strip("/ \n\t\r") else {}
+        dropped = here.dropped or no_article(tag, given, opened.articles > 0)
+        main = tag in ("article", "main") or given.get("role") == "main" or given.get("itemprop") == "articleBody"
+        node = Node(tag, here, 25.0 if main else 0.0, dropped, not dropped and marked(tag, given))
+        if not dropped:
+            here.children.append(node)
+        opened.push(node)
+    return pruned(root)
+
+
+def pruned(root: Node) -> Node:
+    """The tree without marked subtrees that are small beside the rest, or beside which there is enough text."""
+    order = walk(root)
+    size: dict[Node, int] = {}
+    holds: set[Node] = set()
+    for node in reversed(order):
+        size[node] = sum(len(c.strip()) if isinstance(c, str) else size[c] for c in node.children)
+        if node.bonus or any(c in holds for c in node.children if isinstance(c, Node)):
+            holds.add(node)
+    if not any(n.marked for n in order):
+        return root
+    outside, todo = 0, [root]
+    while todo:  # text under no mark
+        node = todo.pop()
+        if not node.marked:
+            outside += sum(len(c.strip()) for c in node.children if isinstance(c, str))
+            todo.extend(c for c in node.children if isinstance(c, Node))
+    for node in order:
+        if node.marked and node.up is not None:
+            if node.tag == "button":
+                away = not (node.up.tag in SENTENCE and size[node.up] > size[node])
             else:
-                del stack[i:]
-            return
-        over = over or (tag not in BLOCK and stack[i].dropped and stack[i].tag in BLOCK | DROPPED)
+                away = node not in holds and (2 * size[node] < size[root] or outside >= ENOUGH)
+            if away:
+                node.dropped = True
+    for node in order:
+        if not node.dropped:
+            node.children = [c for c in node.children if isinstance(c, str) or not c.dropped]
+    return root
 
 
 def plain(text: str) -> str:
@@ -239,10 +318,29 @@ def kept_nodes(root: Node) -> tuple[list[Node], set[Node], float]:
     if around is None:
         whole = {n for n in order if n.direct and 2 * n.linked < n.chars} | {best}
         return [root], whole if best.direct else {root}, bar
-    out = [c for c in around.up.children if isinstance(c, Node) and (c is around or (c.chars and score(c) >= bar))]
+    over = around.up
+    while over is not None and over.tag != "main":
+        over = over.up
+    if around.tag == "article" and over is not None:  # all of main but other articles that score low and lists of links
+        for node in order:
+            if node.up is not None and node.tag == "article" and node is not around and score(node) < bar and not within(around, node):
+                node.up.children = [c for c in node.up.children if c is not node]
+        return [over], {around}, bar
+    out = [c for c in around.up.children if isinstance(c, Node) and (c is around or (c.chars and (score(c) >= bar or is_text(c))))]
     return out, set(out), bar
 
 
+def within(node: Node, outer: Node) -> bool:
+    while node is not None and node is not outer:
+        node = node.up
+    return node is outer
+
+
+def is_text(node: Node) -> bool:
+    """A title or paragraph that isn't mostly links."""
+    return node.tag in HEADING or (node.tag in ("p", "blockquote", "hgroup") and 2 * node.linked < node.chars)
+
+
 def blocks(nodes: list[Node], whole: set[Node], bar: float) -> list[str]:
     out: list[str] = []
     run: list[str] = []
