@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from changeimpact.functions import lexicon, predicates, text
 from changeimpact.operators import bind
+from changeimpact.session import cut
 
 Adjudicator = Callable[[DataFrame], DataFrame]
 NAME_LIKE = r"[^\s.,;()'\"`=<>]+"
 RULING = ["change_id", "query_id", "severity", "note"]
+SHAPE_RULING = "change_id string, sid binary, severity string, note string, failed boolean"
+ShapePlugin = Callable[[dict[str, Any]], tuple[str, str | None] | None]
 
 
 def with_heuristic(findings: DataFrame, fields: DataFrame | None = None) -> DataFrame:
@@ -56,6 +61,11 @@ def with_heuristic(findings: DataFrame, fields: DataFrame | None = None) -> Data
     return asked.withColumn("r", F.when(F.col("severity") == "unknown", ruled))
 
 
+def with_fields(findings: DataFrame, fields: DataFrame | None) -> DataFrame:
+    """Findings with the heuristic's rulings, made against the subject's fields."""
+    return _ruled(with_heuristic(findings, fields))
+
+
 def heuristic_rulings(findings: DataFrame, fields: DataFrame | None = None) -> DataFrame:
     """The heuristic's rulings as a table."""
     ruled = with_heuristic(findings, fields).where(F.col("r").isNotNull())
@@ -71,6 +81,10 @@ def apply_rulings(findings: DataFrame, rulings: DataFrame) -> DataFrame:
 def _ruled(joined: DataFrame) -> DataFrame:
     """Only UNKNOWN findings change: HARD or SOFT upgrades, UNKNOWN only leaves its note."""
     joined = joined.withColumns({"ruled": F.col("r.severity"), "ruled_note": F.col("r.note")})
+    return _upgraded(joined).select(*bind.FINDING_COLUMNS)
+
+
+def _upgraded(joined: DataFrame) -> DataFrame:
     unknown = F.col("severity") == "unknown"
     upgraded = unknown & F.coalesce(F.col("ruled").isin("hard", "soft"), F.lit(False))
     noted = unknown & F.coalesce(F.col("ruled") == "unknown", F.lit(False))
@@ -82,7 +96,7 @@ def _ruled(joined: DataFrame) -> DataFrame:
             .otherwise(F.col("agent_note")),
             "unknown_reason": F.when(~upgraded, F.col("unknown_reason")),
         }
-    ).select(*bind.FINDING_COLUMNS)
+    )
 
 
 def residue(findings: DataFrame) -> DataFrame:
@@ -153,3 +167,67 @@ def adjudicate(findings: DataFrame, adjudicator: Adjudicator | None = None) -> D
     if adjudicator is None:
         return _ruled(with_heuristic(findings))
     return apply_rulings(findings, adjudicator(findings).select(*RULING))
+
+
+def shape_requests(verdicts: DataFrame, fields: DataFrame | None = None) -> DataFrame:
+    """What a plug-in is asked: one row per UNKNOWN (change, shape), however often the shape was logged.
+
+    ``shape`` is the statement with its literals masked, ``tables`` the tables it names, ``fields`` the fields
+    of the subject (empty where ``fields(change_id, field)`` has none).
+    """
+    asked = verdicts.where(F.col("severity") == "unknown").select(
+        "change_id", "sid", "shape", "column", "evidence", "unknown_kind", "unknown_reason", "tables"
+    )
+    if fields is None:
+        return asked.withColumn("fields", F.array().cast("array<string>"))
+    per_change = fields.groupBy("change_id").agg(F.array_sort(F.collect_set("field")).alias("fields"))
+    return asked.join(per_change, "change_id", "left").withColumn(
+        "fields", F.coalesce("fields", F.array().cast("array<string>"))
+    )
+
+
+def shape_rulings(requests: DataFrame, plugin: ShapePlugin) -> DataFrame:
+    """Rulings of a Python function on ``shape_requests``, in Arrow batches; written once.
+
+    The function gets a request as a dictionary and gives (severity, note), or None for no ruling. A call that
+    raises, or gives anything else, is an UNKNOWN ruling that says so and has ``failed`` set; it never ends the
+    job. Rulings are written before they are read, so a lost executor asks again for what was not yet
+    written only, and two readers never see two answers.
+    """
+    allowed = ("hard", "soft", "unknown")
+    kinds = {"string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+    types = pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in SHAPE_RULING.split(", "))])
+
+    # Nested, so that it travels with its job and executors need not have this package.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for asked in batch.to_pylist():
+                key = {"change_id": asked["change_id"], "sid": asked["sid"]}
+                try:
+                    said = plugin(asked)
+                    if said is None:
+                        continue
+                    severity, note = said
+                    if severity not in allowed or not (note is None or isinstance(note, str)):
+                        raise ValueError(f"not a ruling: {said!r}")
+                    rows.append({**key, "severity": severity, "note": note, "failed": False})
+                except Exception as error:  # whatever a plug-in raises is its answer
+                    told = f"no ruling, the plug-in failed: {type(error).__name__}: {error}"
+                    rows.append({**key, "severity": "unknown", "note": told, "failed": True})
+            columns = [pa.array([row[f.name] for row in rows], f.type) for f in types]
+            yield pa.RecordBatch.from_arrays(columns, schema=types)
+
+    return cut(requests.mapInArrow(run, SHAPE_RULING))
+
+
+def rule_shapes(verdicts: DataFrame, rulings: DataFrame) -> DataFrame:
+    """Verdicts with the rulings of their shapes; counts, gates and findings follow from them.
+
+    The same rules hold as for statements: only UNKNOWN ones change. Several rulings of a shape: the smallest.
+    """
+    ruling = rulings.groupBy("change_id", "sid").agg(F.min(F.struct("severity", "note")).alias("r"))
+    joined = verdicts.join(ruling, ["change_id", "sid"], "left").withColumns(
+        {"ruled": F.col("r.severity"), "ruled_note": F.col("r.note"), "agent_note": F.lit(None).cast("string")}
+    )
+    return _upgraded(joined).select(*verdicts.columns, "agent_note")

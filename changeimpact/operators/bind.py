@@ -455,10 +455,12 @@ def join_verdicts(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
 def findings_of(fingerprinted: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Statement-level findings: the verdict of its shape for every logged statement.
 
-    Pass stored verdicts: they are read twice.
+    Pass stored verdicts: they are read twice. Notes of rulings on shapes (``agent_note``) go with them.
     """
+    note = F.col("agent_note") if "agent_note" in verdicts.columns else F.lit(None)
     ruled = verdicts.select(
-        "sid", "change_id", "column", "severity", "evidence", "unknown_reason", "unknown_kind", "n_statements"
+        "sid", "change_id", "column", "severity", "evidence", "unknown_reason", "unknown_kind", "n_statements",
+        note.cast("string").alias("agent_note"),
     )
     exec_count = F.col("exec_count") if "exec_count" in fingerprinted.columns else F.lit(None)
     rows = fingerprinted.select(
@@ -467,7 +469,6 @@ def findings_of(fingerprinted: DataFrame, verdicts: DataFrame) -> DataFrame:
     )
     return (
         join_verdicts(rows, ruled)
-        .withColumn("agent_note", F.lit(None).cast("string"))
         .select(*FINDING_COLUMNS)
     )
 

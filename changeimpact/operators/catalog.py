@@ -45,6 +45,16 @@ def lineage_counts(dependents: DataFrame) -> DataFrame:
     return dependents.groupBy("change_id").agg(F.count(F.lit(1)).alias("lineage_dependent_count"))
 
 
+def given_counts(baseline: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Dependents as given by the user; counted ones, if any, where nothing is given for a change."""
+    given = baseline.where(F.col("lineage_dependent_count").isNotNull()).groupBy("change_id").agg(
+        F.max("lineage_dependent_count").cast("bigint").alias("lineage_dependent_count")
+    )
+    if counts is None:
+        return given
+    return given.unionByName(counts.join(given, "change_id", "left_anti"))
+
+
 def owners_of(owners: DataFrame) -> DataFrame:
     """Owners per dataset, in a fixed order; an ownership list is small by nature."""
     return (
@@ -96,6 +106,14 @@ def invalid_changes(changes: DataFrame, schema_fields: DataFrame, log: DataFrame
     return df.withColumn("reason", reason).where(F.col("reason").isNotNull()).select("change_id", "reason")
 
 
+def subject_fields(changes: DataFrame, schema_fields: DataFrame) -> DataFrame:
+    """change_id, field: last parts of the field paths of each change's dataset."""
+    fields = list_fields(schema_fields).select(
+        F.col("urn").alias("dataset"), text.last_part(F.col("field_path")).alias("field")
+    )
+    return changes.select("change_id", "dataset").join(fields.distinct(), "dataset").select("change_id", "field")
+
+
 def best_datasets(wanted: DataFrame, datasets: DataFrame) -> DataFrame:
     """Best dataset per (change, table): same platform, then shared path, then URN order.
 

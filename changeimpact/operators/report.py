@@ -65,12 +65,21 @@ def report_lines(
     use_exec_count: bool = False,
     user_supplied_baseline: bool = False,
     notify: DataFrame | None = None,
+    baseline: DataFrame | None = None,
 ) -> DataFrame:
-    """The whole report of each change; order by the columns in ``LINE`` order."""
+    """The whole report of each change; order by the columns in ``LINE`` order.
+
+    The baseline of a change counts as user-supplied if ``baseline`` gives one for it, or by the flag for all.
+    """
     df = changes.join(summary, "change_id")
+    supplied = F.lit(user_supplied_baseline)
+    if baseline is not None:
+        given = baseline.where(F.col("lineage_dependent_count").isNotNull()).select("change_id").distinct()
+        df = df.join(given.withColumn("is_given", F.lit(True)), "change_id", "left")
+        supplied = supplied | F.coalesce("is_given", F.lit(False))
     blank = F.lit("")
     change = text.report_change_text(F.col("kind"), F.col("column"), F.col("new_column"))
-    baseline = text.baseline_text(F.col("lineage_dependent_count"), F.lit(user_supplied_baseline))
+    baseline = text.baseline_text(F.col("lineage_dependent_count"), supplied)
     parts = [
         _lines(df, 0, 0, F.concat(F.lit("Schema rehearsal: "), change)),
         _lines(df, 0, 1, blank),

@@ -6,6 +6,7 @@ the hand labels of the templates, joined to the events.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,8 +17,8 @@ from changeimpact.operators import (
 )
 from changeimpact.plans import fixtures as fx
 from changeimpact.plans.rehearse import Rehearsal, rehearse, rehearse_from_catalog
-from changeimpact.session import literal_rows
-from changeimpact.sources import sinks
+from changeimpact.session import literal_rows, shared_folder
+from changeimpact.sources import runs, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -626,6 +627,32 @@ def cached_rulings(spark, sf_dir):
     return _rulings(rehearsal(spark, sf_dir))
 
 
+@register("plugin_rulings", BASE + """
+, a AS (SELECT *, severity = 'unknown' AND evidence <> 'STAR' AS asked, unknown_kind = 'ambiguous_bare' AS crowd FROM f)
+SELECT change_id, query_id, evidence, unknown_kind, CASE WHEN asked AND crowd AND contains(evidence, 'WHERE') THEN 'hard' WHEN asked AND crowd THEN 'soft' ELSE severity END AS severity,
+  CASE WHEN NOT (asked AND coalesce(crowd, false)) THEN unknown_reason END AS unknown_reason,
+  CASE WHEN NOT asked THEN NULL WHEN crowd THEN 'asked about ' || col WHEN evidence = 'PARSE' THEN 'no ruling, the plug-in failed: ValueError: cannot be read'
+    WHEN unknown_kind = 'unresolvable_qualifier' THEN 'no ruling, the plug-in failed: ValueError: not a ruling: (''perhaps'', None)' ELSE 'left open' END AS agent_note FROM a""")
+def plugin_rulings(spark, sf_dir):
+    """A Python plug-in asked once per UNKNOWN shape: it rules, leaves open, is silent, raises and answers nonsense."""
+
+    def plugin(asked):
+        if asked["evidence"] == "STAR":
+            return None
+        if asked["evidence"] == "PARSE":
+            raise ValueError("cannot be read")
+        if asked["unknown_kind"] == "unresolvable_qualifier":
+            return "perhaps", None
+        if asked["unknown_kind"] == "ambiguous_bare":
+            return ("hard" if "WHERE" in asked["evidence"] else "soft"), "asked about " + asked["column"]
+        return "unknown", "left open"
+
+    run = rehearsal(spark, sf_dir)
+    rulings = adjudicate.shape_rulings(adjudicate.shape_requests(run.verdicts), plugin)
+    found = bind.findings_of(run.statements, adjudicate.rule_shapes(run.verdicts, rulings))
+    return found.select("change_id", "query_id", "evidence", "unknown_kind", "severity", "unknown_reason", "agent_note")
+
+
 # --- repairs -------------------------------------------------------------------------------
 
 _REASON = """CASE WHEN new_column IS NULL THEN 'a dropped column has no new name to write'
@@ -916,8 +943,18 @@ def tag_upsert(spark, sf_dir):
     return catalog.upsert_tags(tags, table(spark, sf_dir, "labels").select(urn))
 
 
+_catalog_runs: dict[tuple, tuple] = {}
+
+
 def _catalog_run(spark, sf_dir):
     """The event log rehearsed from catalog tables, with one dataset per schema table and two for plates."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _catalog_runs:
+        _catalog_runs[key] = _fresh_catalog_run(spark, sf_dir)
+    return _catalog_runs[key]
+
+
+def _fresh_catalog_run(spark, sf_dir):
     urn = "urn:li:dataset:(urn:li:dataPlatform:{0},obs.{1},PROD)"
     rows = [(urn.format("snowflake", t), f"rec.{c}") for t, cols in fx.SCHEMA.items() for c in cols.split()]
     rows.append((urn.format("dbt", "x.plates"), "other"))
@@ -926,7 +963,9 @@ def _catalog_run(spark, sf_dir):
                          [(fx.EXPOSURES, fx.EXPOSURES), (fx.EXPOSURES, "down:1"), (fx.EXPOSURES, "down:2"), (fx.MOUNTS, "down:1")])
     changes = fx.changes(spark).unionByName(
         literal_rows(spark, fx.CHANGES_SCHEMA, [("x1", fx.EXPOSURES, "modify", "band", None), ("x2", fx.MOUNTS, "rename", "nope", "n")]))
-    return rehearse_from_catalog(changes, fx.query_log(spark, sf_dir), fields.select("urn").distinct(), fields, edges)
+    given = literal_rows(spark, "change_id string, lineage_dependent_count bigint", [("c2", 7)])
+    return rehearse_from_catalog(
+        changes, fx.query_log(spark, sf_dir), fields.select("urn").distinct(), fields, edges, baseline=given)
 
 
 @register("catalog_rehearsal", BASE + """
@@ -937,6 +976,19 @@ def catalog_rehearsal(spark, sf_dir):
     return run.findings.select("change_id", "query_id", "severity", "evidence", "unknown_reason")
 
 
+@register("catalog_baseline", BASE + """
+SELECT change_id, 'rejected' AS kind, reason AS told FROM (VALUES ('x1', 'change_kind must be ''rename'' or ''drop'''),
+  ('x2', 'column `nope` not in schema for ' || (SELECT dataset FROM changes WHERE change_id = 'c3'))) r(change_id, reason)
+UNION ALL SELECT change_id, 'baseline', 'Impact Analysis baseline: ' || CASE change_id WHEN 'c2' THEN '7 downstream dependents (baseline: user-supplied)'
+  WHEN 'c1' THEN '2 downstream dependents' ELSE '1 downstream dependents' END FROM changes""")
+def catalog_baseline(spark, sf_dir):
+    """Changes the catalog refuses, and the baseline of the others: given by the user for one, counted for the rest."""
+    run, rejected, _ = _catalog_run(spark, sf_dir)
+    told = run.report().where((F.col("section") == 0) & (F.col("part") == 2))
+    return rejected.select("change_id", F.lit("rejected").alias("kind"), F.col("reason").alias("told")).unionByName(
+        told.select("change_id", F.lit("baseline").alias("kind"), F.col("line").alias("told")))
+
+
 # --- reports -------------------------------------------------------------------------------
 
 _INLINE = r"replace(substr(regexp_replace(regexp_replace({0}, '[ \n]+', ' ', 'g'), '^ | \z', '', 'g'), 1, {1}), '`', '')"
@@ -993,3 +1045,23 @@ def explain_findings(spark, sf_dir):
     asked = run.log.join(run.changes.select("change_id", "dataset"), "dataset").select("query_id", "change_id")
     return report.explain_findings(asked, run.stored_findings).drop("agent_note")
 
+
+
+@register("run_record", BASE + """
+, h AS (SELECT change_id, n_listed, 13 + (n_hard = 0)::INT + (n_soft = 0)::INT + (n_unknown = 0)::INT + (n_cleared = 0)::INT AS n_fixed FROM cnt)
+SELECT change_id, table_name, CAST(CASE table_name WHEN 'findings' THEN n_listed WHEN 'repairs' THEN n_listed WHEN 'report' THEN n_listed + n_fixed ELSE 1 END AS BIGINT) AS n_rows
+FROM h CROSS JOIN (VALUES ('changes'), ('summary'), ('gate'), ('findings'), ('repairs'), ('report')) t(table_name)""")
+def run_record(spark, sf_dir):
+    """The whole run written under one id with its manifest last, and each of its tables read back."""
+    run, run_id = rehearsal(spark, sf_dir), f"r{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/runs"
+    tables = run.tables()
+    runs.write_run(tables, path, run_id)
+    back = [
+        runs.read_table(spark, path, name, run_id).groupBy("change_id").agg(F.count(F.lit(1)).alias("n_rows"))
+        .select("change_id", F.lit(name).alias("table_name"), "n_rows") for name in tables
+    ]
+    read = back[0]
+    for table_rows in back[1:]:
+        read = read.unionByName(table_rows)
+    return read

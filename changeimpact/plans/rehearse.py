@@ -24,6 +24,10 @@ class Rehearsal:
     dialect: str = "snowflake"
     use_subject: bool = True
     facts: DataFrame | None = None
+    plugin: adjudicate.ShapePlugin | None = None  # a Python function that rules UNKNOWN shapes
+    heuristic: bool = False  # bind UNKNOWN findings to the subject by their clause
+    fields: DataFrame | None = None  # change_id, field: the subject's fields, for rulings
+    baseline: DataFrame | None = None  # change_id, lineage_dependent_count as given by the user
 
     @cached_property
     def statements(self) -> DataFrame:
@@ -43,9 +47,20 @@ class Rehearsal:
             )
         return cut(ruled)
 
+    @cached_property
+    def shape_rulings(self) -> DataFrame:
+        """The plug-in's answers, one per UNKNOWN (change, shape)."""
+        return adjudicate.shape_rulings(adjudicate.shape_requests(self.verdicts, self.fields), self.plugin)
+
+    @cached_property
+    def ruled_verdicts(self) -> DataFrame:
+        return self.verdicts if self.plugin is None else adjudicate.rule_shapes(self.verdicts, self.shape_rulings)
+
     @cached_property
     def findings(self) -> DataFrame:
-        found = bind.findings_of(self.statements, self.verdicts)
+        found = bind.findings_of(self.statements, self.ruled_verdicts)
+        if self.heuristic:
+            found = adjudicate.with_fields(found, self.fields)
         return found if self.adjudicator is None else adjudicate.adjudicate(found, self.adjudicator)
 
     @cached_property
@@ -56,11 +71,15 @@ class Rehearsal:
     @cached_property
     def counted(self) -> DataFrame:
         """What counts are taken from: shape verdicts, unless rulings changed single statements."""
-        return self.verdicts if self.adjudicator is None else self.findings
+        if self.adjudicator is None and not self.heuristic:
+            return self.ruled_verdicts
+        return self.findings
 
     @cached_property
     def summary(self) -> DataFrame:
         lineage = None if self.dependents is None else catalog.lineage_counts(self.dependents)
+        if self.baseline is not None:
+            lineage = catalog.given_counts(self.baseline, lineage)
         totals = findings.statement_totals(self.log)
         return findings.forecast_summary(self.changes, totals, self.counted, lineage)
 
@@ -89,9 +108,25 @@ class Rehearsal:
     def report(self, notify: DataFrame | None = None, **options) -> DataFrame:
         lines = None if notify is None else report.notify_lines(notify)
         return report.report_lines(
-            self.changes, self.summary, self.stored_findings, notify=lines, **options
+            self.changes, self.summary, self.stored_findings, notify=lines, baseline=self.baseline, **options
         )
 
+    def tables(
+        self, fail_on: str = "hard,unknown", descriptions: DataFrame | None = None, **options
+    ) -> dict[str, DataFrame]:
+        """The tables that record this run, each with its ``change_id``; see ``sources.runs``."""
+        record = {
+            "changes": self.changes, "summary": self.summary, "gate": self.gate(fail_on),
+            "findings": self.stored_findings, "repairs": self.repairs, "report": self.report(**options),
+        }
+        if descriptions is not None:
+            record["payload"] = report.write_payload(self.changes, self.summary, descriptions)
+        if self.dependents is not None:
+            record["dependents"] = self.dependents
+        if self.plugin is not None:
+            record["rulings"] = self.shape_rulings
+        return record
+
 
 def changed_names(changes: DataFrame, limit: int = extract.PREFILTER_LIMIT) -> list[str] | None:
     """The changed column names when they are few enough to filter by, else None."""
@@ -119,11 +154,12 @@ def rehearse_from_catalog(
     adjudicator: adjudicate.Adjudicator | None = None,
     order: str = "seq",
     dialect: str = "snowflake",
+    **options,
 ) -> tuple[Rehearsal, DataFrame, DataFrame]:
     """Rehearsal against catalog tables; also the rejected changes and the unresolved tables.
 
     The log is deduplicated by statement first; sibling schemas come from the
-    tables the statements name.
+    tables the statements name, and rulings get the fields of the changed dataset.
     """
     rejected = catalog.invalid_changes(changes, schema_fields, log)
     valid = changes.join(rejected.select("change_id"), "change_id", "left_anti")
@@ -144,7 +180,8 @@ def rehearse_from_catalog(
     )
     columns, unresolved = catalog.sibling_schemas(valid, named, datasets, schema_fields)
     dependents = catalog.downstream(valid, edges)
+    fields = catalog.subject_fields(valid, schema_fields)
     run = Rehearsal(
-        valid, marked, columns, names, dependents, adjudicator, dialect=dialect, facts=facts
+        valid, marked, columns, names, dependents, adjudicator, dialect=dialect, facts=facts, fields=fields, **options
     )
     return run, rejected, unresolved
