@@ -169,6 +169,30 @@ def test_sharding(frame, docs):
     assert sharding.shuffled(frame.limit(0)).count() == 0
 
 
+def test_sharding_order_is_that_of_the_seed_alone(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK", 100)  # a block boundary inside the copies
+    copies = [(None, None, "x")] * 450 + [(7, "same", "x")] * 201 + [(7, "same", "y")] * 3
+    rows = [(i, f"text {i % 40}", "x") for i in range(900)] + copies
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    got = []
+    try:
+        for order, parts, width in ((rows, 3, "3"), (rows[::-1], 7, "8")):
+            spark.conf.set("spark.sql.shuffle.partitions", width)
+            given = spark.createDataFrame(order, "doc_id long, text string, lang string").repartition(parts)
+            out = sharding.shuffled(given, bucket_bytes=2000).collect()
+            got.append(sorted((r["shard"], r["slot"], r["doc_id"] is None, r["doc_id"] or 0, r["lang"]) for r in out))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    assert len({g[:2] for g in got[0]}) == len(rows)
+    assert sum(g[2] for g in got[0]) == 450 and sum(g[4] == "y" for g in got[0]) == 3
+    # Copies are spread: no shard has more than twice its part of them.
+    per_shard = collections.Counter(g[0] for g in got[0] if g[2])
+    assert len(per_shard) == 24 and max(per_shard.values()) <= 2 * 450 / 24
+    other = sharding.shuffled(spark.createDataFrame(rows, "doc_id long, text string, lang string"), seed=1, bucket_bytes=2000)
+    assert sorted((r["shard"], r["slot"], r["doc_id"] is None, r["doc_id"] or 0, r["lang"]) for r in other.collect()) != got[0]
+
+
 def test_personal_data_base(spark, draw):
     bits = ["a@b.c", "@", ".", "+", "4111 1111 1111 1111", "4111-1111-1111-1111", " ", "-", "1", "23", "255", "256.", "0", "999", "x_", "é",
             "\U0001f600", "+1 (743) 555-3824", "(", ")", "foo", "bar@x.y.z", "_d@e.f", "10.0.0.1", "1.2.3.4.", "5.6.7.8", "\n", "00", "%"]
