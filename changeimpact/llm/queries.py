@@ -69,7 +69,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.conversations(table(spark, sf_dir, "conversations"))
+    return chat.conversations(table(spark, sf_dir, "conversations"), keep_unlinked=True)
 
 
 def vocabulary(name: str = "piece_bpe_32k.model") -> str:

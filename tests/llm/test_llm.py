@@ -382,6 +382,25 @@ def test_quotations_of_parts_and_from_the_second_conversation(spark):
     assert got == {(1, 0): (2, 5), (3, 1): (3, 0), (4, 1): (4, 0)}
 
 
+def test_quotations_that_nobody_said_are_kept(spark):
+    said = "The train leaves at nine from the old station"
+    rows = [
+        (1, 0, "u", said),
+        (1, 1, "u", f"Try this:\n\n>>> print(1)\n1\n\n\n> {said}\nthanks  \n"),
+        (1, 2, "u", f"On Monday, A wrote:\n> a line that nobody ever said\nfine\n\nOn Tuesday, B wrote:\n> {said}\n>> deeper words nobody said\nok"),
+        (None, 3, "u", f"> {said}\nhm"), (1, 4, "u", ">\n> \nonly empty quoted lines"),
+        (5, 0, "u", "x y\n" * 3000 + f"> {said}\n" + "> never said before this\n"), (5, 0, "u", "a second text of that turn"),
+    ]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"], len(r["text"]) > 9000): r["text"] for r in chat.conversations(table, keep_unlinked=True).collect()}
+    assert got[1, 1, False] == "Try this:\n\n>>> print(1)\n1\nthanks"
+    assert got[1, 2, False] == "On Monday, A wrote:\n> a line that nobody ever said\nfine\n\n>> deeper words nobody said\nok"
+    assert got[None, 3, False] == f"> {said}\nhm" and got[1, 4, False] == "only empty quoted lines"
+    assert got[5, 0, True] == ("x y\n" * 3000).strip() and got[5, 0, False] == "a second text of that turn"
+    dropped = {(r["conv_id"], r["turn"]): r["text"] for r in chat.conversations(table).collect()}
+    assert dropped[1, 1] == "Try this:\n\n1\nthanks" and dropped[None, 3] == "hm"
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
