@@ -398,7 +398,7 @@ def test_quotations_that_nobody_said_are_kept(spark):
     assert got[None, 3, False] == f"> {said}\nhm" and got[1, 4, False] == "only empty quoted lines"
     assert got[5, 0, True] == ("x y\n" * 3000).strip() and got[5, 0, False] == "a second text of that turn"
     dropped = {(r["conv_id"], r["turn"]): r["text"] for r in chat.conversations(table).collect()}
-    assert dropped[1, 1] == "Try this:\n\n1\nthanks" and dropped[None, 3] == "hm"
+    assert dropped[1, 1] == "Try this:\n1\nthanks" and dropped[None, 3] == "hm"
 
 
 def test_pipeline(spark):
