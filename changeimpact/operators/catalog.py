@@ -5,7 +5,7 @@ Catalog calls of a one-change tool become joins over many changes; no row caps.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from changeimpact.functions import predicates, text
 
@@ -117,9 +117,11 @@ def subject_fields(changes: DataFrame, schema_fields: DataFrame) -> DataFrame:
 def best_datasets(wanted: DataFrame, datasets: DataFrame) -> DataFrame:
     """Best dataset per (change, table): same platform, then shared path, then URN order.
 
-    ``wanted(change_id, dataset, table_name)``, ``datasets(urn)``. Base names join
-    by equality, so only real name matches are scored; the best one is kept by a
-    max that combines on the map side.
+    ``wanted(change_id, dataset, table_name)``, ``datasets(urn)``. Same-named datasets and
+    changes are never paired. Changes are reduced to classes (base, platform, parent
+    path); datasets to the best one under each key a class can ask for: with and without
+    the platform, with and without a prefix of their path, cut at the lengths that parents
+    of that base name have. Both sides meet on equal keys, where the datasets' side has one row.
     """
     urn = F.col("urn")
     known = datasets.select(
@@ -128,25 +130,52 @@ def best_datasets(wanted: DataFrame, datasets: DataFrame) -> DataFrame:
     subject = F.col("dataset")
     path = F.lower(text.urn_name(subject))
     parent = F.when(F.contains(path, F.lit(".")), F.regexp_replace(path, r"\.[^.]*$", "")).otherwise(path)
-    hits = (
+    asked = (
         wanted.select(
-            "change_id", F.lower("table_name").alias("asked"), text.base_name(F.col("table_name")).alias("base"),
-            F.lower(text.urn_platform(subject)).alias("own_platform"), parent.alias("parent"),
+            "change_id", text.base_name(F.col("table_name")).alias("base"),
+            F.lower(text.urn_platform(subject)).alias("platform"), parent.alias("parent"),
         )
         .where(F.col("base") != "")
         .distinct()
-        .join(known, "base")
     )
-    yes = lambda c, points: F.when(F.coalesce(c, F.lit(False)), points).otherwise(0)
-    score = (
-        yes(F.col("platform") == F.col("own_platform"), 10)
-        + yes(F.startswith("name", F.col("parent")), 5)
-        + yes(F.contains("name", F.lit(".")), 1)
-    )
-    best = F.min(F.struct((-score).alias("order"), F.col("urn")))
+    classes = asked.select("base", "platform", "parent").distinct()
+
+    def under(platform: Column, prefix: Column, points: int) -> Column:
+        return F.struct(platform.alias("key_platform"), prefix.alias("key_prefix"), F.lit(points).alias("points"))
+
+    own, any_one = F.col("platform"), F.lit("")
+    lengths = classes.select("base", F.length("parent").alias("n")).distinct()
+    cut_paths = known.join(lengths, "base").where(F.col("n") <= F.length("name"))
+    prefix = F.left(F.col("name"), F.col("n"))
+    dotted = F.when(F.contains("name", F.lit(".")), 1).otherwise(0).alias("dotted")
+    offers = known.select(
+        "base", "urn", dotted, F.inline(F.array(under(own, any_one, 10), under(any_one, any_one, 0)))
+    ).unionByName(
+        cut_paths.select("base", "urn", dotted, F.inline(F.array(under(own, prefix, 15), under(any_one, prefix, 5))))
+    )
+    key = ["base", "key_platform", "key_prefix", "points"]
+    offered = offers.groupBy(*key).agg(F.min(F.struct((-F.col("dotted")).alias("order"), "urn")).alias("offer"))
+    wishes = classes.select(
+        "*",
+        F.inline(F.array(
+            under(own, F.col("parent"), 15), under(own, any_one, 10),
+            under(any_one, F.col("parent"), 5), under(any_one, any_one, 0),
+        )),
+    )
+    # A key with fewer points than its dataset deserves never wins: the same dataset is offered under the fuller key too.
+    order = (F.col("offer.order") - F.col("points")).alias("order")
+    best = (
+        wishes.join(offered, key)
+        .groupBy("base", "platform", "parent")
+        .agg(F.min(F.struct(order, F.col("offer.urn").alias("urn"))).alias("best"))
+    )
+    same = F.col("a.base").eqNullSafe(F.col("b.base"))
+    for name in ("platform", "parent"):
+        same &= F.col(f"a.{name}").eqNullSafe(F.col(f"b.{name}"))
     return (
-        hits.groupBy("change_id", F.col("base").alias("table_name"))
-        .agg(best.alias("best"))
+        asked.alias("a").join(best.alias("b"), same)
+        .groupBy("change_id", F.col("a.base").alias("table_name"))
+        .agg(F.min("best").alias("best"))
         .select("change_id", "table_name", "best.urn", (-F.col("best.order")).alias("score"))
     )
 

@@ -1,6 +1,7 @@
 """Readers, sinks, catalog joins and report text."""
 
 import json
+import random
 
 import pytest
 
@@ -86,6 +87,44 @@ def test_best_dataset_prefers_platform_then_path(spark):
     assert [tuple(r) for r in rows] == [("c", "handoffs", URN.format("handoffs"), 16)]
 
 
+def _best_by_pairs(wanted, datasets):
+    """Every change beside every dataset of the same base name."""
+    def parts(urn):
+        platform, name, _ = urn.split("dataPlatform:", 1)[1].lower().split(",", 2)
+        return platform, name
+
+    best = {}
+    for change, dataset, table in wanted:
+        platform, path = parts(dataset)
+        parent = path.rsplit(".", 1)[0]
+        for urn in datasets:
+            own, name = parts(urn)
+            if name.rsplit(".", 1)[-1] == table.lower():
+                score = 10 * (own == platform) + 5 * name.startswith(parent) + ("." in name)
+                best[change, table.lower()] = min(best.get((change, table.lower()), (1, "")), (-score, urn))
+    return {(change, table, urn, -order) for (change, table), (order, urn) in best.items()}
+
+
+def test_best_datasets_equal_scoring_of_pairs(spark):
+    draw = random.Random(3)
+    urn = lambda: "urn:li:dataset:(urn:li:dataPlatform:{},{},PROD)".format(
+        draw.choice(["dbt", "Snowflake", "hive"]),
+        ".".join([*draw.choices(["a", "ab", "A", "b", "abc"], k=draw.randrange(4)), draw.choice(["t", "T2", "u"])]),
+    )
+    datasets = sorted({urn() for _ in range(120)})
+    wanted = [(f"c{i}", urn(), draw.choice(["t", "t2", "U", "none"])) for i in range(150)]
+    rows = catalog.best_datasets(
+        literal_rows(spark, "change_id string, dataset string, table_name string", wanted + wanted[:9]),
+        literal_rows(spark, "urn string", [(u,) for u in datasets]),
+    ).collect()
+    assert len(rows) == len({tuple(r) for r in rows}) and {tuple(r) for r in rows} == _best_by_pairs(wanted, datasets)
+    none = catalog.best_datasets(
+        literal_rows(spark, "change_id string, dataset string, table_name string", [("c", None, "t"), ("d", "odd", "t"), ("e", None, None)]),
+        literal_rows(spark, "urn string", [(datasets[0].replace(",", ",x."),), (None,)]),
+    )
+    assert none.count() <= 2
+
+
 def test_catalog_rehearsal(spark):
     log = literal_rows(spark, "seq int, query_id string, dataset string, sql string", [
         (1, "narrow", URN.format("parcels"), "SELECT p.id FROM parcels p JOIN senders s ON p.id = s.id WHERE route_code = 1"),
