@@ -109,20 +109,30 @@ def ruling_requests(findings: DataFrame, log: DataFrame, schema_columns: DataFra
 
     Tables meet statements on their words and the column, both by equality, so a
     column that every table has does not pair every statement with every table.
+    Texts are joined once and stored; words are posted under the digest of their text, so a
+    text logged under many ids is met with tables once and its candidates fan out by digest.
     """
     per_table = schema_columns.groupBy("table_name").agg(F.collect_set("column_name").alias("columns"))
     carriers = per_table.select(
         "table_name", "columns", F.explode(F.array_distinct(F.transform("columns", F.lower))).alias("col")
     )
     carriers = carriers.withColumn("word", text.base_name(F.col("table_name")))
-    texts = bind.with_statement_text(residue(findings), log).withColumn("col", F.lower("column"))
+    texts = cut(
+        bind.with_statement_text(residue(findings), log)
+        .select("change_id", "query_id", "column", F.lower("column").alias("col"), "sql", F.sha2("sql", 256).alias("digest"))
+        .dropDuplicates(["change_id", "query_id", "column", "digest"])
+    )
     words = F.array_distinct(F.regexp_extract_all(F.lower("sql"), F.lit(NAME_LIKE), F.lit(0)))
-    named = texts.withColumn("word", F.explode(words)).join(carriers, ["col", "word"])
+    named = texts.select("digest", "col", F.explode(words).alias("word")).distinct().join(carriers, ["col", "word"])
     table = F.struct(F.col("table_name").alias("table"), F.col("columns"))
-    return (
-        named.groupBy("change_id", "query_id", "column", "sql")
+    candidates = (
+        named.groupBy("digest", "col")
         .agg(F.array_sort(F.collect_list(table)).alias("candidates"))
         .where(F.size("candidates") >= 2)
+    )
+    return (
+        texts.join(candidates, ["digest", "col"])
+        .select("change_id", "query_id", "column", "sql", "candidates")
         .withColumn("cache_key", text.cache_key(F.col("sql"), F.col("column"), F.col("candidates")))
     )
 

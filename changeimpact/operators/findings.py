@@ -196,15 +196,18 @@ def defect_flags(
         "change_id", "dataset", F.lower("column").alias("col"),
         text.base_name(F.coalesce(text.subject_table(F.col("dataset")), F.col("dataset"))).alias("subject"),
     )
-    quoted = lambda c: F.concat(F.lit(r"\Q"), c, F.lit(r"\E"))
-    tie = F.concat(
-        F.lit("(?i)"), quoted(F.col("subject")), F.lit(".*"), quoted(F.col("col")), F.lit("|"),
-        quoted(F.col("col")), F.lit(".*"), quoted(F.col("subject")),
-    )
+    said = F.lower("sql_snippet")
+
+    def precedes(first: Column, second: Column) -> Column:
+        """Both are in the snippet, the second after the first; no pattern is built per row."""
+        place = F.position(first, said)
+        return (place > 0) & (F.position(second, said, place + F.length(first)) > 0)
+
+    subject, col = F.lower("subject"), F.col("col")
     tied = (
         log.select("query_id", "dataset", text.snippet(F.col("sql")).alias("sql_snippet"))
         .join(named, "dataset")
-        .where(F.rlike("sql_snippet", tie))
+        .where(precedes(subject, col) | precedes(col, subject))
         .join(findings.select("change_id", "query_id"), ["change_id", "query_id"], "left_anti")
     )
     missed = tied.select("change_id", "query_id", F.lit(1).alias("rule"), F.concat(
