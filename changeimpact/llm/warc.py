@@ -141,7 +141,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     if broken.isEmpty():
         fixed = broken.selectExpr("file", "at AS offset", "successor AS own_bytes", "CAST(NULL AS STRING) AS own_digest")
     else:
-        fixed = rejoined(offsets(candidates(spark, path, "value").join(broken, "file", "left_semi")), broken)
+        texts = offsets(candidates(spark, path, "value").join(broken, "file", "left_semi"))
+        fixed = rejoined(texts, owners(pieces, broken))
     filled = records.join(fixed, ["file", "offset"], "left").select(
         "page", "kind", "refers", "stated",
         F.coalesce("payload_bytes", "own_bytes").alias("payload_bytes"), F.coalesce("payload_digest", "own_digest").alias("payload_digest"),
@@ -159,17 +160,30 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def rejoined(pieces: DataFrame, broken: DataFrame) -> DataFrame:
-    """Payload sums of records whose payload holds a magic: their pieces, put together in order."""
-    held = pieces.select("file", F.col("offset").alias("at"), "head", "length", "value")
-    # A piece inside a payload belongs to the last record that starts at or before it.
-    order = Window.partitionBy("file").orderBy("at")
-    marks = held.join(broken, ["file", "at"], "left")
-    first = F.last(F.when(F.col("successor").isNotNull(), F.col("at")), True).over(order)
-    spread = marks.withColumns({"first": first, "end": F.last("successor", True).over(order)}).filter("at < end")
-    whole = spread.groupBy("file", F.col("first").alias("offset")).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "value"))), lambda x: x.value), MAGIC).alias("value"),
-        F.min_by("head", "at").alias("head"), F.min_by("length", "at").alias("length"),
-    )
+def owners(pieces: DataFrame, broken: DataFrame) -> DataFrame:
+    """(file, offset, first) of the pieces of ``broken`` records: each belongs to the last one that starts at or before it.
+
+    No text takes part. A record that begins in an earlier split is looked up among one row per split.
+    """
+    marks = pieces.select("file", "block", F.col("offset").alias("at")).join(broken, ["file", "at"], "left")
+    start = F.when(F.col("successor").isNotNull(), F.struct("at", "successor"))
+    last = marks.groupBy("file", "block").agg(F.max(start).alias("last"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.select("file", "block", F.last("last", True).over(before).alias("earlier"))
+    here = F.last(start, True).over(Window.partitionBy("file", "block").orderBy("at"))
+    met = marks.withColumn("here", here).join(last, ["file", "block"]).withColumn("of", F.coalesce("here", "earlier"))
+    return met.filter("at < of.successor").select("file", F.col("at").alias("offset"), F.col("of.at").alias("first"))
+
+
+def rejoined(texts: DataFrame, owned: DataFrame) -> DataFrame:
+    """Payload sums of records whose payload holds a magic: their pieces, put together in order.
+
+    Pieces are dealt by their place and then by their record, so a file's other records go nowhere.
+    """
+    held = texts.select("file", "offset", "head", "length", "value").join(owned, ["file", "offset"])
+    whole = held.groupBy("file", "first").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("offset", "value"))), lambda x: x.value), MAGIC).alias("value"),
+        F.min_by("head", "offset").alias("head"), F.min_by("length", "offset").alias("length"),
+    ).withColumnRenamed("first", "offset")
     sums = payload_sums(F.col("value"))
     return whole.select("file", "offset", sums["payload_bytes"].alias("own_bytes"), sums["payload_digest"].alias("own_digest"))
