@@ -136,9 +136,10 @@ def repeats(docs: DataFrame, length: int, start: int) -> DataFrame:
     groups = found.groupBy("gram").agg(
         F.min("d").alias("d0"), F.max("d").alias("d1"), F.min("context").alias("c0"), F.max("context").alias("c1")
     )
-    groups = groups.filter("d0 <> d1").select("gram", (F.col("c0") != F.col("c1")).alias("several"))
+    # Stored, so that both sides of the joins below are shuffled anew and a hot gram is split over tasks.
+    groups = stage(groups.filter("d0 <> d1").select("gram", (F.col("c0") != F.col("c1")).alias("several")), "grams")
     again = stage(found.join(groups, "gram"), "repeated")
-    firsts = again.groupBy("gram", "context").agg(F.min("d").alias("first"))
+    firsts = stage(again.groupBy("gram", "context").agg(F.min("d").alias("first")), "firsts")
     known = again.join(firsts, ["gram", "context"])
     same = known.filter("d > first").select("d", "t", "lo", (F.col("hi") + length).alias("hi"))
 
