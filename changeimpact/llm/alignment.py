@@ -6,8 +6,11 @@ covers its last byte. A B token that ends where an A token ends points to itself
 doubling (each token takes the pointer of its pointer, all tokens of many texts at once) converges to every
 component's terminal token, which labels the groups.
 
-1. Encoding, pointers and links run row by row in Arrow batches. A batch (bounded in rows and bytes) keeps a table
-   of its distinct id pairs; a document keeps places in that table, not tokens.
+1. Encoding, pointers and links run in Arrow batches. Before a space after a character that is no white space both
+   tokenizers start a new token whatever follows, so a group ends there too: texts are cut there, and each distinct unit of a
+   batch (bounded in rows and bytes) is encoded and aligned once. Where a tokenizer gives no such promise (see ``cuts_at_spaces``)
+   the cut is left out and texts are units. A batch keeps a table of its distinct id pairs; a document keeps places in that
+   table, not tokens.
 2. Id pairs are counted corpus-wide by one aggregation with map-side combine; a B id's highest count follows.
 3. The counts come back to each batch's table by a join on the pair, and the table to its documents by a co-group
    on the batch. No table of pairs is broadcast, none passes the driver. (The highest counts have one row for each
@@ -25,6 +28,8 @@ import functools
 import hashlib
 import json
 import os
+import re
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain
 
@@ -38,8 +43,13 @@ from pyspark.sql import types as T
 
 from changeimpact.llm.common import ship, stage
 
-#: Texts encoded at once, documents and bytes of text that share a table of pairs.
+#: Units encoded at once, documents and bytes of text that share a table of pairs.
 SLICE_BYTES, BATCH_ROWS, BATCH_BYTES = 1 << 19, 1000, 8 << 20
+JOINED = 64  # units read as one text
+#: A unit ends where a space follows what is neither white space nor the space mark; the last space of a text is no unit.
+CUT = re.compile(r"(?<=[^\s\u180e\u2581])(?= .)", re.DOTALL)
+#: Where a text without one of these has a space, a unit ends.
+UNCUT = re.compile(r"[\s\u180e\u2581] | \Z")
 B_IDS = 1 << 24  # a pair of ids as one number: a * B_IDS + b
 
 
@@ -50,6 +60,21 @@ def byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def cuts_at_spaces(a: dict, pieces: list[str]) -> bool:
+    """Whether a token of either side never crosses, and never depends on what lies across, a space after a visible character.
+
+    True of a byte-level tokenizer without normalizer that splits by the usual pattern (a space is the first character of what
+    it splits off, or in a run of white space) and has no added tokens but special ones, which are plain text here; and of
+    pieces that hold the space mark in front only.
+    """
+    split = a.get("pre_tokenizer") or {}
+    return (
+        all(a.get(c) is None for c in ("normalizer", "truncation", "padding")) and split.get("type") == "ByteLevel" and split.get("use_regex", True)
+        and not split.get("add_prefix_space", True) and all(t["special"] for t in a["added_tokens"])
+        and a["model"].get("type") == "BPE" and not a["model"].get("dropout") and not any("▁" in p.lstrip("▁") for p in pieces)
+    )
+
+
 class Sides:
     """Both vocabularies: encoders, the bytes of every id, and ids as text with what may follow them."""
 
@@ -61,7 +86,8 @@ class Sides:
         self.a = Tokenizer.from_file(a_file)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
-        special = {t["id"] for t in json.loads(self.a.to_str())["added_tokens"]}
+        written_a = json.loads(self.a.to_str())
+        special = {t["id"] for t in written_a["added_tokens"]}
         byte = byte_of_character()
         vocabulary = self.a.get_vocab(with_added_tokens=True)
         self.raw_a = [b""] * (max(vocabulary.values(), default=-1) + 1)
@@ -71,21 +97,63 @@ class Sides:
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             self.raw_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
+        self.separable = cuts_at_spaces(written_a, [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())])
         self.bytes_a, self.bytes_b = (np.fromiter(map(len, raw), np.int64, len(raw)) for raw in (self.raw_a, self.raw_b))
         # Every id inside a group and as its last of a side.
         self.written = [f"{i}{after}" for raw, ends in ((self.raw_a, ",|"), (self.raw_b, ",;")) for i in range(len(raw)) for after in ends]
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of both sides, none for a text that one of them does not give back byte for byte."""
+    def units(self, text: str) -> list[str]:
+        """The units of a text, each without the space that both sides read before it; an empty text has none."""
+        if not text or not self.separable:
+            return [text] if text else []
+        if UNCUT.search(" " + text) is None:
+            return text.split(" ")
+        return [unit[1:] for unit in CUT.split(" " + text)]
+
+    def read(self, texts: list[str]) -> list[tuple[list[int], list[int], bool]]:
+        """Ids of both sides, and whether both give the text back byte for byte."""
         ids_a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
         ids_b = self.b.encode(texts, num_threads=1)
         out = []
         for text, a, b in zip(texts, ids_a, ids_b):
             whole = (" " + text).encode() if text else b""
             same = b"".join(map(self.raw_a.__getitem__, a)) == whole == b"".join(map(self.raw_b.__getitem__, b))
-            out.append((a, b) if same and text else ([], []))
+            out.append((a, b, same and text != ""))
         return out
 
+    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A and of B of all units, and how many each unit has of both; none where a side does not give it back.
+
+        Units that may stand side by side are read as one text; the bytes tell which ids are whose.
+        """
+        groups: list[list[str]] = [[]]
+        for unit in units:
+            loose = not self.separable or unit == "" or unit[-1].isspace() or unit[-1] in "\u180e▁"
+            if loose or len(groups[-1]) >= JOINED:
+                groups.append([])
+            groups[-1].append(unit)
+            if loose:
+                groups.append([])
+        groups = list(filter(None, groups))
+        parts = []
+        for group, found in zip(groups, self.read([" ".join(g) for g in groups])):
+            if found[2] or len(group) == 1:
+                parts.append((group, *found))
+            else:
+                parts.extend(([unit], *own) for unit, own in zip(group, self.read(group)))
+        held = [(group, a, b) if same else (group, [], []) for group, a, b, same in parts]
+        same = np.repeat([p[3] for p in parts], [len(p[0]) for p in parts])
+        until = np.cumsum(np.where(same, [len(u.encode()) + 1 for u in units], 0)) if units else np.zeros(0, np.int64)
+        out = []
+        for side, size in ((1, self.bytes_a), (2, self.bytes_b)):
+            ids = np.fromiter(chain.from_iterable(p[side] for p in held), np.int64)
+            ends = np.concatenate([[0], np.cumsum(size[ids])])
+            at = np.searchsorted(ends, until)
+            if not np.array_equal(ends[at], until):
+                raise ValueError("a token crosses the end of a unit")
+            out += [ids, np.diff(at, prepend=0)]
+        return tuple(out)
+
 
 @functools.cache
 def sides(a_file: str, b_file: str) -> Sides:
@@ -110,23 +178,22 @@ def terminals(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class Aligned:
-    """Alignment of the texts of a slice, all at once."""
+    """Alignment of some texts, all at once."""
 
     def __init__(self, own: Sides, texts: list[str]):
-        ids = own.encode(texts)
-        self.n_a, self.n_b = (np.fromiter((len(x[i]) for x in ids), np.int64, len(ids)) for i in (0, 1))
-        a, b = (np.fromiter(chain.from_iterable(x[i] for x in ids), np.int64, int(n.sum())) for i, n in ((0, self.n_a), (1, self.n_b)))
+        a, self.n_a, b, self.n_b = own.encode(texts)
         ends_a, ends_b = np.cumsum(own.bytes_a[a]), np.cumsum(own.bytes_b[b])
-        doc_a, doc_b = np.repeat(np.arange(len(ids)), self.n_a), np.repeat(np.arange(len(ids)), self.n_b)
+        doc_a, doc_b = np.repeat(np.arange(len(texts)), self.n_a), np.repeat(np.arange(len(texts)), self.n_b)
         group_a, group_b = terminals(ends_a, ends_b)
         last_a = np.append(group_a[1:] != group_a[:-1], True)[: len(a)]
         last_b = np.append(group_b[1:] != group_b[:-1], True)[: len(b)]
-        self.n_groups = np.bincount(doc_b[last_b], minlength=len(ids))
+        self.n_groups = np.bincount(doc_b[last_b], minlength=len(texts))
         # Each stretch between neighbouring ends of either side is the overlap of one A and one B token.
-        cuts = np.union1d(ends_a, ends_b)
+        cuts = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")  # two sorted runs
+        cuts = cuts[np.append(cuts[1:] != cuts[:-1], True)[: len(cuts)]]
         at = np.searchsorted(ends_a, cuts)
         docs = doc_a[at]
-        self.n_links = np.bincount(docs, minlength=len(ids))
+        self.n_links = np.bincount(docs, minlength=len(texts))
         place, self.pairs = pd.factorize(a[at] * B_IDS + b[np.searchsorted(ends_b, cuts)])
         # (document, pair) with how often; documents stay in order
         width = max(len(self.pairs), 1)
@@ -143,16 +210,82 @@ class Aligned:
         self.groups = ["".join(words[i:j])[:-1] for i, j in zip([0, *until], until)]
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
+class Batch:
+    """Alignment of the texts of a batch, from that of their distinct units."""
+
+    def __init__(self, own: Sides, texts: list[str]):
+        number: defaultdict[str, int] = defaultdict()
+        number.default_factory = number.__len__  # a new unit gets the next number
+        rows = [np.fromiter(map(number.__getitem__, own.units(t)), np.int64) for t in texts]
+        parts = [Aligned(own, part) for part in slices(list(number))]
+        whole = np.concatenate([np.zeros(0, bool), *[x.n_a > 0 for x in parts]])
+        of = np.concatenate([np.zeros(0, np.int64), *rows])
+        until = np.cumsum([0, *map(len, rows)])
+        # A text that has a unit without tokens has no tokens.
+        wrong = np.concatenate([[0], np.cumsum(~whole[of])])
+        good = wrong[until[1:]] == wrong[until[:-1]]
+        docs = np.repeat(np.arange(len(texts)), np.where(good, np.diff(until), 0))
+        of = of[np.repeat(good, np.diff(until))]
+
+        def summed(name: str) -> np.ndarray:
+            each = np.concatenate([np.zeros(0, np.int64), *[getattr(x, name) for x in parts]])
+            return np.diff(np.concatenate([[0], np.cumsum(each[of])])[np.searchsorted(docs, np.arange(len(texts) + 1))])
+
+        self.n_a, self.n_b, self.n_groups, self.n_links = map(summed, ("n_a", "n_b", "n_groups", "n_links"))
+        groups = list(chain.from_iterable(x.groups for x in parts))
+        self.groups = [";".join(map(groups.__getitem__, row.tolist())) if ok else "" for row, ok in zip(rows, good.tolist())]
+        # (document, unit) with how often, then the pairs of that unit
+        width = max(len(number), 1)
+        place, mine = pd.factorize(docs * width + of)
+        often = np.bincount(place, minlength=len(mine))
+        doc, unit = np.divmod(mine, width)
+        pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *[x.pairs for x in parts]]))
+        pair = np.concatenate([np.zeros(0, np.int64), *[np.searchsorted(pairs, x.pairs)[x.place] for x in parts]])
+        times = np.concatenate([np.zeros(0, np.int64), *[x.times for x in parts]])
+        n_pairs = np.concatenate([np.zeros(0, np.int64), *[np.bincount(x.doc, minlength=len(x.n_a)) for x in parts]])
+        first = np.cumsum(n_pairs) - n_pairs
+        n = n_pairs[unit]
+        at = np.repeat(first[unit] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        # (document, pair) with how often; documents stay in order
+        width = max(len(pairs), 1)
+        place, mine = pd.factorize(np.repeat(doc, n) * width + pair[at])
+        self.times = np.zeros(len(mine), np.int64)
+        np.add.at(self.times, place, np.repeat(often, n) * times[at])
+        self.doc, place = np.divmod(mine, width)
+        total = np.zeros(len(pairs), np.int64)
+        np.add.at(total, place, self.times)
+        # Units of texts without tokens have left pairs that nothing links.
+        linked = total > 0
+        self.pairs, self.total, self.place = pairs[linked], total[linked], (np.cumsum(linked) - 1)[place]
+
+
+def slices(units: list[str]) -> Iterator[list[str]]:
+    """Runs of units of bounded size, one unit at least."""
+    start, held = 0, 0
+    for i, unit in enumerate(units):
+        held += 4 * len(unit) + 1
+        if held >= SLICE_BYTES or i + 1 == len(units):
+            yield units[start : i + 1]
+            start, held = i + 1, 0
+
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
     """Runs of (doc_id, text) rows of bounded size, one row at least."""
+    ids: list[pa.Array] = []
+    texts: list[str] = []
+    held = 0
     for batch in batches:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        start, held = 0, 0
-        for i, text in enumerate(texts):
-            held += 4 * len(text)
-            if held >= SLICE_BYTES or i + 1 == len(texts) or i + 1 - start >= BATCH_ROWS:
-                yield batch.column(0).slice(start, i + 1 - start), texts[start : i + 1]
-                start, held = i + 1, 0
+        start = 0
+        for i, text in enumerate(batch.column(1).to_pylist()):
+            texts.append(text or "")
+            held += len(texts[-1])
+            if held >= BATCH_BYTES or len(texts) >= BATCH_ROWS:
+                yield pa.concat_arrays([*ids, batch.column(0).slice(start, i + 1 - start)]), texts
+                ids, texts, held, start = [], [], 0, i + 1
+        if start < batch.num_rows:
+            ids.append(batch.column(0).slice(start))
+    if texts:
+        yield pa.concat_arrays(ids), texts
 
 
 def encoded(docs: DataFrame, a_file: str, b_file: str, digest: bool) -> DataFrame:
@@ -171,42 +304,24 @@ def encoded(docs: DataFrame, a_file: str, b_file: str, digest: bool) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sides(a_file, b_file)
-        number = TaskContext.get().partitionId() << 32
-        done: list[tuple[pa.Array, Aligned]] = []
-
-        def closed() -> Iterator[pa.RecordBatch]:
-            table = np.unique(np.concatenate([x.pairs for _, x in done]))
-            total = np.zeros(len(table), np.int64)
-            for ids, x in done:
-                to = np.searchsorted(table, x.pairs)
-                np.add.at(total, to[x.place], x.times)
-                n = len(ids)
-                groups = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in x.groups] if digest else x.groups
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, number)), ids, *[pa.array(getattr(x, c)) for c in counts], pa.array(groups, pa.string()),
-                     listed(to[x.place], x.doc, n, pa.int32()), listed(x.times, x.doc, n, pa.int32()),
-                     pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))],
-                    names=schema.names,
-                )
-            one = np.zeros(len(table), np.int64)
-            if len(table):
+        for number, (ids, texts) in enumerate(runs(batches), TaskContext.get().partitionId() << 32):
+            x = Batch(own, texts)
+            n = len(ids)
+            groups = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in x.groups] if digest else x.groups
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, number)), ids, *[pa.array(getattr(x, c)) for c in counts], pa.array(groups, pa.string()),
+                 listed(x.place, x.doc, n, pa.int32()), listed(x.times, x.doc, n, pa.int32()),
+                 pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))],
+                names=schema.names,
+            )
+            if len(x.pairs):
+                one = np.zeros(len(x.total), np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([number]), pa.nulls(1, ids.type), *[pa.nulls(1, pa.int64())] * 4, pa.nulls(1, pa.string()),
-                     *[pa.nulls(1, pa.list_(pa.int32()))] * 2, listed(table, one, 1, pa.int64()), listed(total, one, 1, pa.int64())],
+                     *[pa.nulls(1, pa.list_(pa.int32()))] * 2, listed(x.pairs, one, 1, pa.int64()), listed(x.total, one, 1, pa.int64())],
                     names=schema.names,
                 )
 
-        rows = held = 0
-        for ids, texts in slices(batches):
-            done.append((ids, Aligned(own, texts)))
-            rows, held = rows + len(texts), held + sum(map(len, texts))
-            if rows >= BATCH_ROWS or held >= BATCH_BYTES:
-                yield from closed()
-                number, rows, held = number + 1, 0, 0
-                done.clear()
-        if done:
-            yield from closed()
-
     return stage(base.mapInArrow(run, schema), "encoded")
 
 

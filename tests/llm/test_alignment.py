@@ -105,3 +105,41 @@ def test_terminals_of_long_chains():
     b = np.array([1, 3, 5, 7, 9, 10, 12])
     groups_a, groups_b = alignment.terminals(a, b)
     assert groups_a.tolist() == [0, 0, 0, 0, 0, 1] and groups_b.tolist() == [0, 0, 0, 0, 0, 1, 1]
+
+
+def test_units_give_what_whole_texts_give():
+    """Words are read once for many texts; runs of white space, space marks and texts a side does not give back too."""
+    own = alignment.sides(A, B)
+    assert own.separable
+    texts = [
+        "", " ", "  ", "a ", " a", "a  b", "a \n b\u2003 c\x1c d", "it's  'so' we're 12 34.5 %%% x", "▁ a▁ b a▁b", "tail \n", "a b \u180e c",
+        "\u0301 é e\u0301 \u0308x", "日本 語 テ\u3000キ", "<s> </s> <unk> <0x41> <|endoftext|> x", "ﬁ ½ \x00 \x85 x", "same word same word", "x" * 90 + " y", "\n",
+    ]
+    assert own.units("a  b c \n d ") == ["a", " b", "c", "\n d "] and own.units("a b") == ["a", "b"]
+    assert all(" " + " ".join(own.units(t)) == " " + t for t in texts if t)
+    got, whole = alignment.Batch(own, texts), [own.read([t])[0] for t in texts]
+    assert got.n_a.tolist() == [len(a) if same else 0 for a, _, same in whole]
+    assert got.n_b.tolist() == [len(b) if same else 0 for _, b, same in whole]
+    for groups, (a, b, same) in zip(got.groups, whole):
+        sides = [g.split("|") for g in groups.split(";")] if groups else []
+        for side, ids in ((0, a), (1, b)):
+            assert ",".join(s[side] for s in sides) == ",".join(map(str, ids if same else []))
+    assert (got.total > 0).all() and got.total.sum() == got.n_links.sum()
+
+
+def test_distinct_words_are_read_once(monkeypatch):
+    own, seen = alignment.sides(A, B), []
+    read = type(own).read
+    monkeypatch.setattr(type(own), "read", lambda self, texts: seen.extend(texts) or read(self, texts))
+    batch = alignment.Batch(own, ["some words come again"] * 300)
+    assert sum(map(len, seen)) < 100 and batch.n_a.tolist() == [batch.n_a[0]] * 300
+    assert batch.times.tolist() == [1] * len(batch.times) and set(batch.total.tolist()) == {300}
+
+
+def test_cut_only_where_both_tokenizers_cut():
+    import json
+
+    known = json.loads(open(A, encoding="utf-8").read())
+    assert alignment.cuts_at_spaces(known, ["▁a", "b", "▁▁"]) and not alignment.cuts_at_spaces(known, ["▁a▁b"])
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}}):
+        assert not alignment.cuts_at_spaces({**known, **change}, ["▁a"])
