@@ -22,8 +22,10 @@ from __future__ import annotations
 import functools
 import heapq
 import re
+from array import array
+from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -58,9 +60,14 @@ class Merger:
         for b, i in enumerate(self.byte_ids):
             self.raw[i] = bytes([b])
         self.separable = not any(MARK in p.lstrip(MARK) for p in self.ids)
-        self.table: dict[str, list[int]] = {}
+        self._forget()
         self._pairs()
 
+    def _forget(self) -> None:
+        """An empty table: a number for each unit, and by number its ids as the bytes of 32-bit integers."""
+        self.table: defaultdict[str, int] = defaultdict(count().__next__)
+        self.known: list[bytes] = []
+
     def _pairs(self) -> None:
         """Symbols are pieces (their ids) and further characters of pieces; pairs that join to a piece, as sorted keys."""
         symbols = dict(self.ids)
@@ -193,21 +200,32 @@ class Merger:
                 raise ValueError(f"agenda and library differ on {name[:200]!r}: {ids[name][:50]} {own[:50]}")
         return ids
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
-        units = [UNIT.findall(t) for t in marked] if self.separable else [[t] if t else [] for t in marked]
-        if len(self.table) > TABLE_ROWS:
-            self.table.clear()
-        table = self.table
-        fresh = set(chain.from_iterable(units)).difference(table)
-        own = self.learn(list(fresh))
-        table.update(own)
-        out = [list(chain.from_iterable(map(table.__getitem__, row))) for row in units]
+    def coded(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of every text. While a batch is read its units are numbers: as strings and lists they outweigh the texts many times."""
+        if len(self.known) > TABLE_ROWS:
+            self._forget()
+        table, known = self.table, self.known
+        kept, rows = len(table), []
+        for text in texts:
+            marked = MARK + text.replace(" ", MARK) if text else ""
+            units = UNIT.findall(marked) if self.separable else [marked] if marked else []
+            rows.append(np.fromiter(map(table.__getitem__, units), np.int32, len(units)))
+        fresh = list(islice(table, kept, None))
+        try:
+            own = self.learn(fresh)
+        except BaseException:
+            self._forget()  # numbers without ids would be left
+            raise
+        known.extend([array("i", own[unit]).tobytes() for unit in fresh])
+        out = [np.frombuffer(b"".join(map(known.__getitem__, row.tolist())), np.int32) for row in rows]
         for unit in fresh:
             if len(unit) > SHORT:
-                del table[unit]
+                known[table.pop(unit)] = b""
         return out
 
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [ids.tolist() for ids in self.coded(texts)]
+
     def decode(self, ids: list[int], text: str) -> str:
         """Pieces and bytes joined, without the space that encoding put first; ``text`` is what was encoded."""
         joined = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
@@ -243,10 +261,11 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
 
     def fill(texts: list[str]) -> list[pa.Array]:
         own = merger(model_file)
-        ids = own.encode(texts)
-        flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32))
+        ids = own.coded(texts)
+        flat = pa.array(np.concatenate([np.zeros(0, np.int32), *ids]))
         ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-        return [pa.ListArray.from_arrays(ends, flat), pa.array(map(own.decode, ids, texts), pa.string())]
+        decoded = (own.decode(row.tolist(), text) for row, text in zip(ids, texts))
+        return [pa.ListArray.from_arrays(ends, flat), pa.array(decoded, pa.string())]
 
     return per_batch(docs, {"ids": T.ArrayType(T.IntegerType()), "decoded": T.StringType()}, fill)
 

@@ -428,3 +428,24 @@ def test_steps_are_certified_by_the_number_of_strata(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in rows], "doc_id long, quality int, toxic int")
     certified = quality_rules.calibrate(quality_rules.measures(frame), labels).collect()
     assert [(r["stratum"], r["step"], r["n_good"], r["n_rejected"]) for r in certified] == [("a", quality_rules.STEPS - 1, 217, 0)]
+
+
+def test_sentencepiece_table_is_small_and_in_step(monkeypatch):
+    """What a worker keeps between batches: 511 bytes a unit as strings and lists before."""
+    import tracemalloc
+
+    own = sentencepiece_codec.Merger(vocabulary())
+    library = own.library
+    texts = [" ".join(f"w{i * 97 + j}ord{j * 7919 % 1000}" for j in range(97)) + " " + "y" * 50 for i in range(100)]
+    tracemalloc.start()
+    own.encode(texts)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held / len(own.table) < 300
+    again = ["new " + texts[3], "", "y" * 50 + " " + texts[0], "ö " + "z" * 60]
+    assert own.encode(again) == [library.encode(t) for t in again]
+    monkeypatch.setattr(own, "learn", lambda units: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        own.encode(["unseen words"])
+    monkeypatch.undo()
+    assert own.encode(again) == [library.encode(t) for t in again]
