@@ -19,6 +19,7 @@ like a result column are replaced.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import heapq
 import re
@@ -37,7 +38,7 @@ from changeimpact.llm.common import ship, without
 
 MARK = "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-TABLE_ROWS, SHORT = 400_000, 32
+TABLE_ROWS, KEPT_ROWS, LEARNED, SHORT = 400_000, 100_000, 32_768, 32
 NONE = np.iinfo(np.int32).max
 
 
@@ -60,13 +61,24 @@ class Merger:
         for b, i in enumerate(self.byte_ids):
             self.raw[i] = bytes([b])
         self.separable = not any(MARK in p.lstrip(MARK) for p in self.ids)
-        self._forget()
+        self.forget()
         self._pairs()
 
-    def _forget(self) -> None:
-        """An empty table: a number for each unit, and by number its ids as the bytes of 32-bit integers."""
+    def forget(self, but: int = 0) -> None:
+        """A table of the units met first, ``but`` of them: a number for each unit, and by number its ids as the bytes of 32-bit integers."""
+        first = [(unit, self.known[n]) for unit, n in islice(self.table.items(), but)] if but else []
         self.table: defaultdict[str, int] = defaultdict(count().__next__)
-        self.known: list[bytes] = []
+        self.table.update((unit, self.table.default_factory()) for unit, _ in first)
+        self.known: list[bytes] = [ids for _, ids in first]
+
+    def rest(self) -> None:
+        """After a task: workers wait for tasks of any stage, so they keep the units met first alone, mostly frequent ones."""
+        if len(self.known) > KEPT_ROWS:
+            self.forget(KEPT_ROWS)
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:  # glibc keeps what is freed otherwise
+                trim(0)
 
     def _pairs(self) -> None:
         """Symbols are pieces (their ids) and further characters of pieces; pairs that join to a piece, as sorted keys."""
@@ -203,7 +215,7 @@ class Merger:
     def coded(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text. While a batch is read its units are numbers: as strings and lists they outweigh the texts many times."""
         if len(self.known) > TABLE_ROWS:
-            self._forget()
+            self.forget(KEPT_ROWS)
         table, known = self.table, self.known
         kept, rows = len(table), []
         for text in texts:
@@ -212,11 +224,12 @@ class Merger:
             rows.append(np.fromiter(map(table.__getitem__, units), np.int32, len(units)))
         fresh = list(islice(table, kept, None))
         try:
-            own = self.learn(fresh)
+            for i in range(0, len(fresh), LEARNED):
+                own = self.learn(part := fresh[i : i + LEARNED])
+                known.extend([array("i", own[unit]).tobytes() for unit in part])
         except BaseException:
-            self._forget()  # numbers without ids would be left
+            self.forget()  # numbers without ids would be left
             raise
-        known.extend([array("i", own[unit]).tobytes() for unit in fresh])
         out = [np.frombuffer(b"".join(map(known.__getitem__, row.tolist())), np.int32) for row in rows]
         for unit in fresh:
             if len(unit) > SHORT:
@@ -239,19 +252,27 @@ def merger(model_file: str) -> Merger:
     return Merger(model_file)
 
 
-def per_batch(docs: DataFrame, columns: dict[str, T.DataType], fill: Callable[[list[str]], list[pa.Array]]) -> DataFrame:
-    """``docs`` with columns that ``fill`` gives for the texts of up to 2,000 rows at a time."""
+def per_batch(
+    docs: DataFrame, columns: dict[str, T.DataType], fill: Callable[[list[str]], list[pa.Array]], done: Callable[[], None]
+) -> DataFrame:
+    """``docs`` with columns that ``fill`` gives for the texts of up to 2,000 rows at a time; ``done`` is called after a task that had some."""
     ship(docs.sparkSession)
     base = without(docs, *columns)
     at = base.columns.index("text")
     schema = T.StructType([*base.schema.fields, *[T.StructField(n, t) for n, t in columns.items()]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                part = batch.slice(start, 2000)
-                added = fill([t or "" for t in part.column(at).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, *added], names=schema.names)
+        part = added = None
+        try:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 2000):
+                    part = batch.slice(start, 2000)
+                    added = fill([t or "" for t in part.column(at).to_pylist()])
+                    yield pa.RecordBatch.from_arrays([*part.columns, *added], names=schema.names)
+        finally:
+            if added is not None:
+                batch = part = added = None
+                done()
 
     return base.mapInArrow(run, schema)
 
@@ -267,7 +288,7 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
         decoded = (own.decode(row.tolist(), text) for row, text in zip(ids, texts))
         return [pa.ListArray.from_arrays(ends, flat), pa.array(decoded, pa.string())]
 
-    return per_batch(docs, {"ids": T.ArrayType(T.IntegerType()), "decoded": T.StringType()}, fill)
+    return per_batch(docs, {"ids": T.ArrayType(T.IntegerType()), "decoded": T.StringType()}, fill, lambda: merger(model_file).rest())
 
 
 def digests(coded: DataFrame) -> DataFrame:

@@ -4,8 +4,10 @@ import collections
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from changeimpact.llm import (
     chat, common, decontaminate, html_text, neardup, pii, quality_rules, sentencepiece_codec, sharding, substrings, warc,
@@ -449,3 +451,33 @@ def test_sentencepiece_table_is_small_and_in_step(monkeypatch):
         own.encode(["unseen words"])
     monkeypatch.undo()
     assert own.encode(again) == [library.encode(t) for t in again]
+
+
+def test_sentencepiece_workers_keep_little_after_a_task(monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "KEPT_ROWS", 5)
+    monkeypatch.setattr(sentencepiece_codec, "LEARNED", 3)
+    own = sentencepiece_codec.Merger(vocabulary())
+    texts = ["the first units met " + "x" * 50, "some more words follow here", "", "the words met"]
+    before = own.encode(texts)
+    assert before == own.library.encode(texts)
+    own.rest()
+    assert len(own.known) == len(own.table) == 5
+    assert all(own.known[n] for n in own.table.values())
+    assert own.encode(texts[::-1]) == before[::-1]
+    own.rest()
+    assert list(own.table) == ["▁the", "▁first", "▁units", "▁met", "▁some"]
+
+
+def test_sentencepiece_tasks_end_with_a_release(spark, tmp_path):
+    def done():
+        (tmp_path / str(random.SystemRandom().random())).touch()
+
+    def fill(texts):
+        return [pa.array([len(t) for t in texts], pa.int64())]
+
+    docs = spark.createDataFrame([(1, "ab"), (2, None)], "doc_id long, text string").coalesce(1)
+    sized = sentencepiece_codec.per_batch(docs, {"size": T.LongType()}, fill, done)
+    assert sorted(map(tuple, sized.collect())) == [(1, "ab", 2), (2, None, 0)]
+    assert len(list(tmp_path.iterdir())) == 1
+    assert sentencepiece_codec.per_batch(docs.filter("doc_id > 2"), {"size": T.LongType()}, fill, done).count() == 0
+    assert len(list(tmp_path.iterdir())) == 1
