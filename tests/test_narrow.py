@@ -1,7 +1,9 @@
 """Shapes that keep only what can matter to the changed names give what whole shapes give."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from changeimpact.functions import lexicon
 from changeimpact.operators import extract, repair
 from changeimpact.plans import fixtures as fx
 from changeimpact.plans.rehearse import kept_names, rehearse
@@ -90,3 +92,21 @@ def test_names_whose_case_is_not_folded_alike_keep_shapes_whole(spark, inputs):
     assert extract.narrow_shapes(log, ["straße"]) is log and extract.narrow_shapes(log, None) is log
     named = kept_names(literal_rows(spark, CHANGED, [("r", "bay.crates", "rename", "B", "a"), ("d", "bay.crates", "drop", "c", None)]))
     assert named == ["a", "b", "c"]
+
+
+def test_narrowing_touches_few_places_and_reads_names_one_by_one(spark):
+    """Plain words are passed over with the name before them; the result is that of a match per name."""
+    letter, taken = r"[\p{L}\p{N}_$]", "dock_id|seal|stamp"
+    free = "|".join(
+        [rf"(?!(?iu:{taken})(?!{letter}))[\p{{L}}_]{letter}*+"]
+        + [rf'{quote}(?!(?iu:{taken}){quote})[^"`.\s]++{quote}' for quote in '"`']
+    )
+    name = rf"{lexicon.PIECE}(?:{lexicon.DOT}{lexicon.PIECE})*+"
+    each = rf"(?:{free})(?=(?:{lexicon.DOT}({free}))++)|({name})"
+    odd = ODD + ["a b.c", "0a.b $a.b a$.b", "a . b\n.c d", "x \"a.b\" c.d", "a.", "a .", ".a.b", "a b `c", "é.b ü é.seal", ""]
+    rows = spark.createDataFrame([(t,) for t in odd], "shape string")
+    pattern = lexicon.leading_parts(["dock_id", "seal", "stamp"])
+    got = rows.select(F.regexp_replace("shape", pattern, "$1$2"), F.regexp_replace("shape", each, "$1$2")).collect()
+    assert [r[0] for r in got] == [r[1] for r in got]
+    plain = rows.limit(1).select(F.regexp_count(F.lit("SELECT a, b FROM t.crates c WHERE c.a > 0 AND b < 0 ORDER BY a"), F.lit(pattern)))
+    assert plain.first()[0] <= 4

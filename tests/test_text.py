@@ -122,3 +122,13 @@ def test_unknown_bucket(spark):
              ("unexplained", "unexplained"), ("alias_shadowed", "other_unknown"), (None, "other_unknown")]
     df = spark.createDataFrame(cases, "k string, want string")
     assert df.where(text.unknown_bucket(F.col("k")) != F.col("want")).count() == 0
+
+
+def test_masking_leaves_single_blanks_alone(spark):
+    """Only white space that is more than one blank is replaced, with the result of replacing all of it."""
+    texts = ["a b c", "a  b", "a \t b\x0bc\n", "\t\ta", " a", "a\r\nb  \fc ", "", "a\u00a0 b"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    wide = F.lit(lexicon.WIDE_SPACE)
+    got = rows.select(F.regexp_replace("t", wide, F.lit(" ")), F.regexp_replace("t", F.lit(text.WS), F.lit(" ")), F.regexp_count("t", wide)).collect()
+    assert [r[0] for r in got] == [r[1] for r in got]
+    assert got[0][2] == 0
